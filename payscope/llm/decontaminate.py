@@ -99,5 +99,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; their columns as they are."""
-    return docs.join(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that hold no benchmark item; their columns as they are.  Rows are told apart by id and text."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, **options)
+    return keyed.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(docs.columns)

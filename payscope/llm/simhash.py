@@ -53,14 +53,15 @@ def fingerprint_of(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp long) for every row of ``docs``: one pass, no shuffle.  A null text counts as empty."""
+    """(doc_id, text_hash, fp: long) for every row of ``docs``: one pass, no shuffle.  A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint_of(shingle_hashes(t.as_py(), width)) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            fps = [fingerprint_of(shingle_hashes(t.as_py(), width)) for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -229,19 +230,30 @@ def near_links(distinct: DataFrame, radius: int = 3, block: int = 1024) -> DataF
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """(doc_id, fp long, component_id) for each row of ``docs``.
+    """(doc_id, text_hash, fp, component_id, component_text: long) for each row of ``docs``.
 
-    Exact copies share a fingerprint and are compared once.  A null or empty text has fingerprint
-    zero and is linked like any other; rows that repeat get the same component; a null ``doc_id``
-    is kept, but never names a component unless all of its members are null.
+    The last two are the doc_id and the text's hash of the first row of its component, nulls after
+    all others.  Exact copies share a fingerprint and are compared once.  A null or empty text has
+    fingerprint zero and is linked like any other; rows that repeat get the same component.
     """
     each = materialize(fingerprints(docs, width), "simhash-fp")
-    distinct = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    distinct = materialize(each.groupBy("fp").agg(F.min(row).alias("first")), "simhash-distinct")
     roots = materialize(connected_components(near_links(distinct.select("fp"), radius)), "simhash-roots")
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    named = rooted.select("fp", "root").join(least, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_text"))
+    return each.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "component_text")
+
+
+def without_near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+    """The first row of each component of ``docs`` by doc_id (nulls last), then by the text's hash; its columns as they are."""
+    found = near_duplicates(docs, radius, width)
+    first = found.where("doc_id <=> component_id AND text_hash = component_text").select(F.col("doc_id").alias("_id"), "text_hash").distinct()
+    keyed = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+    kept = keyed.join(first, keyed["doc_id"].cast("long").eqNullSafe(first["_id"]) & (keyed["_hash"] == first["text_hash"]), "left_semi")
+    # Rows that repeat as a whole have met in the join's partitions.
+    return kept.withColumn("_copy", F.expr("row_number() OVER (PARTITION BY doc_id, _hash ORDER BY doc_id)")).where("_copy = 1").select(docs.columns)
 
 
 def hex_of(fp: str) -> Column:
