@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from payscope.llm.shared import let
+from payscope.llm.shared import let, materialize
 
 #: Benchmarks of more shingles than this are joined by shuffle instead of broadcast.
 MOST_BROADCAST_SHINGLES = 500_000
@@ -54,52 +54,59 @@ def weighted_likeness(a: str, b: str) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 20, width: int = 5) -> DataFrame:
-    """(doc_id, item_id, similarity, start_word, n_words): where a document holds a benchmark item.
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 20, width: int = 5) -> DataFrame:
+    """(key, doc_id, item_id, similarity, start_word, n_words): every window of a document that an item is like.
 
-    One row for each document and item, with its most similar window (the first of ties).  Words
-    are runs of letters and digits in lower case; items of fewer than ``width`` words are one
-    shingle.  Null or empty texts and items match nothing; rows that repeat a ``doc_id`` give one row.
+    ``key`` is a hash of doc_id and text.  The places are found first, without the texts, and written to
+    the shared folder; Spark then joins them to the texts by their size, broadcast or not.
     """
-    items = benchmark.select("item_id", _word_hashes(F.col("text")).alias("words")).where(F.size("words") > 0)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _word_hashes(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = items.withColumn("n", F.size("words"))
     sizes = items.groupBy(F.least(F.lit(width), F.col("n")).alias("w")).agg(F.sum("n").alias("shingles")).collect()  # at most `width` rows
     hint = F.broadcast if sum(r["shingles"] for r in sizes) <= MOST_BROADCAST_SHINGLES else lambda df: df
-    spark = docs.sparkSession
-    none = spark.createDataFrame([], "doc_id long, item_id long, similarity double, start_word int, n_words int")
+    found = [docs.sparkSession.createDataFrame([], "key long, doc_id long, item_id long, similarity double, start_word int, n_words int")]
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     masks = hamming_blocks(radius)
-    found = [none]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _word_hashes(F.col("text")).alias("words"))
     for w in sorted(r["w"] for r in sizes):
         own = items.where(F.least(F.lit(width), F.col("n")) == w).select("item_id", "n", _shingles(F.col("words"), w).alias("item"))
         seeds = own.select("n", F.posexplode("item").alias("at", "h")).distinct()
-        places = texts.select("doc_id", F.size("words").alias("n_doc"), _shingles(F.col("words"), w).alias("shingles")).select(
-            "doc_id", "n_doc", "shingles", F.posexplode("shingles").alias("p", "h")
-        )
-        start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("n_doc") - F.col("n")))
+        places = keyed.select("key", _shingles(_word_hashes(F.col("text")), w).alias("shingles")).select("key", F.size("shingles").alias("m"), F.posexplode("shingles").alias("p", "h"))
+        # A window that would hang over an end of the document is moved inside.
+        start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("m") + (w - 1) - F.col("n")))
+        starts = places.join(hint(seeds), "h").select("key", "n", start.alias("start")).distinct()
+        starts = materialize(starts.groupBy("key").agg(F.collect_list(F.struct("n", "start")).alias("starts")), "decontamination-places")
         windows = (
-            places.join(hint(seeds), "h")
-            .select("doc_id", "n", start.alias("start"), "shingles")
-            .select("doc_id", "n", "start", F.slice("shingles", F.col("start") + 1, F.col("n") - w + 1).alias("win"))
-            .distinct()
+            keyed.join(starts, "key")
+            .select("key", "doc_id", "starts", _shingles(_word_hashes(F.col("text")), w).alias("shingles"))
+            .select("key", "doc_id", F.explode(F.transform("starts", lambda s: F.struct(s["n"].alias("n"), s["start"].alias("start"), F.slice(F.col("shingles"), s["start"] + 1, s["n"] - w + 1).alias("win")))).alias("x"))
+            .select("key", "doc_id", "x.*")
             .withColumn("fp", simhash("win"))
         )
-        blocks = F.array(*(F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(_long(m)).alias("key")) for i, m in enumerate(masks)))
-        probe = windows.select("doc_id", "n", "start", "win", "fp", F.explode(blocks).alias("b")).select("*", "b.block", "b.key").drop("b")
-        index = own.withColumn("item_fp", simhash("item")).withColumn("fp", F.col("item_fp")).select("item_id", "n", "item", "item_fp", F.explode(blocks).alias("b")).select("*", "b.block", "b.key").drop("b")
+        blocks = F.array(*(F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(_long(m)).alias("bits")) for i, m in enumerate(masks)))
+        probe = windows.select("*", F.explode(blocks).alias("b")).select("*", "b.block", "b.bits").drop("b")
+        index = own.withColumn("fp", simhash("item")).select("item_id", "n", "item", F.col("fp").alias("item_fp"), F.explode(blocks).alias("b")).select("*", "b.block", "b.bits").drop("b")
         differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
         # A pair is taken at the first of its equal blocks only.
         earlier = reduce(lambda x, y: x | y, ((F.col("block") > i) & (differ.bitwiseAND(_long(m)) == 0) for i, m in enumerate(masks)))
-        near = probe.join(hint(index), ["n", "block", "key"]).where((F.bit_count(differ) <= radius) & ~earlier)
-        scored = near.select("doc_id", F.col("item_id").cast("long").alias("item_id"), weighted_likeness("win", "item").alias("similarity"), "start", "n")
-        found.append(scored.where(F.col("similarity") >= threshold).withColumnsRenamed({"start": "start_word", "n": "n_words"}))
-    hits = reduce(DataFrame.unionByName, found)
+        near = probe.join(hint(index), ["n", "block", "bits"]).where((F.bit_count(differ) <= radius) & ~earlier)
+        scored = near.select("key", "doc_id", "item_id", weighted_likeness("win", "item").alias("similarity"), F.col("start").alias("start_word"), F.col("n").alias("n_words"))
+        found.append(scored.where(F.col("similarity") >= threshold))
+    return reduce(DataFrame.unionByName, found)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 20, width: int = 5) -> DataFrame:
+    """(doc_id, item_id, similarity, start_word, n_words): where a document holds a benchmark item.
+
+    One row for each document and item, with its most similar window (the first of ties).  Words
+    are runs of letters and digits in lower case; items of fewer than ``width`` words are one
+    shingle.  Null or empty texts and items match nothing; rows that repeat a ``doc_id`` give one row.
+    """
+    hits = matches(docs, benchmark, threshold, radius, width)
     best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("s"), "n_words")).alias("m"))
     return best.select("doc_id", "item_id", "m.similarity", (-F.col("m.s")).alias("start_word"), "m.n_words")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; their columns as they are.  Rows are told apart by id and text."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, **options)
-    return keyed.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(docs.columns)
+    found = materialize(matches(docs, benchmark, **options).select(F.col("key").alias("_key")).distinct(), "decontamination-found")
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(found, "_key", "left_anti").select(docs.columns)
