@@ -112,7 +112,8 @@ def swapped_pairs(rows: DataFrame, values: Sequence[str], group: str, order: str
     right = packed.select(group, F.col("_tile").alias("_other"), F.col("_rows").alias("_others"))
     both = left.where("_tile <= _other").join(right, [group, "_other"])
     before = lambda x, y: (F.col("_tile") != F.col("_other")) | (x[order] < y[order])
-    differs = lambda x, y: F.array_max(F.array(*((x[v] > y[v]) != (x[values[0]] > y[values[0]]) for v in values[1:])))
+    above = lambda x, y, v: F.when(x[order] < y[order], x[v] > y[v]).otherwise(y[v] > x[v])
+    differs = lambda x, y: F.array_max(F.array(*(above(x, y, v) != above(x, y, values[0]) for v in values[1:])))
     pairs = F.aggregate("_rows", F.lit(0).cast("long"), lambda n, x: n + F.size(F.filter("_others", lambda y: before(x, y))))
     swaps = F.aggregate("_rows", F.lit(0).cast("long"), lambda n, x: n + F.size(F.filter("_others", lambda y: before(x, y) & differs(x, y))))
     out = both.agg(F.sum(pairs).alias("pairs"), F.sum(swaps).alias("swapped"))
