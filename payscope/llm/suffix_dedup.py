@@ -159,16 +159,18 @@ class Covers:
             own += (start, end)
             self.size += 1
 
-    def batch(self) -> pa.RecordBatch:
+    def rows(self, bits: int) -> list[tuple[int, str, bytes]]:
+        """What was gathered, packed for each partition of the documents; nothing is held after that."""
         docs = list(self.found)
-        spans = [np.array(self.found[d], np.uint32).tobytes() for d in docs]
+        ids, hashes = np.array([d[0] for d in docs], np.int64), np.array([d[1] for d in docs], np.int64)
+        spans = [np.array(self.found[d], np.uint32) for d in docs]
         self.found, self.size = {}, 0
-        return pa.record_batch([pa.array([d[0] for d in docs], pa.int64()), pa.array([d[1] for d in docs], pa.int64()), pa.array(spans, pa.binary())], names=["doc_id", "text_hash", "spans"])
-
-    def row(self) -> tuple[int, str, bytes]:
-        b = self.batch()
-        sizes = np.array([len(x) // 4 for x in b.column(2).to_pylist()], np.uint32)
-        return -1, "covers", pack(ids=b.column(0).to_numpy(), hashes=b.column(1).to_numpy(), sizes=sizes, spans=np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32))
+        part = _part((hashes.view(np.uint64) ^ ids.view(np.uint64)) * _M1, bits)
+        order, out = np.argsort(part, kind="stable"), []
+        for p, s in part_slices(part[order]):
+            own = order[s]
+            out.append((p, "covers", pack(ids=ids[own], hashes=hashes[own], sizes=np.array([len(spans[i]) for i in own], np.uint32), spans=np.concatenate([spans[i] for i in own]))))
+        return out
 
 
 def _sorted_runs(keys: np.ndarray, part: np.ndarray, kind: str, ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, place: np.ndarray, repeated: Callable[[np.ndarray], None]) -> Iterator[tuple[int, str, bytes]]:
@@ -310,8 +312,8 @@ def _merge_kind(runs: list[dict[str, np.ndarray]], width: int) -> Iterator[tuple
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text_hash, spans): the bytes of each document that repeats cover, as packed pairs of
-    start and end, one row or more for a document that has any.  ``docs``: doc_id, text_hash, text."""
+    """(doc_id, text_hash, spans): the bytes of each document that repeats cover, as packed pairs of start and
+    end of maximal runs; one row for a document that has any.  ``docs``: doc_id, text_hash, text."""
     if length < 32 or length > 160:
         raise ValueError("length: 32 to 160 bytes")
     spark = docs.sparkSession
@@ -340,13 +342,12 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     keys = block.keys(own)
                     part = _part(_spread(keys), bits) if kind == "hot" else _part(hashes[own], bits, _HASH_BITS)
                     yield run_rows(list(_sorted_runs(keys, part, kind, block.ids, block.hashes, block.doc[own], places[own], lambda w, own=own, cover=cover: cover(own[w]))))
-            if covers.size:
-                yield run_rows([covers.row()])
+            yield run_rows(covers.rows(bits))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_part(batches):
+        for part, rows in by_part(batches):
             covers = Covers()
-            yield run_rows([(-1, kind, run) for kind, run in rows if kind == "covers"])
+            yield run_rows([(part, kind, run) for kind, run in rows if kind == "covers"])
             runs = [unpack(run) for kind, run in rows if kind == "suffixes"]
             group: list[tuple[tuple[int, int, int], bytes]] = []
             for key, shared, where in _merge_kind(runs, width) if runs else ():
@@ -359,13 +360,12 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         _settle(group, length, covers)
                     group = []
                 group.append((first, key))
-                if covers.size > 100_000:
-                    yield run_rows([covers.row()])
+                if covers.size > 1_000_000:
+                    yield run_rows(covers.rows(bits))
             if len(group) > 1:
                 _settle(group, length, covers)
             yield from hot_strings([unpack(run) for kind, run in rows if kind == "hot"], covers)
-            if covers.size:
-                yield run_rows([covers.row()])
+            yield run_rows(covers.rows(bits))
 
     def hot_strings(runs: list[dict[str, np.ndarray]], covers: Covers) -> Iterator[pa.RecordBatch]:
         """Step 3: of each different suffix of a hot prefix, its strings, sorted anew."""
@@ -404,7 +404,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 covers.add((int(ids[doc[i]]), int(hashes[doc[i]])), int(place[i]), int(place[i]) + length)
 
         out = list(_sorted_runs(keys, _part(_spread(keys), bits), "strings", ids, hashes, doc, place, cover))
-        return run_rows([*out, covers.row()] if covers.size else out)
+        return run_rows(out + covers.rows(bits))
 
     def merge_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_part(batches):
@@ -414,29 +414,31 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 for doc, text_hash, at in where:
                     if (doc, text_hash, at) != first:
                         covers.add((doc, text_hash), at, at + length)
-            yield covers.batch()
+            yield run_rows(covers.rows(bits))
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for run in batch.column(2).to_pylist():
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each document of a partition that has any cover."""
+        for _, rows in by_part(batches):
+            spans: dict[tuple[int, int], list[np.ndarray]] = {}
+            for _, run in rows:
                 r = unpack(run)
                 ends = np.cumsum(r["sizes"])
-                spans = [r["spans"][b - n : b].tobytes() for n, b in zip(r["sizes"].tolist(), ends.tolist(), strict=True)]
-                yield pa.record_batch([pa.array(r["ids"]), pa.array(r["hashes"]), pa.array(spans, pa.binary())], names=["doc_id", "text_hash", "spans"])
+                for doc, text_hash, n, end in zip(r["ids"].tolist(), r["hashes"].tolist(), r["sizes"].tolist(), ends.tolist(), strict=True):
+                    spans.setdefault((doc, text_hash), []).append(r["spans"][end - n : end])
+            unions = [union_of(x).astype(np.uint32).tobytes() for x in spans.values()]
+            yield pa.record_batch([pa.array([d[0] for d in spans], pa.int64()), pa.array([d[1] for d in spans], pa.int64()), pa.array(unions, pa.binary())], names=["doc_id", "text_hash", "spans"])
 
     def dealt(rows: DataFrame) -> DataFrame:
-        # What is no part of a run goes anywhere.
-        to = F.when(F.col("part") < 0, F.pmod(F.xxhash64("run"), F.lit(1 << bits)).cast("int")).otherwise(F.col("part"))
-        return rows.withColumn("part", to).repartition(1 << bits, "part").sortWithinPartitions("part")
+        return rows.repartition(1 << bits, "part").sortWithinPartitions("part")
 
     found = materialize(dealt(docs.mapInArrow(suffixes, RUN_ROWS)).mapInArrow(merge, RUN_ROWS), "suffix-merged")
-    strings = dealt(found.where("kind = 'strings'")).mapInArrow(merge_strings, _COVERS)
-    return found.where("kind = 'covers'").mapInArrow(opened, _COVERS).union(strings)
+    strings = dealt(found.where("kind = 'strings'")).mapInArrow(merge_strings, RUN_ROWS)
+    return dealt(found.where("kind = 'covers'").union(strings)).mapInArrow(gather, _COVERS)
 
 
-def union_of(spans: list[bytes]) -> np.ndarray:
-    """Maximal runs of what packed spans cover, as rows of start and end."""
-    pairs = np.concatenate([np.frombuffer(s, np.uint32) for s in spans]).reshape(-1, 2).astype(np.int64)
+def union_of(spans: list[np.ndarray]) -> np.ndarray:
+    """Maximal runs of what the spans (start, end, start, end, ...) cover, as rows of start and end."""
+    pairs = np.concatenate(spans).reshape(-1, 2).astype(np.int64)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     reach = np.maximum.accumulate(pairs[:, 1])
     first = np.flatnonzero(np.r_[True, pairs[1:, 0] > reach[:-1]])
@@ -453,7 +455,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = Fals
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    covers = repeats(rows, length).groupBy("doc_id", "text_hash").agg(F.collect_list("spans").alias("spans"))
+    covers = repeats(rows, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -461,7 +463,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = Fals
             for text, spans in zip(batch.column(1), batch.column(2), strict=True):
                 raw = text.as_py().encode()
                 spans = spans.as_py()
-                gone = union_of(spans).tolist() if spans else []
+                gone = np.frombuffer(spans or b"", np.uint32).reshape(-1, 2).tolist()
                 kept, at = [], 0
                 for a, b in gone:
                     kept.append(raw[at:a])
