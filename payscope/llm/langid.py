@@ -144,39 +144,47 @@ def fit_model(labelled: DataFrame, rows_per_language: int = 250) -> Model:
     return train(texts, labels) if texts else Model([UNKNOWN], np.zeros((1 << TABLE_BITS, 1), np.float32), np.zeros(1), 1.0, 0.0)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score and rejected added.
+def judge(text: str | None, model: Model) -> tuple[str, float, bool]:
+    """(language, score, rejected) of one text.
 
-    Null texts and texts without a letter are ``und`` with score 0 and rejected.  Any other text
+    A null text and one without a letter are ``und`` with score 0 and rejected.  Any other text
     gets a learned language; it is rejected if its calibrated probability is under the threshold.
+    """
+    if not has_letter(text):
+        return UNKNOWN, 0.0, True
+    p = model.probabilities(text)
+    k = int(p.argmax())
+    return model.languages[k], float(p[k]), bool(p[k] < model.threshold)
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang_pred, score, rejected) for each row of ``docs``; see ``judge``.
+
     The model is a table of fixed size (2^15 rows), which is what is sent to the tasks.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            names, scores, bad = [], [], []
-            for text in batch.column(batch.schema.get_field_index("text")):
-                text = text.as_py()
-                if not has_letter(text):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    bad.append(True)
-                    continue
-                p = m.probabilities(text)
-                k = int(p.argmax())
-                names.append(m.languages[k])
-                scores.append(float(p[k]))
-                bad.append(bool(p[k] < m.threshold))
-            extra = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bad, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+            found = [judge(t.as_py(), shared.value) for t in batch.column(1)]
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "lang_pred", "score", "rejected"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns and no other."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not judge(t.as_py(), shared.value)[2] for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def identify(docs: DataFrame, labelled: DataFrame, rows_per_language: int = 250) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for each row of ``docs``, learning from ``labelled`` (text, lang)."""
-    model = fit_model(labelled, rows_per_language)
-    return predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model).drop("text")
+    return predict(docs, fit_model(labelled, rows_per_language))

@@ -15,7 +15,7 @@ import dataclasses
 import hashlib
 import random
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -290,34 +290,27 @@ def fit_weights(docs: DataFrame, rows: int = 800) -> Weights:
     return train(texts)
 
 
-def _mapped(docs: DataFrame, one: Callable[[str, Weights], tuple], names: list[str], types: list[pa.DataType], schema: str, keep: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(fit_weights(docs.select(F.col("text").cast("string").alias("text"))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        for batch in batches:
-            rows = [one(t.as_py() or "", w) for t in batch.column(batch.schema.get_field_index("text"))]
-            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keep), *columns], names=[*keep, *names])
-
-    return docs.mapInArrow(run, schema)
-
-
 def find_pii(docs: DataFrame) -> DataFrame:
     """Counts of the base spans by kind, a digest of them, and all spans, for each row of ``docs``.
 
-    A null or empty text has none.  ``text`` comes along for whoever wants to cut the spans out.
+    A null or empty text has none.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(fit_weights(rows))
+    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
+    types = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
 
-    def one(text: str, w: Weights) -> tuple:
-        base, spans = all_spans(text, w)
+    def one(text: str) -> tuple:
+        base, spans = all_spans(text, shared.value)
         return (*(sum(s[0] == kind for s in base) for kind in KINDS), hashlib.sha256(spans_text(base).encode()).hexdigest(), spans_text(spans), len(spans) - len(base))
 
-    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
-    types = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
-    schema = "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _mapped(rows, one, names, types, schema, ["doc_id", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [one(t.as_py() or "") for t in batch.column(1)]
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
+
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -333,8 +326,13 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with the personal data of each text replaced; a null text stays null."""
-    kept = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", redacted string"
-    out = _mapped(docs, lambda text, w: (redacted(text, all_spans(text, w)[1]),), ["redacted"], [pa.string()], schema.replace(", redacted", ", text string, redacted"), [*kept, "text"])
-    return out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("redacted"))).select(docs.columns)
+    """``docs`` with the personal data of each text replaced; a null text stays null, other columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_weights(docs.select(F.col("text").cast("string").alias("text"))))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t and redacted(t, all_spans(t, shared.value)[1]) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)

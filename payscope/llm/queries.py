@@ -18,7 +18,7 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from payscope.llm.suffix_dedup import remove_repeats
 
-    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from payscope.llm.pii import find_pii
 
-    return find_pii(read_table(spark, sf_dir, "documents")).drop("text")
+    return find_pii(read_table(spark, sf_dir, "documents"))
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

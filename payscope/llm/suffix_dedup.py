@@ -247,7 +247,7 @@ def repeated_prefixes(docs: DataFrame, length: int, bits: int) -> str:
             n += int(kept.sum())
         yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
 
-    runs = docs.mapInArrow(count, RUN_ROWS).repartition(1 << bits, "part").sortWithinPartitions("part")
+    runs = docs.mapInArrow(count, RUN_ROWS).repartitionById(1 << bits, "part").sortWithinPartitions("part")
     runs.mapInArrow(repeated, "n long").agg(F.sum("n")).first()
     return uri
 
@@ -429,7 +429,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.record_batch([pa.array([d[0] for d in spans], pa.int64()), pa.array([d[1] for d in spans], pa.int64()), pa.array(unions, pa.binary())], names=["doc_id", "text_hash", "spans"])
 
     def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartition(1 << bits, "part").sortWithinPartitions("part")
+        return rows.repartitionById(1 << bits, "part").sortWithinPartitions("part")
 
     found = materialize(dealt(docs.mapInArrow(suffixes, RUN_ROWS)).mapInArrow(merge, RUN_ROWS), "suffix-merged")
     strings = dealt(found.where("kind = 'strings'")).mapInArrow(merge_strings, RUN_ROWS)
