@@ -9,19 +9,17 @@ the scoring workers memory-map; nothing that grows with the corpus is collected
 from __future__ import annotations
 
 import dataclasses
-import json
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from payscope.llm.shared import local_path, materialize, rows_of, scratch_path
+from payscope.llm.shared import materialize, rows_of, scratch_path
+from payscope.llm.shared_files import mapped, save
+from payscope.llm.sorted_runs import RUN_ROWS, by_part, pack, part_slices, run_rows, unpack
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Bytes of text that make one sorted run, and one block of scoring.
@@ -78,22 +76,6 @@ class Layout:
         return part.astype(np.uint16 if self.bits <= 16 else np.uint32)
 
 
-def _pack(**arrays: np.ndarray) -> bytes:
-    head = json.dumps({k: [a.dtype.str, len(a)] for k, a in arrays.items()}).encode()
-    body = len(head).to_bytes(4, "little") + head + b"".join(a.tobytes() for a in arrays.values())
-    return zstandard.ZstdCompressor(level=1).compress(body)
-
-
-def _unpack(blob: bytes) -> dict[str, np.ndarray]:
-    body = zstandard.ZstdDecompressor().decompress(blob)
-    n = int.from_bytes(body[:4], "little")
-    at, out = 4 + n, {}
-    for k, (kind, size) in json.loads(body[4:at]).items():
-        out[k] = np.frombuffer(body, kind, size, at)
-        at += out[k].nbytes
-    return out
-
-
 def _planes(x: np.ndarray) -> np.ndarray:
     """The low 7 bytes of each value, which is all a hash has."""
     return x.view(np.uint8).reshape(-1, 8)[:, :7].reshape(-1)
@@ -105,13 +87,6 @@ def _from_planes(b: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _slices(part: np.ndarray) -> Iterator[tuple[int, slice]]:
-    if len(part):
-        at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        for a, b in zip(at, np.r_[at[1:], len(part)], strict=True):
-            yield int(part[a]), slice(int(a), int(b))
-
-
 def _counted_runs(tokens: list[np.ndarray], layout: Layout) -> Iterator[tuple[int, str, bytes]]:
     """Sorted runs of one block of documents, cut by partition: bigrams by history, and words."""
     v, w = histories(tokens)
@@ -127,72 +102,16 @@ def _counted_runs(tokens: list[np.ndarray], layout: Layout) -> Iterator[tuple[in
     part = layout.of_pairs(v, key)
     order = np.argsort(part, kind="stable")
     part, v, w, count = part[order], v[order], w[order], count[order]
-    for p, s in _slices(part):
+    for p, s in part_slices(part):
         starts = np.flatnonzero(np.r_[True, v[s][1:] != v[s][:-1]])
         sizes = np.diff(np.r_[starts, s.stop - s.start]).astype(np.uint32)
-        yield p, "pairs", _pack(v=np.diff(v[s][starts], prepend=np.uint64(0)), n=sizes, w=_planes(np.ascontiguousarray(w[s])), c=count[s])
+        yield p, "pairs", pack(v=np.diff(v[s][starts], prepend=np.uint64(0)), n=sizes, w=_planes(np.ascontiguousarray(w[s])), c=count[s])
     words, counts = np.unique(np.concatenate(tokens), return_counts=True)
     part = layout.of_words(words)
     order = np.argsort(part, kind="stable")
-    for p, s in _slices(part[order]):
+    for p, s in part_slices(part[order]):
         own = order[s]
-        yield p, "words", _pack(w=words[own], count=counts[own].astype(np.uint64))
-
-
-def _rows(rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
-    parts, kinds, blobs = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.record_batch([pa.array(parts, pa.int32()), pa.array(kinds, pa.string()), pa.array(blobs, pa.binary())], names=["part", "kind", "run"])
-
-
-_RUNS = "part int, kind string, run binary"
-
-
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[str, bytes]]]]:
-    """The runs of each partition; the input is sorted by it."""
-    part, runs = -1, []
-    for batch in batches:
-        for p, kind, run in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if p != part and runs:
-                yield part, runs
-                runs = []
-            part = p
-            runs.append((kind, run))
-    if runs:
-        yield part, runs
-
-
-def _save(uri: str, data: bytes) -> None:
-    """Write a file of the shared folder as a whole, so that a task that is run again may do it again."""
-    path = local_path(uri)
-    if path:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        handle, temporary = tempfile.mkstemp(dir=os.path.dirname(path))
-        with os.fdopen(handle, "wb") as f:
-            f.write(data)
-        os.replace(temporary, path)
-    else:
-        from pyarrow import fs
-
-        store, path = fs.FileSystem.from_uri(uri)
-        store.create_dir(os.path.dirname(path))
-        with store.open_output_stream(path) as f:
-            f.write(data)
-
-
-def _mapped(uri: str, kind: type) -> np.ndarray:
-    """A file of the shared folder as a memory-mapped array; fetched to the worker's own disk if it isn't mounted."""
-    path = local_path(uri)
-    if not path:
-        from pyarrow import fs
-
-        store, remote = fs.FileSystem.from_uri(uri)
-        handle, path = tempfile.mkstemp()
-        with store.open_input_stream(remote) as f, os.fdopen(handle, "wb") as out:
-            while chunk := f.read(1 << 22):
-                out.write(chunk)
-    if not os.path.exists(path) or not os.path.getsize(path):
-        return np.zeros(0, kind)
-    return np.memmap(path, kind, "r")
+        yield p, "words", pack(w=words[own], count=counts[own].astype(np.uint64))
 
 
 def _sum_by(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -257,42 +176,42 @@ def build_model(docs: DataFrame) -> Model:
         for (texts,) in rows_of(batches, ["text"], len, RUN_BYTES):
             tokens = [token_hashes(t) for t in texts]
             texts.clear()
-            yield _rows(list(_counted_runs(tokens, layout)))
+            yield run_rows(list(_counted_runs(tokens, layout)))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bigram arrays of each partition go to files; word counts and what bigrams say of words go on."""
-        for part, runs in _by_part(batches):
+        for part, runs in by_part(batches):
             out: list[tuple[int, str, bytes]] = []
-            pairs = [_unpack(r) for kind, r in runs if kind == "pairs"]
+            pairs = [unpack(r) for kind, r in runs if kind == "pairs"]
             if pairs:
                 key, v, w, c = _merge_pairs(pairs)
                 big = np.flatnonzero(c >= 65535)
-                _save(f"{uri}/pairs-{part}.key", key.tobytes())
-                _save(f"{uri}/pairs-{part}.count", np.minimum(c, 65535).astype(np.uint16).tobytes())
-                _save(f"{uri}/pairs-{part}.big", np.stack([big.astype(np.uint64), c[big]], 1).tobytes())
+                save(f"{uri}/pairs-{part}.key", key.tobytes())
+                save(f"{uri}/pairs-{part}.count", np.minimum(c, 65535).astype(np.uint16).tobytes())
+                save(f"{uri}/pairs-{part}.big", np.stack([big.astype(np.uint64), c[big]], 1).tobytes())
                 words, (after, n1, n2, n3) = _sum_by(v, [c, (c == 1).astype(np.uint64), (c == 2).astype(np.uint64), (c > 2).astype(np.uint64)])
                 where = layout.of_words(words)
                 order = np.argsort(where, kind="stable")
-                for p, s in _slices(where[order]):
+                for p, s in part_slices(where[order]):
                     own = order[s]
-                    out.append((p, "history", _pack(w=words[own], after=after[own], n1=n1[own], n2=n2[own], n3=n3[own])))
+                    out.append((p, "history", pack(w=words[own], after=after[own], n1=n1[own], n2=n2[own], n3=n3[own])))
                 words, before = np.unique(w, return_counts=True)
                 where = layout.of_words(words)
                 order = np.argsort(where, kind="stable")
-                for p, s in _slices(where[order]):
-                    out.append((p, "follows", _pack(w=words[order[s]], before=before[order[s]].astype(np.uint64))))
-                out.append((0, "types", _pack(n=np.array([(c == k).sum() for k in (1, 2, 3, 4)] + [len(c)], np.int64))))
-            counts = [_unpack(r) for kind, r in runs if kind == "words"]
+                for p, s in part_slices(where[order]):
+                    out.append((p, "follows", pack(w=words[order[s]], before=before[order[s]].astype(np.uint64))))
+                out.append((0, "types", pack(n=np.array([(c == k).sum() for k in (1, 2, 3, 4)] + [len(c)], np.int64))))
+            counts = [unpack(r) for kind, r in runs if kind == "words"]
             if counts:
                 words, (n,) = _sum_by(np.concatenate([r["w"] for r in counts]), [np.concatenate([r["count"] for r in counts])])
-                out.append((part, "counts", _pack(w=words, count=n)))
-            yield _rows(out)
+                out.append((part, "counts", pack(w=words, count=n)))
+            yield run_rows(out)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The word arrays of each partition go to files; sums over them come out."""
-        for part, runs in _by_part(batches):
-            got = [_unpack(r) for kind, r in runs if kind != "types"]
-            sums = sum((_unpack(r)["n"] for kind, r in runs if kind == "types"), np.zeros(5, np.int64))
+        for part, runs in by_part(batches):
+            got = [unpack(r) for kind, r in runs if kind != "types"]
+            sums = sum((unpack(r)["n"] for kind, r in runs if kind == "types"), np.zeros(5, np.int64))
             key = np.unique(np.concatenate([r["w"] for r in got])) if got else np.zeros(0, np.uint64)
             table = np.zeros((len(key), len(WORD_FIELDS)), np.uint64)
             for r in got:
@@ -300,16 +219,16 @@ def build_model(docs: DataFrame) -> Model:
                 for k, field in enumerate(WORD_FIELDS):
                     if field in r:
                         table[at, k] += r[field]
-            _save(f"{uri}/words-{part}.key", key.tobytes())
-            _save(f"{uri}/words-{part}.table", table.tobytes())
+            save(f"{uri}/words-{part}.key", key.tobytes())
+            save(f"{uri}/words-{part}.table", table.tobytes())
             count, before = table[:, 0], table[:, 5]
             values = [count.sum(), (count > 0).sum(), *sums, *((before == k).sum() for k in (1, 2, 3, 4)), (before > 2).sum()]
             yield pa.record_batch([pa.array([[int(x) for x in values]], pa.list_(pa.int64()))], names=["sums"])
 
     parts = 1 << bits
-    runs = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, _RUNS).repartition(parts, "part").sortWithinPartitions("part")
-    merged = materialize(runs.mapInArrow(merge, _RUNS), "kneser-ney-words")
-    sums = merged.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(words, "sums array<long>")
+    runs = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, RUN_ROWS).repartitionById(parts, "part").sortWithinPartitions("part")
+    merged = materialize(runs.mapInArrow(merge, RUN_ROWS), "kneser-ney-words")
+    sums = merged.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(words, "sums array<long>")
     total = sums.select(*(F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(12))).first()
     s = [int(x or 0) for x in total]
     discounts = _discounts(s[7:11])
@@ -325,7 +244,7 @@ class _Reader:
 
     def _file(self, name: str, kind: type) -> np.ndarray:
         if name not in self.files:
-            self.files[name] = _mapped(f"{self.model.uri}/{name}", kind)
+            self.files[name] = mapped(f"{self.model.uri}/{name}", kind)
         return self.files[name]
 
     def words(self, w: np.ndarray) -> np.ndarray:
@@ -333,7 +252,7 @@ class _Reader:
         out = np.zeros((len(w), len(WORD_FIELDS)), np.float64)
         part = self.model.layout.of_words(w)
         order = np.argsort(part, kind="stable")
-        for p, s in _slices(part[order]):
+        for p, s in part_slices(part[order]):
             key = self._file(f"words-{p}.key", np.uint64)
             if len(key):
                 own = order[s]
@@ -347,7 +266,7 @@ class _Reader:
         out = np.zeros(len(key))
         part = self.model.layout.of_pairs(v, key)
         order = np.argsort(part, kind="stable")
-        for p, s in _slices(part[order]):
+        for p, s in part_slices(part[order]):
             keys = self._file(f"pairs-{p}.key", np.uint64)
             if len(keys):
                 own = order[s]
@@ -371,7 +290,7 @@ class _Reader:
         base = np.log10((seen + 1) / (m.tokens + m.words + 1))
         d = np.array([0.0, *m.word_discounts])
         before = own[:, 5]
-        unigram = (np.maximum(before - d[np.minimum(before, 3).astype(int)], 0) / m.types if m.types else 0.0) + m.word_rest / (m.words + 1)
+        unigram = np.maximum(before - d[np.minimum(before, 3).astype(int)], 0) / max(1, m.types) + m.word_rest / (m.words + 1)
         key = _mix(v, w)
         order = np.argsort(key)
         ranked = key[order]

@@ -19,7 +19,6 @@ Earlier means: a smaller doc_id, or an earlier start in the same document.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from payscope.llm.shared import local_path, materialize, rows_of, scratch_path
+from payscope.llm.shared import materialize, rows_of, scratch_path
+from payscope.llm.shared_files import mapped, save
 from payscope.llm.sorted_runs import RUN_ROWS, by_part, front_coded, merged, pack, part_slices, run_rows, sorted_order, unpack
 
 LENGTH = 100
@@ -190,18 +190,6 @@ def _sorted_runs(keys: np.ndarray, part: np.ndarray, kind: str, ids: np.ndarray,
         yield p, kind, front_coded(keys[s], doc=which.astype(np.uint32), place=place[own[s]].astype(np.uint32), ids=ids[used], hashes=hashes[used])
 
 
-def _load(uri: str) -> np.ndarray:
-    path = local_path(uri)
-    if path:
-        full = os.path.exists(path) and os.path.getsize(path)
-        return np.memmap(path, np.uint64, "r") if full else np.zeros(0, np.uint64)
-    from pyarrow import fs
-
-    store, remote = fs.FileSystem.from_uri(uri)
-    with store.open_input_stream(remote) as f:
-        return np.frombuffer(f.read(), np.uint64)
-
-
 def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[Block]:
     for ids, hashes, texts in rows_of(batches, ["doc_id", "text_hash", "text"], len, BLOCK):
         yield Block(ids, hashes, texts, length)
@@ -210,8 +198,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[Block]:
 def repeated_prefixes(docs: DataFrame, length: int, bits: int) -> str:
     """Step 1: the folder with the prefix hashes that occur more than once, a sorted file for each
     partition (each hash doubled, plus one if it occurs more than HOT times)."""
-    from payscope.llm.kneser_ney import _save
-
     uri = scratch_path(docs.sparkSession, "suffix-prefixes")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +229,7 @@ def repeated_prefixes(docs: DataFrame, length: int, bits: int) -> str:
             at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
             t = np.add.reduceat(t[order], at) if len(at) else t
             kept = t > 1
-            _save(f"{uri}/repeated-{part}", (h[at][kept] * np.uint64(2) + (t[kept] > HOT).astype(np.uint64)).tobytes())
+            save(f"{uri}/repeated-{part}", (h[at][kept] * np.uint64(2) + (t[kept] > HOT).astype(np.uint64)).tobytes())
             n += int(kept.sum())
         yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
 
@@ -259,7 +245,7 @@ def _marked(uri: str, hashes: np.ndarray, bits: int, files: dict[int, np.ndarray
     order = np.argsort(part, kind="stable")
     for p, s in part_slices(part[order]):
         if p not in files:
-            files[p] = _load(f"{uri}/repeated-{p}")
+            files[p] = mapped(f"{uri}/repeated-{p}", np.uint64)
         known = files[p]
         if len(known):
             own = order[s]
