@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -85,3 +87,46 @@ def plain_markup(text: Column, most: int = 120) -> Column:
     for code, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(code), F.lit(sign))
     return F.substring(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), 1, most)
+
+
+@F.pandas_udf(T.StringType())
+def to_fixed(x: pd.Series) -> pd.Series:
+    """One decimal, rounded from the exact binary value, halves away from zero."""
+    return x.map(lambda v: format(Decimal(v).quantize(Decimal("0.1"), ROUND_HALF_UP), "f"), na_action="ignore").astype(object)
+
+
+def difference_label(yen: Column) -> Column:
+    """A difference in units of 10,000 yen, always with a sign."""
+    return F.concat(F.when(yen >= 0, "＋").otherwise("−"), pay_label(F.abs(yen)))
+
+
+def top_label(percent: Column) -> Column:
+    return F.when(percent < 0.1, "上位0.1%未満").otherwise(F.concat(F.lit("上位"), to_fixed(percent), F.lit("%")))
+
+
+def bin_label(low: Column, width: Column, k: Column, bins: int = 9) -> Column:
+    """The range of a histogram bin in words; the end bins are open."""
+    start = low + width * k
+    man = lambda x: F.format_number(ten_thousands(x), 0)
+    inner = F.concat(man(start), F.lit("〜"), man(start + width), F.lit("万円"))
+    return F.when(k == 0, F.concat(man(start + width), F.lit("万円未満"))).when(k == bins - 1, F.concat(man(start), F.lit("万円以上"))).otherwise(inner)
+
+
+def bin_tick(low: Column, width: Column, k: Column, bins: int = 9) -> Column:
+    """The short form of ``bin_label`` for an axis."""
+    start = low + width * k
+    man = lambda x: F.format_number(ten_thousands(x), 0)
+    return F.when(k == 0, F.concat(F.lit("〜"), man(start + width))).when(k == bins - 1, F.concat(man(start), F.lit("+"))).otherwise(man(start))
+
+
+def nice_ticks(low: float, high: float, count: int = 4) -> list[float]:
+    """Round values between two ends, about ``count`` of them: steps of 1, 2, 2.5 or 5 times a power of ten;
+    of steps that come equally near the larger.  For axes, on the driver."""
+    span = high - low
+    if not span > 0 or count < 2:
+        return []
+    power = math.floor(math.log10(span))
+    steps = sorted(f * 10.0**e for e in range(power - 2, power + 2) for f in (1, 2, 2.5, 5))
+    ticks = [[k * s for k in range(math.ceil(low / s), math.floor(high / s) + 1)] for s in steps]
+    fitting = [t for t in ticks if len(t) >= 2]
+    return min(reversed(fitting), key=lambda t: abs(len(t) - count), default=[])

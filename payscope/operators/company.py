@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from payscope import constants as C
 from payscope.functions import model
-from payscope.functions.text import pay_label, ten_thousands
+from payscope.functions.text import ten_thousands
 from payscope.operators.ranking import competition_ranks
 from payscope.operators.statistics import histogram_scale, nearest_rank, population
 
@@ -68,22 +68,11 @@ def largest_jump(rows: DataFrame) -> DataFrame:
     return following.groupBy("id").agg(F.max(F.struct("jump", (-F.col("basis")).alias("b"))).alias("m")).select("id", (-F.col("m.b")).alias("from_age"), F.col("m.jump").alias("jump"))
 
 
-def curve_summaries(rows: DataFrame) -> DataFrame:
-    """(id, summary): a sentence on the pay at the lowest and the highest target age and the largest jump."""
-    ends = rows.where("basis > 0").groupBy("id").agg(F.min_by("salary", "basis").alias("low"), F.max_by("salary", "basis").alias("high"))
-    jumps = largest_jump(rows)
-    text = F.concat(
-        F.lit(f"{C.TARGET_AGES[0]}歳の"), pay_label(F.col("low")), F.lit(f"から{C.TARGET_AGES[-1]}歳の"), pay_label(F.col("high")),
-        F.lit("へ。伸びが最大なのは"), F.col("from_age").cast("string"), F.lit("歳からの5年で"), pay_label(F.col("jump")),
-    )
-    return ends.join(jumps, "id").select("id", text.alias("summary"))
-
-
 def fit_summary(companies: DataFrame) -> DataFrame:
     """How far pay lies above its curve: quantiles of pay / curve at the mean age, and who is highest."""
     level = model.with_curve_values(companies, {"level": F.col("avg_age")})
     rounded = level.withColumn("premium", F.round(F.col("avg_salary") / F.col("level"), 6))
-    quantiles = nearest_rank(rounded.withColumn("basis", F.lit(0)), {"median": 0.5, "p90": 0.9}, ["basis"], "premium")
+    quantiles = nearest_rank(rounded.withColumn("basis", F.lit(0)), {"median": 0.5, "p90": 0.9}, ["basis"], "premium", 0.001)
     top = rounded.agg(F.max(F.struct("premium", (-F.col("row_idx")).alias("r"), "id")).alias("m")).select(F.col("m.premium").alias("most"), F.col("m.id").alias("most_id"))
     return quantiles.drop("basis").crossJoin(F.broadcast(top))  # one row each
 

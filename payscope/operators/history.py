@@ -55,16 +55,6 @@ def peak_year(history: DataFrame, value: str = "value") -> DataFrame:
     return best.where("-m.y <> last").select("code", (-F.col("m.y")).alias("peak_year"), F.col(f"m.{value}").alias("peak"))
 
 
-def history_summary(history: DataFrame, value: str = "value") -> DataFrame:
-    """(code, summary): a sentence on the change from the first to the last year."""
-    from payscope.functions.text import ten_thousands
-
-    ends = first_and_last(history, value)
-    change = ten_thousands(F.abs(F.col("difference")))
-    sign = F.when(F.col("difference") > 0, "＋").when(F.col("difference") < 0, "−").otherwise("±")
-    return ends.select("code", F.concat((F.col("last_year") - F.col("first_year")).cast("string"), F.lit("年で "), sign, F.format_number(change, 0), F.lit("万円")).alias("summary"))
-
-
 def jump_audit(dense: DataFrame, value: str = "value", up: float = 1.8, down: float = 0.55) -> DataFrame:
     """(pairs, jumps): adjacent years with values on both sides, and those whose ratio is implausible."""
     before = F.expr(f"lag({value}) OVER (PARTITION BY code ORDER BY year)")

@@ -33,13 +33,13 @@ def bases(companies: DataFrame, ages: Sequence[int] = C.TARGET_AGES) -> DataFram
     return paid.withColumn("salary", F.when(F.col("basis") == 0, model.half_up(F.col("avg_salary"))).otherwise(F.col("_pay"))).drop("curve", "_pay")
 
 
-def _cell(value: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(MOST_CELLS), F.floor(value / CELL))).cast("int")
+def cell_of(value: Column, width: float = CELL) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(MOST_CELLS), F.floor(value / F.lit(width)))).cast("int")
 
 
 def positions(rows: DataFrame, value: str, ties: Sequence[str], group: Sequence[str] = (), name: str = "position") -> DataFrame:
     """``rows`` with the place of each by ``value`` descending, then ``ties`` ascending (they must make it unique)."""
-    rows = rows.withColumn("_cell", _cell(F.col(value)))
+    rows = rows.withColumn("_cell", cell_of(F.col(value)))
     keys = ", ".join((*group, "_cell"))
     partition = f"PARTITION BY {', '.join(group)} " if group else ""
     counts = rows.groupBy(*group, "_cell").agg(F.count("*").alias("_n"))
@@ -55,7 +55,7 @@ def competition_ranks(rows: DataFrame, value: str, group: Sequence[str] = (), na
 
     Ranks are found among the distinct values, so a value that very many rows share costs nothing more.
     """
-    values = rows.groupBy(*group, value).agg(F.count("*").alias("_n")).withColumn("_cell", _cell(F.col(value)))
+    values = rows.groupBy(*group, value).agg(F.count("*").alias("_n")).withColumn("_cell", cell_of(F.col(value)))
     keys = ", ".join((*group, "_cell"))
     partition = f"PARTITION BY {', '.join(group)} " if group else ""
     cells = values.groupBy(*group, "_cell").agg(F.sum("_n").alias("_m"))

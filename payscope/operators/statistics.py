@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from payscope import constants as C
 from payscope.functions import model
-from payscope.operators.ranking import positions
+from payscope.operators.ranking import CELL, cell_of, positions
 
 
 def population(rows: DataFrame, group: Sequence[str] = ("basis",), value: str = "salary") -> DataFrame:
@@ -19,17 +20,21 @@ def population(rows: DataFrame, group: Sequence[str] = ("basis",), value: str =
     )
 
 
-def nearest_rank(rows: DataFrame, shares: dict[str, float], group: Sequence[str] = ("basis",), value: str = "salary") -> DataFrame:
+def nearest_rank(rows: DataFrame, shares: dict[str, float], group: Sequence[str] = ("basis",), value: str = "salary", width: float = CELL) -> DataFrame:
     """For each share p the member at place floor(n * p) from below, counted from 0; n - 1 at most.
 
-    Found in the distinct values with their counts, which are cumulated: no group is sorted as a whole.
+    Distinct values are counted, then cells of ``width`` of them (a few thousand for each group); only
+    the cells that hold a wanted place are looked into, so no group is ever sorted as a whole.
     """
-    values = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
-    partition = ", ".join(group) or "1"
-    totals = values.withColumn("_n", F.expr(f"sum(_c) OVER (PARTITION BY {partition})"))
-    places = totals.withColumn("_upto", F.expr(f"sum(_c) OVER (PARTITION BY {partition} ORDER BY {value})"))
+    values = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c")).withColumn("_cell", cell_of(F.col(value), width))
+    over = f"PARTITION BY {', '.join(group)}" if group else ""
+    cells = values.groupBy(*group, "_cell").agg(F.sum("_c").alias("_m"))
+    placed = cells.withColumns({"_n": F.expr(f"sum(_m) OVER ({over})"), "_below": F.expr(f"sum(_m) OVER ({over} ORDER BY _cell) - _m")})
     at = lambda p: F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p)))
-    return places.groupBy(*group).agg(*(F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(name) for name, p in shares.items()))
+    wanted = reduce(lambda x, y: x | y, ((at(p) >= F.col("_below")) & (at(p) < F.col("_below") + F.col("_m")) for p in shares.values()))
+    inside = values.join(placed.where(wanted).drop("_m"), [*group, "_cell"])
+    upto = inside.withColumn("_upto", F.expr(f"_below + sum(_c) OVER (PARTITION BY {', '.join((*group, '_cell'))} ORDER BY {value})"))
+    return upto.groupBy(*group).agg(*(F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(name) for name, p in shares.items()))
 
 
 def histogram_scale(rows: DataFrame, group: Sequence[str] = ("basis",), value: str = "salary") -> DataFrame:
@@ -97,6 +102,15 @@ def local_linear(points: DataFrame, x: str, y: str, first: int = C.FIT_AGES[0],
     return s.where(F.col("n") >= C.FIT_LEAST_POINTS).select("age", F.round(level, 6).alias("level"))
 
 
+def fitted_factors(levels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (from_age, to_age) with exp of the difference of their fitted levels; ages are moved into the fitted range."""
+    inside = lambda c: F.greatest(F.lit(C.FIT_AGES[0]), F.least(F.lit(C.FIT_AGES[1]), F.round(c))).cast("int")
+    at = lambda name: levels.select(F.col("age").alias(f"_{name}"), F.col("level").alias(f"_level_{name}"))
+    # thirty rows each
+    keyed = pairs.withColumns({"_a": inside(F.col("from_age")), "_b": inside(F.col("to_age"))}).join(F.broadcast(at("a")), "_a").join(F.broadcast(at("b")), "_b")
+    return keyed.withColumn("factor", F.round(F.exp(F.col("_level_b") - F.col("_level_a")), 6)).drop("_a", "_b", "_level_a", "_level_b")
+
+
 def swapped_pairs(rows: DataFrame, values: Sequence[str], group: str, order: str) -> DataFrame:
     """(pairs, swapped, percent): pairs of one group whose order by any of ``values`` differs from that by the first.
 

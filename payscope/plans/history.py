@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payscope.operators import history as h
+from payscope.operators import sentences
 from payscope.plans.registry import register
 from payscope.plans.stand_ins import DENSE_SQL, FILINGS_SQL, HISTORY_SQL, filings, table
 
@@ -38,11 +39,21 @@ def history_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.first_and_last(_history(spark, sf_dir))
 
 
-@register(f"""WITH {HISTORY_SQL}, e AS (SELECT code, min(year) AS first_year, max(year) AS last_year FROM history GROUP BY code HAVING count(*) >= 2),
-  d AS (SELECT e.code, last_year - first_year AS years, z.value - a.value AS difference FROM e JOIN history a ON a.code = e.code AND a.year = first_year JOIN history z ON z.code = e.code AND z.year = last_year)
-  SELECT code, CAST(years AS VARCHAR) || '年で ' || CASE WHEN difference > 0 THEN '＋' WHEN difference < 0 THEN '−' ELSE '±' END || format('{{:,}}', CAST(floor(abs(difference) / CAST(10000 AS DOUBLE) + 0.5) AS BIGINT)) || '万円' AS summary FROM d""")
+def _man(x: str) -> str:
+    return f"format('{{:,}}', CAST(floor({x} / CAST(10000 AS DOUBLE) + 0.5) AS BIGINT)) || '万円'"
+
+
+@register(f"""WITH {HISTORY_SQL}, e AS (SELECT code, min(year) AS y0, max(year) AS y1 FROM history GROUP BY code HAVING count(*) >= 2),
+  d AS (SELECT e.code, y0, y1, a.value AS a, z.value AS z FROM e JOIN history a ON a.code = e.code AND a.year = y0 JOIN history z ON z.code = e.code AND z.year = y1)
+  SELECT code, CAST(y1 - y0 AS VARCHAR) || '年で ' || CASE WHEN z >= a THEN '＋' ELSE '−' END || {_man("abs(z - a)")} || '（' || CAST(y0 AS VARCHAR) || '年 ' || {_man("a")} || ' → ' || CAST(y1 AS VARCHAR) || '年 ' || {_man("z")} || '）。' AS summary FROM d""")
 def history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return h.history_summary(_history(spark, sf_dir))
+    return sentences.history_summary(_history(spark, sf_dir))
+
+
+@register(f"""WITH {HISTORY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY value DESC, year) AS rn, max(year) OVER (PARTITION BY code) AS last FROM history)
+  SELECT code, 'この10年で最も高かったのは' || CAST(year AS VARCHAR) || '年の' || {_man("value")} || 'です。' AS sentence FROM r WHERE rn = 1 AND year <> last""")
+def history_peak_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.history_peak(_history(spark, sf_dir))
 
 
 @register(f"""WITH {HISTORY_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY value DESC, year) AS rn, max(year) OVER (PARTITION BY code) AS last FROM history)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from payscope import constants as C
 from payscope.functions import model
-from payscope.operators import company, statistics
+from payscope.functions.text import bin_label
+from payscope.operators import company, sentences, statistics
 from payscope.operators.ranking import bases, positions
 from payscope.plans.registry import register
 from payscope.plans.stand_ins import BASES_SQL, COMPANIES_SQL, CURVES_SQL, PARTS_SQL, companies, parts, sql_curve_at
@@ -116,10 +117,77 @@ def _man(x: str) -> str:
     return f"format('{{:,}}', CAST(floor({x} / CAST(10000 AS DOUBLE) + 0.5) AS BIGINT)) || '万円'"
 
 
-@register(f"""WITH {BASES_SQL}, {_JUMP} SELECT b.id, '25歳の' || {_man("a.salary")} || 'から60歳の' || {_man("z.salary")} || 'へ。伸びが最大なのは' || CAST(from_age AS VARCHAR) || '歳からの5年で' || {_man("jump")} AS summary
-  FROM best b JOIN v a ON a.id = b.id AND a.basis = 25 JOIN v z ON z.id = b.id AND z.basis = 60""")
+_MILES = f"""before AS (SELECT *, max(v) OVER (PARTITION BY id ORDER BY basis ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM v), {_STEPS},
+  crossed AS (SELECT id, basis, max(step) AS milestone FROM before JOIN steps ON step > most AND step <= v GROUP BY 1, 2),
+  picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY basis) - 1 AS place, count(*) OVER (PARTITION BY id) AS n FROM crossed) t
+    WHERE n <= 3 OR place = 0 OR place = CAST(floor((n - 1) / CAST(2 AS DOUBLE)) AS BIGINT) OR place = n - 1),
+  said AS (SELECT id, string_agg(CAST(basis AS VARCHAR) || '歳で' || format('{{:,}}', milestone) || '万円', '、' ORDER BY basis) AS steps FROM picked GROUP BY id),
+  top AS (SELECT id, name, basis, salary FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY salary DESC, basis) AS rn FROM bases WHERE basis > 0) t WHERE rn = 1)"""
+
+
+@register(f"""WITH {BASES_SQL}, {_JUMP}, {_MILES} SELECT t.id, t.name || 'の推定年収を年齢別に見ると、' ||
+    CASE WHEN steps IS NOT NULL THEN steps || 'に達します。最も高い水準は' || CAST(t.basis AS VARCHAR) || '歳の' || {_man("t.salary")} || 'です。'
+      ELSE CAST(t.basis AS VARCHAR) || '歳の' || {_man("t.salary")} || 'が最も高い水準になります。' END ||
+    CASE WHEN jump > 0 THEN '5歳刻みで比べると' || CAST(from_age AS VARCHAR) || '歳から' || CAST(from_age + 5 AS VARCHAR) || '歳の伸びが最も大きく、＋' || {_man("jump")} || 'でした。' ELSE '' END AS summary
+  FROM top t JOIN best b ON b.id = t.id LEFT JOIN said s ON s.id = t.id""")
 def curve_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return company.curve_summaries(_bases(spark, sf_dir))
+    return sentences.curve_summary(_bases(spark, sf_dir)).select("id", F.array_join("sentences", "").alias("summary"))
+
+
+@register(f"""WITH {COMPANIES_SQL} SELECT id, '有価証券報告書によると、' || name || 'の平均年収は' || {_man("avg_salary")} || '、平均年齢は' || printf('%.1f', avg_age) || '歳、平均勤続年数は' || printf('%.1f', avg_tenure) ||
+  '年、従業員数は' || format('{{:,}}', employees) || '人です。' AS sentence FROM companies""")
+def actuals_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.actuals(companies(spark, sf_dir))
+
+
+_LAYER = "'平均年齢' || printf('%.1f', avg_age) || '歳・平均勤続' || printf('%.1f', avg_tenure) || '年。掲載企業を3つに分けたとき、'"
+
+
+@register(f"""WITH {BASES_SQL}, {_PEOPLE}, r AS (SELECT b.*, p.mean, p.sd, p.n, rank() OVER (PARTITION BY b.basis ORDER BY salary DESC) AS ra, rank() OVER (PARTITION BY b.basis, tse33 ORDER BY salary DESC) AS ri,
+    count(*) OVER (PARTITION BY b.basis, tse33) AS n_ind, count(*) FILTER (WHERE employees >= 1000) OVER (PARTITION BY b.basis) AS n_large, count(*) FILTER (WHERE employees < 300) OVER (PARTITION BY b.basis) AS n_small
+    FROM bases b JOIN people p ON p.basis = b.basis WHERE b.basis IN (0, 35))
+  SELECT id, basis, CASE WHEN basis = 0 THEN '有価証券報告書の平均年間給与' ELSE '35歳にそろえた推定年収' END || 'は' || {_man("salary")} || '。全' || format('{{:,}}', n) || '社中' || format('{{:,}}', ra) || '位（偏差値' ||
+    printf('%.1f', round(50 + CAST(10 AS DOUBLE) * (salary - mean) / sd, 6)) || '）で、全体平均より' || {_man("abs(salary - mean)")} || CASE WHEN salary >= mean THEN '高い' ELSE '低い' END || '。' ||
+    CAST(tse33 AS VARCHAR) || 'の' || format('{{:,}}', n_ind) || '社の中では' || format('{{:,}}', ri) || '位。' ||
+    CASE WHEN avg_age < 40 THEN {_LAYER} || '年齢は最も短い層に入る。' WHEN avg_tenure < 13 THEN {_LAYER} || '勤続は最も短い層に入る。' WHEN avg_age >= 43 THEN {_LAYER} || '年齢は最も長い層に入る。'
+      WHEN avg_tenure >= 17 THEN {_LAYER} || '勤続は最も長い層に入る。' ELSE '' END ||
+    CASE WHEN employees >= 1000 THEN '単体で' || format('{{:,}}', employees) || '人。掲載企業のうち1,000人以上の' || format('{{:,}}', n_large) || '社に入る。'
+      WHEN employees < 300 THEN '単体で' || format('{{:,}}', employees) || '人。掲載企業のうち300人未満の' || format('{{:,}}', n_small) || '社に入る。' ELSE '' END ||
+    CASE WHEN id % 50 = 0 THEN '単体従業員数が連結の10%未満で、「本社のみ」に該当する。この金額はグループ全体を代表していない。' ELSE '' END ||
+    CASE WHEN basis = 0 AND avg_age < 40 THEN '平均年齢が低いぶん、実測値は他社より低めに出る。「年齢そろえ」で比べ直せる。'
+      WHEN basis = 0 AND avg_age >= 43 THEN '平均年齢が高いぶん、実測値は他社より高めに出る。「年齢そろえ」で比べ直せる。' ELSE '' END AS highlights FROM r""")
+def company_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = companies(spark, sf_dir)
+    said = sentences.highlights(people, bases(people, (35,)), people.where("id % 50 = 0"))
+    return said.select("id", "basis", F.array_join("sentences", "").alias("highlights"))
+
+
+@register(f"""WITH {COMPANIES_SQL} SELECT count(*) AS companies, count(DISTINCT tse33) AS industries, count(DISTINCT curve_key) AS curves, min(avg_age) AS age_low, max(avg_age) AS age_high,
+  CAST(floor(min(avg_salary) / 10000 + 0.5) AS BIGINT) AS pay_low, CAST(floor(max(avg_salary) / 10000 + 0.5) AS BIGINT) AS pay_high FROM companies""")
+def about_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.facts(companies(spark, sf_dir))
+
+
+_FIT = """grid AS (SELECT CAST(range AS INT) AS age FROM range(26, 56)), e AS (SELECT age, avg_age - age AS u, ln(avg_salary) AS y FROM companies CROSS JOIN grid),
+  w AS (SELECT age, u, y, exp(-0.5 * (u / 3.0) * (u / 3.0)) AS w FROM e),
+  s AS (SELECT age, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * y) AS t0, sum(w * u * y) AS t1, count(*) AS n FROM w GROUP BY age),
+  levels AS (SELECT age, round(CASE WHEN abs(s0 * s2 - s1 * s1) < 1e-12 THEN t0 / s0 ELSE (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) END, 6) AS level FROM s WHERE n >= 50)"""
+
+
+@register(f"""WITH {COMPANIES_SQL}, {_FIT} SELECT id, round(exp(z.level - a.level), 6) AS factor FROM companies
+  JOIN levels a ON a.age = CAST(greatest(26, least(55, round(avg_age))) AS INT) JOIN levels z ON z.age = 35""")
+def fitted_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = companies(spark, sf_dir)
+    pairs = people.select("id", F.col("avg_age").alias("from_age"), F.lit(35.0).alias("to_age"))
+    return statistics.fitted_factors(statistics.local_linear(people, "avg_age", "avg_salary"), pairs).select("id", "factor")
+
+
+@register(f"""WITH {BASES_SQL}, {_SCALE}, i AS (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8)) t(bin))
+  SELECT basis, bin, CASE bin WHEN 0 THEN {_man("low + width")} || '未満' WHEN 8 THEN {_man("low + width * bin")} || '以上'
+    ELSE format('{{:,}}', CAST(floor((low + width * bin) / 10000 + 0.5) AS BIGINT)) || '〜' || {_man("low + width * (bin + 1)")} END AS label FROM scale CROSS JOIN i""")
+def bin_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scale = statistics.histogram_scale(_bases(spark, sf_dir)).select("*", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("bin"))
+    return scale.select("basis", "bin", bin_label(F.col("low"), F.col("width"), F.col("bin")).alias("label"))
 
 
 @register(f"""WITH {COMPANIES_SQL}, {CURVES_SQL}, p AS (SELECT id, row_idx, round(avg_salary / {sql_curve_at("avg_age")}, 6) AS premium FROM companies JOIN curves USING (curve_key)),

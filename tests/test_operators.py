@@ -2,7 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from payscope.operators import export, history, resolution, statistics
+from payscope.operators import export, history, resolution, sentences, statistics
 
 
 def yearly(spark, *values):
@@ -27,7 +27,7 @@ def test_changes_over_a_gap(spark):
 
 def test_summary_and_peak(spark):
     rows = yearly(spark, None, 5_000_000, 6_000_000).where("value IS NOT NULL")
-    assert "1年で ＋100万円" in history.history_summary(rows).where("code = 'a'").first()["summary"]
+    assert "1年で ＋100万円" in sentences.history_summary(rows).where("code = 'a'").first()["summary"]
     assert history.peak_year(rows).where("code = 'a'").count() == 0
     assert history.peak_year(yearly(spark, 7, 9, 9, 8)).where("code = 'a'").first()["peak_year"] == 2018
 

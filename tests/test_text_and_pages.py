@@ -70,3 +70,32 @@ def test_markup_functions(spark):
         html.origin_of(F.lit("HTTPS://Example.com/a?b#c")).alias("o"), html.origin_of(F.lit("data:x")).alias("d"), html.title_of(F.lit("<title> a\n b </title>")).alias("t"),
     ).first()
     assert (row["w"], row["none"], row["o"], row["d"], row["t"]) == (180, None, "https://example.com", None, "a b")
+
+
+def test_labels(spark):
+    from payscope.functions import text as t
+
+    row = spark.range(1).select(
+        t.top_label(F.lit(0.054)).alias("a"), t.top_label(F.lit(6.43)).alias("b"), t.difference_label(F.lit(-15_000)).alias("c"), t.to_fixed(F.lit(1.45)).alias("d"), t.to_fixed(F.lit(0.25)).alias("e"),
+        *(t.bin_tick(F.lit(5_000_000), F.lit(1_000_000), F.lit(k)).alias(f"t{k}") for k in (0, 1, 8)), t.bin_label(F.lit(5_000_000), F.lit(1_000_000), F.lit(1)).alias("l"),
+    ).first()
+    assert tuple(row) == ("上位0.1%未満", "上位6.4%", "−2万円", "1.4", "0.3", "〜600", "600", "1,300+", "600〜700万円")
+
+
+def test_nice_ticks():
+    from payscope.functions.text import nice_ticks
+
+    assert nice_ticks(4_220_000, 34_480_000) == [10_000_000, 20_000_000, 30_000_000]
+    assert nice_ticks(1, 1) == nice_ticks(2, 1) == []
+
+
+def test_image_headers(spark):
+    import struct
+
+    from payscope.functions.images import header_of, image_header
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 40, 30)
+    ico = b"\0\0\1\0\2\0" + bytes([16, 16]) + bytes(14) + bytes([0, 0]) + bytes(14)
+    assert header_of(png) == ("png", 40, 30) and header_of(ico) == ("ico", 256, 256) and header_of(b"<?xml?><SVG>") == ("svg", None, None)
+    rows = spark.createDataFrame([(png,), (None,), (b"x",)], "b binary").select(image_header("b").alias("h")).collect()
+    assert [r["h"]["width"] for r in rows] == [40, None, None]
