@@ -5,7 +5,7 @@ from __future__ import annotations
 import gzip
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payscope.functions.text import path_segment
@@ -27,6 +27,34 @@ def pooled(rows: DataFrame, column: str, order: str) -> DataFrame:
     return out.withColumn(f"{column}_index", F.coalesce("index", F.lit(-1))).drop("_v", "value", "index")
 
 
+def unpooled(rows: DataFrame, pool: DataFrame, index: str, name: str) -> DataFrame:
+    """The values behind the places of a pool; '' for -1."""
+    names = pool.select(F.col("value").alias(name), F.col("index").alias(index))
+    return rows.join(names, index, "left").withColumn(name, F.coalesce(name, F.lit(""))).drop(index)
+
+
+def company_tuples(companies: DataFrame, curve_keys: Sequence[str]) -> DataFrame:
+    """Companies as they are delivered: the sector and the curve as places, the sectors in Japanese order.
+    A curve key that is not among ``curve_keys`` is an error."""
+    sectors = companies.select(F.col("tse33").cast("string").alias("tse33")).distinct()
+    # A few dozen sectors at any number of companies.
+    placed = sectors.select("tse33", F.expr("row_number() OVER (ORDER BY tse33 COLLATE ja, tse33) - 1").alias("sector"))
+    known = F.array_position(F.array(*map(F.lit, curve_keys)), F.col("curve_key"))
+    curve = F.when(known > 0, known - 1).otherwise(F.raise_error(F.concat(F.lit("unknown curve: "), F.coalesce("curve_key", F.lit("null")))).cast("long"))
+    rows = companies.withColumn("tse33", F.col("tse33").cast("string")).join(F.broadcast(placed), "tse33")
+    return rows.select("id", "name", "sector", curve.cast("int").alias("curve"), "avg_age", "avg_tenure", "avg_salary", "employees")
+
+
+def orphans(files: DataFrame, written: DataFrame, key: str = "id") -> DataFrame:
+    """Files of entries that are no longer written."""
+    return files.join(written.select(key), key, "left_anti")
+
+
+def needs_credit(licence: str) -> Column:
+    """Whether a licence asks for attribution: all but public domain and CC0."""
+    return ~F.coalesce(F.col(licence), F.lit("")).rlike(r"(?i)^(public domain|pd|cc0)")
+
+
 def presence_mask(rows: DataFrame, present: DataFrame, key: str, order: str, block: int = 4096) -> DataFrame:
     """(block, mask): '1' or '0' for each row in order, whether its key is in ``present``; blocks of rows numbered
     by ``order``, so that no string and no group grows with the data."""

@@ -145,3 +145,33 @@ def wage_curves(spark: SparkSession, path: str, name: str = "ANNUAL_INDUSTRY") -
     """(curve_key, curve in yen) from the JSON file of wage curves."""
     kind = f"{name} MAP<STRING, ARRAY<DOUBLE>>"
     return spark.read.schema(kind).option("multiLine", True).json(path).select(F.explode(name).alias("curve_key", "curve")).withColumn("curve", in_yen(F.col("curve")))
+
+
+# --- fixed values: codes of the wage survey ------------------------------------------------------
+SURVEY_INDUSTRIES = {
+    "01": "産業計", "02": "鉱業", "03": "建設業", "07": "製造業", "32": "電気・ガス業", "37": "情報通信業", "43": "運輸業", "52": "卸売業・小売業",
+    "67": "金融業・保険業", "74": "不動産業", "78": "学術研究・専門技術", "83": "宿泊業・飲食", "87": "生活関連・娯楽", "91": "教育・学習支援",
+    "94": "医療・福祉", "98": "複合サービス", "101": "サービス業",
+}
+SURVEY_AGES = ("03", "04", "05", "06", "07", "08", "09", "10", "11", "12")
+SURVEY_SIZES = {"01": "ANNUAL_INDUSTRY", "02": "ANNUAL_LARGE"}
+_MONTHLY, _BONUS = "40", "44"
+# -------------------------------------------------------------------------------------------------
+
+
+def survey_curves(spark: SparkSession, path: str) -> DataFrame:
+    """(size, curve_key, curve) from a landed answer of the wage survey: twelve months and the bonus, one decimal,
+    in thousand yen at the ten ages; null where either is missing.  An answer with another status is an error."""
+    value = "STRUCT<`@tab`: STRING, `@cat01`: STRING, `@cat02`: STRING, `@cat04`: STRING, `$`: STRING>"
+    schema = f"GET_STATS_DATA STRUCT<RESULT: STRUCT<STATUS: INT, ERROR_MSG: STRING>, STATISTICAL_DATA: STRUCT<DATA_INF: STRUCT<VALUE: ARRAY<{value}>>>>"
+    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    bad = raw.where("GET_STATS_DATA.RESULT.STATUS <> 0 OR GET_STATS_DATA.RESULT.STATUS IS NULL").limit(1).collect()
+    if bad:
+        raise QualityError(f"the survey answered {bad[0][0]['RESULT']}")
+    v = raw.select(F.explode("GET_STATS_DATA.STATISTICAL_DATA.DATA_INF.VALUE").alias("v"))
+    rows = v.select(F.col("v.`@tab`").alias("tab"), F.col("v.`@cat01`").alias("size"), F.col("v.`@cat02`").alias("industry"), F.col("v.`@cat04`").alias("age"), F.col("v.`$`").try_cast("double").alias("x"))
+    part = lambda tab: F.max(F.when(F.col("tab") == tab, F.col("x")))
+    wages = rows.groupBy("size", "industry", "age").agg(F.round(part(_MONTHLY) * 12 + part(_BONUS), 1).alias("wage"))
+    curves = wages.groupBy("size", "industry").agg(*(F.max(F.when(F.col("age") == a, F.col("wage"))).alias(a) for a in SURVEY_AGES))
+    named = lambda table, key: F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), F.col(key))
+    return curves.select(named(SURVEY_SIZES, "size").alias("size"), named(SURVEY_INDUSTRIES, "industry").alias("curve_key"), F.array(*(F.col(f"`{a}`") for a in SURVEY_AGES)).alias("curve")).where("size IS NOT NULL AND curve_key IS NOT NULL")
