@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -76,6 +76,12 @@ def annual_reports(filings: DataFrame) -> DataFrame:
     return best.select("sec_code", *(F.col(f"m.{c}").alias(c) for c in rest))
 
 
+def working_days(spark: SparkSession, first: str, last: str) -> DataFrame:
+    """(day) from Monday to Friday between two dates, both included."""
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
+    return days.where(F.weekday("day") < 5)
+
+
 class QualityError(ValueError):
     """A check of the data failed."""
 

@@ -132,3 +132,19 @@ def swapped_pairs(rows: DataFrame, values: Sequence[str], group: str, order: str
     swaps = F.aggregate("_rows", F.lit(0).cast("long"), lambda n, x: n + F.size(F.filter("_others", lambda y: before(x, y) & differs(x, y))))
     out = both.agg(F.sum(pairs).alias("pairs"), F.sum(swaps).alias("swapped"))
     return out.select("pairs", "swapped", F.when(F.col("pairs") > 0, F.round(F.col("swapped") / F.col("pairs") * 100, 6)).otherwise(F.lit(0.0)).alias("percent"))
+
+
+def movement(rows: DataFrame, before: str = "rank_raw", after: str = "rank_adj", far: int = 50) -> DataFrame:
+    """(n, mean_move, median_move, far, risen, fallen): how places move between two orders."""
+    moved = rows.select(F.abs(F.col(before) - F.col(after)).alias("d"), (F.col(before) - F.col(after)).alias("up"))
+    return moved.agg(
+        F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean_move"), F.median("d").alias("median_move"), F.count_if(F.col("d") >= far).alias("far"),
+        F.count_if(F.col("up") > 0).alias("risen"), F.count_if(F.col("up") < 0).alias("fallen"),
+    )
+
+
+def movers(rows: DataFrame, k: int = 15, before: str = "rank_raw", after: str = "rank_adj") -> DataFrame:
+    """The ``k`` that rise most and the ``k`` that fall most: (side, place, id, move), ties by id."""
+    moved = rows.select("id", (F.col(before) - F.col(after)).alias("move"))
+    top = lambda side, order: moved.orderBy(order, "id").limit(k).withColumns({"side": F.lit(side), "place": F.expr(f"row_number() OVER (ORDER BY {'-move' if side == 'up' else 'move'}, id)")})
+    return top("up", F.desc("move")).unionByName(top("down", F.asc("move")))  # k rows each

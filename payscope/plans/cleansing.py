@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from payscope.functions import model
 from payscope.operators import resolution as r
+from payscope.operators import worklife
 from payscope.operators.statistics import majority
 from payscope.plans.registry import register
 from payscope.plans.stand_ins import COMPANIES_SQL, FILINGS_SQL, companies, filings, table
@@ -109,3 +110,44 @@ _FLAGS = ("A", "N", "R")
 def wage_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     wages = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.round(F.avg("l_extendedprice") * 12 + F.max("l_quantity"), 1).alias("wage"))
     return wages.groupBy("l_suppkey").pivot("l_returnflag", list(_FLAGS)).agg(F.max("wage"))
+
+
+@register("SELECT CAST(range AS DATE) AS day FROM range(DATE '2024-01-01', DATE '2025-03-01', INTERVAL 1 DAY) WHERE isodow(range) <= 5")
+def working_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.working_days(spark, "2024-01-01", "2025-02-28")
+
+
+def _register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as register rows: hours that may be negative, and two rows for every third number."""
+    given = {
+        "corporate_number": F.lpad(F.col("c_custkey").cast("string"), 13, "0"), "name": F.col("c_name"), "overtime_all": F.round("c_acctbal", 0).cast("long").cast("string"),
+        "leave_all": F.when(F.col("c_custkey") % 4 == 0, "-").otherwise((F.col("c_custkey") % 110).cast("string")), "overtime_unit1": F.col("c_mktsegment"),
+        "overtime_unit1_value": F.when(F.col("c_custkey") % 5 == 0, "-3").otherwise("7"), "updated_at": F.concat(F.lit("2024-0"), (F.col("copy") + 1).cast("string")),
+    }
+    rows = table(spark, sf_dir, "customer").select("*", F.explode(F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+    return rows.select(*(given.get(c, F.lit("")).alias(c) for c in worklife.POSITIONS), (F.col("c_custkey") * 2 + F.col("copy")).alias("seq"))
+
+
+_REGISTER = """reg AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 13, '0') AS corporate_number, c_custkey, CAST(CAST(round(c_acctbal, 0) AS BIGINT) AS DOUBLE) AS hours,
+  CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 110 AS DOUBLE) END AS leave_all, c_mktsegment, CASE WHEN c_custkey % 5 = 0 THEN CAST(-3 AS DOUBLE) ELSE CAST(7 AS DOUBLE) END AS u FROM customer)"""
+
+
+@register(f"""WITH {_REGISTER} SELECT corporate_number, CASE WHEN hours >= 0 THEN hours END AS overtime_all, leave_all, c_mktsegment AS unit, CASE WHEN u >= 0 THEN u END AS unit_value,
+  CASE WHEN c_custkey % 3 = 0 THEN '2024-02' ELSE '2024-01' END AS updated_at FROM reg WHERE hours >= 0 OR u >= 0 OR leave_all IS NOT NULL""")
+def worklife_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 13, "0").alias("corporate_number"))
+    unit = F.get(F.col("overtime_units"), F.lit(0))
+    return worklife.joined(people, _register(spark, sf_dir)).select("corporate_number", "overtime_all", "leave_all", unit["unit"].alias("unit"), unit["value"].alias("unit_value"), "updated_at")
+
+
+@register(f"""WITH {_REGISTER}, twice AS (SELECT r.* FROM reg r UNION ALL SELECT r.* FROM reg r WHERE c_custkey % 3 = 0)
+  SELECT corporate_number, 'overtime_all' AS field, count(*) AS n FROM twice WHERE hours < 0 GROUP BY 1 UNION ALL SELECT corporate_number, 'overtime_unit:' || c_mktsegment, count(*) FROM twice WHERE u < 0 GROUP BY 1, 2""")
+def worklife_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return worklife.dropped(_register(spark, sf_dir)).groupBy("corporate_number", "field").agg(F.count("*").alias("n"))
+
+
+@register(f"""WITH {_REGISTER}, kept AS (SELECT * FROM reg WHERE hours >= 0 OR u >= 0 OR leave_all IS NOT NULL)
+  SELECT count(*) FILTER (WHERE hours >= 0 OR u >= 0) AS overtime, count(leave_all) AS leave, CAST(0 AS BIGINT) AS gap, CAST(0 AS BIGINT) AS note, count(*) AS n FROM kept""")
+def worklife_fill_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 13, "0").alias("corporate_number"))
+    return worklife.fill_rates(worklife.joined(people, _register(spark, sf_dir)))

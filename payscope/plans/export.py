@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from payscope import constants as C
 from payscope.operators import export as e
 from payscope.plans.registry import register
-from payscope.plans.stand_ins import COMPANIES_SQL, companies, table
+from payscope.plans.stand_ins import COMPANIES_SQL, SEGMENT_CURVE, companies, table
 
 
 @register("""WITH p AS (SELECT trim(p_type) AS value, min(p_partkey) AS pos FROM part WHERE trim(p_type) <> '' GROUP BY 1),
@@ -47,3 +47,16 @@ def unit_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "customer").withColumn("k", F.expr("row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)")).where("k <= 5")
     items = first.groupBy(F.col("c_nationkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("c_custkey").alias("unit"), F.col("c_acctbal").alias("value")))).alias("units"))
     return e.with_units(items, "units")
+
+
+@register(f"""WITH {COMPANIES_SQL}, s AS (SELECT tse33, row_number() OVER (ORDER BY CAST(tse33 AS VARCHAR)) - 1 AS sector FROM (SELECT DISTINCT tse33 FROM companies) d)
+  SELECT id, name, sector, CASE curve_key WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 ELSE 4 END AS curve, avg_age, avg_tenure, avg_salary, employees
+  FROM companies JOIN s USING (tse33)""")
+def company_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e.company_tuples(companies(spark, sf_dir), list(SEGMENT_CURVE))
+
+
+@register("SELECT p_partkey, trim(p_type) AS p_type FROM part")
+def string_pool_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    return e.unpooled(e.pooled(rows, "p_type", "p_partkey").select("p_partkey", "p_type_index"), e.string_pool(rows, "p_type", "p_partkey"), "p_type_index", "p_type")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payscope.functions import model
-from payscope.operators.ranking import RankingQuery, bases, competition_ranks, ranked, run_query
-from payscope.operators.statistics import dense_counts
+from payscope.operators.ranking import RankingQuery, bases, competition_ranks, positions, ranked, run_query
+from payscope.operators.statistics import dense_counts, movement, movers
 from payscope.plans.registry import register
 from payscope.plans.stand_ins import BASES_SQL, COMPANIES_SQL, CURVES_SQL, PARTS_SQL, companies, parts, sql_curve_at, sql_estimate, table
 
@@ -89,14 +89,35 @@ def rank_industry_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return competition_ranks(parts(spark, sf_dir), "salary", ["tse33"]).select("id", "tse33", "salary", "rank")
 
 
-@register(f"""WITH {BASES_SQL}, r AS (SELECT id, row_number() OVER (ORDER BY avg_salary DESC, row_idx) AS rank_raw, row_number() OVER (ORDER BY salary DESC, row_idx) AS rank_adj FROM bases WHERE basis = 35)
-  SELECT id, rank_raw, rank_adj, rank_raw - rank_adj AS rank_delta FROM r""")
-def rank_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from payscope.operators.ranking import positions
+_MOVES = f"""{BASES_SQL}, r AS (SELECT id, row_number() OVER (ORDER BY avg_salary DESC, row_idx) AS rank_raw, row_number() OVER (ORDER BY salary DESC, row_idx) AS rank_adj FROM bases WHERE basis = 35)"""
+
 
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bases(companies(spark, sf_dir), (35,)).where("basis = 35")
-    placed = positions(positions(rows, "avg_salary", ["row_idx"], name="rank_raw"), "salary", ["row_idx"], name="rank_adj")
-    return placed.select("id", "rank_raw", "rank_adj", (F.col("rank_raw") - F.col("rank_adj")).alias("rank_delta"))
+    return positions(positions(rows, "avg_salary", ["row_idx"], name="rank_raw"), "salary", ["row_idx"], name="rank_adj")
+
+
+@register(f"WITH {_MOVES} SELECT id, rank_raw, rank_adj, rank_raw - rank_adj AS rank_delta FROM r")
+def rank_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _moves(spark, sf_dir).select("id", "rank_raw", "rank_adj", (F.col("rank_raw") - F.col("rank_adj")).alias("rank_delta"))
+
+
+@register(f"""WITH {_MOVES} SELECT count(*) AS n, round(avg(abs(rank_raw - rank_adj)), 6) AS mean_move, CAST(median(abs(rank_raw - rank_adj)) AS DOUBLE) AS median_move, count(*) FILTER (WHERE abs(rank_raw - rank_adj) >= 50) AS far,
+  count(*) FILTER (WHERE rank_raw > rank_adj) AS risen, count(*) FILTER (WHERE rank_raw < rank_adj) AS fallen FROM r""")
+def movement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return movement(_moves(spark, sf_dir))
+
+
+@register(f"""WITH {_MOVES}, d AS (SELECT id, rank_raw - rank_adj AS move FROM r), x AS (SELECT id, move, row_number() OVER (ORDER BY move DESC, id) AS u, row_number() OVER (ORDER BY move, id) AS v FROM d)
+  SELECT id, move, 'up' AS side, CAST(u AS INT) AS place FROM x WHERE u <= 15 UNION ALL SELECT id, move, 'down', CAST(v AS INT) FROM x WHERE v <= 15""")
+def top_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return movers(_moves(spark, sf_dir))
+
+
+@register(f"""WITH {BASES_SQL} SELECT id, round(salary * CAST(0.8 AS DOUBLE), 4) AS low, round(salary * CAST(1.2 AS DOUBLE), 4) AS high FROM bases WHERE basis = 45""")
+def estimate_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low, high = model.estimate_range(F.col("salary"))
+    return bases(companies(spark, sf_dir), (45,)).where("basis = 45").select("id", F.round(low, 4).alias("low"), F.round(high, 4).alias("high"))
 
 
 @register(f"""WITH {BASES_SQL}, m AS (SELECT max(salary) AS most FROM bases WHERE basis = 35)
