@@ -90,19 +90,40 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
+def id_ranges(docs: DataFrame, rows_per_bucket: int, most_buckets: int) -> Column:
+    """The number of the range of a ``doc_id``, never falling with it; -1 for null.
+
+    Up to 257 quantiles (all that reaches the driver) cut the ids into stretches of as many rows, and
+    each stretch is cut into ranges of equal width.
+    """
+    n = docs.count()
+    buckets = max(1, min(most_buckets, n // rows_per_bucket))
+    cuts = min(256, buckets)
+    found = docs.agg(F.percentile_approx("doc_id", [k / cuts for k in range(cuts + 1)], 100_000)).first()[0]
+    bounds = sorted({b for b in found or [0] if b is not None}) or [0]
+    each = -(-buckets // max(1, len(bounds) - 1))
+    at = F.array(*(F.lit(b).cast("long") for b in bounds))
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    stretch = F.aggregate(halves, F.lit(0), lambda k, step: F.when(F.get(at, k + step) <= F.col("doc_id"), k + step).otherwise(k))
+
+    def within(k: Column) -> Column:
+        low, high = F.get(at, k).cast("double"), F.get(at, k + 1).cast("double")
+        share = F.when(high > low, F.floor((F.col("doc_id").cast("double") - low) / (high - low) * each)).otherwise(F.lit(0))
+        return (k.cast("long") * each + F.greatest(F.lit(0), F.least(F.lit(each - 1), share))).cast("long")
+
+    return F.when(F.col("doc_id").isNotNull(), let(stretch, within)).otherwise(F.lit(-1).cast("long"))
+
+
 def with_next(docs: DataFrame, rows_per_bucket: int = 2000, most_buckets: int = 200_000) -> DataFrame:
     """``docs`` (doc_id, text) with the sketch of the text, and next_text and next_sketch of the next row by descending doc_id.
 
-    The ids are cut into ranges of equal width, so neighbours meet in one shuffle of the rows
-    and no task sorts everything; the head of each range is also sent to the range above it, which
-    ends with it.  There are at most ``most_buckets`` ranges, which bounds what is broadcast (16
-    bytes each).  Rows that share an id follow each other in order of their text; null ids come last.
+    The ids are cut into ranges of about equally many rows, however they are spread, so neighbours meet
+    in one shuffle of the rows and no task sorts everything; the head of each range is also sent to
+    the range above it, which ends with it.  There are at most ``most_buckets`` ranges, which bounds
+    what is broadcast (16 bytes each).  Rows that share an id follow each other in order of their text; null
+    ids come last.
     """
-    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
-    low, high = ends["low"] or 0, ends["high"] or 0
-    buckets = max(1, min(most_buckets, ends["n"] // rows_per_bucket))
-    width = (high - low) // buckets + 1
-    rows = docs.withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - low) / F.lit(width)).cast("long"), F.lit(-1).cast("long")))
+    rows = docs.withColumn("bucket", id_ranges(docs, rows_per_bucket, most_buckets))
     heads = rows.groupBy("bucket").agg(F.max("doc_id").alias("head"))
     # One row for each range: few enough for one task by the bound above.
     order = "ORDER BY bucket"

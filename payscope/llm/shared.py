@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -79,16 +78,3 @@ def rows_of(batches: Iterator[pa.RecordBatch], names: list[str], size: Callable[
 def crc32_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (a null id counts as the empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(n))
-
-
-def held_in(df: DataFrame, label: str) -> str:
-    """Write ``df`` to the shared folder and return its path."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return path
-
-
-def ensure_dir(uri: str) -> None:
-    path = local_path(uri)
-    if path:
-        os.makedirs(path, exist_ok=True)

@@ -205,3 +205,16 @@ def test_fingerprint_edges(spark):
     assert len(got) == len(rows)
     by = {r["doc_id"]: r["fingerprint"] for r in got}
     assert by[1] == by[2] == "" and by[3] == by[4] != ""
+
+
+@pytest.mark.parametrize("per_bucket", [1, 7, 1000])
+def test_next_row_over_many_buckets(spark, per_bucket):
+    rng = random.Random(per_bucket)
+    rows = [(i * i % 997 * 1000, f"t{i}") for i in rng.sample(range(400), 90)] + [(-(1 << 63), "least"), ((1 << 63) - 1, "most")]
+    rows = [*dict(rows).items(), (None, "none")]
+    got = {r["text"]: (r["next_text"], r["next_sketch"], r["sketch"]) for r in minhash.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), per_bucket, 50).collect()}
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))]
+    assert len(got) == len(rows)
+    for k, t in enumerate(order):
+        following = order[(k + 1) % len(order)]
+        assert got[t][0] == following and got[t][1] == got[following][2]
