@@ -249,11 +249,12 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
 def without_near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
     """The first row of each component of ``docs`` by doc_id (nulls last), then by the text's hash; its columns as they are."""
     found = near_duplicates(docs, radius, width)
-    first = found.where("doc_id <=> component_id AND text_hash = component_text").select(F.col("doc_id").alias("_id"), "text_hash").distinct()
-    keyed = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    kept = keyed.join(first, keyed["doc_id"].cast("long").eqNullSafe(first["_id"]) & (keyed["_hash"] == first["text_hash"]), "left_semi")
-    # Rows that repeat as a whole have met in the join's partitions.
-    return kept.withColumn("_copy", F.expr("row_number() OVER (PARTITION BY doc_id, _hash ORDER BY doc_id)")).where("_copy = 1").select(docs.columns)
+    key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
+    first = found.where("doc_id <=> component_id AND text_hash = component_text").withColumns(key).select("_none", "_id", F.col("text_hash").alias("_hash")).distinct()
+    keyed = docs.withColumns(key | {"_hash": F.xxhash64(F.col("text").cast("string"))})
+    kept = keyed.join(first, ["_none", "_id", "_hash"], "left_semi")
+    # Rows that repeat as a whole have met in the join's partitions already.
+    return kept.withColumn("_copy", F.expr("row_number() OVER (PARTITION BY _none, _id, _hash ORDER BY _id)")).where("_copy = 1").select(docs.columns)
 
 
 def hex_of(fp: str) -> Column:
