@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -11,8 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Corporate forms that a search ignores (fixed values).
-CORPORATE_FORMS = ("株式会社", "有限会社", "合同会社", "(株)", "(有)")
+#: Corporate forms that a search ignores anywhere, and those that an initial ignores in front (fixed values).
+CORPORATE_FORMS = ("株式会社", "(株)", "㈱", "有限会社", "合同会社")
+LEADING_FORMS = ("株式会社", "有限会社", "合同会社", "合資会社", "合名会社", "(株)", "（株）", "㈱")
 
 
 @F.pandas_udf(T.StringType())
@@ -23,9 +25,14 @@ def nfkc(text: pd.Series) -> pd.Series:
 def search_key(name: Column, fold: bool = True) -> Column:
     """A name as the search compares it: folded, without corporate forms, lower case, without spaces."""
     name = nfkc(name) if fold else name
-    for form in CORPORATE_FORMS:
-        name = F.replace(name, F.lit(form), F.lit(""))
-    return F.regexp_replace(F.lower(name), r"(?U)\s+", "")
+    bare = F.regexp_replace(name, "|".join(map(re.escape, CORPORATE_FORMS)), "")
+    return F.regexp_replace(F.lower(bare), r"(?U)\s+", "")
+
+
+def initial_of(name: Column) -> Column:
+    """The first character of a name behind a corporate form; of the whole name if nothing is left."""
+    rest = F.trim(F.regexp_replace(name, f"^({'|'.join(map(re.escape, LEADING_FORMS))})", ""))
+    return F.when(rest != "", F.substring(rest, 1, 1)).otherwise(F.substring(name, 1, 1))
 
 
 def number(text: Column) -> Column:

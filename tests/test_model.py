@@ -105,11 +105,15 @@ def test_rate_label(spark, rate, label):
     assert one(spark, text.rate_label(F.lit(rate))) == label
 
 
-@pytest.mark.parametrize("a, b", [("株式会社　商船三井", "商船三井"), ("ｷｰｴﾝｽ", "キーエンス"), ("ＡＢＣ株式会社", "abc"), ("株式会社", "")])
+@pytest.mark.parametrize("a, b", [("株式会社　商船三井", "商船三井"), ("ｷｰｴﾝｽ", "キーエンス"), ("ＡＢＣ株式会社", "abc"), ("株式会社", ""), ("㈱ A B", "ab"), ("(有)A", "(有)a")])
 def test_search_key(spark, a, b):
     assert one(spark, text.search_key(F.lit(a))) == one(spark, text.search_key(F.lit(b)))
 
 
+def test_initials(spark):
+    assert [one(spark, text.initial_of(F.lit(n))) for n in ("株式会社キーエンス", "㈱ あ", "株式会社", "Abc")] == ["キ", "あ", "株", "A"]
+
+
 def test_units(spark):
     assert one(spark, text.years_and_months(F.lit("13年6ケ月"))) == 13.5
     assert one(spark, text.leading_number(F.lit("7,463,281円"))) == 7_463_281
