@@ -25,12 +25,14 @@ CELL, MOST_CELLS = 50_000, 4000
 def bases(companies: DataFrame, ages: Sequence[int] = C.TARGET_AGES) -> DataFrame:
     """Each company once with its pay as it is (basis 0) and once for each target age.
 
-    ``companies`` has ``avg_salary``, ``avg_age`` and ``curve``; ``salary`` is added.
+    ``companies`` has ``avg_salary``, ``avg_age`` and ``curve``; ``salary`` is added.  All pays of a company are
+    made in one row and then unfolded, so no condition on ``salary`` is rewritten into the whole formula.
     """
-    with_raw = F.explode(F.array(*map(F.lit, (0, *ages)))).alias("basis")
-    out = companies.select("*", with_raw)
-    paid = model.with_estimates(out, {"_pay": F.col("basis").cast("double")})
-    return paid.withColumn("salary", F.when(F.col("basis") == 0, model.half_up(F.col("avg_salary"))).otherwise(F.col("_pay"))).drop("curve", "_pay")
+    paid = model.with_estimates(companies, {f"_pay{a}": F.lit(float(a)) for a in ages})
+    item = lambda basis, pay: F.struct(F.lit(basis).alias("basis"), pay.alias("salary"))
+    each = F.array(item(0, model.half_up(F.col("avg_salary"))), *(item(a, F.col(f"_pay{a}")) for a in ages))
+    kept = [c for c in companies.columns if c != "curve"]
+    return paid.select(*kept, F.inline(each))
 
 
 def cell_of(value: Column, width: float = CELL) -> Column:

@@ -40,7 +40,7 @@ def history_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _man(x: str) -> str:
-    return f"format('{{:,}}', CAST(floor({x} / CAST(10000 AS DOUBLE) + 0.5) AS BIGINT)) || '万円'"
+    return f"format('{{:,}}', CAST(floor(({x}) / CAST(10000 AS DOUBLE) + 0.5) AS BIGINT)) || '万円'"
 
 
 @register(f"""WITH {HISTORY_SQL}, e AS (SELECT code, min(year) AS y0, max(year) AS y1 FROM history GROUP BY code HAVING count(*) >= 2),

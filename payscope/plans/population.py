@@ -114,7 +114,7 @@ def largest_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _man(x: str) -> str:
-    return f"format('{{:,}}', CAST(floor({x} / CAST(10000 AS DOUBLE) + 0.5) AS BIGINT)) || '万円'"
+    return f"format('{{:,}}', CAST(floor(({x}) / CAST(10000 AS DOUBLE) + 0.5) AS BIGINT)) || '万円'"
 
 
 _MILES = f"""before AS (SELECT *, max(v) OVER (PARTITION BY id ORDER BY basis ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM v), {_STEPS},
