@@ -3,12 +3,13 @@
 The markup is stripped to lines, one for each block of the page.  A line weighs the length of its
 text, or nothing if the markup says that it is no content (menu, advert, form, ...).  The weights
 are summed over a sliding window of lines; the text starts where the sum surges and ends where it
-dives, and what lies between is kept.
+dives to nothing, and what lies between is kept.  An article or main element only adds weight.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -17,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Without an article or main element, a window must hold so many characters to be text.
+#: A window must weigh so much to be text.
 SURGE = 80
+#: A character in an article or main element weighs so much; the others weigh OUTSIDE where such elements hold most of the text.
+INSIDE, OUTSIDE = 8, 0.25
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -31,27 +34,36 @@ _TOKEN = re.compile(
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _NO_CONTENT = frozenset("head nav footer aside form menu dialog button header".split())
 _NO_CONTENT_NAME = re.compile(
-    r"""(?:class|id|role)\s*=\s*["']?[^"'>]*?(?<![a-z])(?:nav|navbar|navigation|menu|header|footer|sidebar|aside|notice|cookies?|consent|banner|ads?|advert\w*|sponsor\w*|promo\w*
+    r"""(?:class|id|role)\s*=\s*["']?[^"'>]*?(?<![a-z])(nav|navbar|navigation|menu|header|footer|sidebar|aside|notice|cookies?|consent|banner|ads?|advert\w*|sponsor\w*|promo\w*
       |form|comments?|disqus|share|sharing|social|related|breadcrumbs?|newsletter|subscribe|popup|modal|login|search|pagination|contentinfo|complementary)(?![a-z])""",
     re.I | re.X,
 )
+#: What stands within a text and doesn't end it; other marked blocks (menus, footers, ...) do.
+_ASIDES = re.compile(r"(?:ads?|advert.*|sponsor.*|promo.*|aside|form|notice|banner|share|sharing|social|related|newsletter|subscribe|search|popup|button|dialog)\Z", re.I)
 _CONTENT = frozenset(("article", "main"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-def page_lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, no content, within an article) for each block of the page, in order; empty ones are left out."""
-    lines: list[tuple[str, bool, bool]] = []
+def page_lines(page: str) -> list[tuple[str, int, bool]]:
+    """(text, weight, within an article) for each block of the page, in order; empty ones are left out.
+
+    The weight is the length of the text, 0 for links; a top heading weighs a surge more.  A marked block is one line without text where it stands within a text, and a window of them where it ends one.
+    """
+    lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    skip, depth, article = "", 0, 0
+    skip, depth, article, gap = "", 0, 0, 0
     links = 0
     linked = 0
+    heading = False
 
     def end() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            lines.append((text, bool(skip) or (not article and 2 * linked > len(text)), article > 0))
+        if skip:
+            lines.extend([("", 0, article > 0)] * gap)
+        elif text:
+            weight = 0 if not article and 2 * linked > len(text) else len(text) + SURGE * heading
+            lines.append((text, weight, article > 0))
         parts.clear()
         linked = 0
 
@@ -69,8 +81,10 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
         if name == "a":
             links = 0 if closes else 1
         if name not in _INLINE:
-            end()
+            if not skip:
+                end()
             links = 0 if name != "a" else links
+            heading = name == "h1" and not closes
         if name in _VOID:
             continue
         if skip:
@@ -82,29 +96,41 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
             continue
         if name in _CONTENT:
             article = max(0, article + (-1 if closes else 1))
-        elif not closes and (name in _NO_CONTENT and not (name == "header" and article) or _NO_CONTENT_NAME.search(m["attrs"] or m["attrs2"] or "")) and name not in ("body", "html"):
-            end()
-            skip, depth = name, 1
+        elif not closes and name not in ("body", "html"):
+            named = _NO_CONTENT_NAME.search(m["attrs"] or m["attrs2"] or "")
+            tagged = name in _NO_CONTENT and not (name == "header" and article)
+            if tagged or named:
+                end()
+                skip, depth = name, 1
+                gap = 1 if article or _ASIDES.match(name if tagged else named[1]) else WINDOW
     parts.append(page[at:])
     end()
     return lines
 
 
+def _kept(weights: list[float]) -> list[bool]:
+    """Which lines of a stretch are text: from a surge on to where a whole window weighs nothing."""
+    out, within = [], False
+    for i, weight in enumerate(weights):
+        block = sum(weights[i : i + WINDOW])
+        within = block >= SURGE or (within and block > 0)
+        out.append(within and weight > 0)
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The main text; '' for a null or empty page or one without any."""
     lines = page_lines(page or "")
-    marked = any(inside and not empty for _, empty, inside in lines)
-    weights = [0 if empty or (marked and not inside) else len(text) for text, empty, inside in lines]
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    least = 1 if marked else SURGE
+    inner, outer = (sum(weight for _, weight, inside in lines if inside == side) for side in (True, False))
+    outside = OUTSIDE if inner > outer else 1
     kept: list[str] = []
-    within = False
-    for (text, _, _), weight, block in zip(lines, weights, sums, strict=True):
-        within = weight > 0 and (block >= least or within)  # surge; dive
-        if within:
-            kept.append(text)
-    if not kept and not marked:  # a page of a few words has no surge
-        kept = [text for (text, _, _), weight in zip(lines, weights, strict=True) if weight]
+    # Elements that hold an article begin and end a stretch.
+    for side, stretch in itertools.groupby(lines, lambda line: line[2]):
+        own = list(stretch)
+        weights = [weight * (INSIDE if side else outside) for _, weight, _ in own]
+        kept += [text for (text, _, _), keep in zip(own, _kept(weights), strict=True) if keep]
+    if not kept:  # a page of a few words has no surge
+        kept = [text for text, weight, _ in lines if weight]
     return "\n".join(kept)
 
 

@@ -52,6 +52,25 @@ def test_no_main_text(page):
     assert "only" not in main_text(page)
 
 
+def test_a_surge_finds_the_text_beside_an_article():
+    body = " ".join(["main text that stands in no article element"] * 12)
+    page = f"<body><div><p>{body}</p><p>{body}</p></div><div><p>a b</p></div><nav>x</nav><article><p>Card</p></article></body>"
+    assert main_text(page) == f"{body}\n{body}\na b"
+
+
+@pytest.mark.parametrize("between", ["<div class=ad>Buy now</div>", "<div class=share><p>a</p><p>b</p><p>c</p><p>d</p></div>", "<p><a href=x>Read this too</a></p>", "<p><a href=x>One link</a></p><p><a href=y>Two links</a></p>"])
+def test_short_tails_are_kept(between):
+    body = " ".join(["long text of a page that has no article element"] * 6)
+    assert main_text(f"<body><div><p>{body}</p>{between}<p>Short end.</p></div><footer><p>f</p></footer><p>Imprint</p></body>") == f"{body}\nShort end."
+
+
+def test_pages_without_their_article_elements(spark):
+    """Surge and dive alone find what the elements mark."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    assert all("<article>" in page for page in pages)
+    assert [main_text(re.sub("(</?)article>", r"\1div>", page)) for page in pages] == [main_text(page) for page in pages]
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in extract_pages(pages).collect():
