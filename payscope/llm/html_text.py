@@ -8,6 +8,7 @@ dives to nothing, and what lies between is kept.  An article or main element onl
 
 from __future__ import annotations
 
+import dataclasses
 import html
 import itertools
 import re
@@ -22,6 +23,8 @@ WINDOW = 3
 SURGE = 80
 #: A character in an article or main element weighs so much; the others weigh OUTSIDE where such elements hold most of the text.
 INSIDE, OUTSIDE = 8, 0.25
+#: A marked block may be a wrapper if it is so many times as long as the unmarked text of articles.
+REST = 10
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -34,24 +37,39 @@ _TOKEN = re.compile(
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _NO_CONTENT = frozenset("head nav footer aside form menu dialog button header".split())
 _NO_CONTENT_NAME = re.compile(
-    r"""(?:class|id|role)\s*=\s*["']?[^"'>]*?(?<![a-z])(nav|navbar|navigation|menu|header|footer|sidebar|aside|notice|cookies?|consent|banner|ads?|advert\w*|sponsor\w*|promo\w*
+    r"""(?:class|id|role)\s*=\s*["']?[^"'>]*?(?<![a-z])(?<!has[-_])(?<!with[-_])(?<!without[-_])(?<!no[-_])(nav|navbar|navigation|menu|header|footer|sidebar|aside|notice|cookies?|consent|banner|ads?|advert\w*|sponsor\w*|promo\w*
       |form|comments?|disqus|share|sharing|social|related|breadcrumbs?|newsletter|subscribe|popup|modal|login|search|pagination|contentinfo|complementary)(?![a-z])""",
     re.I | re.X,
 )
 #: What stands within a text and doesn't end it; other marked blocks (menus, footers, ...) do.
 _ASIDES = re.compile(r"(?:ads?|advert.*|sponsor.*|promo.*|aside|form|notice|banner|share|sharing|social|related|newsletter|subscribe|search|popup|button|dialog)\Z", re.I)
+#: What a block in an article may be called that holds some of its text.
+_WEAK = re.compile(r"(?:form|related|search|notice|banner|header)\Z", re.I)
 _CONTENT = frozenset(("article", "main"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, within an article) for each block of the page, in order; empty ones are left out.
+@dataclasses.dataclass(eq=False)
+class _Mark:
+    """A block that the markup says is no content.  A ``soft`` one may hold the text all the same; a ``weak`` one in an article often does."""
 
-    The weight is the length of the text, 0 for links; a top heading weighs a surge more.  A marked block is one line without text where it stands within a text, and a window of them where it ends one.
-    """
-    lines: list[tuple[str, int, bool]] = []
+    name: str
+    within: bool
+    soft: bool
+    weak: bool
+    gap: int
+    depth: int = 1
+    blocks: int = 0
+    size: int = 0
+    article: int = 0
+
+
+def _marked_lines(page: str) -> list[tuple[str, int, bool, tuple[_Mark, ...]]]:
+    """(text, weight, within an article, marked blocks around it) for each line."""
+    lines: list[tuple[str, int, bool, tuple[_Mark, ...]]] = []
     parts: list[str] = []
-    skip, depth, article, gap = "", 0, 0, 0
+    marks: tuple[_Mark, ...] = ()
+    article = 0
     links = 0
     linked = 0
     heading = False
@@ -59,11 +77,9 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     def end() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
-        if skip:
-            lines.extend([("", 0, article > 0)] * gap)
-        elif text:
+        if text:
             weight = 0 if not article and 2 * linked > len(text) else len(text) + SURGE * heading
-            lines.append((text, weight, article > 0))
+            lines.append((text, weight, article > 0, marks))
         parts.clear()
         linked = 0
 
@@ -81,33 +97,76 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if name == "a":
             links = 0 if closes else 1
         if name not in _INLINE:
-            if not skip:
-                end()
+            end()
             links = 0 if name != "a" else links
             heading = name == "h1" and not closes
         if name in _VOID:
             continue
-        if skip:
-            if name == skip:
-                depth += -1 if closes else 1
-                if depth <= 0:
-                    end()
-                    skip = ""
-            continue
+        if marks and marks[-1].name == "p" and name not in _INLINE and not closes:  # a paragraph ends where another block begins
+            marks = marks[:-1]
+        own = next((k for k in reversed(range(len(marks))) if marks[k].name == name), -1)
+        if closes and own >= 0:
+            marks[own].depth -= 1
+            if marks[own].depth <= 0:
+                end()
+                marks = marks[:own]
+        named = None if closes or name in ("body", "html") else _NO_CONTENT_NAME.search(m["attrs"] or m["attrs2"] or "")
+        tagged = not closes and name in _NO_CONTENT and not (name == "header" and article)
         if name in _CONTENT:
             article = max(0, article + (-1 if closes else 1))
-        elif not closes and name not in ("body", "html"):
-            named = _NO_CONTENT_NAME.search(m["attrs"] or m["attrs2"] or "")
-            tagged = name in _NO_CONTENT and not (name == "header" and article)
-            if tagged or named:
-                end()
-                skip, depth = name, 1
-                gap = 1 if article or _ASIDES.match(name if tagged else named[1]) else WINDOW
+            if not article:
+                marks = tuple(mark for mark in marks if not mark.within)
+            named = named if marks and named and named[1].lower().startswith("comment") else None
+        if marks and not closes and name not in _INLINE:
+            marks[0].blocks += 1
+            marks[-1].blocks += 1
+        if tagged or named:
+            end()
+            by = name if tagged else named[1]
+            soft = name == "form" or not (tagged or name in _CONTENT)
+            marks = (*marks, _Mark(name, article > 0, soft, not tagged and bool(_WEAK.match(by)), 1 if article or _ASIDES.match(by) else WINDOW))
+        elif not closes and own >= 0:
+            marks[own].depth += 1
     parts.append(page[at:])
     end()
     return lines
 
 
+def page_lines(page: str) -> list[tuple[str, int, bool]]:
+    """(text, weight, within an article) for each block of the page, in order; empty ones are left out.
+
+    The weight is the length of the text, 0 for links; a top heading weighs a surge more.  A marked block
+    is one line without text where it stands within a text, and a window of them where it ends one.  Wrappers,
+    i.e. marked blocks around others that hold most of the text of the page's articles or else of the page, are no marked blocks.
+    """
+    lines = _marked_lines(page)
+    total = covered = free = 0
+    for text, weight, inside, marks in lines:
+        size = len(text) if weight else 0
+        soft = all(mark.soft for mark in marks)
+        total += size * soft
+        covered += size * (soft and inside and bool(marks))
+        free += size * (inside and not marks)
+        for mark in marks:
+            mark.size += size
+            mark.article += size * (soft and inside)
+
+    def dropped(mark: _Mark) -> bool:
+        most = 2 * mark.article > covered + free if covered else 2 * mark.size > total
+        return not (mark.soft and (mark.within and mark.weak and mark.size >= SURGE or most and mark.blocks and mark.size > REST * free))
+
+    out: list[tuple[str, int, bool]] = []
+    last = None
+    for text, weight, inside, marks in lines:
+        mark = next(filter(dropped, marks), None)
+        if mark is None:
+            out.append((text, weight, inside))
+        elif mark is not last:
+            out.extend([("", 0, mark.within)] * mark.gap)
+        last = mark
+    return out
+
+
 def _kept(weights: list[float]) -> list[bool]:
     """Which lines of a stretch are text: from a surge on to where a whole window weighs nothing."""
     out, within = [], False

@@ -64,6 +64,28 @@ def test_short_tails_are_kept(between):
     assert main_text(f"<body><div><p>{body}</p>{between}<p>Short end.</p></div><footer><p>f</p></footer><p>Imprint</p></body>") == f"{body}\nShort end."
 
 
+BODY = " ".join(["long text of a page"] * 12)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='layout has-sidebar'><nav>menu</nav><article><p>{}</p></article><div class=sidebar>x</div></div>",
+        "<div class='layout has-sidebar'><nav>menu</nav><div><p>{}</p></div><div class=sidebar>x</div></div>",
+        "<div id=page class=with-banner><main><p>{}</p></main></div>",
+        "<div class=sidebar-left><nav>menu</nav><div><p>{}</p></div></div><footer>f</footer>",
+        "<div class=header-fixed><article><p>{}</p></article><div id=comments><article class=comment><p>" + BODY * 5 + "</p></article></div></div>",
+        "<form action=a><div class=menu>menu</div><article><p>{}</p></article><footer>f</footer></form>",
+        "<form action=a><div class=menu>menu</div><div><p>{}</p></div><footer>f</footer></form>",
+        "<main><form action=a><p>{}</p></form></main>",
+        "<article><section class=form><p>{}</p></section><div class=ad>Buy</div></article>",
+        "<article><p class=related>{}<div class=share>Share</div></article>",
+    ],
+)
+def test_wrappers_are_no_marked_blocks(page):
+    assert main_text(f"<body>{page.format(BODY)}</body>") == BODY
+
+
 def test_pages_without_their_article_elements(spark):
     """Surge and dive alone find what the elements mark."""
     pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
