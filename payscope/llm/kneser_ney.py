@@ -1,9 +1,11 @@
 """Interpolated modified Kneser-Ney language model (operator 7).
 
-Bigrams are counted in Spark over all training documents: every task turns its texts into sorted,
+Bigrams, or trigrams, are counted in Spark over all training documents: every task turns its texts into sorted,
 packed runs of hashed counts, one for each partition of the hash space, and the partitions are merged after
 a shuffle.  The model is written as sorted hash arrays, one pair of files for each partition, which
 the scoring workers memory-map; nothing that grows with the corpus is collected or broadcast.
+A trigram is kept in the partition of its last two words, so that the bigrams' continuation counts are
+found there and only the sums of histories that end in a hot word are shuffled once more.
 """
 
 from __future__ import annotations
@@ -56,6 +58,19 @@ def histories(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return v, w
 
 
+def earlier(tokens: list[np.ndarray], v: np.ndarray) -> np.ndarray:
+    """The words before the histories ``v`` (BEGIN at the first two tokens of a document)."""
+    u = np.empty_like(v)
+    u[1:] = v[:-1]
+    u[np.cumsum([0, *map(len, tokens[:-1])])] = BEGIN
+    return u
+
+
+def _context(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A hash of two words."""
+    return _mix(u + _MIX, v)
+
+
 @dataclasses.dataclass
 class Layout:
     """Where a bigram and a word live: the partition is the top bits of a hash; bigrams of very
@@ -71,6 +86,9 @@ class Layout:
             own = np.where(self.hot[at] == v, (key >> np.uint64(64 - self.bits)) if self.bits else 0, own)
         return own.astype(np.uint16 if self.bits <= 16 else np.uint32)
 
+    def is_hot(self, v: np.ndarray) -> np.ndarray:
+        return np.isin(v, self.hot)
+
     def of_words(self, w: np.ndarray) -> np.ndarray:
         part = ((w * _MIX) >> np.uint64(64 - self.bits)) if self.bits else np.zeros_like(w)
         return part.astype(np.uint16 if self.bits <= 16 else np.uint32)
@@ -87,8 +105,40 @@ def _from_planes(b: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _counted_runs(tokens: list[np.ndarray], layout: Layout) -> Iterator[tuple[int, str, bytes]]:
-    """Sorted runs of one block of documents, cut by partition: bigrams by history, and words."""
+def _triple_runs(tokens: list[np.ndarray], layout: Layout) -> Iterator[tuple[int, str, bytes]]:
+    """Sorted runs of the trigrams, cut by partition: the first words by bigram, those by history."""
+    v, w = histories(tokens)
+    u = earlier(tokens, v)
+    ranked = _mix(_context(u, v), w)
+    order = np.argsort(ranked)
+    ranked = ranked[order]
+    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    count = np.diff(np.r_[first, len(ranked)]).astype(np.uint32)
+    u, v, w = (x[order[first]] for x in (u, v, w))
+    part = layout.of_pairs(v, _mix(v, w))
+    order = np.lexsort((w, v, part))
+    part, u, v, w, count = (x[order] for x in (part, u, v, w, count))
+    for p, s in part_slices(part):
+        pairs = np.flatnonzero(np.r_[True, (v[s][1:] != v[s][:-1]) | (w[s][1:] != w[s][:-1])])
+        many = np.diff(np.r_[pairs, s.stop - s.start]).astype(np.uint32)
+        own = v[s][pairs]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        sizes = np.diff(np.r_[starts, len(own)]).astype(np.uint32)
+        yield p, "triples", pack(v=np.diff(own[starts], prepend=np.uint64(0)), n=sizes, w=_planes(np.ascontiguousarray(w[s][pairs])), m=many, u=_planes(np.ascontiguousarray(u[s])), c=count[s])
+
+
+def _counted_runs(tokens: list[np.ndarray], layout: Layout, size: int = 2) -> Iterator[tuple[int, str, bytes]]:
+    """Sorted runs of one block of documents, cut by partition: bigrams by history, or trigrams, and words."""
+    yield from _pair_runs(tokens, layout) if size == 2 else _triple_runs(tokens, layout)
+    words, counts = np.unique(np.concatenate(tokens), return_counts=True)
+    part = layout.of_words(words)
+    order = np.argsort(part, kind="stable")
+    for p, s in part_slices(part[order]):
+        own = order[s]
+        yield p, "words", pack(w=words[own], count=counts[own].astype(np.uint64))
+
+
+def _pair_runs(tokens: list[np.ndarray], layout: Layout) -> Iterator[tuple[int, str, bytes]]:
     v, w = histories(tokens)
     key = _mix(v, w)
     order = np.argsort(key)
@@ -106,12 +156,6 @@ def _counted_runs(tokens: list[np.ndarray], layout: Layout) -> Iterator[tuple[in
         starts = np.flatnonzero(np.r_[True, v[s][1:] != v[s][:-1]])
         sizes = np.diff(np.r_[starts, s.stop - s.start]).astype(np.uint32)
         yield p, "pairs", pack(v=np.diff(v[s][starts], prepend=np.uint64(0)), n=sizes, w=_planes(np.ascontiguousarray(w[s])), c=count[s])
-    words, counts = np.unique(np.concatenate(tokens), return_counts=True)
-    part = layout.of_words(words)
-    order = np.argsort(part, kind="stable")
-    for p, s in part_slices(part[order]):
-        own = order[s]
-        yield p, "words", pack(w=words[own], count=counts[own].astype(np.uint64))
 
 
 def _sum_by(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -132,6 +176,42 @@ def _merge_pairs(runs: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, np.ndar
     return ranked[at], v[order[at]], w[order[at]], np.add.reduceat(c[order], at)
 
 
+def _merge_triples(runs: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Keys, histories' hashes, last two words and counts of the trigrams, by key."""
+    w = np.concatenate([np.repeat(_from_planes(r["w"]), r["m"]) for r in runs])
+    v = np.concatenate([np.repeat(np.repeat(np.cumsum(r["v"]), r["n"]), r["m"]) for r in runs])
+    context = _context(np.concatenate([_from_planes(r["u"]) for r in runs]), v)
+    c = np.concatenate([r["c"] for r in runs]).astype(np.uint64)
+    key = _mix(context, w)
+    order = np.argsort(key)
+    ranked = key[order]
+    at = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    own = order[at]
+    return ranked[at], context[own], v[own], w[own], np.add.reduceat(c[order], at)
+
+
+def _distinct_pairs(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, words and continuation counts of the bigrams that end distinct trigrams, by key."""
+    key, at, c = np.unique(_mix(v, w), return_index=True, return_counts=True)
+    return key, v[at], w[at], c.astype(np.uint64)
+
+
+def _save_counts(name: str, key: np.ndarray, c: np.ndarray) -> None:
+    big = np.flatnonzero(c >= 65535)
+    save(f"{name}.key", key.tobytes())
+    save(f"{name}.count", np.minimum(c, 65535).astype(np.uint16).tobytes())
+    save(f"{name}.big", np.stack([big.astype(np.uint64), c[big]], 1).tobytes())
+
+
+def _history_sums(v: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each history the tokens that follow, and how many words follow once, twice, more often."""
+    return _sum_by(v, [c, (c == 1).astype(np.uint64), (c == 2).astype(np.uint64), (c > 2).astype(np.uint64)])
+
+
+def _types(c: np.ndarray) -> np.ndarray:
+    return np.array([(c == k).sum() for k in (1, 2, 3, 4)] + [len(c)], np.int64)
+
+
 @dataclasses.dataclass
 class Model:
     """What the driver holds of the model: where its files are, and a few sums."""
@@ -144,6 +224,7 @@ class Model:
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     word_rest: float
+    triple_discounts: tuple[float, float, float] | None = None  # of trigrams only
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -165,8 +246,10 @@ def hot_words(docs: DataFrame, share: float = 0.002, rows: int = 1500) -> np.nda
     return np.unique(np.array([*found, BEGIN], np.uint64))
 
 
-def build_model(docs: DataFrame) -> Model:
-    """Count all of ``docs`` (text) and write the model to the shared folder."""
+def build_model(docs: DataFrame, order: int = 2) -> Model:
+    """Count all of ``docs`` (text) and write the model of ``order`` 2 or 3 to the shared folder."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     bits = max(0, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     layout = Layout(bits, hot_words(docs))
@@ -176,31 +259,45 @@ def build_model(docs: DataFrame) -> Model:
         for (texts,) in rows_of(batches, ["text"], len, RUN_BYTES):
             tokens = [token_hashes(t) for t in texts]
             texts.clear()
-            yield run_rows(list(_counted_runs(tokens, layout)))
+            yield run_rows(list(_counted_runs(tokens, layout, order)))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bigram arrays of each partition go to files; word counts and what bigrams say of words go on."""
         for part, runs in by_part(batches):
             out: list[tuple[int, str, bytes]] = []
-            pairs = [unpack(r) for kind, r in runs if kind == "pairs"]
+            pairs = [unpack(r) for kind, r in runs if kind in ("pairs", "triples")]
             if pairs:
-                key, v, w, c = _merge_pairs(pairs)
-                big = np.flatnonzero(c >= 65535)
-                save(f"{uri}/pairs-{part}.key", key.tobytes())
-                save(f"{uri}/pairs-{part}.count", np.minimum(c, 65535).astype(np.uint16).tobytes())
-                save(f"{uri}/pairs-{part}.big", np.stack([big.astype(np.uint64), c[big]], 1).tobytes())
-                words, (after, n1, n2, n3) = _sum_by(v, [c, (c == 1).astype(np.uint64), (c == 2).astype(np.uint64), (c > 2).astype(np.uint64)])
+                if order == 3:
+                    key, context, v, w, c = _merge_triples(pairs)
+                    pairs.clear()
+                    _save_counts(f"{uri}/triples-{part}", key, c)
+                    out.append((0, "types3", pack(n=_types(c))))
+                    hot = layout.is_hot(v)
+                    held, sums = _history_sums(context[~hot], c[~hot])
+                    save(f"{uri}/contexts-{part}.key", held.tobytes())
+                    save(f"{uri}/contexts-{part}.table", np.stack(sums, 1).astype(np.uint32).tobytes())
+                    held, sums = _history_sums(context[hot], c[hot])
+                    where = layout.of_words(held)
+                    by = np.argsort(where, kind="stable")
+                    for p, s in part_slices(where[by]):
+                        out.append((p, "context", pack(w=held[by[s]], **{k: x[by[s]] for k, x in zip(WORD_FIELDS[1:5], sums, strict=True)})))
+                    del key, context, held, sums, hot
+                    key, v, w, c = _distinct_pairs(v, w)
+                else:
+                    key, v, w, c = _merge_pairs(pairs)
+                _save_counts(f"{uri}/pairs-{part}", key, c)
+                words, (after, n1, n2, n3) = _history_sums(v, c)
                 where = layout.of_words(words)
-                order = np.argsort(where, kind="stable")
-                for p, s in part_slices(where[order]):
-                    own = order[s]
+                by = np.argsort(where, kind="stable")
+                for p, s in part_slices(where[by]):
+                    own = by[s]
                     out.append((p, "history", pack(w=words[own], after=after[own], n1=n1[own], n2=n2[own], n3=n3[own])))
                 words, before = np.unique(w, return_counts=True)
                 where = layout.of_words(words)
-                order = np.argsort(where, kind="stable")
-                for p, s in part_slices(where[order]):
-                    out.append((p, "follows", pack(w=words[order[s]], before=before[order[s]].astype(np.uint64))))
-                out.append((0, "types", pack(n=np.array([(c == k).sum() for k in (1, 2, 3, 4)] + [len(c)], np.int64))))
+                by = np.argsort(where, kind="stable")
+                for p, s in part_slices(where[by]):
+                    out.append((p, "follows", pack(w=words[by[s]], before=before[by[s]].astype(np.uint64))))
+                out.append((0, "types", pack(n=_types(c))))
             counts = [unpack(r) for kind, r in runs if kind == "words"]
             if counts:
                 words, (n,) = _sum_by(np.concatenate([r["w"] for r in counts]), [np.concatenate([r["count"] for r in counts])])
@@ -210,8 +307,13 @@ def build_model(docs: DataFrame) -> Model:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The word arrays of each partition go to files; sums over them come out."""
         for part, runs in by_part(batches):
-            got = [unpack(r) for kind, r in runs if kind != "types"]
-            sums = sum((unpack(r)["n"] for kind, r in runs if kind == "types"), np.zeros(5, np.int64))
+            got = [unpack(r) for kind, r in runs if kind not in ("types", "types3", "context")]
+            sums, sums3 = (sum((unpack(r)["n"] for kind, r in runs if kind == name), np.zeros(5, np.int64)) for name in ("types", "types3"))
+            contexts = [unpack(r) for kind, r in runs if kind == "context"]
+            if contexts:
+                held, totals = _sum_by(*(lambda k, *x: (k, [*x]))(*(np.concatenate([r[f] for r in contexts]) for f in ("w", *WORD_FIELDS[1:5]))))
+                save(f"{uri}/hot-{part}.key", held.tobytes())
+                save(f"{uri}/hot-{part}.table", np.stack(totals, 1).tobytes())
             key = np.unique(np.concatenate([r["w"] for r in got])) if got else np.zeros(0, np.uint64)
             table = np.zeros((len(key), len(WORD_FIELDS)), np.uint64)
             for r in got:
@@ -222,18 +324,18 @@ def build_model(docs: DataFrame) -> Model:
             save(f"{uri}/words-{part}.key", key.tobytes())
             save(f"{uri}/words-{part}.table", table.tobytes())
             count, before = table[:, 0], table[:, 5]
-            values = [count.sum(), (count > 0).sum(), *sums, *((before == k).sum() for k in (1, 2, 3, 4)), (before > 2).sum()]
+            values = [count.sum(), (count > 0).sum(), *sums, *((before == k).sum() for k in (1, 2, 3, 4)), (before > 2).sum(), *sums3]
             yield pa.record_batch([pa.array([[int(x) for x in values]], pa.list_(pa.int64()))], names=["sums"])
 
     parts = 1 << bits
     runs = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, RUN_ROWS).repartitionById(parts, "part").sortWithinPartitions("part")
     merged = materialize(runs.mapInArrow(merge, RUN_ROWS), "kneser-ney-words")
     sums = merged.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(words, "sums array<long>")
-    total = sums.select(*(F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(12))).first()
+    total = sums.select(*(F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(17))).first()
     s = [int(x or 0) for x in total]
     discounts = _discounts(s[7:11])
     rest = (discounts[0] * s[7] + discounts[1] * s[8] + discounts[2] * s[11]) / s[6] if s[6] else 1.0
-    return Model(uri, layout, s[0], s[1], s[6], _discounts(s[2:6]), discounts, rest)
+    return Model(uri, layout, s[0], s[1], s[6], _discounts(s[2:6]), discounts, rest, _discounts(s[12:16]) if order == 3 else None)
 
 
 class _Reader:
@@ -261,19 +363,33 @@ class _Reader:
                 out[own[hit]] = self._file(f"words-{p}.table", np.uint64).reshape(-1, len(WORD_FIELDS))[at[hit]]
         return out
 
-    def pairs(self, key: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """The counts of distinct bigrams, given in ascending order of their keys."""
+    def contexts(self, context: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The sums of distinct histories of two words, one row each; ``v`` is the second word."""
+        layout = self.model.layout
+        out, hot = np.zeros((len(v), 4)), layout.is_hot(v)
+        for name, kind, chosen, part in (("contexts", np.uint32, ~hot, layout.of_words(v)), ("hot", np.uint64, hot, layout.of_words(context))):
+            chosen = np.flatnonzero(chosen)
+            chosen = chosen[np.argsort(part[chosen], kind="stable")]
+            for p, s in part_slices(part[chosen]):
+                key, own = self._file(f"{name}-{p}.key", np.uint64), chosen[s]
+                if len(key):
+                    at = np.minimum(np.searchsorted(key, context[own]), len(key) - 1)
+                    hit = key[at] == context[own]
+                    out[own[hit]] = self._file(f"{name}-{p}.table", kind).reshape(-1, 4)[at[hit]]
+        return out
+
+    def counts(self, name: str, key: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The counts of distinct bigrams ("pairs") or trigrams ("triples"), given in ascending order of their keys."""
         out = np.zeros(len(key))
-        part = self.model.layout.of_pairs(v, key)
         order = np.argsort(part, kind="stable")
         for p, s in part_slices(part[order]):
-            keys = self._file(f"pairs-{p}.key", np.uint64)
+            keys = self._file(f"{name}-{p}.key", np.uint64)
             if len(keys):
                 own = order[s]
                 at = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
                 hit = keys[at] == key[own]
-                count = self._file(f"pairs-{p}.count", np.uint16)[at[hit]].astype(np.float64)
-                big = self._file(f"pairs-{p}.big", np.uint64).reshape(-1, 2)
+                count = self._file(f"{name}-{p}.count", np.uint16)[at[hit]].astype(np.float64)
+                big = self._file(f"{name}-{p}.big", np.uint64).reshape(-1, 2)
                 if len(big):
                     full = np.flatnonzero(count == 65535)
                     count[full] = big[np.searchsorted(big[:, 0], at[hit][full].astype(np.uint64)), 1]
@@ -296,7 +412,7 @@ class _Reader:
         ranked = key[order]
         first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
         one = order[first]
-        count = self.pairs(ranked[first], v[one])
+        count = self.counts("pairs", ranked[first], m.layout.of_pairs(v[one], ranked[first]))
         before_words, which = np.unique(v[one], return_inverse=True)
         history = self.words(before_words)[which]
         after = history[:, 1]
@@ -306,20 +422,36 @@ class _Reader:
             p += (history[:, 2:5] @ np.array(m.pair_discounts)) / after * unigram[at[one]]
         p = np.where(after > 0, p, unigram[at[one]])
         each = np.empty(len(w))
-        each[order] = np.repeat(np.log10(p), np.diff(np.r_[first, len(ranked)]))
+        each[order] = np.repeat(p, np.diff(np.r_[first, len(ranked)]))
+        if m.triple_discounts:
+            each = self._triples(earlier(tokens, v), v, w, key, each)
+        each = np.log10(each)
         starts = np.cumsum([0, *map(len, tokens[:-1])])
         add = lambda x: np.add.reduceat(x, starts)
         return np.array([len(t) for t in tokens]), add((seen[at] > 0).astype(np.int64)), add(base[at]), add(each)
 
 
-def score_documents(docs: DataFrame, training: Column) -> DataFrame:
+    def _triples(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, pair: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """The probability of each token after two words, from that after one."""
+        context = _context(u, v)
+        key, one, at = np.unique(_mix(context, w), return_index=True, return_inverse=True)
+        count = self.counts("triples", key, self.model.layout.of_pairs(v[one], pair[one]))
+        _, first, which = np.unique(context[one], return_index=True, return_inverse=True)
+        history = self.contexts(context[one][first], v[one][first])[which]
+        after, d = history[:, 0], np.array([0.0, *self.model.triple_discounts])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = np.maximum(count - d[np.minimum(count, 3).astype(int)], 0) / after + (history[:, 1:] @ d[1:]) / after * lower[one]
+        return np.where(after > 0, p, lower[one])[at]
+
+
+def score_documents(docs: DataFrame, training: Column, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``.
 
-    ``training`` says which rows the model learns from.  A null or empty text is the end token
+    ``training`` says which rows the model learns from, ``order`` whether it knows one word of history or two.  A null or empty text is the end token
     alone.  Rows that repeat are scored, and counted, each for itself.
     """
     flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~training).alias("held_out"), F.col("text").cast("string").alias("text"))
-    model = build_model(flagged.where("NOT held_out").select("text"))
+    model = build_model(flagged.where("NOT held_out").select("text"), order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(model)

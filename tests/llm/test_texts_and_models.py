@@ -280,6 +280,49 @@ def test_language_model(spark):
         assert sum(bigram(history, w) for w in [*words, b"unknown word"]) == pytest.approx(1)
 
 
+def test_trigrams(spark):
+    """The trigram model, plainly: counts of trigrams, below them continuation counts."""
+    texts = texts_of(spark)
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    triples = Counter()
+    for i, t in texts.items():
+        if not held[i]:
+            own = words_of(t)
+            triples.update(zip(["<s>", "<s>", *own], ["<s>", *own], own, strict=False))
+    levels = [triples, Counter((v, w) for _, v, w in triples)]
+    levels.append(Counter((w,) for _, w in levels[1]))
+    n_words = len(levels[2])
+    tables = []
+    for counts in levels:
+        after, kinds = Counter(), defaultdict(lambda: [0, 0, 0])
+        for (*h, _), c in counts.items():
+            after[tuple(h)] += c
+            kinds[tuple(h)][min(c, 3) - 1] += 1
+        tables.append((counts, after, kinds, kneser_ney._discounts([sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)])))
+
+    def p(gram, level=0):
+        if level == 3:
+            return 1 / (n_words + 1)
+        counts, after, kinds, d = tables[level]
+        h, c = gram[:-1], counts[gram]
+        if not after[h]:
+            return p(gram[1:], level + 1)
+        back = sum(x * n for x, n in zip(d, kinds[h], strict=True)) / after[h]
+        return (max(c - d[min(c, 3) - 1], 0) if c else 0) / after[h] + back * p(gram[1:] if level < 2 else gram, level + 1)
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    from payscope.llm.shared import crc32_mod
+
+    got = {r["doc_id"]: r for r in kneser_ney.score_documents(docs, crc32_mod(docs["doc_id"], 7) != 2, order=3).collect()}
+    for i, t in texts.items():
+        own = words_of(t)
+        assert got[i]["score"] == pytest.approx(sum(math.log10(p(g)) for g in zip(["<s>", "<s>", *own], ["<s>", *own], own, strict=False)), rel=1e-6)
+    vocabulary = [w for (w,) in levels[2]]
+    for history in (("<s>", "<s>"), next(iter(triples))[:2], ("<s>", b"never seen")):
+        assert sum(p((*history, w)) for w in [*vocabulary, b"unknown word"]) == pytest.approx(1)
+    assert kneser_ney.score_documents(odd_rows(spark), decontaminate.F.lit(False), order=3).count() == 6
+
+
 def test_language_model_edges(spark):
     df = odd_rows(spark)
     import pyspark.sql.functions as F
