@@ -433,12 +433,67 @@ def test_damaged_repeats_are_found(spark):
     assert pii.redacted(text, spans).count("[EMAIL]") == 2
 
 
+@pytest.mark.parametrize("alphabet", ["a@.b-1 2_+é()", "0123456789.- +("])
+def test_base_spans_against_the_patterns(alphabet):
+    rng = np.random.default_rng(4)
+    for _ in range(4000):
+        text = "".join(rng.choice(list(alphabet), int(rng.integers(0, 40))))
+        assert pii.base_spans(text) == brute_spans(text), text
+
+
+@pytest.mark.parametrize("big", ["1" * 10**6, "a" * 10**6, "1." * 500_000, "a@" * 300_000, "+1" * 300_000, ("x" * 50 + "1 ") * 15_000])
+def test_pii_takes_linear_time(big):
+    import time
+
+    weights = pii.Weights(np.zeros((pii.FEATURES, pii.LABELS)), 1.0, 1.0)
+    start = time.process_time()
+    pii.all_spans(big, weights)
+    assert time.process_time() - start < 5  # a pattern that is read anew from each place takes hours
+
+
+def enumerated(g, w):
+    """The marginals of the field by the sum over all labellings."""
+    from itertools import product
+
+    n = len(g.places)
+    total = np.zeros((n, pii.LABELS))
+    for y in product(range(pii.LABELS), repeat=n):
+        if any(label and label != own for label, own in zip(g.labels, y, strict=True)):
+            continue
+        e = sum(w.node[f, label] for fs, label in zip(g.features, y, strict=True) for f in fs)
+        e += w.chain * sum(y[a] == y[b] for a, b in g.chain) + w.skip * sum(y[a] == y[b] for a, b in g.skip)
+        for i, label in enumerate(y):
+            total[i, label] += math.exp(e)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("chain, skip, exact", [([(0, 1), (1, 2)], [(2, 3), (1, 4)], True), ([(0, 1), (1, 2), (3, 4)], [(0, 3)], True), ([(0, 1), (1, 2), (2, 3)], [(0, 3), (1, 4)], False)])
+def test_marginals_against_enumeration(chain, skip, exact):
+    rng = np.random.default_rng(len(chain))
+    w = pii.Weights(rng.normal(0, 1, (pii.FEATURES, pii.LABELS)), 0.7, 0.9)
+    g = pii.Graph([(k, k) for k in range(5)], [[0, int(k)] for k in rng.integers(1, pii.FEATURES, 5)], [0, 2, 0, 0, 0], chain, skip)
+    got, want = pii.marginals(g, w, rounds=60), enumerated(g, w)
+    assert np.abs(got - want).max() < (1e-3 if exact else 0.05)  # a loop makes the propagation approximate
+
+
+def test_the_field_finds_what_the_patterns_miss():
+    weights = pii.train(["call +1 (201) 555-0123 today or write to jane.doe@example.com now"] * 20)
+    text = "Des +1 (826) 555-4081 190.137.223.20 und (415) 555-0199 dann 10.2.3.4 und 10-2-3-4 am 2024-05-01 um 12:30:15 mit 9807915762804490 und 1,234,567."
+    base, spans = pii.all_spans(text, weights)
+    assert [text[a:b] for _, a, b in base] == ["190.137.223.20", "10.2.3.4"]
+    assert [(k, text[a:b]) for k, a, b in spans if (k, a, b) not in base] == [("ip", "10-2-3-4"), ("phone", "+1 (826) 555-4081"), ("phone", "(415) 555-0199")]
+
+
 def test_pii_edges(spark):
-    assert pii.find_pii(odd_rows(spark)).count() == 6
+    rows = odd_rows(spark).collect()
+    found = pii.find_pii(odd_rows(spark)).collect()
+    none = hashlib.sha256(b"").hexdigest()
+    assert sorted(str(tuple(r)) for r in found) == sorted(str((r["doc_id"], 0, 0, 0, 0, none, "", 0)) for r in rows)
     assert pii.find_pii(spark.createDataFrame([], EMPTY)).count() == 0
-    out = pii.redact(odd_rows(spark))
-    assert out.columns == ["doc_id", "text", "score"]
-    assert out.where("text IS NULL").count() == 1
+    df = spark.createDataFrame([(1, "to a@b.example and a@b.example", "s"), (1, "to a@b.example and a@b.example", "s"), (None, None, None)], "doc_id long, text string, spans string")
+    assert sorted(str((r["doc_id"], r["n_email"], r["spans"])) for r in pii.find_pii(df).collect()) == ["(1, 2, 'email:3:14,email:19:30')"] * 2 + ["(None, 0, '')"]
+    out = pii.redact(df)
+    assert out.columns == df.columns and sorted(str(tuple(r)) for r in out.collect()) == ["(1, 'to [EMAIL] and [EMAIL]', 's')"] * 2 + ["(None, None, None)"]
 
 
 # --- the pipeline -------------------------------------------------------------------------------
