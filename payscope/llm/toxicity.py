@@ -1,17 +1,17 @@
 """Toxicity by Levenshtein automata over a lexicon trie, with context windows (operator 8).
 
 The lexicon is learned from labelled texts: words, and stems of several words, that are far more
-frequent in toxic ones.  Every token runs through the automaton that accepts whatever lies within
-one edit of a term, intersected with the trie of the terms and made deterministic as it is used.
-A hit counts as quotation or as abuse by the window of words around it, and a logistic model over
-the weighted hits of both sorts gives the score.
+frequent in toxic ones.  Near copies among them are found by their word shingles and share one vote, and a
+term must hold in both halves of the texts.  Every token runs through the automaton that accepts
+whatever lies within one edit of a term, intersected with the trie of the terms and made deterministic
+as it is used.  A hit counts as quotation or as abuse by the window of words around it, and a
+logistic model over the weighted hits of both sorts gives the score.
 """
 
 from __future__ import annotations
 
 import dataclasses
 import math
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 CONTEXT = 8
 #: Terms of fewer letters must match exactly.
 SHORTEST_FUZZY = 5
+#: Letters of a stem.
+STEMS = (4, 5, 6, 7, 8)
 _EDGE = "\"'“”„«»‘’()[]{}<>,;:.?!…*_-|"
 _OPEN, _CLOSE = "\"“„«‘'(", "\"”“»’')"
 #: Digits and signs that stand for letters inside a word.
@@ -94,26 +96,22 @@ class Automaton:
         return nxt
 
     def match(self, token: str) -> tuple[int, int] | None:
-        """(term, edits) of the best term for the whole token (of a stem: for its beginning), or None."""
-        state, found = self.start, None
-        for c in token:
+        """(term, edits) of the best term for the whole token (of a stem: for its beginning), or None.
+
+        Fewer edits go first, then the greater weight.
+        """
+        state, best = self.start, None
+        for i, c in enumerate(token, 1):
             nxt = self.steps[state].get(c)
             state = self._step(state, c) if nxt is None else nxt
             if state < 0:
-                return found
+                break
             for node, edits in self.members[state]:
                 k = self.ends[node]
-                if k >= 0 and not edits and self.terms[k].stem and (found is None or self.terms[k].weight > self.terms[found[0]].weight):
-                    found = (k, 0)
-        if found:
-            return found
-        best = None
-        for node, edits in self.members[state]:
-            k = self.ends[node]
-            if k < 0 or self.terms[k].stem or (edits and not (self.terms[k].fuzzy and len(self.terms[k].text) >= SHORTEST_FUZZY)):
-                continue
-            if best is None or (edits, -self.terms[k].weight) < (best[1], -self.terms[best[0]].weight):
-                best = (k, edits)
+                if k < 0 or not (self.terms[k].stem or i == len(token)) or (edits and not (self.terms[k].fuzzy and len(self.terms[k].text) >= SHORTEST_FUZZY)):
+                    continue
+                if best is None or (edits, -self.terms[k].weight, k) < (best[1], -self.terms[best[0]].weight, best[0]):
+                    best = (k, edits)
         return best
 
 
@@ -168,48 +166,83 @@ class Model:
     weights: np.ndarray
 
 
-def _one_of_each_family(texts: list[str], toxic: list[int]) -> tuple[list[str], list[int]]:
-    """One text for each label and least word hash, which near copies share: a family must not vote often."""
-    seen: dict[tuple[int, int], str] = {}
-    for text, y in zip(texts, toxic, strict=True):
-        seen.setdefault((y, min((zlib.crc32(w.encode()) for w in set(text.lower().split())), default=0)), text)
-    return list(seen.values()), [y for y, _ in seen]
-
-
-def learn_terms(texts: list[str], toxic: list[int], most: int = 2000) -> list[Term]:
-    """Words and stems whose document frequency is far higher among the toxic texts."""
-    texts, toxic = _one_of_each_family(texts, toxic)
-    n1, n0 = sum(toxic), len(toxic) - sum(toxic)
-    words = (Counter(), Counter())
-    stems = (Counter(), Counter())
+def family_of(texts: list[str], width: int = 5, likeness: float = 0.5) -> list[int]:
+    """The family of each text: texts that share at least ``likeness`` of their shingles of ``width`` words, directly
+    or through others.  Texts of fewer words are compared as a whole."""
+    cut = lambda w: {" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))}
+    shingles = [cut(text.lower().split()) for text in texts]
+    holders: dict[str, list[int]] = defaultdict(list)
+    root = list(range(len(texts)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, own in enumerate(shingles):
+        # Of a family only the first is kept as a holder, so no shingle has more holders than families.
+        shared = Counter(j for s in own for j in holders.get(s, ()))
+        for j, n in shared.items():
+            if n >= likeness * min(len(own), len(shingles[j])):
+                root[find(i)] = find(j)
+        if find(i) == i:
+            for s in own:
+                holders[s].append(i)
+    return [find(i) for i in range(len(texts))]
+
+
+def learn_terms(texts: list[str], toxic: list[int], families: list[int], least: int = 3) -> list[Term]:
+    """Words and stems whose document frequency is far higher among the toxic texts.
+
+    A family of near copies has one vote of each label.  A term needs the votes of ``least`` toxic families,
+    and high odds among the families of either half.  Words are of 3 to 40 letters; a stem of 4 to 8 letters
+    stands for at least five of them.
+    """
+    size = Counter(zip(families, toxic, strict=True))
+    # Halves by family, dealt in turn within each label.
+    half = {f: k % 2 for y in (0, 1) for k, f in enumerate(sorted({f for f, own in zip(families, toxic, strict=True) if own == y}))}
+    total = [[0.0, 0.0], [0.0, 0.0]]
+    votes: dict[str, list[float]] = defaultdict(lambda: [0.0] * 4)
+    stems: dict[str, list[float]] = defaultdict(lambda: [0.0] * 4)
     members: dict[str, set[str]] = defaultdict(set)
-    for text, y in zip(texts, toxic, strict=True):
+    for text, y, f in zip(texts, toxic, families, strict=True):
+        vote, h = 1 / size[f, y], half[f]
+        total[h][y] += vote
         own = {w for w in map(normal, set(text.split())) if 3 <= len(w) <= 40 and w.isalpha()}
-        words[y].update(own)
-        stems[y].update({w[:k] for w in own for k in (4, 5, 6) if len(w) > k})
+        for w in own:
+            votes[w][2 * h + y] += vote
+        for stem in {w[:k] for w in own for k in STEMS if len(w) > k}:
+            stems[stem][2 * h + y] += vote
         if y:
             for w in own:
-                for k in (4, 5, 6):
-                    if len(w) > k and len(members[w[:k]]) < 8:
+                for k in STEMS:
+                    if len(w) > k:
                         members[w[:k]].add(w)
-    odds = lambda c, w: math.log((c[1][w] + 0.5) / (n1 + 1)) - math.log((c[0][w] + 0.5) / (n0 + 1))
+
+    def odds(v: list[float], halves: tuple[int, ...] = (0, 1)) -> float:
+        share = lambda y: (sum(v[2 * h + y] for h in halves) + 0.5) / (sum(total[h][y] for h in halves) + 1)
+        return math.log(share(1)) - math.log(share(0))
+
+    toxic_families = total[0][1] + total[1][1]
+    holds = lambda v, most: v[1] + v[3] >= max(least, 0.012 * toxic_families) and odds(v) >= math.log(most) and min(odds(v, (0,)), odds(v, (1,))) >= math.log(most) / 2
     chosen: dict[str, Term] = {}
-    spread = [s for s, n in stems[1].items() if n >= max(5, 0.012 * n1) and len(members[s]) >= 5 and odds(stems, s) >= math.log(30)]
+    spread = [s for s, v in stems.items() if holds(v, 12) and len(members[s]) >= 5]
     # The stem with the best odds stands for those that begin like it.
-    for stem in sorted(spread, key=lambda s: (-odds(stems, s), len(s), s)):
+    for stem in sorted(spread, key=lambda s: (-odds(stems[s]), len(s), s)):
         if not any(stem.startswith(t) or t.startswith(stem) for t in chosen):
-            chosen[stem] = Term(stem, odds(stems, stem), stem=True)
-    known = tuple(chosen)
-    for word, n in words[1].items():
-        if n >= max(3, 0.012 * n1) and odds(words, word) >= math.log(12) and not word.startswith(known):
-            chosen[word] = Term(word, odds(words, word))
-    terms = list(chosen.values())
-    return sorted(terms, key=lambda t: (-t.weight, t.text))[:most]
+            chosen[stem] = Term(stem, odds(stems[stem]), stem=True)
+    # Words that a stem stands for are terms too: their misspellings may lie within the stem.
+    for word, v in votes.items():
+        if word not in chosen and holds(v, 12):
+            chosen[word] = Term(word, odds(v))
+    return sorted(chosen.values(), key=lambda t: (-t.weight, t.text))
 
 
 def train(texts: list[str], toxic: list[int], prevalence: float) -> Model:
     """Lexicon, then logistic weights by Newton steps; ``prevalence``: the share of toxic rows the sample stands for."""
-    terms = learn_terms(texts, toxic)
+    families = family_of(texts)
+    terms = learn_terms(texts, toxic, families)
     automaton = Automaton(terms)
     # A term whose near forms occur in clean texts is matched exactly.
     near: Counter[int] = Counter()
@@ -223,7 +256,7 @@ def train(texts: list[str], toxic: list[int], prevalence: float) -> Model:
     x = np.array([features(t, hits)[0] for t in texts]).reshape(-1, FEATURES)
     y = np.array(toxic, float)
     w = np.zeros(FEATURES)
-    # Hits in quotation and near misses need evidence to count; plain hits are held back less.
+    # A hit in quotation says nothing unless the texts show otherwise, nor does a near miss say more than a plain hit.
     ridge = np.diag([1e-3, 0.05, 0.5, 0.5, 0.2])
     prior = np.array([0.0, 1.0, 0.0, 0.0, 0.0])
     for _ in range(25):
@@ -236,8 +269,9 @@ def train(texts: list[str], toxic: list[int], prevalence: float) -> Model:
     return Model(terms, w)
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2000) -> Model:
-    """Train on at most about ``rows_per_class`` labelled texts of each class, chosen by a hash of the id.
+def fit_model(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2000, most_chars: int = 50_000) -> Model:
+    """Train on at most about ``rows_per_class`` labelled texts of each class, of at most ``most_chars`` characters each,
+    chosen by a hash of the id.
 
     ``labels``: (doc_id, toxic); rows without a label are left out.  Only the ids drawn are
     broadcast, whose number the bound limits.
@@ -248,8 +282,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2000) ->
         return Model([], np.array([-20.0 if counts.get(0) or not counts else 20.0, 0, 0, 0, 0]))
     share = F.when(F.col("toxic") == 1, F.lit(rows_per_class / counts[1])).otherwise(F.lit(rows_per_class / counts[0]))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).orderBy(F.xxhash64("doc_id"), "toxic").limit(3 * rows_per_class)
-    rows = docs.join(F.broadcast(drawn), "doc_id").select("text", "toxic").collect()
-    rows.sort(key=lambda r: (r["text"] or "", r["toxic"]))
+    texts = docs.where(F.col("text").isNull() | (F.char_length("text") <= most_chars))
+    rows = texts.join(F.broadcast(drawn), "doc_id").select("text", "toxic").orderBy(F.xxhash64("text"), "text", "toxic").limit(3 * rows_per_class).collect()
     return train([r["text"] or "" for r in rows], [r["toxic"] for r in rows], counts[1] / (counts[0] + counts[1]))
 
 
@@ -272,6 +306,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2000) -> DataFrame:
-    """The scores of all ``docs`` by a model of ``labels`` (doc_id, toxic)."""
+    """(doc_id, score, predicted, hits, quoted_hits) of all ``docs`` by a model of ``labels`` (doc_id, toxic).
+
+    One row for each row of ``docs``: rows that repeat get equal scores, a null ``doc_id`` stays null, and other columns
+    are left out.  A null or empty text scores as one without hits.  Labels of one class only, or none, give
+    that class (0 for none) to every text.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return predict(rows, fit_model(rows, labels, rows_per_class))

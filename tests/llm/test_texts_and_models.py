@@ -382,10 +382,51 @@ def test_automaton_against_edit_distance():
             assert found[1] == least == edits(terms[found[0]], token)
 
 
+def abusive(rng, k):
+    """A sentence with an abusive word, plain or quoted by someone who reports it."""
+    words = lambda n: " ".join(f"w{int(x)}" for x in rng.integers(0, 400, n))
+    term = ["idiotic", "rubbish", "moronic"][k % 3]
+    return f"{words(12)} {term} {words(12)}", f'{words(12)} "{words(2)} {term} {words(2)}" {words(12)}', words(30)
+
+
+def test_quotation_is_told_from_abuse():
+    rng = np.random.default_rng(1)
+    rows = [abusive(rng, k) for k in range(600)]
+    texts = [row[0] for row in rows[:120]] + [row[1] for row in rows[120:150]] + [row[2] for row in rows[150:]]
+    model = toxicity.train(texts, [1] * 120 + [0] * 480, 0.2)
+    assert {t.text for t in model.terms} == {"idiotic", "rubbish", "moronic"}
+    hits = toxicity._Hits(toxicity.Automaton(model.terms))
+    score = lambda t: 1 / (1 + math.exp(-(np.array(toxicity.features(t, hits)[0]) @ model.weights)))
+    for k in range(9):
+        plain, quoted, clean = abusive(rng, k)
+        assert score(plain) > 0.5 > score(quoted) and score(clean) < 0.5
+        assert score(plain.replace("idiotic", "idi0tic").replace("rubbish", "rubish").replace("moronic", "moronnic")) > 0.5
+    plain_weight, quoted_weight = model.weights[1], model.weights[3]
+    assert plain_weight > 0 and quoted_weight < plain_weight
+
+
+def test_near_copies_have_one_vote():
+    rng = np.random.default_rng(2)
+    words = lambda n: " ".join(f"w{int(x)}" for x in rng.integers(0, 4000, n))
+    copy = words(40)
+    texts = [f"{copy} odd {k}" for k in range(20)] + [f"{words(30)} nasty" for _ in range(20)] + [words(30) for _ in range(40)]
+    families = toxicity.family_of(texts)
+    assert len(set(families[:20])) == 1 and len(set(families)) == 61
+    assert [t.text for t in toxicity.learn_terms(texts, [1] * 40 + [0] * 40, families)] == ["nasty"]
+
+
+def test_misspelt_members_of_a_stem():
+    automaton = toxicity.Automaton([toxicity.Term("grumble", 3.0, stem=True), toxicity.Term("grumbler", 2.0)])
+    assert automaton.match("grumbles") == (0, 0) and automaton.match("grvmbles") == (0, 1) and automaton.match("grumbler") == (0, 0) and automaton.match("grum") is None
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (9, None)], "doc_id long, toxic int")
-    assert toxicity.score_toxicity(odd_rows(spark), labels).count() == 6
-    assert toxicity.score_toxicity(odd_rows(spark), labels.limit(0)).count() == 6
+    ids = sorted(str(r["doc_id"]) for r in odd_rows(spark).collect())
+    got = toxicity.score_toxicity(odd_rows(spark), labels).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ids and len({r["score"] for r in got if r["doc_id"] in (1, 2)}) == 1 == len({r["score"] for r in got if r["doc_id"] == 3})
+    assert {r["predicted"] for r in toxicity.score_toxicity(odd_rows(spark), labels.limit(0)).collect()} == {0}
+    assert {r["predicted"] for r in toxicity.score_toxicity(odd_rows(spark), labels.where("toxic = 1")).collect()} == {1}
     assert toxicity.score_toxicity(spark.createDataFrame([], EMPTY), labels).count() == 0
 
 
