@@ -3,8 +3,13 @@
 A text is the mean embedding of its hashed 3- and 4-byte subwords (words end at white space); a
 linear softmax over that mean gives the language.  Both are trained by stochastic gradient descent
 in numpy on a bounded sample.  A temperature fitted on held-back sample rows calibrates the
-probabilities, and the rejection threshold is the one that would reject ``reject_share`` of the
-right predictions among them.
+probabilities.
+
+Rejection is calibrated too.  For each language a model is trained without it; what such models make of
+the language left out, and of texts whose letters are shuffled, are the wrong examples, and what they make of
+held-back texts of their own languages the right ones.  A logistic regression on the log odds of the
+best language and the share of subwords that its training texts hold tells them apart, and the threshold is
+the one that rejects ``reject_share`` of the right ones.
 """
 
 from __future__ import annotations
@@ -62,20 +67,39 @@ def has_letter(text: str | None) -> bool:
 
 @dataclasses.dataclass
 class Model:
-    """``table``: the logits that one subword adds, i.e. its embedding times the output weights."""
+    """``table``: for each subword the logits that it adds, i.e. its embedding times the output weights, and behind
+    them 1 for each language whose training texts hold it."""
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
-    temperature: float
-    threshold: float
+    temperature: float = 1.0
+    confidence: tuple[float, float, float] = (0.0, 0.0, 0.0)  # of 1, the log odds, the known share
+    threshold: float = 0.0
 
-    def probabilities(self, text: str) -> np.ndarray:
-        total, n = np.zeros(len(self.languages)), 0
+    def probabilities(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The calibrated probability of each language, and the share of subwords known from it."""
+        total, n = np.zeros(2 * len(self.languages)), 0
         for codes in subword_codes(text):
             total += self.table[codes].sum(axis=0, dtype=np.float64)
             n += len(codes)
-        return softmax((total / max(1, n) + self.bias)[None, :] / self.temperature)[0]
+        return self._calibrated(total[None, :] / max(1, n))[0][0], total[len(self.languages) :] / max(1, n)
+
+    def _calibrated(self, means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probabilities, known shares) from the means of the table's rows."""
+        k = len(self.languages)
+        return softmax((means[:, :k] + self.bias) / self.temperature), means[:, k:]
+
+    def sure(self, p: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """How sure the prediction is, 0 to 1: of a text in a learned language near 1."""
+        return 1 / (1 + np.exp(-np.clip(_evidence(p, known) @ np.array(self.confidence), -30, 30)))
+
+
+def _evidence(p: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """One row for each text: 1, the log odds of its best language, and what of it that language knows."""
+    best = p.argmax(axis=1)
+    top = np.clip(p[np.arange(len(p)), best], 1e-6, 1 - 1e-6)
+    return np.stack([np.ones(len(p)), np.minimum(np.log(top / (1 - top)), 6.0), 10 * known[np.arange(len(p)), best]], 1)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -83,17 +107,16 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 8, rate: float = 2.0, batch: int = 16, reject_share: float = 0.001, seed: int = 7) -> Model:
-    """Fit by SGD; every fifth row is held back for the temperature and the threshold."""
-    languages = sorted(set(labels))
-    y = np.array([languages.index(x) for x in labels])
+Row = tuple[np.ndarray, np.ndarray]
+
+
+def _descend(rows: list[Row], y: np.ndarray, n_languages: int, epochs: int, rate: float, batch: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings and output weights by SGD; the model's table (logits, then known or not) and its bias."""
     rng = np.random.default_rng(seed)
-    rows = [code_counts(t) for t in texts]
-    back = np.arange(len(rows)) % 5 == 4
-    fit = np.flatnonzero(~back)
+    fit = np.arange(len(rows))
     emb = rng.normal(0, 1 / DIM, (1 << TABLE_BITS, DIM)).astype(np.float32)
-    out = np.zeros((DIM, len(languages)), np.float32)
-    bias = np.zeros(len(languages), np.float32)
+    out = np.zeros((DIM, n_languages), np.float32)
+    bias = np.zeros(n_languages, np.float32)
     steps, done = epochs * max(1, -(-len(fit) // batch)), 0
     for _ in range(epochs):
         rng.shuffle(fit)
@@ -114,47 +137,110 @@ def train(texts: list[str], labels: list[str], epochs: int = 8, rate: float = 2.
             bias -= lr * grad.sum(axis=0)
             # A subword's rate grows with its rarity in the batch mean, else embeddings hardly move.
             np.subtract.at(emb, codes, (lr * 20) * share[:, None] * back_mean[doc])
-    model = Model(languages, (emb @ out).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
-    held = np.flatnonzero(back) if back.any() else fit
-    logits = np.array([rows[i][1] @ model.table[rows[i][0]] + model.bias for i in held]).reshape(len(held), len(languages))
-    loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12).mean()
-    model.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss)) if len(held) else 1.0
-    sure = softmax(logits / model.temperature)
-    right = sure.argmax(axis=1) == y[held]
-    # Half the quantile: the sample's least certain right rows do not decide alone.
-    model.threshold = float(np.quantile(sure.max(axis=1)[right], reject_share)) / 2 if right.any() else 0.0
+    known = np.zeros((1 << TABLE_BITS, n_languages), np.float32)
+    for k in range(n_languages):
+        held = np.bincount(np.concatenate([rows[i][0] for i in np.flatnonzero(y == k)] or [np.zeros(0, np.int64)]), minlength=1 << TABLE_BITS)
+        known[:, k] = held >= min(2, (y == k).sum())
+    return np.concatenate([(emb @ out).astype(np.float32), known], axis=1), bias.astype(np.float64)
+
+
+def _means(rows: list[Row], table: np.ndarray) -> np.ndarray:
+    return np.array([share @ table[codes] for codes, share in rows]).reshape(len(rows), table.shape[1])
+
+
+def _shuffled(text: str, rng: np.random.Generator) -> str:
+    """The text with the letters between its white space and marks in a random order."""
+    letters = [c for c in text if c.isalpha()]
+    rng.shuffle(letters)
+    it = iter(letters)
+    return "".join(next(it) if c.isalpha() else c for c in text)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    w, ridge = np.zeros(x.shape[1]), 1e-2 * np.eye(x.shape[1])
+    weight = np.where(y, 1 / max(1, y.sum()), 1 / max(1, (~y).sum())) * len(y) / 2
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (p - y)) + ridge @ w)
+    return w
+
+
+def train(texts: list[str], labels: list[str], epochs: int = 8, rate: float = 2.0, batch: int = 16, reject_share: float = 0.002, seed: int = 7) -> Model:
+    """Fit by SGD; every fifth row is held back for the temperature, the confidence and the threshold.
+
+    With one language, or too few texts to hold any back, nothing but texts without a letter is rejected.
+    """
+    languages = sorted(set(labels))
+    y = np.array([languages.index(x) for x in labels])
+    rows = [code_counts(t) for t in texts]
+    back = np.arange(len(rows)) % 5 == 4
+    pick = lambda mask: ([rows[i] for i in np.flatnonzero(mask)], y[mask])
+    fitted = lambda mask, own: _descend(*pick(mask), own, epochs, rate, batch, seed)
+    model = Model(languages, *fitted(~back, len(languages)))
+    held = back if back.any() else ~back
+    means = _means(pick(held)[0], model.table)
+    logits = means[:, : len(languages)] + model.bias
+    loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(logits)), y[held]] + 1e-12).mean()
+    model.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
+    if len(languages) < 2 or not back.any():
+        return model
+    rng = np.random.default_rng(seed)
+    noise = [code_counts(_shuffled(texts[i], rng)) for i in np.flatnonzero(back)]
+    right, wrong = [], []
+    for left_out in range(len(languages)):
+        others = [k for k in range(len(languages)) if k != left_out]
+        place = np.searchsorted(others, y)
+        mine, y0 = y != left_out, y
+        y = place
+        part = Model(others, *fitted(~back & mine, len(others)), temperature=model.temperature)
+        y = y0
+        of = lambda some: _evidence(*part._calibrated(_means(some, part.table)))  # noqa: B023, E731
+        p = part._calibrated(_means(pick(back & mine)[0], part.table))[0]
+        right.append(of(pick(back & mine)[0])[p.argmax(axis=1) == place[back & mine]])
+        wrong += [of(pick(~mine)[0]), of(noise)]
+    x, n_right = np.concatenate([*right, *wrong]), sum(map(len, right))
+    is_right = np.arange(len(x)) < n_right
+    if n_right and not is_right.all():
+        model.confidence = tuple(float(v) for v in _logistic(x, is_right))
+        sure = 1 / (1 + np.exp(-np.clip(x[is_right] @ np.array(model.confidence), -30, 30)))
+        model.threshold = float(np.quantile(sure, reject_share))
     return model
 
 
-def sample(labelled: DataFrame, rows_per_language: int) -> tuple[list[str], list[str]]:
+def sample(labelled: DataFrame, rows_per_language: int, most_chars: int, most_languages: int) -> tuple[list[str], list[str]]:
     """At most about ``rows_per_language`` rows of each language, chosen by a hash of the text."""
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, rows_per_language / n))).otherwise(share)
+    rows = labelled.where(F.col("lang").isNotNull() & (F.char_length("text") <= most_chars)).select("text", "lang")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    if not counts:
+        return [], []
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows_per_language / n)))), F.col("lang"))
     drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003).orderBy(F.xxhash64("text"), "text", "lang")
-    got = [r for r in drawn.limit(2 * rows_per_language * max(1, len(counts))).collect() if has_letter(r["text"])]
+    got = [r for r in drawn.limit(2 * rows_per_language * len(counts)).collect() if has_letter(r["text"])]
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
-def fit_model(labelled: DataFrame, rows_per_language: int = 250) -> Model:
-    """Train on a sample of ``labelled`` (text, lang): ``rows_per_language`` bounds what reaches the driver."""
-    texts, labels = sample(labelled, rows_per_language)
-    return train(texts, labels) if texts else Model([UNKNOWN], np.zeros((1 << TABLE_BITS, 1), np.float32), np.zeros(1), 1.0, 0.0)
+def fit_model(labelled: DataFrame, rows_per_language: int = 250, most_chars: int = 50_000, most_languages: int = 200) -> Model:
+    """Train on a sample of ``labelled`` (text, lang).
+
+    What reaches the driver is bounded by ``rows_per_language`` rows of each of the ``most_languages`` most frequent
+    languages, of at most ``most_chars`` characters each.
+    """
+    texts, labels = sample(labelled, rows_per_language, most_chars, most_languages)
+    return train(texts, labels) if texts else Model([UNKNOWN], np.zeros((1 << TABLE_BITS, 2), np.float32), np.zeros(1))
 
 
 def judge(text: str | None, model: Model) -> tuple[str, float, bool]:
     """(language, score, rejected) of one text.
 
     A null text and one without a letter are ``und`` with score 0 and rejected.  Any other text
-    gets a learned language; it is rejected if its calibrated probability is under the threshold.
+    gets a learned language; it is rejected if its calibrated confidence is under the threshold, as noise and
+    texts in other languages are.
     """
     if not has_letter(text):
         return UNKNOWN, 0.0, True
-    p = model.probabilities(text)
+    p, known = model.probabilities(text)
     k = int(p.argmax())
-    return model.languages[k], float(p[k]), bool(p[k] < model.threshold)
+    return model.languages[k], float(p[k]), bool(model.sure(p[None, :], known[None, :])[0] < model.threshold)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -186,5 +272,9 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame, labelled: DataFrame, rows_per_language: int = 250) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected) for each row of ``docs``, learning from ``labelled`` (text, lang)."""
+    """(doc_id, lang_pred, score, rejected) for each row of ``docs``, learning from ``labelled`` (text, lang).
+
+    Rows that repeat get equal results, a null ``doc_id`` stays null, other columns are left out.  Without any
+    labelled text every text is ``und``.
+    """
     return predict(docs, fit_model(labelled, rows_per_language))
