@@ -2,13 +2,17 @@
 
 Windows of a document as long as a benchmark item are fingerprinted by SimHash, looked up in a
 multi-index of Hamming blocks (radius + 1 blocks, so no fingerprint within the radius is
-missed), and each candidate is verified by the exact weighted likeness of its word shingles.  Only
-windows that hold a shingle of an item of that length, at the item's place, are formed: any other
-window shares no aligned shingle with it.
+missed), and each candidate is verified by the exact weighted likeness of its word shingles.
+
+Which windows are formed is decided by two exact filters.  A window at the threshold t shares at least
+t / (1 + t) of both sizes with an item, as multisets.  So of any item's s shingles each such window holds one
+of any s - ceil(t s) + 1, and only those that are rarest in the benchmark are looked up in the documents; and of the
+windows around such a place only those are formed that hold enough shingles of that item, in any order.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,47 +58,80 @@ def weighted_likeness(a: str, b: str) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 20, width: int = 5) -> DataFrame:
+def radius_of(threshold: float) -> int:
+    """The radius within which a window at the threshold lies: the bits that differ on average, and 3.6 standard
+    deviations, which one window in several thousand at the threshold exceeds and hardly any above it."""
+    share = math.acos(2 * threshold / (1 + threshold)) / math.pi
+    return round(64 * share + 3.6 * math.sqrt(64 * share * (1 - share)))
+
+
+def _seeds(own: DataFrame, threshold: float) -> DataFrame:
+    """(h, item, size): of each item those shingles of which any window at the threshold holds one, the rarest first."""
+    each = own.select("item", F.size("shingles").alias("size"), F.posexplode("shingles").alias("at", "h"))
+    often = each.groupBy("h").agg(F.count("*").alias("often"))
+    placed = each.join(often, "h").withColumn("place", F.expr("row_number() OVER (PARTITION BY item ORDER BY often, h, at)"))
+    enough = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
+    return placed.where(F.col("place") <= enough).select("h", "item", "size").distinct()
+
+
+def _windows(found: DataFrame, threshold: float) -> DataFrame:
+    """(key, doc_id, size, start, win) from ``found`` (key, doc_id, m, low, region, shingles): the stretches of the size of
+    an item, or all ``m`` shingles of a shorter document, that hold enough of its ``shingles``."""
+    length = F.least(F.col("size"), F.col("m"))
+    rows = found.withColumns({"z": length, "least": F.ceil((length + F.col("size")) * (threshold / (1 + threshold)) - 1e-9).cast("int")})
+    rows = rows.withColumn("held", F.expr("transform(region, h -> IF(array_contains(shingles, h), 1, 0))")).where("aggregate(held, 0, (n, x) -> n + x) >= least")
+    at = F.expr("explode(filter(sequence(0, size(region) - z), j -> aggregate(slice(held, j + 1, z), 0, (n, x) -> n + x) >= least))")
+    cut = rows.select("key", "doc_id", "size", "low", "region", "z", at.alias("j")).select("key", "doc_id", "size", (F.col("low") + F.col("j")).alias("start"), F.expr("slice(region, j + 1, z)").alias("win"))
+    return cut.dropDuplicates(["key", "size", "start"])
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int | None = None, width: int = 5) -> DataFrame:
     """(key, doc_id, item_id, similarity, start_word, n_words): every window of a document that an item is like.
 
-    ``key`` is a hash of doc_id and text.  The places are found first, without the texts, and written to
-    the shared folder; Spark then joins them to the texts by their size, broadcast or not.
+    ``key`` is a hash of doc_id and text; ``radius`` is that of the threshold if None.  Items of equal words are
+    compared once.  The places of seeds are found first, without the texts, and written to the shared folder (a
+    document has at most as many as its words times the items that share a rare shingle); Spark then joins them to
+    the texts by their size, broadcast or not.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _word_hashes(F.col("text")).alias("words")).where(F.size("words") > 0)
-    items = items.withColumn("n", F.size("words"))
+    radius = radius_of(threshold) if radius is None else radius
+    words = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _word_hashes(F.col("text")).alias("words")).where(F.size("words") > 0)
+    named = words.select("item_id", F.xxhash64("words").alias("item")).distinct()
+    items = words.select(F.xxhash64("words").alias("item"), F.size("words").alias("n"), "words").dropDuplicates(["item"])
     sizes = items.groupBy(F.least(F.lit(width), F.col("n")).alias("w")).agg(F.sum("n").alias("shingles")).collect()  # at most `width` rows
     hint = F.broadcast if sum(r["shingles"] for r in sizes) <= MOST_BROADCAST_SHINGLES else lambda df: df
-    found = [docs.sparkSession.createDataFrame([], "key long, doc_id long, item_id long, similarity double, start_word int, n_words int")]
+    none = docs.sparkSession.range(0).selectExpr("id AS key", "id AS doc_id", "id AS item", "CAST(0 AS DOUBLE) AS similarity", "0 AS start_word", "0 AS n_words")
+    found = [none]
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     masks = hamming_blocks(radius)
     for w in sorted(r["w"] for r in sizes):
-        own = items.where(F.least(F.lit(width), F.col("n")) == w).select("item_id", "n", _shingles(F.col("words"), w).alias("item"))
-        seeds = own.select("n", F.posexplode("item").alias("at", "h")).distinct()
-        places = keyed.select("key", _shingles(_word_hashes(F.col("text")), w).alias("shingles")).select("key", F.size("shingles").alias("m"), F.posexplode("shingles").alias("p", "h"))
-        # A window that would hang over an end of the document is moved inside.
-        start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("m") + (w - 1) - F.col("n")))
-        starts = places.join(hint(seeds), "h").select("key", "n", start.alias("start")).distinct()
-        starts = materialize(starts.groupBy("key").agg(F.collect_list(F.struct("n", "start")).alias("starts")), "decontamination-places")
-        windows = (
-            keyed.join(starts, "key")
-            .select("key", "doc_id", "starts", _shingles(_word_hashes(F.col("text")), w).alias("shingles"))
-            .select("key", "doc_id", F.explode(F.transform("starts", lambda s: F.struct(s["n"].alias("n"), s["start"].alias("start"), F.slice(F.col("shingles"), s["start"] + 1, s["n"] - w + 1).alias("win")))).alias("x"))
-            .select("key", "doc_id", "x.*")
-            .withColumn("fp", simhash("win"))
+        own = items.where(F.least(F.lit(width), F.col("n")) == w).select("item", "n", _shingles(F.col("words"), w).alias("shingles"))
+        places = keyed.select("key", F.posexplode(_shingles(_word_hashes(F.col("text")), w)).alias("p", "h"))
+        hits = places.join(hint(_seeds(own, threshold)), "h").groupBy("key").agg(F.collect_set(F.struct("item", "size", "p")).alias("places"))
+        hits = materialize(hits, "decontamination-places")
+        region = lambda x: F.struct(
+            x["item"].alias("item"), x["size"].alias("size"), F.greatest(F.lit(0), x["p"] - x["size"] + 1).alias("low"),
+            F.slice(F.col("of_doc"), F.greatest(F.lit(0), x["p"] - x["size"] + 1) + 1, 2 * x["size"] - 1 + F.least(F.lit(0), x["p"] - x["size"] + 1)).alias("region"),
+        )
+        around = (
+            keyed.join(hits, "key")
+            .select("key", "doc_id", "places", _shingles(_word_hashes(F.col("text")), w).alias("of_doc"))
+            .select("key", "doc_id", F.size("of_doc").alias("m"), F.explode(F.transform("places", region)).alias("x"))
+            .select("key", "doc_id", "m", "x.*")
         )
+        windows = _windows(around.join(hint(own.select("item", "shingles")), "item"), threshold).withColumn("fp", simhash("win"))
         blocks = F.array(*(F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(_long(m)).alias("bits")) for i, m in enumerate(masks)))
         probe = windows.select("*", F.explode(blocks).alias("b")).select("*", "b.block", "b.bits").drop("b")
-        index = own.withColumn("fp", simhash("item")).select("item_id", "n", "item", F.col("fp").alias("item_fp"), F.explode(blocks).alias("b")).select("*", "b.block", "b.bits").drop("b")
+        index = own.withColumn("fp", simhash("shingles")).select("item", "n", "shingles", F.size("shingles").alias("size"), F.col("fp").alias("item_fp"), F.explode(blocks).alias("b")).select("*", "b.block", "b.bits").drop("b")
         differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
         # A pair is taken at the first of its equal blocks only.
         earlier = reduce(lambda x, y: x | y, ((F.col("block") > i) & (differ.bitwiseAND(_long(m)) == 0) for i, m in enumerate(masks)))
-        near = probe.join(hint(index), ["n", "block", "bits"]).where((F.bit_count(differ) <= radius) & ~earlier)
-        scored = near.select("key", "doc_id", "item_id", weighted_likeness("win", "item").alias("similarity"), F.col("start").alias("start_word"), F.col("n").alias("n_words"))
+        near = probe.join(hint(index), ["size", "block", "bits"]).where((F.bit_count(differ) <= radius) & ~earlier)
+        scored = near.select("key", "doc_id", "item", weighted_likeness("win", "shingles").alias("similarity"), F.col("start").alias("start_word"), F.col("n").alias("n_words"))
         found.append(scored.where(F.col("similarity") >= threshold))
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found).join(hint(named), "item").drop("item")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 20, width: int = 5) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int | None = None, width: int = 5) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): where a document holds a benchmark item.
 
     One row for each document and item, with its most similar window (the first of ties).  Words

@@ -178,15 +178,76 @@ def test_decontamination(spark):
     assert all(got[k] == pytest.approx(v) for k, v in want.items())
 
 
+def all_windows(text, item, width=5):
+    """The best likeness of a window of the text to the item, with counts kept as the window moves."""
+    w, it = normal(text), normal(item)
+    width = min(width, len(it))
+    cut = lambda x: [tuple(x[k : k + width]) for k in range(len(x) - width + 1)]
+    own, target = cut(w), Counter(cut(it))
+    size = sum(target.values())
+    z = min(size, len(own))
+    held, shared, best = Counter(), 0, 0.0
+    for k, s in enumerate(own):
+        held[s] += 1
+        shared += held[s] <= target[s]
+        if k >= z:
+            shared -= held[own[k - z]] <= target[own[k - z]]
+            held[own[k - z]] -= 1
+        if k >= z - 1:
+            best = max(best, shared / (z + size - shared))
+    return best
+
+
+def test_decontamination_of_all_windows(spark):
+    """Every document and item that share a single shingle, on the larger tables, and items edited at random."""
+    import random
+
+    rng = random.Random(9)
+    sf = "/root/testdata/sf0.01"
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    texts = texts_of(spark, sf)
+    words = [w for t in texts.values() for w in normal(t)[:50]]
+    for i in range(300):
+        own = normal(rng.choice(list(items.values())))
+        for _ in range(rng.randrange(1, 3)):
+            at, kind = rng.randrange(len(own)), rng.randrange(4)
+            own = own[at:] + own[:at] if kind == 0 else own[:at] + [rng.choice(words)] * (kind > 1) + own[at + (kind != 2) :]
+        texts[10**6 + i] = " ".join([*rng.sample(words, rng.randrange(60)), *own, *rng.sample(words, rng.randrange(60))])
+    df = spark.createDataFrame(list(texts.items()), EMPTY)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(df, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    holders = defaultdict(set)
+    for k, item in items.items():
+        it = normal(item)
+        for j in range(len(it) - 4):
+            holders[tuple(it[j : j + 5])].add(k)
+    want = {}
+    for i, t in texts.items():
+        w = normal(t)
+        for k in set().union(*(holders.get(tuple(w[j : j + 5]), ()) for j in range(len(w) - 4))):
+            s = all_windows(t, items[k])
+            if s >= 0.8:
+                want[i, k] = s
+    edited = {key for key in want if key[0] >= 10**6}
+    assert len(edited) > 60 and set(got) <= set(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in got if want[k] >= 0.9) and len(edited & set(got)) >= 0.98 * len(edited)
+    assert {key for key in want if key[0] < 10**6} <= set(got)
+
+
 def test_edited_items_are_found(spark):
     item = " ".join(f"word{k}" for k in range(50))
     changed = item.replace("word25", "other")
-    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "a b")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "before " * 30 + changed + " after" * 30), (2, "before word1 word2"), (None, item), (4, None), (5, "x a b y"), (5, "x a b y")], EMPTY)
+    turned = " ".join(item.split()[25:] + item.split()[:25])
+    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "a b"), (6, item), (1, item)], "item_id long, text string")
+    rows = [
+        (1, "before " * 30 + changed + " after" * 30), (2, "before word1 word2"), (None, item), (4, None), (5, "x a b y"), (5, "x a b y"), (7, "x " * 9 + turned + " y" * 9),
+        (8, "w " * 60_000 + item), (9, "w " * 60_000), (10, " ".join(item.split()[:45])), (11, " ".join(item.split()[:38])),
+    ]
+    docs = spark.createDataFrame(rows, EMPTY).withColumns({"key": decontaminate.F.lit("k"), "item": decontaminate.F.lit(1), "size": decontaminate.F.lit(2)})
     got = sorted((str(r["doc_id"]), r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect())
-    assert got == [("1", 1), ("5", 4), ("None", 1)]
+    assert got == [("1", 1), ("1", 6), ("10", 1), ("10", 6), ("5", 4), ("7", 1), ("7", 6), ("8", 1), ("8", 6), ("None", 1), ("None", 6)]
+    assert {r["start_word"] for r in decontaminate.contaminated(docs, bench).where("doc_id = 8").collect()} == {60_000}
     kept = decontaminate.without_contaminated(docs, bench)
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "4"] and kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["11", "2", "4", "9"] and kept.columns == docs.columns
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     assert decontaminate.contaminated(spark.createDataFrame([], EMPTY), bench).count() == 0
 
