@@ -109,17 +109,36 @@ def padding(lengths, bounds):
 
 
 @pytest.mark.parametrize("buckets", [1, 2, 3, 4])
-def test_bounds_are_optimal(buckets):
+@pytest.mark.parametrize("values", [[1, 2, 3, 7, 8, 20, 21, 50, 90], [0, 5, 600, 601, 602, 1500, 4097, 20_000, 20_001]])
+def test_bounds_are_optimal(buckets, values):
     from itertools import combinations
 
     rng = np.random.default_rng(buckets)
-    lengths = rng.choice([1, 2, 3, 7, 8, 20, 21, 50, 90], 60)
+    lengths = rng.choice(values, 60)
     cells, counts = np.unique(lengths, return_counts=True)
-    got = packing.optimal_bounds(cells, counts, cells * counts, buckets)
+    got = packing.optimal_bounds(cells, counts, buckets)
     best = min(padding(lengths, [*c, cells[-1]]) for k in range(buckets) for c in combinations(cells[:-1], k))
     assert padding(lengths, got) == best and len(got) <= buckets
 
 
+def plain_bounds(cells, counts, buckets):
+    """The least padding by the plain dynamic program."""
+    cost = lambda i, j: sum((cells[j] - cells[k]) * counts[k] for k in range(i, j + 1))
+    best = [cost(0, j) for j in range(len(cells))]
+    for _ in range(buckets - 1):
+        best = [min([best[j], *(best[i] + cost(i + 1, j) for i in range(j))]) for j in range(len(cells))]
+    return best[-1]
+
+
+def test_bounds_of_many_lengths():
+    rng = np.random.default_rng(8)
+    for buckets in (2, 5, 9):
+        cells = np.unique(rng.integers(0, 30_000, 45))
+        counts = rng.integers(1, 1000, len(cells))
+        got = packing.optimal_bounds(cells, counts, buckets)
+        assert sum((min(b for b in got if b >= x) - x) * c for x, c in zip(cells, counts, strict=True)) == plain_bounds(cells.tolist(), counts.tolist(), buckets)
+
+
 def test_packing(spark):
     budget = 4000
     rows = packing.pack_documents(spark.read.parquet(f"{SF}/documents.parquet"), buckets=4, token_budget=budget).collect()
@@ -141,8 +160,15 @@ def test_packing(spark):
 
 
 def test_packing_edges(spark):
-    assert packing.pack_documents(odd_rows(spark)).count() == 6
+    rows = packing.pack_documents(odd_rows(spark), buckets=2, token_budget=100).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["padded_tokens"]) for r in rows) == [
+        ("1", 0, 3), ("2", 0, 3), ("3", 60_000, 60_000), ("3", 60_000, 60_000), ("4", 2, 3), ("None", 3, 3)
+    ]
+    assert sorted((r["batch"], r["slot"]) for r in rows if r["doc_id"] == 3) == [(0, 0), (1, 0)]
     assert packing.pack_documents(spark.createDataFrame([], EMPTY)).count() == 0
+    many = spark.range(500).selectExpr("CAST(NULL AS LONG) AS doc_id", "'a b' AS text", "id AS bucket", "id AS shard", "id AS count")
+    places = [(r["batch"], r["slot"]) for r in packing.pack_documents(many, token_budget=100).collect()]
+    assert sorted(places) == [(k // 50, k % 50) for k in range(500)]
 
 
 # --- decontamination ----------------------------------------------------------------------------
