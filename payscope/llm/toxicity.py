@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,9 +170,9 @@ class Model:
 def family_of(texts: list[str], width: int = 5, likeness: float = 0.5) -> list[int]:
     """The family of each text: texts that share at least ``likeness`` of their shingles of ``width`` words, directly
     or through others.  Texts of fewer words are compared as a whole."""
-    cut = lambda w: {" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))}
+    cut = lambda w: np.unique(np.array([xxhash.xxh64_intdigest(" ".join(w[k : k + width])) for k in range(max(1, len(w) - width + 1))], np.uint64))
     shingles = [cut(text.lower().split()) for text in texts]
-    holders: dict[str, list[int]] = defaultdict(list)
+    holders: dict[int, tuple[int, ...]] = {}
     root = list(range(len(texts)))
 
     def find(i: int) -> int:
@@ -182,13 +183,14 @@ def family_of(texts: list[str], width: int = 5, likeness: float = 0.5) -> list[i
 
     for i, own in enumerate(shingles):
         # Of a family only the first is kept as a holder, so no shingle has more holders than families.
-        shared = Counter(j for s in own for j in holders.get(s, ()))
+        keys = own.tolist()
+        shared = Counter(j for s in keys for j in holders.get(s, ()))
         for j, n in shared.items():
             if n >= likeness * min(len(own), len(shingles[j])):
                 root[find(i)] = find(j)
         if find(i) == i:
-            for s in own:
-                holders[s].append(i)
+            for s in keys:
+                holders[s] = (*holders.get(s, ()), i)
     return [find(i) for i in range(len(texts))]
 
 
