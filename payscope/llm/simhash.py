@@ -179,7 +179,7 @@ def near_links(distinct: DataFrame, radius: int = 3, block: int = 1024) -> DataF
     n, together = bit_statistics(distinct)
     masks = allocate(n, together, radius)
     if n < 2:
-        return distinct.sparkSession.createDataFrame([], "a long, b long")
+        return distinct.sparkSession.range(0).selectExpr("id AS a", "id AS b")
     keys = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))
     keyed = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.mask", "k.key")
     sizes = keyed.groupBy("mask", "key").count().where("count > 1")

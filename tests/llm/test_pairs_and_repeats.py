@@ -162,6 +162,14 @@ def test_links_in_chunks(spark, block):
     assert groups(roots) == groups(want)
 
 
+def test_components_of_a_chain(spark):
+    """Ascending labels, each linked only to the next, beside a star: no number of rounds is assumed."""
+    edges = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(5, 5)]
+    roots = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(roots) == 301 + 200 and len({roots[k] for k in range(301)}) == 1 and len({roots[1000 + k] for k in range(200)}) == 1
+    assert roots[0] != roots[1000]
+
+
 def test_near_duplicate_rows(spark):
     long = " ".join(f"w{k}" for k in range(400))
     rows = [(5, long, "a"), (3, long + " end", "b"), (3, long + " end", "b"), (None, "other text entirely", "c"), (7, None, "d"), (8, "", "e"), (9, "one two", "f")]
