@@ -4,6 +4,9 @@ The markup is stripped to lines, one for each block of the page.  A line weighs
 text, or nothing if the markup says that it is no content (menu, advert, form, ...).  The weights
 are summed over a sliding window of lines; the text starts where the sum surges and ends where it
 dives to nothing, and what lies between is kept.  An article or main element only adds weight.
+
+A block is what a block element holds.  A line break (br) within one is white space like any other, so it
+becomes one space; a rule (hr) ends a block.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _NO_CONTENT = frozenset("head nav footer aside form menu dialog button header".split())
 _NO_CONTENT_NAME = re.compile(
     r"""(?:class|id|role)\s*=\s*["']?[^"'>]*?(?<![a-z])(?<!has[-_])(?<!with[-_])(?<!without[-_])(?<!no[-_])(nav|navbar|navigation|menu|header|footer|sidebar|aside|notice|cookies?|consent|banner|ads?|advert\w*|sponsor\w*|promo\w*
-      |form|comments?|disqus|share|sharing|social|related|breadcrumbs?|newsletter|subscribe|popup|modal|login|search|pagination|contentinfo|complementary)(?![a-z])""",
+      |form|comments?|disqus|share|sharing|social|related|breadcrumbs?|newsletter|subscribe|popup|modal|login|search|pagination|contentinfo|complementary)(?![a-z])(?![-_](?:free|less|off)\b)""",
     re.I | re.X,
 )
 #: What stands within a text and doesn't end it; other marked blocks (menus, footers, ...) do.
@@ -46,6 +49,9 @@ _ASIDES = re.compile(r"(?:ads?|advert.*|sponsor.*|promo.*|aside|form|notice|bann
 #: What a block in an article may be called that holds some of its text.
 _WEAK = re.compile(r"(?:form|related|search|notice|banner|header)\Z", re.I)
 _CONTENT = frozenset(("article", "main"))
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_TEXTS = frozenset("p li dt dd td th pre blockquote figcaption".split())
+_ID = re.compile(r"""\bid\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -96,7 +102,9 @@ def _marked_lines(page: str) -> list[tuple[str, int, bool, tuple[_Mark, ...]]]:
         closes = bool(m["close"] or m["close2"])
         if name == "a":
             links = 0 if closes else 1
-        if name not in _INLINE:
+        if name == "br":
+            parts.append(" ")
+        elif name not in _INLINE:
             end()
             links = 0 if name != "a" else links
             heading = name == "h1" and not closes
@@ -110,7 +118,10 @@ def _marked_lines(page: str) -> list[tuple[str, int, bool, tuple[_Mark, ...]]]:
             if marks[own].depth <= 0:
                 end()
                 marks = marks[:own]
-        named = None if closes or name in ("body", "html") else _NO_CONTENT_NAME.search(m["attrs"] or m["attrs2"] or "")
+        attrs = m["attrs"] or m["attrs2"] or ""
+        if name in _HEADINGS or (name in _TEXTS and article):
+            attrs = _ID.sub("", attrs)  # an anchor called after what is said there
+        named = None if closes or name in ("body", "html") else _NO_CONTENT_NAME.search(attrs)
         tagged = not closes and name in _NO_CONTENT and not (name == "header" and article)
         if name in _CONTENT:
             article = max(0, article + (-1 if closes else 1))
@@ -153,7 +164,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
 
     def dropped(mark: _Mark) -> bool:
         most = 2 * mark.article > covered + free if covered else 2 * mark.size > total
-        return not (mark.soft and (mark.within and mark.weak and mark.size >= SURGE or most and mark.blocks and mark.size > REST * free))
+        return not (mark.soft and (mark.within and mark.weak and mark.size >= SURGE or most and (mark.blocks or mark.within) and mark.size > REST * free))
 
     out: list[tuple[str, int, bool]] = []
     last = None
@@ -194,7 +205,12 @@ def main_text(page: str | None) -> str:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for each row of ``pages``; other columns are ignored."""
+    """(page_id, url, text, n_chars) for each row of ``pages``, nulls in either key too; other columns are ignored.
+
+    A null or empty page, and one of nothing but markup and marked blocks, has the empty text.  Rows that
+    repeat, and pages with one id, give a row each; the text depends on the page alone.  A page of any
+    length is read as a whole, one at a time.
+    """
 
     @F.pandas_udf("string")
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from payscope.llm import decontaminate, kneser_ney, langid, packing, pii, toxicity
+from payscope.llm import decontaminate, html_text, kneser_ney, langid, packing, pii, toxicity
 from payscope.llm import queries as q
 from payscope.llm.html_text import extract_pages, main_text
 
@@ -38,7 +38,8 @@ PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script><style>
 
 
 def test_main_text():
-    assert main_text(PAGE) == "Head & line\nFirst bold text with é.\nSecond\nline"
+    # A line break is white space inside its block, which the contract turns into one space.
+    assert main_text(PAGE) == "Head & line\nFirst bold text with é.\nSecond line"
 
 
 def test_main_text_without_an_article():
@@ -80,12 +81,36 @@ BODY = " ".join(["long text of a page"] * 12)
         "<main><form action=a><p>{}</p></form></main>",
         "<article><section class=form><p>{}</p></section><div class=ad>Buy</div></article>",
         "<article><p class=related>{}<div class=share>Share</div></article>",
+        "<article><div class='post comment-free form'>{}</div></article>",
+        "<article><div class='entry form'><p id=search>{}</p></div></article>",
     ],
 )
 def test_wrappers_are_no_marked_blocks(page):
     assert main_text(f"<body>{page.format(BODY)}</body>") == BODY
 
 
+def test_anchors_are_no_marks():
+    page = f"<body><article><h2 id='social'>Social life</h2><p id=search>{BODY}</p><section class='related-work'><p>{BODY} too</p></section><div class=comments><p>No</p></div></article></body>"
+    assert main_text(page) == f"Social life\n{BODY}\n{BODY} too"
+
+
+def plain_blocks(weights):
+    """The line-block distribution, plainly: sums of windows, surges, dives."""
+    sums = [sum(weights[i : i + html_text.WINDOW]) for i in range(len(weights))]
+    out = []
+    for i, weight in enumerate(weights):
+        surge = max((k for k in range(i + 1) if sums[k] >= html_text.SURGE), default=None)
+        out.append(weight > 0 and surge is not None and all(sums[k] > 0 for k in range(surge, i + 1)))
+    return out
+
+
+def test_line_blocks_against_a_plain_version():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        weights = rng.choice([0, 0, 5, 20, 60, 200], int(rng.integers(0, 25)))
+        assert html_text._kept(weights.tolist()) == plain_blocks(weights.tolist())
+
+
 def test_pages_without_their_article_elements(spark):
     """Surge and dive alone find what the elements mark."""
     pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
@@ -99,6 +124,9 @@ def test_pages(spark):
         assert r["n_chars"] == len(r["text"]) > 0
     odd = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "<p>a</p>")], "page_id long, url string, html string")
     assert sorted(r["text"] for r in extract_pages(odd).collect()) == ["", "", "a"]
+    clash = spark.createDataFrame([(1, "u", f"<article><p>{BODY}</p></article>", 7, "n"), (2, "v", "<p>" + BODY * 20_000 + "</p>", 8, "n")], "page_id long, url string, html string, n_chars long, text string")
+    assert sorted(tuple(r) for r in extract_pages(clash).collect()) == [(1, "u", BODY, len(BODY)), (2, "v", BODY * 20_000, len(BODY) * 20_000)]
+    assert extract_pages(odd.limit(0)).collect() == [] and extract_pages(odd.limit(0)).columns == ["page_id", "url", "text", "n_chars"]
 
 
 # --- packing ------------------------------------------------------------------------------------
