@@ -27,6 +27,8 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Bytes of text that make one sorted run, and one block of scoring.
 RUN_BYTES = 20 << 20
 BLOCK_BYTES = 8 << 20
+#: Bytes of text whose counts are merged by one task.
+PART_BYTES = 128 << 20
 _HASH_BITS = 56
 BEGIN, END = np.uint64(1), np.uint64(2)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -234,16 +236,16 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.01 * k), float(k)) for k, d in zip((1, 2, 3), raw, strict=True))  # type: ignore[return-value]
 
 
-def hot_words(docs: DataFrame, share: float = 0.002, rows: int = 1500) -> np.ndarray:
-    """Hashes of words that make ``share`` of the tokens of a few documents.  They only decide where counts are kept."""
-    n = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.lit(1_000_003 * min(1.0, rows / max(1, n)))).select("text")
-    words = F.explode(F.split(F.lower(F.substring("text", 1, 20_000)), r"[\x20\x09-\x0D]+")).alias("w")
-    counted = drawn.select(words).groupBy("w").count().orderBy(F.desc("count")).limit(int(1 / share))
-    top = [(r["w"], r["count"]) for r in counted.collect()]
-    total = sum(c for _, c in top)
-    found = [token_hashes(w)[0] for w, c in top if w and c >= share * total]
-    return np.unique(np.array([*found, BEGIN], np.uint64))
+def corpus_size(docs: DataFrame, share: float = 0.002) -> tuple[int, np.ndarray]:
+    """Bytes of all texts, and hashes of the words that make ``share`` of all tokens (they only decide where counts are kept).
+
+    Both are of one pass over all rows; a sketch of bounded size in each task finds the words.
+    """
+    words = docs.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    found = words.where("w <> ''").agg(F.expr(f"approx_top_k(w, {int(1 / share)}, {int(20 / share)})").alias("top"), F.count("*").alias("n")).first()
+    hot = [token_hashes(x["item"])[0] for x in found["top"] or [] if x["item"] and x["count"] >= share * found["n"]]
+    return size, np.unique(np.array([*hot, BEGIN], np.uint64))
 
 
 def build_model(docs: DataFrame, order: int = 2) -> Model:
@@ -251,8 +253,11 @@ def build_model(docs: DataFrame, order: int = 2) -> Model:
     if order not in (2, 3):
         raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
-    bits = max(0, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    layout = Layout(bits, hot_words(docs))
+    size, hot_words = corpus_size(docs)
+    # As many partitions as shuffles have, or more, so that the runs of one, which a task holds, come from so many bytes of text.
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    bits = max(0, (least - 1).bit_length())
+    layout = Layout(bits, hot_words)
     uri = scratch_path(spark, "kneser-ney")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,7 +453,9 @@ def score_documents(docs: DataFrame, training: Column, order: int = 2) -> DataFr
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``.
 
     ``training`` says which rows the model learns from, ``order`` whether it knows one word of history or two.  A null or empty text is the end token
-    alone.  Rows that repeat are scored, and counted, each for itself.
+    alone.  Rows that repeat are scored, and counted, each for itself; a null ``doc_id`` stays null, other columns are left
+    out.  Without training rows every token is unknown and scores are finite.  Words are told apart by 56 bits of
+    their hash: of a billion different words about seven pairs would be taken for one.
     """
     flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~training).alias("held_out"), F.col("text").cast("string").alias("text"))
     model = build_model(flagged.where("NOT held_out").select("text"), order)

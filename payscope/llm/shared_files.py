@@ -29,19 +29,25 @@ def save(uri: str, data: bytes) -> None:
 
 
 def mapped(uri: str, kind: type) -> np.ndarray:
-    """A file of the shared folder as a memory-mapped array, empty if there is none; fetched to the worker's own
-    disk if the folder isn't mounted."""
+    """A file of the shared folder as a memory-mapped array, empty if there is none.
+
+    If the folder isn't mounted, the file is fetched to the worker's own disk and its name removed once it is mapped,
+    so the copy goes when the worker lets go of the array, however that ends.
+    """
     path = local_path(uri)
-    if not path:
+    remote = not path
+    if remote:
         from pyarrow import fs
 
-        store, remote = fs.FileSystem.from_uri(uri)
-        if store.get_file_info(remote).type == fs.FileType.NotFound:
+        store, there = fs.FileSystem.from_uri(uri)
+        if store.get_file_info(there).type == fs.FileType.NotFound:
             return np.zeros(0, kind)
         handle, path = tempfile.mkstemp()
-        with store.open_input_stream(remote) as f, os.fdopen(handle, "wb") as out:
+        with store.open_input_stream(there) as f, os.fdopen(handle, "wb") as out:
             while chunk := f.read(1 << 22):
                 out.write(chunk)
-    if not os.path.exists(path) or not os.path.getsize(path):
-        return np.zeros(0, kind)
-    return np.memmap(path, kind, "r")
+    try:
+        return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
+    finally:
+        if remote:
+            os.unlink(path)

@@ -455,16 +455,37 @@ def test_trigrams(spark):
     assert kneser_ney.score_documents(odd_rows(spark), decontaminate.F.lit(False), order=3).count() == 6
 
 
-def test_language_model_edges(spark):
+def test_language_model_edges(spark, monkeypatch):
     df = odd_rows(spark)
     import pyspark.sql.functions as F
 
-    assert kneser_ney.score_documents(df, F.lit(True)).count() == 6
+    some = {str(r["doc_id"]): r for r in kneser_ney.score_documents(df, F.lit(True)).collect()}
+    assert {k: (r["n_tokens"], r["n_known"], r["train_tokens"]) for k, r in some.items()} == {k: (n, n, 120_011) for k, n in {"1": 1, "2": 1, "3": 60_001, "4": 3, "None": 4}.items()}
+    assert some["1"]["score"] == some["2"]["score"]
+    monkeypatch.setattr(kneser_ney, "PART_BYTES", 20_000)  # more partitions than shuffles have: the same scores
+    assert {str(r["doc_id"]): r["score"] for r in kneser_ney.score_documents(df, F.lit(True)).collect()} == pytest.approx({k: r["score"] for k, r in some.items()})
     none = kneser_ney.score_documents(df, F.lit(False)).collect()
     assert {r["train_tokens"] for r in none} == {0} and all(math.isfinite(r["score"]) for r in none)
     assert kneser_ney.score_documents(spark.createDataFrame([], EMPTY), F.lit(True)).count() == 0
 
 
+def test_frequent_words_of_all_rows(spark):
+    texts = ["Common " * 30 + f"rare{k}" for k in range(200)] + ["late " * 10_000]
+    size, hot = kneser_ney.corpus_size(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert size == sum(map(len, texts)) and set(hot) == {kneser_ney.BEGIN, *(kneser_ney.token_hashes(w)[0] for w in ("common", "late"))}
+
+
+def test_files_of_a_store_that_is_not_mounted(tmp_path, monkeypatch):
+    from payscope.llm import shared_files
+
+    shared_files.save(f"file://{tmp_path}/x", np.arange(5, dtype=np.uint64).tobytes())
+    monkeypatch.setattr(shared_files, "local_path", lambda uri: None)
+    monkeypatch.setattr(shared_files.tempfile, "tempdir", str(tmp_path / "own"))
+    (tmp_path / "own").mkdir()
+    assert shared_files.mapped(f"file://{tmp_path}/x", np.uint64).tolist() == [0, 1, 2, 3, 4] and not list((tmp_path / "own").iterdir())
+    assert len(shared_files.mapped(f"file://{tmp_path}/none", np.uint64)) == 0
+
+
 # --- toxicity -----------------------------------------------------------------------------------
 
 
