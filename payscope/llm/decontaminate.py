@@ -35,11 +35,14 @@ def _shingles(hashes: Column, width: int) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) >= width, many(h)).otherwise(F.array().cast("array<bigint>")))
 
 
-def simhash(column: str) -> Column:
-    """SimHash of an array of hashes: a bit is set if it is in over half of them, repeats counted."""
-    return F.expr(
-        f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | IF(2 * aggregate({column}, 0L, (s, h) -> s + (shiftright(h, b) & 1L)) > size({column}), shiftleft(1L, b), 0L))"
-    )
+def with_simhash(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """``rows`` with the SimHash of an array of hashes: a bit is set if it is in over half of them, repeats counted.
+
+    ``keys`` tell the rows apart.  The bits are summed over the unfolded arrays, in compiled code.
+    """
+    sums = rows.select(*keys, F.explode(column).alias("h")).groupBy(*keys).agg(F.count("*").alias("n"), *(F.expr(f"sum(shiftright(h, {b}) & 1L)").alias(f"s{b}") for b in range(64)))
+    fp = F.expr(" | ".join(f"IF(2 * s{b} > n, shiftleft(1L, {b}), 0L)" for b in range(64)))
+    return rows.join(sums.select(*keys, fp.alias(name)), keys)
 
 
 def hamming_blocks(radius: int) -> list[int]:
@@ -118,10 +121,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radiu
             .select("key", "doc_id", F.size("of_doc").alias("m"), F.explode(F.transform("places", region)).alias("x"))
             .select("key", "doc_id", "m", "x.*")
         )
-        windows = _windows(around.join(hint(own.select("item", "shingles")), "item"), threshold).withColumn("fp", simhash("win"))
+        windows = materialize(_windows(around.join(hint(own.select("item", "shingles")), "item"), threshold), "decontamination-windows")
+        windows = with_simhash(windows, ["key", "size", "start"], "win", "fp")
         blocks = F.array(*(F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(_long(m)).alias("bits")) for i, m in enumerate(masks)))
         probe = windows.select("*", F.explode(blocks).alias("b")).select("*", "b.block", "b.bits").drop("b")
-        index = own.withColumn("fp", simhash("shingles")).select("item", "n", "shingles", F.size("shingles").alias("size"), F.col("fp").alias("item_fp"), F.explode(blocks).alias("b")).select("*", "b.block", "b.bits").drop("b")
+        of_items = with_simhash(own, ["item"], "shingles", "fp")
+        index = of_items.select("item", "n", "shingles", F.size("shingles").alias("size"), F.col("fp").alias("item_fp"), F.explode(blocks).alias("b")).select("*", "b.block", "b.bits").drop("b")
         differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
         # A pair is taken at the first of its equal blocks only.
         earlier = reduce(lambda x, y: x | y, ((F.col("block") > i) & (differ.bitwiseAND(_long(m)) == 0) for i, m in enumerate(masks)))
