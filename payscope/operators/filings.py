@@ -21,6 +21,7 @@ ELEMENTS = {
     "jpdei_cor:CurrentFiscalYearEndDateDEI": "fy_end",
     "jpcrp_cor:InformationAboutEmployeesTextBlock": "text",
 }
+PAY_PHRASE = "平均年間給与"
 _GROUP = ("CurrentYearInstant", "CurrentYearDuration", "FilingDateInstant")
 _ALONE = ("CurrentYearInstant_NonConsolidatedMember", "CurrentYearDuration_NonConsolidatedMember")
 # -------------------------------------------------------------------------------------------------
@@ -28,11 +29,11 @@ _FIGURES = ("avg_salary", "avg_age", "avg_tenure", "employees")
 SLOTS = tuple(slot for name in ELEMENTS.values() for slot in ((name, f"{name}__nc") if name in _FIGURES else (name,)))
 
 
-def slot_of(element: Column, context: Column) -> Column:
+def slot_of(element: Column, context: Column, value: Column) -> Column:
     """Where a fact belongs: its name, with ``__nc`` if it is of the firm alone; null for other years and segments.
-    The text block counts in any context."""
+    A text block counts in any context, but only if it speaks of pay: a filing may have others before that."""
     name = F.element_at(F.create_map(*(F.lit(x) for pair in ELEMENTS.items() for x in pair)), element)
-    return F.when(name == "text", name).when(context.isin(*_GROUP), name).when(context.isin(*_ALONE), F.concat(name, F.lit("__nc")))
+    return F.when(name == "text", F.when(value.contains(PAY_PHRASE), name)).when(context.isin(*_GROUP), name).when(context.isin(*_ALONE), F.concat(name, F.lit("__nc")))
 
 
 def _figure(slot: Column) -> Column:
@@ -45,7 +46,7 @@ def records(facts: DataFrame) -> DataFrame:
     Figures of the firm alone go before those of the group.  What tags do not say is read from the
     text block, and ``candidates`` lists its readings of pay where it can be read in several ways.
     """
-    slots = first_per_slot(facts.withColumn("slot", slot_of(F.col("element"), F.col("context"))), "path", "slot", "value", "seq", SLOTS)
+    slots = first_per_slot(facts.withColumn("slot", slot_of(F.col("element"), F.col("context"), F.col("value"))), "path", "slot", "value", "seq", SLOTS)
     either = lambda name: _figure(F.coalesce(F.col(f"{name}__nc"), F.col(name)))
     typed = slots.select(
         "path", "sec_code", "edinet_code", "name", "fy_end", "text", *(either(n).alias(n) for n in _FIGURES[:3]),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,30 +35,41 @@ def two_phase(rows: DataFrame, codelist: DataFrame) -> DataFrame:
     """(row_idx, code, phase) for ``rows`` (row_idx, sec_code, name_key, listed) against ``codelist`` (code, sec_code,
     name_key, listed).
 
-    Phase 1 matches a security code that only one code has.  Phase 2 matches the name: the only
-    code of that name, else the only one listed alike, else the only one that phase 1 left over.  Rows
-    that stay open have a null code.
+    Phase 1 matches a security code that only one code has.  Phase 2 takes the open rows in their order and matches the
+    name: the only code of that name; else the only one listed alike; else the only one that no row before has
+    taken, in either phase.  Rows that stay open have a null code.
+
+    Phase 2 is no loop.  The first two cases do not depend on what was taken, so it is known from which row on they
+    take a code.  The codes of a name that are left over only become fewer, so exactly one is left between the rows that
+    take the last but one and the last, and the first row of the third case in between gets it.
     """
+    same = lambda a, b: reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in ("name_key", "listed")))
+    named = lambda a, b: F.col(f"{a}.name_key").eqNullSafe(F.col(f"{b}.name_key"))
     unique = codelist.where("sec_code IS NOT NULL AND sec_code <> ''").groupBy("sec_code").agg(F.count("*").alias("n"), F.min("code").alias("code")).where("n = 1").drop("n")
     one = rows.join(unique, "sec_code", "left").select("row_idx", "name_key", "listed", "code")
-    used = one.where("code IS NOT NULL").select(F.col("code").alias("_used")).distinct()
-    free = codelist.join(used, codelist["code"] == used["_used"], "left").select(F.col("code").alias("c"), "name_key", F.col("listed").alias("c_listed"), F.col("_used").isNull().alias("free"))
-    rest = one.where("code IS NULL").select("row_idx", "name_key", "listed")
-    pairs = rest.join(free, "name_key")
-    alike = F.col("c_listed") == F.col("listed")
-    found = pairs.groupBy("row_idx").agg(
-        F.count("*").alias("n"), F.min("c").alias("c"), F.count_if(alike).alias("n_alike"), F.min(F.when(alike, F.col("c"))).alias("c_alike"),
-        F.count_if(F.col("free")).alias("n_free"), F.min(F.when(F.col("free"), F.col("c"))).alias("c_free"),
-        F.count_if(alike & F.col("free")).alias("n_both"), F.min(F.when(alike & F.col("free"), F.col("c"))).alias("c_both"),
+    open_ = one.where("code IS NULL").drop("code")
+    of_name = codelist.groupBy("name_key").agg(F.count("*").alias("n"), F.min("code").alias("only"))
+    alike = codelist.groupBy("name_key", "listed").agg(F.count("*").alias("n_alike"), F.min("code").alias("only_alike"))
+    known = (
+        open_.alias("r").join(of_name.alias("n"), named("r", "n"), "left").join(alike.alias("a"), same("r", "a"), "left")
+        .select("r.*", "n", F.when(F.col("n") == 1, F.col("only")).when(F.col("n_alike") == 1, F.col("only_alike")).alias("code"))
     )
-    code = (
-        F.when(F.col("n") == 1, F.col("c")).when(F.col("n_alike") == 1, F.col("c_alike")).when((F.col("n_alike") > 1) & (F.col("n_both") == 1), F.col("c_both"))
-        .when((F.col("n_alike") == 0) & (F.col("n_free") == 1), F.col("c_free"))
+    fixed = known.where("code IS NOT NULL")
+    # Codes that phase 1 left over, with the row that takes them by the first two cases.
+    taken = fixed.groupBy("code").agg(F.min("row_idx").alias("taken"))
+    left = codelist.join(one.where("code IS NOT NULL").select("code"), "code", "left_anti").join(taken, "code", "left")
+    ranked = left.withColumn("k", F.expr("row_number() OVER (PARTITION BY name_key ORDER BY taken DESC NULLS FIRST, code)")).where("k <= 2")
+    last = ranked.groupBy("name_key").agg(
+        F.max(F.when(F.col("k") == 1, F.col("code"))).alias("last"), F.max(F.when(F.col("k") == 1, F.col("taken"))).alias("until"),
+        F.max(F.when(F.col("k") == 2, F.col("taken"))).alias("after"), F.count("*").alias("left"),
     )
-    by_name = rest.select("row_idx").join(found.select("row_idx", code.alias("code")), "row_idx", "left")
+    alone = ((F.col("left") == 1) | (F.col("row_idx") > F.col("after"))) & (F.col("until").isNull() | (F.col("row_idx") < F.col("until")))
+    third = known.where("code IS NULL AND n > 1").alias("r").join(last.alias("l"), named("r", "l")).where(alone).groupBy("last").agg(F.min("row_idx").alias("row_idx")).withColumnRenamed("last", "code")
+    by_name = fixed.select("row_idx", "code").unionByName(third.select("row_idx", "code"))
+    rest = open_.select("row_idx").join(by_name, "row_idx", "left")
     return (
         one.where("code IS NOT NULL").select("row_idx", "code", F.lit(1).alias("phase"))
-        .union(by_name.select("row_idx", "code", F.when(F.col("code").isNotNull(), 2).otherwise(0)))
+        .union(rest.select("row_idx", "code", F.when(F.col("code").isNotNull(), 2).otherwise(0)))
     )
 
 

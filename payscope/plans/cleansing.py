@@ -59,24 +59,32 @@ def anti_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.unmatched(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
 
 
-_CODES = """codes AS (SELECT c_custkey AS code, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CAST(c_custkey % 1000 AS VARCHAR) END AS sec_code, c_custkey % 700 AS name_key, c_custkey % 2 = 0 AS listed FROM customer),
-  rows_ AS (SELECT c_custkey AS row_idx, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE CAST(c_custkey % 1000 AS VARCHAR) END AS sec_code, c_custkey % 700 AS name_key, c_custkey % 4 < 2 AS listed FROM customer WHERE c_custkey % 2 = 0)"""
+_CODES = """codes AS (SELECT c_custkey AS code, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CAST(c_custkey % 1000 AS VARCHAR) END AS sec_code, c_custkey * 7 % 37 + 37 * (c_custkey // 120) AS name_key, c_custkey % 5 AS listed FROM customer),
+  rows_ AS (SELECT c_custkey AS row_idx, CASE WHEN c_custkey % 5 > 0 THEN '' ELSE CAST(c_custkey % 1000 AS VARCHAR) END AS sec_code, c_custkey * 11 % 37 + 37 * (c_custkey // 120) AS name_key, c_custkey % 7 AS listed FROM customer)"""
 
 
-@register(f"""WITH {_CODES}, u AS (SELECT sec_code, min(code) AS code FROM codes WHERE sec_code <> '' GROUP BY sec_code HAVING count(*) = 1),
+@register(f"""WITH RECURSIVE {_CODES}, u AS (SELECT sec_code, min(code) AS code FROM codes WHERE sec_code <> '' GROUP BY sec_code HAVING count(*) = 1),
   one AS (SELECT r.row_idx, r.name_key, r.listed, u.code FROM rows_ r LEFT JOIN u ON u.sec_code = r.sec_code),
-  free AS (SELECT code AS c, name_key, listed AS c_listed, code NOT IN (SELECT code FROM one WHERE code IS NOT NULL) AS free FROM codes),
-  f AS (SELECT o.row_idx, count(f.c) AS n, min(c) AS c, count(*) FILTER (WHERE c_listed = listed) AS na, min(CASE WHEN c_listed = listed THEN c END) AS ca,
-    count(*) FILTER (WHERE free) AS nf, min(CASE WHEN free THEN c END) AS cf, count(*) FILTER (WHERE free AND c_listed = listed) AS nb, min(CASE WHEN free AND c_listed = listed THEN c END) AS cb
-    FROM one o LEFT JOIN free f ON f.name_key = o.name_key WHERE o.code IS NULL GROUP BY o.row_idx),
-  g AS (SELECT row_idx, CASE WHEN n = 1 THEN c WHEN na = 1 THEN ca WHEN na > 1 AND nb = 1 THEN cb WHEN na = 0 AND nf = 1 THEN cf END AS code FROM f)
-  SELECT row_idx, code, 1 AS phase FROM one WHERE code IS NOT NULL UNION ALL SELECT row_idx, code, CASE WHEN code IS NULL THEN 0 ELSE 2 END FROM g""")
+  pend AS (SELECT row_idx, name_key, listed, row_number() OVER (PARTITION BY name_key ORDER BY row_idx) AS i FROM one WHERE code IS NULL),
+  grp AS (SELECT name_key, list({{'code': code, 'listed': listed}} ORDER BY code) AS cands, list(code) FILTER (WHERE code IN (SELECT code FROM one WHERE code IS NOT NULL)) AS used FROM codes GROUP BY name_key),
+  walk AS (
+    SELECT name_key, CAST(0 AS BIGINT) AS i, coalesce(used, []) AS used, CAST(NULL AS BIGINT) AS row_idx, CAST(NULL AS BIGINT) AS code FROM grp
+    UNION ALL
+    SELECT name_key, i, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, row_idx, pick FROM (
+      SELECT *, CASE WHEN len(c2) = 1 THEN c2[1].code END AS pick FROM (
+        SELECT *, CASE WHEN len(c1) > 1 AND len(list_filter(c1, lambda x: NOT list_contains(used, x.code))) = 1 THEN list_filter(c1, lambda x: NOT list_contains(used, x.code)) ELSE c1 END AS c2 FROM (
+          SELECT w.name_key, p.i, w.used, p.row_idx, CASE WHEN len(g.cands) > 1 AND len(list_filter(g.cands, lambda x: x.listed = p.listed)) = 1 THEN list_filter(g.cands, lambda x: x.listed = p.listed) ELSE g.cands END AS c1
+          FROM walk w JOIN grp g ON g.name_key = w.name_key JOIN pend p ON p.name_key = w.name_key AND p.i = w.i + 1) a) b) c)
+  SELECT row_idx, code, 1 AS phase FROM one WHERE code IS NOT NULL
+  UNION ALL SELECT p.row_idx, w.code, CASE WHEN w.code IS NULL THEN 0 ELSE 2 END FROM pend p LEFT JOIN walk w ON w.row_idx = p.row_idx""")
 def two_phase_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL walks the rows of each name in order with a list of what was taken."""
     key = F.col("c_custkey")
-    code = lambda n: F.when(key % n == 0, "").otherwise((key % 1000).cast("string")).alias("sec_code")
+    code = lambda when: F.when(when, "").otherwise((key % 1000).cast("string")).alias("sec_code")
+    name = lambda k: (key * k % 37 + 37 * F.floor(key / 120)).cast("long").alias("name_key")
     people = table(spark, sf_dir, "customer")
-    codes = people.select(key.alias("code"), code(3), (key % 700).alias("name_key"), (key % 2 == 0).alias("listed"))
-    rows = people.where(key % 2 == 0).select(key.alias("row_idx"), code(5), (key % 700).alias("name_key"), (key % 4 < 2).alias("listed"))
+    codes = people.select(key.alias("code"), code(key % 3 == 0), name(7), (key % 5).alias("listed"))
+    rows = people.select(key.alias("row_idx"), code(key % 5 > 0), name(11), (key % 7).alias("listed"))
     return r.two_phase(rows, codes)
 
 

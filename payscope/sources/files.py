@@ -24,9 +24,8 @@ FILING_LIST = (
     "metadata STRUCT<status: STRING>, results ARRAY<STRUCT<docID: STRING, edinetCode: STRING, secCode: STRING, filerName: STRING, docTypeCode: STRING, withdrawalStatus: STRING, periodEnd: STRING>>"
 )
 FACTS = "path STRING, seq LONG, element STRING, context STRING, value STRING"
-#: Values of a filing that say nothing, and the encodings tried (fixed values).
+#: Values of a filing that say nothing (fixed values).
 _NOTHING = ("", "－", "-")
-_ENCODINGS = ("utf-16", "utf-8")
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
@@ -88,12 +87,11 @@ def rejected_lists(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _decoded(raw: bytes) -> str:
-    for encoding in _ENCODINGS[:1]:
-        try:
-            return raw.decode(encoding)
-        except UnicodeError:
-            pass
-    return raw.decode(_ENCODINGS[-1], "replace")
+    """UTF-16 as filings are written, else UTF-8."""
+    try:
+        return raw.decode("utf-16")
+    except UnicodeError:
+        return raw.decode("utf-8", "replace")
 
 
 def filing_facts(spark: SparkSession, path: str) -> DataFrame:
@@ -110,7 +108,7 @@ def filing_facts(spark: SparkSession, path: str) -> DataFrame:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for member in (m for m in z.namelist() if m.lower().endswith(".csv")):
                         for line in _decoded(z.read(member)).splitlines()[1:]:
-                            cells = [c.strip('"') for c in line.split("\t")]
+                            cells = [c.strip().strip('"') for c in line.split("\t")]
                             if len(cells) >= 9 and cells[8] not in _NOTHING:
                                 rows.append((name, len(rows), cells[0], cells[2], cells[8]))
                 yield pd.DataFrame(rows, columns=["path", "seq", "element", "context", "value"])

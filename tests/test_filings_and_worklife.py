@@ -18,7 +18,7 @@ def test_records(spark):
     facts = [
         ("a", 0, PAY, "CurrentYearDuration", "5,000,000"), ("a", 1, PAY, "CurrentYearDuration_NonConsolidatedMember", "6,000,000"), ("a", 2, PAY, "Prior1YearDuration", "1"),
         ("a", 3, AGE, alone, "40.5"), ("a", 4, AGE, alone, "99"), ("a", 5, PEOPLE, now, "900"), ("a", 6, PEOPLE, f"{now}_SegmentMember", "7"), ("a", 7, PEOPLE, alone, "100"),
-        ("b", 0, PEOPLE, alone, "4179"), ("b", 1, TEXT, "FilingDateInstant", BLOCK), ("b", 2, "jpdei_cor:SecurityCodeDEI", "FilingDateInstant", "12340"),
+        ("b", 0, PEOPLE, alone, "4179"), ("b", -1, TEXT, "FilingDateInstant", "従業員の状況は別に記載"), ("b", 1, TEXT, "FilingDateInstant", BLOCK), ("b", 2, "jpdei_cor:SecurityCodeDEI", "FilingDateInstant", "12340"),
     ]
     got = {r["path"]: r for r in filings.records(spark.createDataFrame(facts, "path string, seq long, element string, context string, value string")).collect()}
     a, b = got["a"], got["b"]

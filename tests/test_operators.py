@@ -71,6 +71,40 @@ def test_two_phases(spark):
     assert got == {1: ("E1", 1), 2: ("E3", 2), 3: ("E1", 2), 4: (None, 0), 5: ("E6", 1), 6: ("E7", 2), 7: (None, 0)}
 
 
+def walked(rows, codes):
+    """Both phases plainly, row by row."""
+    used, out, pending = set(), {}, []
+    for idx, sec, name, listed in rows:
+        found = [c for c, s, _, _ in codes if sec and s == sec]
+        if len(found) == 1:
+            out[idx] = (found[0], 1)
+            used.add(found[0])
+        else:
+            pending.append((idx, name, listed))
+    for idx, name, listed in pending:
+        found = [(c, own) for c, _, n, own in codes if n == name]
+        alike = [x for x in found if x[1] == listed]
+        found = alike if len(found) > 1 and len(alike) == 1 else found
+        free = [x for x in found if x[0] not in used]
+        found = free if len(found) > 1 and len(free) == 1 else found
+        out[idx] = (found[0][0], 2) if len(found) == 1 else (None, 0)
+        used |= {out[idx][0]} - {None}
+    return out
+
+
+def test_two_phases_row_by_row(spark):
+    import random
+
+    rng = random.Random(12)
+    pick = lambda n: rng.choice([None, *map(str, range(n))])
+    codes = [(f"E{k:03}", pick(150) or "", pick(45), pick(3)) for k in range(200)]
+    rows = [(k, pick(150), pick(45), pick(3)) for k in range(400)]
+    want = walked(rows, codes)
+    assert {phase for _, phase in want.values()} == {0, 1, 2}
+    got = resolution.two_phase(spark.createDataFrame(rows, "row_idx int, sec_code string, name_key string, listed string"), spark.createDataFrame(codes, "code string, sec_code string, name_key string, listed string"))
+    assert {r["row_idx"]: (r["code"], r["phase"]) for r in got.collect()} == want
+
+
 def test_quality(spark):
     rows = spark.createDataFrame([(1,), (1,), (2,)], "id int")
     for check in (lambda: resolution.expect_unique(rows, "id"), lambda: resolution.expect_rows(rows, 2), lambda: resolution.expect_matched(rows, rows.where("id = 1"), "id"), lambda: export.check_size("x" * 9, 0)):
