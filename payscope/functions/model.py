@@ -140,6 +140,11 @@ def bar_percent(x: Column, most: Column) -> Column:
     return F.when(most > 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), x / most * 100)), 1))
 
 
+def mean_marker(mean: Column, most: Column) -> Column:
+    """Where the mean lies on a bar whose end is ``most``, as ``bar_percent``; null beyond its end."""
+    return F.when(mean <= most, bar_percent(mean, most))
+
+
 def repaired_pay(salary: Column, employees: Column) -> Column:
     """Pay that is off by a power of ten, brought into bounds; null if no power does."""
     ceiling = F.when(F.coalesce(employees, F.lit(0)) >= C.REPAIR_STAFF, C.REPAIR_CEILING).otherwise(C.REPAIR_CEILING_SMALL)

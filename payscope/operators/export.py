@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gzip
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,48 @@ def unpooled(rows: DataFrame, pool: DataFrame, index: str, name: str) -> DataFra
     return rows.join(names, index, "left").withColumn(name, F.coalesce(name, F.lit(""))).drop(index)
 
 
+#: The fixed part of an encoded row, and which of its places are texts (fixed values).
+ROW_FIELDS = ("overtime_all", "overtime_scope", "leave_all", "gap_all", "gap_regular", "gap_nonregular", "gap_period", "as_of", "updated_at")
+ROW_TEXTS = ("overtime_scope", "gap_period", "as_of", "updated_at")
+ROW_UNITS = ("overtime_units", "leave_units")
+
+
+def row_pool(rows: DataFrame, order: str) -> DataFrame:
+    """(value, index) of all texts of ``rows``, units' names too, numbered from 0 as a walk by ``order`` meets them."""
+    names = F.flatten(F.array(*(F.transform(F.col(u), lambda x: x["unit"]) for u in ROW_UNITS)))
+    each = rows.select(order, F.posexplode(F.concat(F.array(*ROW_TEXTS), names)).alias("k", "value")).withColumn("value", F.trim("value"))
+    first = each.where("value <> ''").groupBy("value").agg(F.min(F.struct(order, "k")).alias("at"))
+    # The pool is delivered as one piece: few values by its purpose.
+    return first.select("value", F.expr("row_number() OVER (ORDER BY at) - 1").alias("index"))
+
+
+def encoded_rows(rows: DataFrame, pool: DataFrame, key: str = "id") -> DataFrame:
+    """(key, cells): nine fixed cells, texts as places in the pool (-1 for none), then for each kind of units their number
+    and so many pairs of name and value."""
+    places = pool.agg(F.map_from_entries(F.collect_list(F.struct("value", F.col("index").cast("double")))).alias("_pool"))
+    place = lambda text: F.coalesce(F.try_element_at(F.col("_pool"), F.trim(text)), F.lit(-1.0))
+    fixed = F.array(*(place(F.col(c)) if c in ROW_TEXTS else F.col(c).cast("double") for c in ROW_FIELDS))
+    counted = lambda u: F.concat(F.array(F.size(u).cast("double")), F.flatten(F.transform(F.col(u), lambda x: F.array(place(x["unit"]), x["value"].cast("double")))))
+    return rows.crossJoin(F.broadcast(places)).select(key, F.concat(fixed, *map(counted, ROW_UNITS)).alias("cells"))  # one row
+
+
+def decoded_rows(encoded: DataFrame, pool: DataFrame, key: str = "id") -> DataFrame:
+    """The rows behind ``encoded_rows``; '' where a text was empty or missing."""
+    places = pool.agg(F.map_from_entries(F.collect_list(F.struct(F.col("index").cast("int"), "value"))).alias("_pool"))
+    text = lambda x: F.coalesce(F.try_element_at(F.col("_pool"), x.cast("int")), F.lit(""))
+    cell = lambda at: F.get(F.col("cells"), at)
+
+    def units(at: Column) -> Column:
+        n = cell(at).cast("int")
+        pairs = F.sequence(F.lit(1), n)
+        return F.when(n > 0, F.transform(pairs, lambda k: F.struct(text(cell(at + 2 * k - 1)).alias("unit"), cell(at + 2 * k).alias("value")))).otherwise(F.array().cast("array<struct<unit: string, value: double>>"))
+
+    start = F.lit(len(ROW_FIELDS))
+    fixed = [(text(cell(F.lit(k))) if c in ROW_TEXTS else cell(F.lit(k))).alias(c) for k, c in enumerate(ROW_FIELDS)]
+    first, second = (u.alias(name) for u, name in zip((units(start), units(start + 1 + 2 * cell(start).cast("int"))), ROW_UNITS, strict=True))
+    return encoded.crossJoin(F.broadcast(places)).select(key, *fixed, first, second)  # one row
+
+
 def company_tuples(companies: DataFrame, curve_keys: Sequence[str]) -> DataFrame:
     """Companies as they are delivered: the sector and the curve as places, the sectors in Japanese order.
     A curve key that is not among ``curve_keys`` is an error."""
@@ -93,8 +135,12 @@ def manifest(source: DataFrame, matched: DataFrame, written: DataFrame) -> DataF
     return count(source, "source_rows").crossJoin(count(matched, "matched")).crossJoin(count(written, "written"))  # one row each
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV with a header, quoted only where needed, quotes doubled."""
+def write_csv(rows: DataFrame, path: str, byte_order_mark: bool = False) -> None:
+    """CSV with a header, quoted only where needed, quotes doubled; ``byte_order_mark``: spreadsheet programs want one,
+    so the file is then one piece (an export of the whole population is a few thousand rows by its purpose)."""
+    if byte_order_mark:
+        first, *rest = rows.columns
+        rows = rows.coalesce(1).withColumnRenamed(first, "\ufeff" + first).select("\ufeff" + first, *rest)
     rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
@@ -104,3 +150,22 @@ def check_size(payload: str, most_kb: int) -> int:
     if size > most_kb * 1024:
         raise QualityError(f"{size} bytes compressed, more than {most_kb} KB")
     return size
+
+
+def write_bundle(pieces: Mapping[str, tuple[DataFrame, int]], folder: str) -> dict[str, int]:
+    """Each piece (rows, budget in KB) as one JSON array in ``folder``, once all are within their budgets; their
+    compressed sizes.  Pieces are what a browser loads whole: their budgets bound what reaches the driver."""
+    bodies, sizes = {}, {}
+    for name, (rows, most_kb) in pieces.items():
+        kept, held = [], 0
+        for row in rows.select(F.to_json(F.struct("*")).alias("json")).toLocalIterator():
+            kept.append(row["json"])
+            held += len(row["json"])
+            if held > 100 * most_kb * 1024:  # no text is compressed to a hundredth
+                raise QualityError(f"{name}: more than {most_kb} KB")
+        bodies[name] = "[" + ",".join(kept) + "]"
+        sizes[name] = check_size(bodies[name], most_kb)
+    for name, body in bodies.items():
+        spark = pieces[name][0].sparkSession
+        spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}.json")
+    return sizes

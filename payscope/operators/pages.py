@@ -50,6 +50,25 @@ def page_candidates(pages: DataFrame) -> DataFrame:
     return rows.where("url IS NOT NULL").select("page_id", "seq", "source", "url", F.col("s.width").alias("width"), F.col("s.height").alias("height"))
 
 
+def manifest_links(pages: DataFrame) -> DataFrame:
+    """(page_id, manifest): the web address of the first manifest link of each page that has one."""
+    html = F.coalesce(F.col("html"), F.lit(""))
+    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*>)"), F.lit(1)), lambda tag: F.lower(attribute(tag, "rel")).contains("manifest") & attribute(tag, "href").isNotNull())
+    found = pages.select("page_id", "url", attribute(F.get(links, F.lit(0)), "href").alias("raw")).where("raw IS NOT NULL")
+    return found.select("page_id", absolute(F.col("url"), F.col("raw")).alias("manifest")).where("manifest IS NOT NULL")
+
+
+def manifest_icons(manifests: DataFrame) -> DataFrame:
+    """Candidates from fetched manifests (page_id, manifest: its address, body: its JSON), in the form of ``page_candidates``.
+
+    Bodies that are no JSON objects, and icons without an address, give none.
+    """
+    icons = F.from_json(F.get_json_object("body", "$.icons"), "array<struct<src: string, sizes: string>>")
+    each = manifests.select("page_id", "manifest", F.posexplode(icons).alias("seq", "c")).where("c.src IS NOT NULL")
+    rows = each.select("page_id", "seq", F.lit("icon").alias("source"), absolute(F.col("manifest"), F.col("c.src")).alias("url"), largest_size(F.col("c.sizes")).alias("s"))
+    return rows.where("url IS NOT NULL").select("page_id", "seq", "source", "url", F.col("s.width").alias("width"), F.col("s.height").alias("height"))
+
+
 def _priority(source: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, SOURCES)), source)
 

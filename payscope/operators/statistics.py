@@ -86,6 +86,13 @@ def top_overlap(rows: DataFrame, a: str, b: str, ties: Sequence[str], k: int = 5
     return top(a).join(F.broadcast(top(b)), [*ties], "left_semi").agg(F.count("*").alias("shared"))  # k rows
 
 
+def top_churn(rows: DataFrame, a: str, b: str, ties: Sequence[str], k: int = 50) -> DataFrame:
+    """(side, ties): who is among the first k by ``a`` only (left) or by ``b`` only (entered)."""
+    top = lambda c: rows.orderBy(F.desc(c), *ties).limit(k).select(*ties)
+    only = lambda x, y, side: top(x).join(F.broadcast(top(y)), [*ties], "left_anti").withColumn("side", F.lit(side))
+    return only(a, b, "left").unionByName(only(b, a, "entered"))  # k rows each
+
+
 def local_linear(points: DataFrame, x: str, y: str, first: int = C.FIT_AGES[0], last: int = C.FIT_AGES[1], bandwidth: float = C.FIT_BANDWIDTH) -> DataFrame:
     """(age, level): local linear regression with a Gaussian kernel of ln(y) at each whole age; no rows
     for fewer than 50 points.  One pass: each grid age is a set of sums with partial aggregation."""

@@ -134,6 +134,21 @@ def codelist(spark: SparkSession, path: str, encoding: str = "cp932", names: Seq
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema).withColumn("sec_code", F.substring("sec_code", 1, 4))
 
 
+def only_zip(spark: SparkSession, folder: str) -> str:
+    """The one ZIP file of a folder; an error if there are none or several."""
+    found = [r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select("path").limit(3).collect()]
+    if len(found) != 1:
+        raise QualityError(f"{'no' if not found else 'more than one'} ZIP file in {folder}")
+    return found[0]
+
+
+def untyped_csv(spark: SparkSession, path: str, numbers: Sequence[str] = ("avg_age", "avg_salary")) -> DataFrame:
+    """A written CSV read again with all columns as they are, as text, but for ``numbers``; empty texts stay empty."""
+    rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    clean = rows.toDF(*(c.lstrip("\ufeff") for c in rows.columns))
+    return clean.select(*(F.col(c).cast("double").alias(c) if c in numbers else F.coalesce(c, F.lit("")).alias(c) for c in clean.columns))
+
+
 def provenance(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256, bytes) of files."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
