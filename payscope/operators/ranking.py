@@ -1,8 +1,9 @@
 """Ranks over a whole population, and the rank / filter / search / sort / page query.
 
-A global rank is not a window without partitions, which would bring all rows to one task.  Rows
-are put into cells of pay; the rows of higher cells are counted, and only rows of one cell are
-ordered together.  Pay is bounded, so there are at most a few thousand cells at any number of rows.
+A global rank is not a window without partitions, which would bring all rows to one task.  Distinct pays
+are put into cells; the rows of higher cells are counted, and only pays of one cell are ordered together.
+There are at most a few thousand cells at any number of rows.  Rows of equal pay are numbered in stretches of
+their tie-breaker, so a pay that very many rows share is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from payscope import constants as C
 from payscope.functions import model
 from payscope.functions.text import search_key
 
-#: Yen in a cell, and the last cell, which takes all higher pay.
-CELL, MOST_CELLS = 50_000, 4000
+#: Yen in a cell, and how many cells are that wide; each higher one is a hundredth of an octave.
+CELL, EVEN_CELLS = 50_000, 4000
+#: How far the tie-breaker goes in a stretch of rows that are numbered together.
+TIE_STRETCH = 65_536
 
 
 def bases(companies: DataFrame, ages: Sequence[int] = C.TARGET_AGES) -> DataFrame:
@@ -36,20 +39,37 @@ def bases(companies: DataFrame, ages: Sequence[int] = C.TARGET_AGES) -> DataFram
 
 
 def cell_of(value: Column, width: float = CELL) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(MOST_CELLS), F.floor(value / F.lit(width)))).cast("int")
+    """The number of a cell, never falling with the value; cells are even up to a point and grow with the value above it."""
+    at = F.floor(value / F.lit(width))
+    high = F.lit(EVEN_CELLS) + F.floor(F.log2(F.greatest(at, F.lit(EVEN_CELLS)) / F.lit(EVEN_CELLS)) * 100)
+    return F.when(at < EVEN_CELLS, F.greatest(F.lit(0), at)).otherwise(high).cast("int")
 
 
-def positions(rows: DataFrame, value: str, ties: Sequence[str], group: Sequence[str] = (), name: str = "position") -> DataFrame:
-    """``rows`` with the place of each by ``value`` descending, then ``ties`` ascending (they must make it unique)."""
-    rows = rows.withColumn("_cell", cell_of(F.col(value)))
+def _ahead_of_values(rows: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
+    """(group, value, _ahead): how many rows of the group have a higher value."""
+    values = rows.groupBy(*group, value).agg(F.count("*").alias("_n")).withColumn("_cell", cell_of(F.col(value)))
     keys = ", ".join((*group, "_cell"))
     partition = f"PARTITION BY {', '.join(group)} " if group else ""
-    counts = rows.groupBy(*group, "_cell").agg(F.count("*").alias("_n"))
-    # At most MOST_CELLS rows in each group.
-    ahead = counts.withColumn("_ahead", F.expr(f"sum(_n) OVER ({partition}ORDER BY _cell DESC) - _n")).drop("_n")
-    order = ", ".join((f"{value} DESC", *ties))
-    place = rows.withColumn("_within", F.expr(f"row_number() OVER (PARTITION BY {keys} ORDER BY {order})"))
-    return place.join(ahead, [*group, "_cell"]).withColumn(name, (F.col("_ahead") + F.col("_within")).cast("long")).drop("_cell", "_ahead", "_within")
+    cells = values.groupBy(*group, "_cell").agg(F.sum("_n").alias("_m"))
+    # A few thousand rows in each group.
+    ahead = cells.withColumn("_higher", F.expr(f"sum(_m) OVER ({partition}ORDER BY _cell DESC) - _m")).drop("_m")
+    return (
+        values.withColumn("_within", F.expr(f"sum(_n) OVER (PARTITION BY {keys} ORDER BY {value} DESC) - _n"))
+        .join(ahead, [*group, "_cell"])
+        .select(*group, value, (F.col("_higher") + F.col("_within")).alias("_ahead"))
+    )
+
+
+def positions(rows: DataFrame, value: str, ties: Sequence[str], group: Sequence[str] = (), name: str = "position") -> DataFrame:
+    """``rows`` with the place of each by ``value`` descending, then ``ties`` ascending (they must make it unique)."""
+    number = dict(rows.dtypes)[ties[0]] in ("tinyint", "smallint", "int", "bigint")
+    rows = rows.withColumn("_stretch", F.floor(F.col(ties[0]) / F.lit(TIE_STRETCH)) if number else F.lit(0).cast("long"))
+    keys = [*group, value, "_stretch"]
+    stretches = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    earlier = stretches.withColumn("_earlier", F.expr(f"sum(_n) OVER (PARTITION BY {', '.join((*group, value))} ORDER BY _stretch) - _n")).drop("_n")
+    starts = earlier.join(_ahead_of_values(rows, value, group), [*group, value])
+    numbered = rows.withColumn("_within", F.expr(f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(ties)})"))
+    return numbered.join(starts, keys).withColumn(name, (F.col("_ahead") + F.col("_earlier") + F.col("_within")).cast("long")).drop("_stretch", "_ahead", "_earlier", "_within")
 
 
 def competition_ranks(rows: DataFrame, value: str, group: Sequence[str] = (), name: str = "rank") -> DataFrame:
@@ -57,16 +77,7 @@ def competition_ranks(rows: DataFrame, value: str, group: Sequence[str] = (), na
 
     Ranks are found among the distinct values, so a value that very many rows share costs nothing more.
     """
-    values = rows.groupBy(*group, value).agg(F.count("*").alias("_n")).withColumn("_cell", cell_of(F.col(value)))
-    keys = ", ".join((*group, "_cell"))
-    partition = f"PARTITION BY {', '.join(group)} " if group else ""
-    cells = values.groupBy(*group, "_cell").agg(F.sum("_n").alias("_m"))
-    ahead = cells.withColumn("_ahead", F.expr(f"sum(_m) OVER ({partition}ORDER BY _cell DESC) - _m")).drop("_m")
-    ranked = (
-        values.withColumn("_within", F.expr(f"sum(_n) OVER (PARTITION BY {keys} ORDER BY {value} DESC) - _n"))
-        .join(ahead, [*group, "_cell"])
-        .select(*group, value, (F.col("_ahead") + F.col("_within") + 1).cast("long").alias(name))
-    )
+    ranked = _ahead_of_values(rows, value, group).select(*group, value, (F.col("_ahead") + 1).cast("long").alias(name))
     return rows.join(ranked, [*group, value])
 
 
@@ -179,19 +190,19 @@ def ranked(companies: DataFrame, q: RankingQuery, fold: bool = True) -> DataFram
     return positions(placed, "salary", ["row_idx"], name="rank")
 
 
-def page_of(rows: DataFrame, q: RankingQuery, size: int = C.PAGE_SIZE) -> DataFrame:
+def page_of(rows: DataFrame, q: RankingQuery, total: int, size: int = C.PAGE_SIZE) -> DataFrame:
     """One page of ``ranked`` in the order of the query, with its total, its number (clamped) and its maximum.
 
     The sort keeps the order of ranks among ties and leaves the ranks as they are.
     """
-    total = rows.count()
     page = min(max(1, q.page), max(1, math.ceil(total / size)))
     key = F.col(_SORTS[q.sort])
     order = [key.desc() if q.descending else key.asc(), F.col("rank").asc()]
     shown = rows.orderBy(*order).offset((page - 1) * size).limit(size)
-    most = shown.agg(F.coalesce(F.max("salary"), F.lit(0).cast("long")).alias("page_max"))
-    return shown.crossJoin(F.broadcast(most)).withColumns({"page": F.lit(page), "total": F.lit(total).cast("long")})  # one row
+    # A window over the rows of a page, which are together already.
+    return shown.withColumns({"page_max": F.expr("max(salary) OVER (PARTITION BY 1)"), "page": F.lit(page), "total": F.lit(total).cast("long")})
 
 
 def run_query(companies: DataFrame, q: RankingQuery, fold: bool = True) -> DataFrame:
-    return page_of(ranked(companies, q, fold), q)
+    """The page that a query shows; the rows that match are counted without being ranked."""
+    return page_of(ranked(companies, q, fold), q, companies.where(matches(q, fold)).count())

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,23 +123,36 @@ def fitted_factors(levels: DataFrame, pairs: DataFrame) -> DataFrame:
 def swapped_pairs(rows: DataFrame, values: Sequence[str], group: str, order: str) -> DataFrame:
     """(pairs, swapped, percent): pairs of one group whose order by any of ``values`` differs from that by the first.
 
-    All pairs of a group are the feature here; the pairs are made in blocks of at most 512 by 512
-    rows, so a large group spreads over many tasks and only counts leave them.
+    All pairs of a group are the feature here.  They are made in blocks of at most 1024 by 1024 rows, so a
+    large group spreads over many tasks, a block is one comparison of arrays, and only counts leave the tasks.
     """
-    block = 512
+    block, width = 1024, 1 + len(values)
     sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
     tile = F.pmod(F.xxhash64(order), F.col("_blocks")).cast("int")
     base = rows.join(sizes, group).withColumn("_tile", tile)
-    packed = base.groupBy(group, "_tile", "_blocks").agg(F.collect_list(F.struct(order, *values)).alias("_rows"))  # about `block` rows
+    cells = F.array(*(F.col(c).cast("double") for c in (order, *values)))
+    packed = base.groupBy(group, "_tile", "_blocks").agg(F.flatten(F.collect_list(cells)).alias("_rows"))  # about `block` rows
     left = packed.select(group, "_tile", "_rows", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
     right = packed.select(group, F.col("_tile").alias("_other"), F.col("_rows").alias("_others"))
-    both = left.where("_tile <= _other").join(right, [group, "_other"])
-    before = lambda x, y: (F.col("_tile") != F.col("_other")) | (x[order] < y[order])
-    above = lambda x, y, v: F.when(x[order] < y[order], x[v] > y[v]).otherwise(y[v] > x[v])
-    differs = lambda x, y: F.array_max(F.array(*(above(x, y, v) != above(x, y, values[0]) for v in values[1:])))
-    pairs = F.aggregate("_rows", F.lit(0).cast("long"), lambda n, x: n + F.size(F.filter("_others", lambda y: before(x, y))))
-    swaps = F.aggregate("_rows", F.lit(0).cast("long"), lambda n, x: n + F.size(F.filter("_others", lambda y: before(x, y) & differs(x, y))))
-    out = both.agg(F.sum(pairs).alias("pairs"), F.sum(swaps).alias("swapped"))
+    both = left.where("_tile <= _other").join(right, [group, "_other"]).select((F.col("_tile") == F.col("_other")).alias("same"), "_rows", "_others")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = swapped = 0
+            for same, a, b in zip(*(batch.column(k) for k in range(3)), strict=True):
+                x, y = (np.asarray(v.values).reshape(-1, width) for v in (a, b))
+                first = x[:, None, 0] < y[None, :, 0]
+                # Of the two the one that comes first by `order` is above or not.
+                above = lambda v: np.where(first, x[:, None, v] > y[None, :, v], y[None, :, v] > x[:, None, v])  # noqa: B023, E731
+                start, differs = above(1), np.zeros(first.shape, bool)
+                for v in range(2, width):
+                    differs |= above(v) != start
+                counted = first if same.as_py() else np.ones(first.shape, bool)
+                pairs += int(counted.sum())
+                swapped += int((counted & differs).sum())
+            yield pa.record_batch([pa.array([pairs]), pa.array([swapped])], names=["pairs", "swapped"])
+
+    out = both.mapInArrow(compare, "pairs long, swapped long").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("swapped"), F.lit(0)).alias("swapped"))
     return out.select("pairs", "swapped", F.when(F.col("pairs") > 0, F.round(F.col("swapped") / F.col("pairs") * 100, 6)).otherwise(F.lit(0.0)).alias("percent"))
 
 

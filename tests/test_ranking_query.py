@@ -1,3 +1,4 @@
+import re
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,4 +58,15 @@ def test_plan_has_no_window_over_everything(spark):
     plan = companies(spark, "/root/testdata/sf0.001").transform(lambda df: positions(df.withColumn("v", F.col("avg_salary").cast("long")), "v", ["row_idx"]))
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     # The one window without partitions is over the counts of cells.
-    assert text.count("Window") == 2
+    assert set(re.findall(r"windowspecdefinition\((\w+)#\w+ (?:ASC|DESC)", text)) == {"_cell"}
+    assert text.count("windowspecdefinition(v#") == 2 and text.count("windowspecdefinition(") == 4
+
+
+def test_positions_of_many_ties(spark):
+    """A third of the rows share a value, ids reach over several stretches, and some values are far above the even cells."""
+    rows = [(k * 1000, 5 if k % 3 == 0 else k * k * 10**7 if k % 3 == 1 else k % 4 * 10**5) for k in range(600)]
+    got = {r["id"]: r["position"] for r in positions(spark.createDataFrame(rows, "id long, v long").repartition(4), "v", ["id"]).collect()}
+    assert got == {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+    named = [(f"n{k:03}", k % 5) for k in range(100)]
+    got = {r["id"]: r["position"] for r in positions(spark.createDataFrame(named, "id string, v long"), "v", ["id"]).collect()}
+    assert got == {i: k for k, (i, _) in enumerate(sorted(named, key=lambda r: (-r[1], r[0])), 1)}
