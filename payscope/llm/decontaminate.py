@@ -56,9 +56,13 @@ def _long(x: int) -> Column:
 
 
 def weighted_likeness(a: str, b: str) -> Column:
-    """Jaccard likeness of two arrays as multisets: shingles weigh as often as they occur."""
-    shared = F.expr(f"aggregate(array_distinct({a}), 0, (s, h) -> s + least(size(filter({a}, x -> x = h)), size(filter({b}, x -> x = h))))")
-    return shared / (F.size(a) + F.size(b) - shared)
+    """Jaccard likeness of two arrays as multisets: shingles weigh as often as they occur.
+
+    Where ``a`` repeats nothing, that is the plain intersection.
+    """
+    repeats = F.expr(f"aggregate(array_distinct({a}), 0, (s, h) -> s + least(size(filter({a}, x -> x = h)), size(filter({b}, x -> x = h))))")
+    shared = F.when(F.size(F.array_distinct(a)) == F.size(a), F.size(F.array_intersect(a, b))).otherwise(repeats)
+    return let(shared, lambda n: n / (F.size(a) + F.size(b) - n))
 
 
 def radius_of(threshold: float) -> int:
@@ -131,8 +135,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radiu
         # A pair is taken at the first of its equal blocks only.
         earlier = reduce(lambda x, y: x | y, ((F.col("block") > i) & (differ.bitwiseAND(_long(m)) == 0) for i, m in enumerate(masks)))
         near = probe.join(hint(index), ["size", "block", "bits"]).where((F.bit_count(differ) <= radius) & ~earlier)
-        scored = near.select("key", "doc_id", "item", weighted_likeness("win", "shingles").alias("similarity"), F.col("start").alias("start_word"), F.col("n").alias("n_words"))
-        found.append(scored.where(F.col("similarity") >= threshold))
+        # Unfolded, so that the likeness isn't computed once for the condition and once for the column.
+        similar = F.explode(F.filter(F.array(weighted_likeness("win", "shingles")), lambda x: x >= threshold))
+        found.append(near.select("key", "doc_id", "item", similar.alias("similarity"), F.col("start").alias("start_word"), F.col("n").alias("n_words")))
     return reduce(DataFrame.unionByName, found).join(hint(named), "item").drop("item")
 
 
