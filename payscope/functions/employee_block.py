@@ -25,6 +25,7 @@ _HEADERS = {
     "tenure": re.compile(r"平\s*均\s*勤\s*続\s*年\s*数|平\s*均\s*勤\s*続"),
     "salary": re.compile(r"平\s*均\s*年\s*間\s*給\s*与(?:額)?"),
 }
+#: How far headers reach back and ahead, and how much of the text behind them is read (fixed values).
 _REACH_BACK, _REACH_AHEAD, _VALUES = 130, 60, 240
 _MARK = re.compile(r"[（(]\s*(?:注|※)?\s*[0-9０-９]{0,2}\s*[)）]|※\s*[0-9]?|注\s*[0-9]")
 _UNIT_AFTER_HEADER = re.compile(r"\s*[（(]\s*(?:人|名|歳|才|年|千円|円)\s*[)）]|\s*[（(][^)）]{0,12}[)）]")

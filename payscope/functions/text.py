@@ -29,6 +29,11 @@ def search_key(name: Column, fold: bool = True) -> Column:
     return F.regexp_replace(F.lower(bare), r"(?U)\s+", "")
 
 
+def search_name(name: Column) -> Column:
+    """A name as the code list is compared: folded, without white space, corporate forms and case as they are; '' for null."""
+    return F.regexp_replace(nfkc(F.coalesce(name, F.lit(""))), r"(?U)\s+", "")
+
+
 def initial_of(name: Column) -> Column:
     """The first character of a name behind a corporate form; of the whole name if nothing is left."""
     rest = F.trim(F.regexp_replace(name, f"^({'|'.join(map(re.escape, LEADING_FORMS))})", ""))

@@ -57,14 +57,29 @@ def page_logo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered_candidates(page_candidates(table(spark, sf_dir, "pages")))
 
 
-@register()
+_BLOCK = """WITH c AS (SELECT c_custkey AS id, 100 + c_custkey * 37 % 9000 AS employees, 300 + c_custkey * 7 % 250 AS age10, 20 + c_custkey * 3 % 120 AS tenure10, 3000000 + c_custkey * 12347 % 9000000 AS salary FROM customer)
+  SELECT id, CAST(salary AS DOUBLE) AS avg_salary, age10 / CAST(10 AS DOUBLE) AS avg_age, tenure10 / CAST(10 AS DOUBLE) AS avg_tenure, CAST(employees AS DOUBLE) AS employees, 'textblock' AS source FROM c"""
+
+
+@register(_BLOCK)
 def employee_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table reader over all texts (none of which holds such a table, so every figure is null); tested on fixtures."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", employee_block(F.col("text"), F.lit(None).cast("double")).alias("b"))
-    return rows.select("doc_id", "b.avg_salary", "b.avg_age", "b.avg_tenure", "b.employees", "b.source")
+    """Texts with the table of employees, its values apart in a third of them, in lines in another and stuck together in the
+    last, where the number of employees is known from elsewhere."""
+    key = F.col("c_custkey")
+    numbers = table(spark, sf_dir, "customer").select(
+        key.alias("id"), (100 + key * 37 % 9000).alias("people"), ((300 + key * 7 % 250) / 10).alias("age"), ((20 + key * 3 % 120) / 10).alias("tenure"), (3_000_000 + key * 12_347 % 9_000_000).alias("pay")
+    )
+    separator = F.element_at(F.array(F.lit(" "), F.lit("\n"), F.lit("")), (F.col("id") % 3 + 1).cast("int"))
+    values = F.array_join(F.array(F.format_number("people", 0), F.format_number("age", 1), F.format_number("tenure", 1), F.format_number("pay", 0)), "|")
+    body = F.concat(F.lit("提出会社の状況\n従業員数（人）平均年齢（歳）平均勤続年数（年）平均年間給与（円）"), separator, F.replace(values, F.lit("|"), separator), separator, F.lit("（注）従業員数は就業人員です。"))
+    known = F.when(F.col("id") % 3 == 2, F.col("people").cast("double"))
+    return numbers.select("id", employee_block(body, known).alias("b")).select("id", "b.avg_salary", "b.avg_age", "b.avg_tenure", "b.employees", "b.source")
 
 
-@register()
+@register("SELECT c_custkey, lower(c_name) AS name_key FROM customer")
 def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search keys of all names, Unicode folded, which SQL can't; tested on fixtures."""
-    return table(spark, sf_dir, "customer").select("c_custkey", text.search_key(F.col("c_name")).alias("name_key"))
+    """Search keys of names in wide letters, with a corporate form in front or behind and wide spaces."""
+    name = F.translate(F.col("c_name"), "Customer#0123456789", "Ｃｕｓｔｏｍｅｒ＃０１２３４５６７８９")
+    form = F.element_at(F.array(F.lit("株式会社　"), F.lit("㈱"), F.lit("（株） ")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    full = F.when(F.col("c_custkey") % 2 == 0, F.concat(form, name)).otherwise(F.concat(name, form))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.search_key(full).alias("name_key"))
