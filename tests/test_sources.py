@@ -2,6 +2,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from payscope.operators.resolution import QualityError, annual_reports, first_per_slot
 from payscope.sources import files
@@ -89,4 +90,10 @@ def test_stream_replaces_older_filings(spark, tmp_path):
     run()
     run()
     assert [(r["doc_id"], r["value"]) for r in filings.current(spark, str(tmp_path / "out")).collect()] == [("S2", 2)]
+    (landing / "3.json").write_text("\n".join(json.dumps({"code": c, "year": y, "doc_id": d, "value": v}) for c, y, d, v in [("b", 2020, "S3", 3), ("a", 2021, "S4", 4), ("a", 2020, "S0", 0)]))
+    run()
+    now = filings.current(spark, str(tmp_path / "out"))
+    assert sorted((r["code"], r["year"], r["doc_id"]) for r in now.collect()) == [("a", 2020, "S2"), ("a", 2021, "S4"), ("b", 2020, "S3")]
+    assert all("batch=0" not in r[0] for r in now.select(F.input_file_name()).collect())
+    assert filings.current(spark, str(tmp_path / "none")) is None
 
