@@ -207,6 +207,22 @@ def test_fingerprints(spark):
     assert sum(errors) / len(errors) < 0.05 and max(errors) < 0.25
 
 
+def test_very_long_texts_and_clashing_columns(spark):
+    """One text of a megabyte beside its copy with a changed end, with columns called like those of the results."""
+    long = " ".join(f"w{k % 7919}" for k in range(170_000))
+    rows = [(1, long), (2, long[:-9] + "something"), (3, "short"), (None, None)]
+    names = "fp root fingerprint component_id text_hash sketch bucket next_text n_bytes kept_sha256 guest edited head spans".split()
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit("clash") for n in names})
+    one = {r["doc_id"]: r for r in minhash.edited_fingerprints(df).collect()}
+    assert set(one) == {1, 2, 3, None} and one[1]["n_chars"] == len(long)
+    assert one[2]["near_next"] > 0.95 and one[1]["near_next"] == 0 == one[3]["near_next"]  # by descending id; nulls come last
+    two = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert two[2] == (len(long), len(long) - 9, 1) and two[3] == (5, 0, 0) and two[None] == (0, 0, 0)
+    ten = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert ten == {1: 1, 2: 1, 3: 3, None: None}
+    assert simhash.without_near_duplicates(df).columns == df.columns and simhash.without_near_duplicates(df.limit(0)).count() == 0
+
+
 def test_fingerprint_edges(spark):
     rows = [(1, ""), (2, None), (3, "one"), (4, "ONE"), (4, "ONE"), (None, "a b c d e f g")]
     got = minhash.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -693,7 +693,7 @@ def test_pii_edges(spark):
 # --- the pipeline -------------------------------------------------------------------------------
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -703,7 +703,7 @@ def test_pipeline(spark):
         after = stage(spark, seen, SF)
         assert after.columns == docs.columns
         assert {r["doc_id"] for r in after.select("doc_id").collect()} <= {r["doc_id"] for r in seen.select("doc_id").collect()}, name
-        path = f"/tmp/spark-pipeline-test-{hashlib.sha1(str(id(spark)).encode()).hexdigest()}-{name}"
+        path = f"file://{tmp_path}/{name}"
         after.write.mode("overwrite").parquet(path)
         seen = spark.read.parquet(path)
     final = {(r["doc_id"], r["n_tokens"]) for r in p.STAGES[-1][1](spark, seen, SF).collect()}
@@ -723,5 +723,19 @@ def test_pipeline(spark):
 def test_pipeline_stages_on_odd_rows(spark):
     import corpus_pipeline as p
 
-    for _, stage in p.STAGES:
-        stage(spark, odd_rows(spark).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "score AS source", "CAST(0 AS LONG) AS n_chars", "1 AS word_count"), SF).collect()
+    rows = odd_rows(spark).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "score AS source", "CAST(0 AS LONG) AS n_chars", "1 AS word_count")
+    kept = {name: sorted(str(r["doc_id"]) for r in stage(spark, rows, SF).collect()) for name, stage in p.STAGES}
+    every = sorted(str(r["doc_id"]) for r in rows.collect())
+    assert kept["language_id"] == []  # nothing is labelled, so nothing is in a learned language
+    assert kept["near_dedup"] == ["1", "3", "4", "None"]  # the empty and the null text are alike, and the two rows that repeat
+    assert kept["decontamination"] == kept["pii"] == kept["packing"] == every
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert p.run(spark, f"file://{tmp_path}").collect() == []
+    for query in (q.op4_packing, q.op5_decontamination, q.op6_language_id, q.op7_lm_scoring, q.op9_pii):
+        assert query(spark, f"file://{tmp_path}").count() == 0
