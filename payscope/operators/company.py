@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from payscope import constants as C
 from payscope.functions import model
 from payscope.functions.text import ten_thousands
-from payscope.operators.ranking import competition_ranks
-from payscope.operators.statistics import histogram_scale, nearest_rank, population
+from payscope.operators.ranking import competition_ranks, rows_ahead
+from payscope.operators.statistics import nearest_rank, population, scale_of
 
 
 def neighbours(rows: DataFrame, k: int = 5) -> DataFrame:
@@ -37,10 +37,14 @@ def neighbours(rows: DataFrame, k: int = 5) -> DataFrame:
 
 def view(rows: DataFrame) -> DataFrame:
     """Each company and basis with its ranks, shares, deviation, difference from the mean and histogram bin."""
-    sizes = rows.groupBy("basis", "tse33").agg(F.count("*").alias("industry_n"))
-    ranks = competition_ranks(competition_ranks(rows, "salary", ["basis"], "rank_all"), "salary", ["basis", "tse33"], "rank_industry")
-    people = population(rows).join(histogram_scale(rows), "basis").join(nearest_rank(rows, {"median": 0.5}), "basis")
-    out = ranks.join(F.broadcast(people), "basis").join(sizes, ["basis", "tse33"])  # nine rows
+    # The distinct pays of an industry with their counts, shuffled once: ranks, sizes and quantiles are all of them.
+    pays = rows.groupBy("basis", "tse33", "salary").agg(F.count("*").alias("_rows"))
+    rank = lambda group, name: rows_ahead(pays, "salary", group, "_rows").select(*group, "salary", (F.col("_ahead") + 1).cast("long").alias(name))
+    sizes = pays.groupBy("basis", "tse33").agg(F.sum("_rows").alias("industry_n"))
+    quantiles = nearest_rank(pays, {"q02": 0.02, "q95": 0.95, "median": 0.5}, weight="_rows")
+    people = population(rows).join(quantiles.select("basis", "median"), "basis").join(scale_of(quantiles), "basis")
+    places = rank(["basis", "tse33"], "rank_industry").join(rank(["basis"], "rank_all"), ["basis", "salary"]).join(sizes, ["basis", "tse33"])
+    out = rows.join(places, ["basis", "tse33", "salary"]).join(F.broadcast(people), "basis")  # nine rows
     return out.select(
         "id", "basis", "salary", "rank_all", "rank_industry", "industry_n", "mean", "median",
         F.round(model.top_percent(F.col("rank_all"), F.col("n")), 6).alias("top_percent"),

@@ -45,9 +45,9 @@ def cell_of(value: Column, width: float = CELL) -> Column:
     return F.when(at < EVEN_CELLS, F.greatest(F.lit(0), at)).otherwise(high).cast("int")
 
 
-def _ahead_of_values(rows: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
-    """(group, value, _ahead): how many rows of the group have a higher value."""
-    values = rows.groupBy(*group, value).agg(F.count("*").alias("_n")).withColumn("_cell", cell_of(F.col(value)))
+def rows_ahead(rows: DataFrame, value: str, group: Sequence[str], weight: str | None = None) -> DataFrame:
+    """(group, value, _ahead): how many rows of the group have a higher value.  ``weight``: how many rows each one stands for."""
+    values = rows.groupBy(*group, value).agg((F.sum(weight) if weight else F.count("*")).alias("_n")).withColumn("_cell", cell_of(F.col(value)))
     keys = ", ".join((*group, "_cell"))
     partition = f"PARTITION BY {', '.join(group)} " if group else ""
     cells = values.groupBy(*group, "_cell").agg(F.sum("_n").alias("_m"))
@@ -67,7 +67,7 @@ def positions(rows: DataFrame, value: str, ties: Sequence[str], group: Sequence[
     keys = [*group, value, "_stretch"]
     stretches = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     earlier = stretches.withColumn("_earlier", F.expr(f"sum(_n) OVER (PARTITION BY {', '.join((*group, value))} ORDER BY _stretch) - _n")).drop("_n")
-    starts = earlier.join(_ahead_of_values(rows, value, group), [*group, value])
+    starts = earlier.join(rows_ahead(rows, value, group), [*group, value])
     numbered = rows.withColumn("_within", F.expr(f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(ties)})"))
     return numbered.join(starts, keys).withColumn(name, (F.col("_ahead") + F.col("_earlier") + F.col("_within")).cast("long")).drop("_stretch", "_ahead", "_earlier", "_within")
 
@@ -77,7 +77,7 @@ def competition_ranks(rows: DataFrame, value: str, group: Sequence[str] = (), na
 
     Ranks are found among the distinct values, so a value that very many rows share costs nothing more.
     """
-    ranked = _ahead_of_values(rows, value, group).select(*group, value, (F.col("_ahead") + 1).cast("long").alias(name))
+    ranked = rows_ahead(rows, value, group).select(*group, value, (F.col("_ahead") + 1).cast("long").alias(name))
     return rows.join(ranked, [*group, value])
 
 

@@ -22,13 +22,14 @@ def population(rows: DataFrame, group: Sequence[str] = ("basis",), value: str =
     )
 
 
-def nearest_rank(rows: DataFrame, shares: dict[str, float], group: Sequence[str] = ("basis",), value: str = "salary", width: float = CELL) -> DataFrame:
+def nearest_rank(rows: DataFrame, shares: dict[str, float], group: Sequence[str] = ("basis",), value: str = "salary", width: float = CELL, weight: str | None = None) -> DataFrame:
     """For each share p the member at place floor(n * p) from below, counted from 0; n - 1 at most.
 
     Distinct values are counted, then cells of ``width`` of them (a few thousand for each group); only
-    the cells that hold a wanted place are looked into, so no group is ever sorted as a whole.
+    the cells that hold a wanted place are looked into, so no group is ever sorted as a whole.  ``weight``: how
+    many rows each one stands for.
     """
-    values = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c")).withColumn("_cell", cell_of(F.col(value), width))
+    values = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg((F.sum(weight) if weight else F.count("*")).alias("_c")).withColumn("_cell", cell_of(F.col(value), width))
     over = f"PARTITION BY {', '.join(group)}" if group else ""
     cells = values.groupBy(*group, "_cell").agg(F.sum("_c").alias("_m"))
     placed = cells.withColumns({"_n": F.expr(f"sum(_m) OVER ({over})"), "_below": F.expr(f"sum(_m) OVER ({over} ORDER BY _cell) - _m")})
@@ -39,10 +40,8 @@ def nearest_rank(rows: DataFrame, shares: dict[str, float], group: Sequence[str]
     return upto.groupBy(*group).agg(*(F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(name) for name, p in shares.items()))
 
 
-def histogram_scale(rows: DataFrame, group: Sequence[str] = ("basis",), value: str = "salary") -> DataFrame:
-    """(group, low, width) of the adaptive histogram: the narrowest of the fixed widths of which nine hold
-    the span from the 2nd to the 95th percentile; the lowest bin starts at a multiple of it."""
-    ends = nearest_rank(rows, {"q02": 0.02, "q95": 0.95}, group, value)
+def scale_of(ends: DataFrame, group: Sequence[str] = ("basis",)) -> DataFrame:
+    """(group, low, width) from the quantiles q02 and q95; see ``histogram_scale``."""
     span = F.col("q95") - F.col("q02")
     width = F.lit(C.BIN_LADDER[-1] * 10_000)
     for w in reversed(C.BIN_LADDER[:-1]):
@@ -50,6 +49,12 @@ def histogram_scale(rows: DataFrame, group: Sequence[str] = ("basis",), value: s
     return ends.withColumn("width", width.cast("long")).select(*group, (F.floor(F.col("q02") / F.col("width")) * F.col("width")).cast("long").alias("low"), "width")
 
 
+def histogram_scale(rows: DataFrame, group: Sequence[str] = ("basis",), value: str = "salary") -> DataFrame:
+    """(group, low, width) of the adaptive histogram: the narrowest of the fixed widths of which nine hold
+    the span from the 2nd to the 95th percentile; the lowest bin starts at a multiple of it."""
+    return scale_of(nearest_rank(rows, {"q02": 0.02, "q95": 0.95}, group, value), group)
+
+
 def histogram(rows: DataFrame, group: Sequence[str] = ("basis",), value: str = "salary") -> DataFrame:
     """(group, bin, low, width, n) for all nine bins, empty ones too."""
     scale = histogram_scale(rows, group, value)

@@ -129,3 +129,12 @@ def test_candidates_by_logarithm(spark):
     df = spark.createDataFrame(rows, "code string, year int, value double, source string, candidates array<double>")
     got = {(r["code"], r["year"]): (r["resolved"], r["swapped"]) for r in history.resolved(df).collect()}
     assert got == {("a", 2020): (8_000_000.0, False), ("a", 2021): (8_617_851.0, True), ("b", 2021): (5.0, False)}
+
+
+def test_sectors_in_japanese_order(spark):
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate(["銀行業", "化学", "サービス業", "ガス業", "医薬品"])], "id int, tse33 string")
+    full = rows.selectExpr("id", "'n' AS name", "tse33", "'k' AS curve_key", "1.0 AS avg_age", "1.0 AS avg_tenure", "1.0 AS avg_salary", "1 AS employees")
+    got = export.company_tuples(full, ["k"]).collect()
+    # Kana before kanji, kanji by their readings as the collation has them.
+    assert [r["sector"] for r in sorted(got, key=lambda r: r["sector"])] == [0, 1, 2, 3, 4]
+    assert {r["id"]: r["sector"] for r in got}[3] < {r["id"]: r["sector"] for r in got}[2] < min(r["sector"] for r in got if r["id"] in (0, 1, 4))
