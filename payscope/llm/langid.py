@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 TABLE_BITS = 15
 DIM = 12
+#: A small sample is passed over until so many steps are taken, else it is hardly learned.
+LEAST_STEPS = 400
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes of text that are coded at a time.
@@ -117,8 +119,10 @@ def _descend(rows: list[Row], y: np.ndarray, n_languages: int, epochs: int, rate
     emb = rng.normal(0, 1 / DIM, (1 << TABLE_BITS, DIM)).astype(np.float32)
     out = np.zeros((DIM, n_languages), np.float32)
     bias = np.zeros(n_languages, np.float32)
-    steps, done = epochs * max(1, -(-len(fit) // batch)), 0
-    for _ in range(epochs):
+    a_pass = max(1, -(-len(fit) // batch))
+    passes = max(epochs, -(-LEAST_STEPS // a_pass))
+    steps, done = passes * a_pass, 0
+    for _ in range(passes):
         rng.shuffle(fit)
         for at in range(0, len(fit), batch):
             own = fit[at : at + batch]
