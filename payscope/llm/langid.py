@@ -279,6 +279,6 @@ def identify(docs: DataFrame, labelled: DataFrame, rows_per_language: int = 250)
     """(doc_id, lang_pred, score, rejected) for each row of ``docs``, learning from ``labelled`` (text, lang).
 
     Rows that repeat get equal results, a null ``doc_id`` stays null, other columns are left out.  Without any
-    labelled text every text is ``und``.
+    labelled text every text is ``und``, and only texts without a letter are rejected.
     """
     return predict(docs, fit_model(labelled, rows_per_language))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payscope.llm.components import connected_components
+from payscope.llm.minhash import shingle_hashes as word_shingles
 from payscope.llm.shared import materialize
 
 SEED = 42
@@ -155,24 +156,43 @@ def _signed(x: int) -> int:
 
 
 def _block_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(root, member) links that join what is connected within the block: every fingerprint is
-    compared with those that no earlier one has reached, and no pair is listed beyond a spanning set."""
+    """Links that join what is connected within the block: every fingerprint is compared with those that no earlier
+    one has reached, and linked to the nearest of those that reach it first; no pair is listed beyond such a spanning set."""
     left, links = np.unique(fps), []
     while len(left):
-        root, frontier, left = left[0], left[:1], left[1:]
+        frontier, left = left[:1], left[1:]
         while len(frontier) and len(left):
-            near = np.zeros(len(left), bool)
+            best, parent = np.full(len(left), BITS + 1, np.int64), np.zeros(len(left), np.uint64)
             for at in range(0, len(frontier), 256):
-                near |= (np.bitwise_count(frontier[at : at + 256, None] ^ left[None, :]) <= radius).any(axis=0)
+                own = frontier[at : at + 256]
+                apart = np.bitwise_count(own[:, None] ^ left[None, :])
+                least = apart.min(axis=0)
+                closer = least < best
+                best[closer], parent[closer] = least[closer], own[apart.argmin(axis=0)[closer]]
+            near = best <= radius
+            links += zip(parent[near].tolist(), left[near].tolist(), strict=True)
             frontier, left = left[near], left[~near]
-            links += [(root, x) for x in frontier]
     return links
 
 
-def near_links(distinct: DataFrame, radius: int = 3, block: int = 1024) -> DataFrame:
+def _most_links(fps: np.ndarray, radius: int, each: int) -> list[tuple[int, int]]:
+    """All pairs of the block within the radius, unless they are more than ``each`` for a fingerprint: then a spanning set."""
+    fps = np.unique(fps)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, len(fps), 256):
+        a, b = np.nonzero(np.bitwise_count(fps[at : at + 256, None] ^ fps[None, :]) <= radius)
+        a += at
+        found.append((a[a < b], b[a < b]))
+        if sum(len(x) for x, _ in found) > each * len(fps):
+            return _block_links(fps, radius)
+    return [pair for a, b in found for pair in zip(fps[a].tolist(), fps[b].tolist(), strict=True)]
+
+
+def near_links(distinct: DataFrame, radius: int = 3, block: int = 1024, each: int = 0) -> DataFrame:
     """Links (a, b: long) that connect exactly the fingerprints (column fp) within ``radius`` bits.
 
-    Buckets of more than ``block`` fingerprints are cut into chunks, and each pair of chunks is a unit
+    With ``each``, all pairs within the radius are links where they are no more than ``each`` for a fingerprint of a unit; of
+    denser units, and of all without it, a spanning set.  Buckets of more than ``block`` fingerprints are cut into chunks, and each pair of chunks is a unit
     of its own, so no task takes a whole hot bucket; within a unit only a spanning set of links is
     written.  Nothing is capped: every pair of a bucket meets in some unit.
     """
@@ -205,7 +225,7 @@ def near_links(distinct: DataFrame, radius: int = 3, block: int = 1024) -> DataF
                 near = same & (np.bitwise_count(fps[d:] ^ fps[:-d]) <= radius)
                 links.extend(zip(fps[:-d][near].tolist(), fps[d:][near].tolist(), strict=True))
             for at, size in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
-                links.extend(_block_links(fps[at : at + size], radius))
+                links.extend(_most_links(fps[at : at + size], radius, each) if each else _block_links(fps[at : at + size], radius))
 
         def flush() -> pa.RecordBatch:
             pairs = np.array(links, np.uint64).reshape(-1, 2)
@@ -246,9 +266,46 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     return each.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "component_text")
 
 
-def without_near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """The first row of each component of ``docs`` by doc_id (nulls last), then by the text's hash; its columns as they are."""
-    found = near_duplicates(docs, radius, width)
+def alike(links: DataFrame, docs: DataFrame, likeness: float, width: int) -> DataFrame:
+    """Those of ``links`` (a, b: hashes of texts of ``docs``) whose texts share at least ``likeness`` of their shingles of
+    ``width`` words, as sets.  Two texts without words are alike."""
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    text = F.col("text").cast("string")
+    texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    sets = materialize(texts.select("node", F.array_distinct(word_shingles(F.coalesce("text", F.lit("")), width)).alias("s")), "simhash-shingles")
+    pairs = links.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return pairs.where(shared >= F.lit(likeness) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def alike_duplicates(docs: DataFrame, likeness: float = 0.8, width: int = 5, radius: int = 8, probe_width: int = 2) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id, component_text: long) for each row of ``docs``, as ``near_duplicates`` has them, where a
+    link is a pair of texts that share at least ``likeness`` of their ``width``-word shingles.
+
+    Candidates are texts whose SimHashes of ``probe_width``-word shingles are within ``radius`` bits: short shingles move fewer bits
+    when words change.  Each candidate is checked with both texts' shingles before it joins anything.  A text is
+    compared once, however many copies it has; texts of one fingerprint are candidates of the first of them, and where a
+    fingerprint has over 16 near ones in a unit the candidates are a spanning set of it, other units giving others.
+    """
+    each = materialize(fingerprints(docs, probe_width), "simhash-fp")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    texts = materialize(each.groupBy("text_hash").agg(F.min("fp").alias("fp"), F.min(row).alias("first")), "simhash-texts")
+    reps = materialize(texts.groupBy("fp").agg(F.min("first").alias("m")).select("fp", F.col("m.text_hash").alias("rep")), "simhash-distinct")
+    of = lambda end, name: reps.select(F.col("fp").alias(end), F.col("rep").alias(name))
+    between = near_links(reps.select("fp"), radius, each=16).join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    within = texts.join(reps, "fp").where("text_hash <> rep").select(F.col("rep").alias("a"), F.col("text_hash").alias("b"))
+    ordered = between.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    roots = materialize(connected_components(alike(materialize(ordered, "simhash-candidates"), docs, likeness, width)), "simhash-roots")
+    rooted = texts.join(roots, texts["text_hash"] == roots["node"], "left").select("text_hash", "first", F.coalesce("root", "text_hash").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    named = rooted.select("text_hash", "root").join(least, "root").select("text_hash", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_text"))
+    return each.join(named, "text_hash").select("doc_id", "text_hash", "fp", "component_id", "component_text")
+
+
+def without_near_duplicates(docs: DataFrame, likeness: float = 0.8, width: int = 5) -> DataFrame:
+    """The first row of each component of ``alike_duplicates`` by doc_id (nulls last), then by the text's hash; its columns as
+    they are.  Of rows that repeat one stays; a null text is like an empty one."""
+    found = alike_duplicates(docs, likeness, width)
     first = found.where("doc_id <=> component_id AND text_hash = component_text").select(F.col("doc_id").alias("_id"), "text_hash").distinct()
     keyed = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
     kept = keyed.join(first, keyed["doc_id"].cast("long").eqNullSafe(first["_id"]) & (keyed["_hash"] == first["text_hash"]), "left_semi")

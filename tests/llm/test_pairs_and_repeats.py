@@ -179,6 +179,45 @@ def test_near_duplicate_rows(spark):
     assert sorted((str(r["doc_id"]), r["root"]) for r in kept.collect()) == [("3", "b"), ("7", "d"), ("9", "f"), ("None", "c")]
 
 
+def brute_alike(texts, radius=8, likeness=0.8):
+    """Components of the texts that are near by their two-word SimHashes and share enough five-word shingles."""
+    fps = {i: brute_fingerprint(t, 2) for i, t in texts.items()}
+    cut = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    sets = {i: cut((t or "").lower().split()) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if (fps[a] ^ fps[b]).bit_count() <= radius and len(sets[a] & sets[b]) >= likeness * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_alike_duplicates(spark):
+    """The documents with edited copies of every degree: links at 0.8 and above only, and most of those are found."""
+    rng = random.Random(21)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    long = [t.split() for t in texts.values() if t and len(t.split()) > 60]
+    for k in range(150):
+        own = list(rng.choice(long))
+        for _ in range(max(1, int(len(own) * rng.choice([0.002, 0.01, 0.02, 0.06])))):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        texts[10_000 + k] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumns({"fp": F.lit("x"), "rep": F.lit("y")})
+    got = {r["doc_id"]: r["component_id"] for r in simhash.alike_duplicates(df).collect()}
+    assert got == brute_alike(texts)
+    whole = brute_alike(texts, radius=64)
+    linked = [i for i in texts if whole[i] != i]
+    assert len(linked) > 60 and sum(got[i] != i for i in linked) >= 0.9 * len(linked)
+
+
 def test_fingerprints(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     order = sorted(docs, reverse=True)
