@@ -25,6 +25,8 @@ from payscope.llm.minhash import shingle_hashes as word_shingles
 from payscope.llm.shared import materialize
 
 SEED = 42
+#: More hot buckets than this are joined by shuffle instead of broadcast.
+MOST_BROADCAST_BUCKETS = 200_000
 BITS = 64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -202,11 +204,13 @@ def near_links(distinct: DataFrame, radius: int = 3, block: int = 1024, each: in
         return distinct.sparkSession.range(0).selectExpr("id AS a", "id AS b")
     keys = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))
     keyed = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.mask", "k.key")
-    sizes = keyed.groupBy("mask", "key").count().where("count > 1")
-    chunks = F.ceil(F.col("count") / block).cast("int")
+    # Only buckets of more than a chunk are cut; there are few, so the probes need not be shuffled to learn of them.
+    hot = materialize(keyed.groupBy("mask", "key").count().where(F.col("count") > block), "simhash-hot")
+    hint = F.broadcast if hot.count() <= MOST_BROADCAST_BUCKETS else lambda df: df
+    chunks = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), chunks).cast("int")
     units = (
-        keyed.join(sizes, ["mask", "key"])
+        keyed.join(hint(hot), ["mask", "key"], "left")
         .select("fp", "mask", "key", chunks.alias("chunks"), mine.alias("mine"))
         .select("fp", "mask", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
         .select("fp", F.xxhash64("mask", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"))
