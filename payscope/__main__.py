@@ -47,7 +47,7 @@ def parser() -> argparse.ArgumentParser:
 def _derived(rows, curves, industry: str = "industry"):
     """Pay at 35, the factor and both ranks, from ``avg_salary`` and ``avg_age``."""
     paid = model.with_estimates(population.with_curve(rows, curves, industry), {"salary35": F.lit(float(C.DEFAULT_AGE))}).drop("curve")
-    body = paid.where("salary35 IS NOT NULL").withColumn("factor", population.pay_factor(F.col("salary35"), F.col("avg_salary")))
+    body = paid.where("salary35 IS NOT NULL").withColumn("factor", population.pay_factor(F.col("salary35"), F.col("avg_salary"))).persist()  # read many times by the ranks
     placed = positions(positions(body, "avg_salary", ["doc_id"], name="rank_raw"), "salary35", ["doc_id"], name="rank_adj")
     return placed.withColumn("rank_delta", F.col("rank_raw") - F.col("rank_adj"))
 
@@ -74,7 +74,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         reports = population.population_reports(lists, codes, args.include_unlisted)
         reports = reports.orderBy("day", "doc_id").limit(args.limit) if args.limit else reports
         records = filings.records(files.filing_facts(spark, args.filings)).withColumn("doc_id", F.regexp_extract("path", r"([^/]+)\.zip$", 1))
-        own = records.join(reports.select("doc_id", "period_end"), "doc_id")
+        own = records.join(reports.select("doc_id", "period_end"), "doc_id").persist()  # archives are opened once
         tables = {"annual_industry": files.wage_curves(spark, args.curves), "annual_large": files.wage_curves(spark, args.curves, "ANNUAL_LARGE")}
         if args.monthly_curves:
             tables |= {"monthly_industry": files.wage_curves(spark, args.monthly_curves, "INDUSTRY"), "monthly_size": files.wage_curves(spark, args.monthly_curves, "SIZE")}
@@ -87,7 +87,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         universe = files.untyped_csv(spark, args.universe, []).where("edinet_code <> ''").select(F.col("edinet_code").alias("code")).distinct()
         targets = population.yearly_targets(files.filing_lists(spark, args.lists), universe, args.first_year, args.last_year)
         records = filings.records(files.filing_facts(spark, args.filings)).withColumn("doc_id", F.regexp_extract("path", r"([^/]+)\.zip$", 1))
-        rows = population.history_records(targets, records)
+        rows = population.history_records(targets, records).persist()  # archives are opened once
         chosen = resolved(rows.select("*", F.col("edinet_code").alias("code"), F.col("avg_salary").alias("value"))).withColumn("avg_salary", model.repaired_pay(F.col("resolved"), F.col("employees_nonconsolidated")))
         out = population.history_export(chosen)
     export.write_csv(out, args.out, byte_order_mark=args.command != "history")
