@@ -294,8 +294,8 @@ forms AS (
   SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END::BIGINT AS form_n
   FROM words LEFT JOIN found USING (word)),
 ways AS (
-  SELECT word, word AS at, 0 AS steps FROM forms
-  UNION ALL SELECT ways.word, forms.form, steps + 1 FROM ways JOIN forms ON forms.word = ways.at WHERE forms.form IS NOT NULL),
-roots AS (SELECT word, arg_max(at, steps) AS root FROM ways GROUP BY word)
+  SELECT word, word AS last_form, 0 AS steps FROM forms
+  UNION ALL SELECT ways.word, forms.form, steps + 1 FROM ways JOIN forms ON forms.word = ways.last_form WHERE forms.form IS NOT NULL),
+roots AS (SELECT word, arg_max(last_form, steps) AS root FROM ways GROUP BY word)
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
 """
