@@ -12,7 +12,8 @@ from payscope.functions import model
 from payscope.operators import export, filings, population
 from payscope.operators.history import resolved
 from payscope.operators.ranking import positions
-from payscope.sources import files
+from payscope.sources import archives, files
+from payscope.sources.tables import stored
 
 
 def parser() -> argparse.ArgumentParser:
@@ -47,11 +48,19 @@ def parser() -> argparse.ArgumentParser:
 def _derived(rows, curves, industry: str = "industry"):
     """Pay at 35, the factor and both ranks, from ``avg_salary`` and ``avg_age``."""
     paid = model.with_estimates(population.with_curve(rows, curves, industry), {"salary35": F.lit(float(C.DEFAULT_AGE))}).drop("curve")
-    body = paid.where("salary35 IS NOT NULL").withColumn("factor", population.pay_factor(F.col("salary35"), F.col("avg_salary"))).persist()  # read many times by the ranks
+    body = stored(paid.where("salary35 IS NOT NULL").withColumn("factor", population.pay_factor(F.col("salary35"), F.col("avg_salary"))), "derived")  # read many times by the ranks
     placed = positions(positions(body, "avg_salary", ["doc_id"], name="rank_raw"), "salary35", ["doc_id"], name="rank_adj")
     return placed.withColumn("rank_delta", F.col("rank_raw") - F.col("rank_adj"))
 
 
+def _records(targets, folder: str):
+    """Records of the ``targets`` (doc_id, year) alone: no other archive is opened."""
+    index = archives.wanted_index(targets, folder)
+    spark = targets.sparkSession
+    found = filings.records(archives.archive_facts(spark, index))
+    return stored(found.join(spark.read.parquet(index).select("path", "doc_id"), "path"), "records")
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("payscope").getOrCreate()
@@ -73,8 +82,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         lists = lists.where(F.col("day") <= args.end) if args.end else lists
         reports = population.population_reports(lists, codes, args.include_unlisted)
         reports = reports.orderBy("day", "doc_id").limit(args.limit) if args.limit else reports
-        records = filings.records(files.filing_facts(spark, args.filings)).withColumn("doc_id", F.regexp_extract("path", r"([^/]+)\.zip$", 1))
-        own = records.join(reports.select("doc_id", "period_end"), "doc_id").persist()  # archives are opened once
+        reports = stored(reports.withColumn("year", F.year("day")), "reports")
+        own = _records(reports, args.filings).join(reports.select("doc_id", "period_end"), "doc_id")
         tables = {"annual_industry": files.wage_curves(spark, args.curves), "annual_large": files.wage_curves(spark, args.curves, "ANNUAL_LARGE")}
         if args.monthly_curves:
             tables |= {"monthly_industry": files.wage_curves(spark, args.monthly_curves, "INDUSTRY"), "monthly_size": files.wage_curves(spark, args.monthly_curves, "SIZE")}
@@ -86,8 +95,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     else:
         universe = files.untyped_csv(spark, args.universe, []).where("edinet_code <> ''").select(F.col("edinet_code").alias("code")).distinct()
         targets = population.yearly_targets(files.filing_lists(spark, args.lists), universe, args.first_year, args.last_year)
-        records = filings.records(files.filing_facts(spark, args.filings)).withColumn("doc_id", F.regexp_extract("path", r"([^/]+)\.zip$", 1))
-        rows = population.history_records(targets, records).persist()  # archives are opened once
+        targets = stored(targets, "targets")
+        rows = population.history_records(targets, _records(targets, args.filings))
         chosen = resolved(rows.select("*", F.col("edinet_code").alias("code"), F.col("avg_salary").alias("value"))).withColumn("avg_salary", model.repaired_pay(F.col("resolved"), F.col("employees_nonconsolidated")))
         out = population.history_export(chosen)
     export.write_csv(out, args.out, byte_order_mark=args.command != "history")

@@ -94,24 +94,34 @@ def _decoded(raw: bytes) -> str:
         return raw.decode("utf-8", "replace")
 
 
+def facts_of(content: bytes) -> Iterator[tuple[int, str, str, str]]:
+    """(seq, element, context, value) of an archive's tab-separated files; nothing of what is no archive.
+
+    Short lines, headers and values that say nothing are skipped.
+    """
+    if content[:2] != b"PK":
+        return
+    seq = 0
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for member in (m for m in z.namelist() if m.lower().endswith(".csv")):
+            for line in _decoded(z.read(member)).splitlines()[1:]:
+                cells = [c.strip().strip('"') for c in line.split("\t")]
+                if len(cells) >= 9 and cells[8] not in _NOTHING:
+                    yield seq, cells[0], cells[2], cells[8]
+                    seq += 1
+
+
 def filing_facts(spark: SparkSession, path: str) -> DataFrame:
-    """Facts of filings (ZIP files of tab-separated text): path, seq, element, context, value, long form.
+    """Facts of all filings of a folder (ZIP files of tab-separated text): path, seq, element, context, value, long form.
 
-    Files that are no ZIP files give no rows; short lines, the header and values that say nothing are skipped.
+    Opens every archive; ``archives.archive_facts`` opens those of an index.
     """
-    blobs = spark.read.format("binaryFile").load(path).where(F.substring("content", 1, 2) == F.lit(b"PK")).select("path", "content")
+    blobs = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows = []
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in (m for m in z.namelist() if m.lower().endswith(".csv")):
-                        for line in _decoded(z.read(member)).splitlines()[1:]:
-                            cells = [c.strip().strip('"') for c in line.split("\t")]
-                            if len(cells) >= 9 and cells[8] not in _NOTHING:
-                                rows.append((name, len(rows), cells[0], cells[2], cells[8]))
-                yield pd.DataFrame(rows, columns=["path", "seq", "element", "context", "value"])
+                yield pd.DataFrame([(name, *fact) for fact in facts_of(content)], columns=["path", "seq", "element", "context", "value"])
 
     return blobs.mapInPandas(run, FACTS)
 
