@@ -16,8 +16,11 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,23 @@ from payscope.llm.shared import materialize, rows_of
 
 #: Longest word, in bytes, that is encoded at once.
 LEAF = 4096
-#: Words of at most this many bytes are remembered by a worker, this many of them.
-REMEMBERED_BYTES, REMEMBERED_WORDS = 64, 200_000
+#: Words, and runs without white space, of at most this many characters are remembered by a worker, this many of either.
+REMEMBERED_LETTERS, REMEMBERED_TEXTS = 64, 150_000
+_ID_BITS = 24
+_SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 #: Characters whose properties are the same in all versions of Unicode that the installed libraries know.
 _SETTLED = regex.compile(r"[\x00-\u0557\u2000-\u206f]*")
 
-_remembered: dict[int, dict[str, bytes]] = {}
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are packed as this machine's unsigned integers, which must be little-endian and of 32 bits")
+_remembered: dict[int, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+
+
+def _remember(known: dict[str, bytes], text: str, packed: bytes) -> None:
+    if len(text) <= REMEMBERED_LETTERS:
+        if len(known) >= REMEMBERED_TEXTS:
+            known.clear()
+        known[text] = packed
 
 
 class Vocabulary:
@@ -58,7 +72,8 @@ class Vocabulary:
         letters = _byte_letters()
         self.inner = [ids[c] for c in letters]
         self.final = [ids[c + ending] for c in letters]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: The rank of a pair and what it makes, as one number that is ordered by rank.
+        self.merges: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         known = {*self.inner, *self.final}
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
@@ -66,7 +81,7 @@ class Vocabulary:
             if ids[a] not in known or ids[b] not in known or made in known:
                 raise ValueError(f"{path}: merge {rank} has no parts before it or makes a token that is there already")
             known.add(made)
-            self.merges[ids[a], ids[b]] = (rank, made)
+            self.merges[ids[a], ids[b]] = rank << _ID_BITS | made
             self.parts[made] = (ids[a], ids[b])
         self.pattern = before[0]["pattern"]["Regex"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -82,32 +97,36 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in shown else next(others)) for b in range(256)]
 
 
-def merged(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+def merged(symbols: list[int], merges: dict[tuple[int, int], int]) -> list[int]:
     """The encoding of symbols: the pair of the least rank is merged first, of equal ones the leftmost."""
     if len(symbols) < 48:  # a scan for the least rank costs less than a heap
-        out = symbols
-        while len(out) > 1:
-            best, at = min((merges[p][0], i) if (p := (out[i], out[i + 1])) in merges else (1 << 60, i) for i in range(len(out) - 1))
-            if best == 1 << 60:
-                break
-            out = [*out[:at], merges[out[at], out[at + 1]][1], *out[at + 2 :]]
+        none, made = 1 << 62, (1 << _ID_BITS) - 1
+        out, at = list(symbols), list(map(merges.get, zip(symbols, symbols[1:]), repeat(none)))
+        while at and (best := min(at)) != none:
+            i = at.index(best)
+            out[i : i + 2] = [best & made]
+            del at[i]
+            if i:
+                at[i - 1] = merges.get((out[i - 1], out[i]), none)
+            if i < len(at):
+                at[i] = merges.get((out[i], out[i + 1]), none)
         return out
     token: list[int | None] = list(symbols)
     after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
-    queue = [(merges[p][0], i, *p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in merges]
+    queue = [(merges[p], i, *p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in merges]
     heapq.heapify(queue)
     while queue:
         _, i, a, b = heapq.heappop(queue)
         j = after[i]
         if token[i] != a or j >= len(token) or token[j] != b:
             continue  # one of the two has been merged meanwhile
-        token[i], token[j] = merges[a, b][1], None
+        token[i], token[j] = merges[a, b] & ((1 << _ID_BITS) - 1), None
         after[i] = after[j]
         if after[i] < len(token):
             before[after[i]] = i
         for left, right in ((before[i], i), (i, after[i])):
             if left >= 0 and right < len(token) and (p := (token[left], token[right])) in merges:
-                heapq.heappush(queue, (merges[p][0], left, *p))
+                heapq.heappush(queue, (merges[p], left, *p))
     return [t for t in token if t is not None]
 
 
@@ -118,7 +137,7 @@ class Encoder:
         self.vocabulary = vocabulary
         self.words = regex.compile(vocabulary.pattern)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.added, key=len, reverse=True))) + ")") if vocabulary.added else None
-        self.known = _remembered.setdefault(vocabulary.key, {})
+        self.known_words, self.known_runs = _remembered.setdefault(vocabulary.key, ({}, {}))
         self._library = None
 
     def leaf(self, data: bytes, last: bool) -> list[int]:
@@ -182,27 +201,41 @@ class Encoder:
                 for word in self.words.findall(lowered) if words is None else words:
                     yield None, word
 
-    def word(self, word: str) -> bytes:
-        """The ids of a word, packed."""
-        if (found := self.known.get(word)) is not None:
-            return found
-        data = word.encode()
-        packed = np.array(self.leaf(data, True), "<u4").tobytes()
-        if len(data) <= REMEMBERED_BYTES:
-            if len(self.known) >= REMEMBERED_WORDS:
-                self.known.clear()
-            self.known[word] = packed
-        return packed
+    def words_of(self, words: list[str]) -> bytes:
+        """The ids of words, packed."""
+        out = list(map(self.known_words.get, words))
+        if None in out:
+            for i, packed in enumerate(out):
+                if packed is None:
+                    out[i] = array("I", self.leaf(words[i].encode(), True)).tobytes()
+                    _remember(self.known_words, words[i], out[i])
+        return b"".join(out)
+
+    def runs_of(self, runs: list[str]) -> bytes:
+        """The ids of normalised text between white space, packed."""
+        out = list(map(self.known_runs.get, runs))
+        if None in out:
+            for i, packed in enumerate(out):
+                if packed is None:
+                    out[i] = self.words_of(self.words.findall(runs[i]))
+                    _remember(self.known_runs, runs[i], out[i])
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text, packed; whatever it holds is encoded at once."""
+        """The ids of a text, packed; whatever it holds is encoded at once.
+
+        No word goes over white space, so runs between it are encoded by themselves, and remembered.
+        """
         out = []
         for i, part in enumerate(self.specials.split(text) if self.specials else [text]):
             if i % 2:
-                out.append(np.array([self.vocabulary.added[part]], "<u4").tobytes())
+                out.append(array("I", [self.vocabulary.added[part]]).tobytes())
             elif part:
                 lowered, words = self.normalised(part)
-                out += map(self.word, self.words.findall(lowered) if words is None else words)
+                if words is None and not _SEPARATORS.search(lowered):
+                    out.append(self.runs_of(lowered.split()))
+                else:  # those separators are white space to Python, but not to the pattern
+                    out.append(self.words_of(self.words.findall(lowered) if words is None else words))
         return b"".join(out)
 
 
@@ -282,7 +315,7 @@ def _leaves(vocabulary: Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iter
             out, at = [], 0
             while at < len(data):
                 size = int.from_bytes(data[at : at + 4], "little")
-                out.append(encoder.word(data[at + 4 : at + 4 + size].decode()))
+                out.append(encoder.words_of([data[at + 4 : at + 4 + size].decode()]))
                 at += 4 + size
             return b"".join(out)
 
@@ -356,10 +389,22 @@ def decode_ids(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     if "decoded" in names:
         raise ValueError("there is a column decoded already")
 
+    def text(ids: bytes | None) -> str:
+        found = np.frombuffer(ids or b"", "<u4")
+        if len(found) and found.max() >= len(tokens):
+            found = found[found < len(tokens)]
+        return " ".join(map(tokens.__getitem__, found.tolist()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [" ".join([tokens[i] for i in np.frombuffer(x or b"", "<u4").tolist() if i < len(tokens)]) for x in batch.column(names.index("ids")).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
+            column, low, texts, size = batch.column(names.index("ids")), 0, [], 0
+            for i in range(len(batch)):
+                texts.append(text(column[i].as_py()))
+                size += len(texts[-1])
+                if size > 4_000_000 or i == len(batch) - 1:
+                    part = batch.slice(low, len(texts))
+                    yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
+                    low, texts, size = i + 1, [], 0
 
     schema = encoded.schema
     return encoded.mapInArrow(run, type(schema)(list(schema.fields)).add("decoded", "string"))
