@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -177,45 +178,38 @@ def _block_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def _most_links(fps: np.ndarray, radius: int, each: int) -> list[tuple[int, int]]:
-    """All pairs of the block within the radius, unless they are more than ``each`` for a fingerprint: then a spanning set."""
-    fps = np.unique(fps)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(0, len(fps), 256):
-        a, b = np.nonzero(np.bitwise_count(fps[at : at + 256, None] ^ fps[None, :]) <= radius)
-        a += at
-        found.append((a[a < b], b[a < b]))
-        if sum(len(x) for x, _ in found) > each * len(fps):
-            return _block_links(fps, radius)
-    return [pair for a, b in found for pair in zip(fps[a].tolist(), fps[b].tolist(), strict=True)]
+def _units(rows: DataFrame, node: str, masks: list[int], block: int) -> DataFrame:
+    """(node, fp, unit) of ``rows``: each once for every mask, under what the mask leaves of its fingerprint.
 
-
-def near_links(distinct: DataFrame, radius: int = 3, block: int = 1024, each: int = 0) -> DataFrame:
-    """Links (a, b: long) that connect exactly the fingerprints (column fp) within ``radius`` bits.
-
-    With ``each``, all pairs within the radius are links where they are no more than ``each`` for a fingerprint of a unit; of
-    denser units, and of all without it, a spanning set.  Buckets of more than ``block`` fingerprints are cut into chunks, and each pair of chunks is a unit
-    of its own, so no task takes a whole hot bucket; within a unit only a spanning set of links is
-    written.  Nothing is capped: every pair of a bucket meets in some unit.
+    Buckets of more than ``block`` rows are cut into chunks by ``node``, and each pair of chunks is a unit of its own.
     """
-    n, together = bit_statistics(distinct)
-    masks = allocate(n, together, radius)
-    if n < 2:
-        return distinct.sparkSession.range(0).selectExpr("id AS a", "id AS b")
     keys = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))
-    keyed = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.mask", "k.key")
+    keyed = rows.select(F.col(node).alias("node"), "fp", F.explode(keys).alias("k")).select("node", "fp", "k.mask", "k.key")
     # Only buckets of more than a chunk are cut; there are few, so the probes need not be shuffled to learn of them.
     hot = materialize(keyed.groupBy("mask", "key").count().where(F.col("count") > block), "simhash-hot")
     hint = F.broadcast if hot.count() <= MOST_BROADCAST_BUCKETS else lambda df: df
     chunks = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
-    mine = F.pmod(F.xxhash64("fp", F.lit(7)), chunks).cast("int")
-    units = (
+    mine = F.pmod(F.xxhash64("node", F.lit(7)), chunks).cast("int")
+    return (
         keyed.join(hint(hot), ["mask", "key"], "left")
-        .select("fp", "mask", "key", chunks.alias("chunks"), mine.alias("mine"))
-        .select("fp", "mask", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        .select("fp", F.xxhash64("mask", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"))
+        .select("node", "fp", "mask", "key", chunks.alias("chunks"), mine.alias("mine"))
+        .select("node", "fp", "mask", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        .select("node", "fp", F.xxhash64("mask", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"))
     )
 
+
+def near_links(distinct: DataFrame, radius: int = 3, block: int = 1024) -> DataFrame:
+    """Links (a, b: long) that connect exactly the fingerprints (column fp) within ``radius`` bits.
+
+    Buckets of more than ``block`` fingerprints are cut into chunks, and each pair of chunks is a unit of its own, so no task takes a whole hot
+    bucket; within a unit only a spanning set of links is written.  Nothing is capped: every pair of a bucket meets in some unit.
+    """
+    n, together = bit_statistics(distinct)
+    masks = allocate(n, together, radius)
+    if n < 2:
+        return distinct.sparkSession.range(0).selectExpr("id AS a", "id AS b")
+    units = _units(distinct, "fp", masks, block)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links: list[tuple[int, int]] = []
         held_u, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -229,7 +223,7 @@ def near_links(distinct: DataFrame, radius: int = 3, block: int = 1024, each: in
                 near = same & (np.bitwise_count(fps[d:] ^ fps[:-d]) <= radius)
                 links.extend(zip(fps[:-d][near].tolist(), fps[d:][near].tolist(), strict=True))
             for at, size in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist(), strict=True):
-                links.extend(_most_links(fps[at : at + size], radius, each) if each else _block_links(fps[at : at + size], radius))
+                links.extend(_block_links(fps[at : at + size], radius))
 
         def flush() -> pa.RecordBatch:
             pairs = np.array(links, np.uint64).reshape(-1, 2)
@@ -270,51 +264,195 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     return each.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "component_text")
 
 
-def alike(links: DataFrame, docs: DataFrame, likeness: float, width: int) -> DataFrame:
-    """Those of ``links`` (a, b: hashes of texts of ``docs``) whose texts share at least ``likeness`` of their shingles of
-    ``width`` words, as sets.  Two texts without words are alike."""
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    text = F.col("text").cast("string")
-    texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialize(texts.select("node", F.array_distinct(word_shingles(F.coalesce("text", F.lit("")), width)).alias("s")), "simhash-shingles")
-    pairs = links.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+#: Shingle hashes kept of a text: the least ones of 31 bits.
+KEPT = 64
+#: More nodes or rows than this are joined by shuffle instead of broadcast (16 bytes each).
+MOST_BROADCAST_ROWS = 1_000_000
+
+
+def weighted_fingerprint(words: Counter[bytes]) -> int:
+    """The SimHash of a text's words, each weighing the root of its count: few words changed move few bits, however often common ones stand there."""
+    if not words:
+        return 0
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    weights = np.floor(1024 * np.sqrt(np.fromiter(words.values(), np.float64, len(words)))).astype(np.int64)  # whole numbers, so that ties are ties
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 8192):
+        bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += weights[at : at + 8192] @ bits
+    return int(np.packbits(2 * ones > weights.sum(), bitorder="little").view(np.uint64)[0])
+
+
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, node: hash of the text, fp of its words, shingles: how many different ones of ``width`` words, sketch: the least of their hashes) for
+    every row: one pass, no shuffle.  A null text counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sizes, sketches = [], [], []
+            for text in batch.column(2):
+                fps.append(weighted_fingerprint(Counter((text.as_py() or "").encode().translate(_LOWER).split())))
+                own = np.unique(shingle_hashes(text.as_py(), width))
+                sizes.append(len(own))
+                sketches.append(np.unique((own[: 2 * KEPT] >> np.uint64(33)).astype(np.int32))[:KEPT])
+            columns = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))]
+            yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["doc_id", "node", "fp", "shingles", "sketch"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, node long, fp long, shingles long, sketch array<int>")
+
+
+def candidates(units: DataFrame, radius: int, each: int) -> DataFrame:
+    """(unit, a, b) of the pairs of nodes of a unit (node, fp, unit, label) within the radius and with different labels, least node first.
+
+    A unit with more than ``each`` of them for a node is dense: of it a spanning set is listed, and a row without a and b.  ``each`` = 0: no
+    unit is dense.
+    """
+
+    def of(unit: int, node: np.ndarray, fps: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        found = 0
+        for at in range(0, len(node), 256):
+            near = np.bitwise_count(fps[at : at + 256, None] ^ fps[None, at:]) <= radius
+            a, b = np.nonzero(near & (label[at : at + 256, None] != label[None, at:]))
+            a, b = a[a < b] + at, b[a < b] + at
+            found += len(a)
+            if each and found > each * len(node):
+                first = dict(zip(fps.tolist(), node.tolist(), strict=True))
+                yield from ((unit, first[x], first[y]) for x, y in _block_links(fps, radius))
+                yield from ((unit, first[x], y) for x, y in zip(fps.tolist(), node.tolist(), strict=True) if first[x] != y)
+                yield (unit, None, None)
+                return
+            if not each:
+                yield from zip([unit] * len(a), node[a].tolist(), node[b].tolist(), strict=True)
+            else:
+                held.append((a, b))
+        for a, b in held:
+            yield from zip([unit] * len(a), node[a].tolist(), node[b].tolist(), strict=True)
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [np.zeros(0, np.int64)] * 4
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            rows = [(u, min(x, y), max(x, y)) if x is not None else (u, None, None) for u, x, y in out]
+            out.clear()
+            return pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["unit", "a", "b"])
+
+        def settle(upto: int) -> Iterator[pa.RecordBatch]:
+            if not upto:
+                return
+            unit = columns[0][:upto]
+            starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+            for low, high in zip(starts.tolist(), np.r_[starts[1:], upto].tolist(), strict=True):
+                if high - low > 1:
+                    held.clear()
+                    for row in of(int(unit[low]), columns[1][low:high], columns[2][low:high].view(np.uint64), columns[3][low:high]):
+                        out.append(row)
+                        if len(out) >= 200_000:
+                            yield flush()
+
+        for batch in batches:
+            columns = [np.concatenate([c, batch.column(i).to_numpy(zero_copy_only=False)]) for i, c in enumerate(columns)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
+            yield from settle(cut)
+            columns = [c[cut:] for c in columns]
+        yield from settle(len(columns[0]))
+        yield flush()
+
+    rows = units.select("unit", "node", "fp", "label").repartition("unit").sortWithinPartitions("unit")
+    return rows.mapInArrow(run, "unit long, a long, b long")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` to be broadcast, if they are few."""
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST_ROWS else rows
+
+
+def alike(links: DataFrame, texts: DataFrame, docs: DataFrame, likeness: float, width: int) -> DataFrame:
+    """Those of ``links`` (a, b: nodes of ``texts``) whose texts share at least ``likeness`` of their shingles of ``width`` words, as sets.
+    Two texts without words are alike.
+
+    Pairs whose sketches estimate less than the likeness by four deviations, or whose sizes forbid it, go before any shingle is
+    moved; what is left is decided by the shingles themselves.
+    """
+    links = materialize(links, "simhash-links")
+    ends = materialize(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash-ends")
+    involved = materialize(texts.join(_few(ends), "node", "left_semi").select("node", "shingles", "sketch"), "simhash-involved")
+    of = lambda end, n, s: involved.select(F.col("node").alias(end), F.col("shingles").alias(n), F.col("sketch").alias(s))
+    seen = F.slice(F.sort_array(F.array_union("x", "y")), 1, KEPT)
+    estimate = F.size(F.array_intersect(seen, F.array_intersect("x", "y"))) / F.greatest(F.size(seen), F.lit(1))
+    least = likeness - 4 * math.sqrt(likeness * (1 - likeness) / KEPT)
+    sizes = F.least("n", "m") >= (likeness - 0.05) * F.greatest("n", "m")
+    close = links.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").where(sizes & ((estimate >= least) | ((F.col("n") == 0) & (F.col("m") == 0))))
+    close = materialize(close.select("a", "b"), "simhash-close")
+    nodes = materialize(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash-nodes")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.xxhash64(text).alias("node"), text.alias("text")).join(_few(nodes), "node", "left_semi").dropDuplicates(["node"])
+    sets = materialize(own.select("node", F.array_distinct(word_shingles(F.col("text"), width)).alias("s")), "simhash-shingles")
+    pairs = close.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return pairs.where(shared >= F.lit(likeness) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def alike_duplicates(docs: DataFrame, likeness: float = 0.8, width: int = 5, radius: int = 8, probe_width: int = 2) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id, component_text: long) for each row of ``docs``, as ``near_duplicates`` has them, where a
-    link is a pair of texts that share at least ``likeness`` of their ``width``-word shingles.
+def alike_texts(docs: DataFrame, likeness: float, width: int, radius: int, each: int = 16, block: int = 1024, verify_cost: float = 0.002) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, node; texts: node, fp, root, first) of ``docs``: the different texts with the root of their component, a link being a pair of texts
+    that share at least ``likeness`` of their ``width``-word shingles, and the first row of each component by doc_id.
 
-    Candidates are texts whose SimHashes of ``probe_width``-word shingles are within ``radius`` bits: short shingles move fewer bits
-    when words change.  Each candidate is checked with both texts' shingles before it joins anything.  A text is
-    compared once, however many copies it has; texts of one fingerprint are candidates of the first of them, and where a
-    fingerprint has over 16 near ones in a unit the candidates are a spanning set of it, other units giving others.
+    Candidates are texts whose SimHashes are within ``radius`` bits.  In dense units a spanning set of the candidates is checked first; of
+    what has not come together by that, all pairs are checked that are left.  So every candidate pair is checked, or its texts are joined already.
     """
-    each = materialize(fingerprints(docs, probe_width), "simhash-fp")
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    texts = materialize(each.groupBy("text_hash").agg(F.min("fp").alias("fp"), F.min(row).alias("first")), "simhash-texts")
-    reps = materialize(texts.groupBy("fp").agg(F.min("first").alias("m")).select("fp", F.col("m.text_hash").alias("rep")), "simhash-distinct")
-    of = lambda end, name: reps.select(F.col("fp").alias(end), F.col("rep").alias(name))
-    between = near_links(reps.select("fp"), radius, each=16).join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    within = texts.join(reps, "fp").where("text_hash <> rep").select(F.col("rep").alias("a"), F.col("text_hash").alias("b"))
-    ordered = between.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    roots = materialize(connected_components(alike(materialize(ordered, "simhash-candidates"), docs, likeness, width)), "simhash-roots")
-    rooted = texts.join(roots, texts["text_hash"] == roots["node"], "left").select("text_hash", "first", F.coalesce("root", "text_hash").alias("root"))
+    rows = materialize(signatures(docs, width), "simhash-rows")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    texts = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"), F.min(row).alias("first"))
+    texts = materialize(texts, "simhash-texts")
+    n, together = bit_statistics(texts)
+    roots = docs.sparkSession.range(0).selectExpr("id AS node", "id AS root")
+    if n > 1:
+        units = _units(texts, "node", allocate(n, together, radius, verify_cost), block)
+        found = materialize(candidates(units.withColumn("label", F.col("node")), radius, each), "simhash-candidates")
+        links = materialize(alike(found.where("a IS NOT NULL").select("a", "b").distinct(), texts, docs, likeness, width), "simhash-links")
+        roots = materialize(connected_components(links), "simhash-roots")
+        dense = materialize(found.where("a IS NULL").select("unit").distinct(), "simhash-dense")
+        if not dense.isEmpty():
+            again = units.join(_few(dense), "unit", "left_semi").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
+            rest = materialize(candidates(again, radius, 0).where("a IS NOT NULL").select("a", "b").distinct(), "simhash-rest")
+            more = alike(rest, texts, docs, likeness, width)
+            roots = materialize(connected_components(links.union(more)), "simhash-roots")
+    rooted = texts.join(roots, "node", "left").select("node", "fp", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    named = rooted.select("text_hash", "root").join(least, "root").select("text_hash", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_text"))
-    return each.join(named, "text_hash").select("doc_id", "text_hash", "fp", "component_id", "component_text")
+    return rows.select("doc_id", "node"), materialize(rooted.drop("first").join(least, "root"), "simhash-rooted")
+
+
+def alike_duplicates(docs: DataFrame, likeness: float = 0.8, width: int = 5, radius: int = 8) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id, component_text: long) for each row of ``docs``, as ``near_duplicates`` has them, where a
+    link is a pair of texts that share at least ``likeness`` of their ``width``-word shingles (see ``alike_texts``)."""
+    rows, texts = alike_texts(docs, likeness, width, radius)
+    named = texts.select("node", "fp", F.col("first.doc_id").alias("component_id"), F.col("first.node").alias("component_text"))
+    return rows.join(named, "node").select("doc_id", F.col("node").alias("text_hash"), "fp", "component_id", "component_text")
 
 
-def without_near_duplicates(docs: DataFrame, likeness: float = 0.8, width: int = 5) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, likeness: float = 0.8, width: int = 5, radius: int = 8) -> DataFrame:
     """The first row of each component of ``alike_duplicates`` by doc_id (nulls last), then by the text's hash; its columns as
-    they are.  Of rows that repeat one stays; a null text is like an empty one."""
-    found = alike_duplicates(docs, likeness, width)
-    first = found.where("doc_id <=> component_id AND text_hash = component_text").select(F.col("doc_id").alias("_id"), "text_hash").distinct()
-    keyed = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    kept = keyed.join(first, keyed["doc_id"].cast("long").eqNullSafe(first["_id"]) & (keyed["_hash"] == first["text_hash"]), "left_semi")
-    # Rows that repeat as a whole have met in the join's partitions.
-    return kept.withColumn("_copy", F.expr("row_number() OVER (PARTITION BY doc_id, _hash ORDER BY doc_id)")).where("_copy = 1").select(docs.columns)
+    they are.  Of rows that repeat one stays; a null text is like an empty one.
+
+    Keys are decided on, and the rows themselves are only filtered: by a broadcast of the keys that go, or by one shuffle where those are many.
+    """
+    rows, texts = alike_texts(docs, likeness, width, radius)
+    key = F.xxhash64("doc_id", "node").alias("_key")
+    stay = texts.select(F.col("first.doc_id").alias("doc_id"), F.col("first.node").alias("node")).distinct().select(key, "node")
+    counted = materialize(rows.select(key, "node").groupBy("_key", "node").count(), "simhash-keys")
+    gone = materialize(counted.join(stay, ["_key", "node"], "left_anti").select("_key", F.col("node").alias("_node")), "simhash-gone")
+    twice = materialize(counted.where("count > 1").join(stay, ["_key", "node"], "left_semi").select("_key", F.col("node").alias("_node")), "simhash-twice")
+    node = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = docs.withColumn("_node", node).withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "_node"))
+    kept = keyed.join(_few(gone), ["_key", "_node"], "left_anti")
+    if not twice.isEmpty():
+        once = kept.join(_few(twice), ["_key", "_node"], "left_anti")
+        kept = once.union(kept.join(_few(twice), ["_key", "_node"], "left_semi").dropDuplicates(["_key", "_node"]).select(once.columns))
+    return kept.select(docs.columns)
 
 
 def hex_of(fp: str) -> Column:

@@ -1,7 +1,9 @@
 """Near duplicates, repeated strings and fingerprints against brute force."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import pytest
 import xxhash
@@ -179,9 +181,17 @@ def test_near_duplicate_rows(spark):
     assert sorted((str(r["doc_id"]), r["root"]) for r in kept.collect()) == [("3", "b"), ("7", "d"), ("9", "f"), ("None", "c")]
 
 
+def brute_words(text):
+    """Each bit by the words that have it, a word weighing 1024 times the root of its count, rounded down."""
+    counts = Counter((text or "").encode().lower().split())
+    weights = {xxhash.xxh64_intdigest(w, 42): math.floor(1024 * math.sqrt(n)) for w, n in counts.items()}
+    total = sum(weights.values())
+    return sum(1 << b for b in range(64) if 2 * sum(x for h, x in weights.items() if h >> b & 1) > total)
+
+
 def brute_alike(texts, radius=8, likeness=0.8):
-    """Components of the texts that are near by their two-word SimHashes and share enough five-word shingles."""
-    fps = {i: brute_fingerprint(t, 2) for i, t in texts.items()}
+    """Components of the texts that are near by the SimHashes of their words and share enough five-word shingles."""
+    fps = {i: brute_words(t) for i, t in texts.items()}
     cut = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     sets = {i: cut((t or "").lower().split()) for i, t in texts.items()}
     root = {i: i for i in texts}
@@ -215,7 +225,53 @@ def test_alike_duplicates(spark):
     assert got == brute_alike(texts)
     whole = brute_alike(texts, radius=64)
     linked = [i for i in texts if whole[i] != i]
-    assert len(linked) > 60 and sum(got[i] != i for i in linked) >= 0.9 * len(linked)
+    assert len(linked) > 60 and sum(got[i] != i for i in linked) >= 0.95 * len(linked)
+
+
+@pytest.mark.parametrize("each", [1, 16])
+def test_dense_groups_lose_no_link(spark, each):
+    """Groups of texts that are all near by their words, of which some share their shingles and others are made of the same words in another order."""
+    rng, texts = random.Random(each), {}
+    for group in range(3):
+        words = [f"g{group}w{k}" for k in range(60)] + ["the"] * 20
+        chunks = [words[k : k + 20] for k in range(0, 80, 20)]
+        for k in range(40):
+            own = list(chunks)
+            rng.shuffle(own)
+            own = [w for c in own for w in c]
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            texts[100 * group + k] = " ".join(own)
+        for k in range(10):  # the words shuffled one by one: near, but not alike
+            own = list(words)
+            rng.shuffle(own)
+            texts[100 * group + 50 + k] = " ".join(own)
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(i + 1000, t) for i, t in texts.items()], "doc_id long, text string")
+    rows, found = simhash.alike_texts(df, 0.8, 5, 8, each=each, block=32)
+    first = {r["node"]: r["first"]["doc_id"] for r in found.collect()}
+    got = {r["doc_id"]: first[r["node"]] for r in rows.collect()}
+    want = brute_alike(texts)
+    assert {i: got[i] for i in texts} == want and {i: got[i + 1000] for i in texts} == want
+    assert 3 < len(set(want.values())) < len(texts)
+    assert sorted(r["doc_id"] for r in simhash.without_near_duplicates(df).collect()) == sorted(set(want.values()))
+
+
+def test_recall_of_pairs(spark):
+    """Of the pairs of different texts of sf0.1 that share 0.8 of their shingles, counted exactly, at least 0.95 are within the stage's radius."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text IS NOT NULL").select("text").distinct().collect()]
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    often = Counter(x for s in sets for x in s)
+    under, pairs = {}, []
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        # Two sets that share 0.8 share one of the rarest fifth of either.
+        prefix = sorted(sets[i], key=lambda x: (often[x], x))[: len(sets[i]) - math.ceil(0.8 * len(sets[i])) + 1]
+        near = {j for x in prefix for j in under.get(x, ())}
+        pairs += [(i, j) for j in near if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        for x in prefix:
+            under.setdefault(x, []).append(i)
+    fp = {i: simhash.weighted_fingerprint(Counter(texts[i].encode().lower().split())) for i in {i for pair in pairs for i in pair}}
+    within = sum((fp[i] ^ fp[j]).bit_count() <= 8 for i, j in pairs)
+    assert len(pairs) >= 40 and within >= 0.95 * len(pairs)
 
 
 def test_fingerprints(spark):
