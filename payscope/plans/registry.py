@@ -26,7 +26,7 @@ def register(sql: str | None = None, name: str | None = None) -> Callable[[Query
 
 
 def _load() -> None:
-    from payscope.plans import cleansing, export, filers, history, population, ranking, text  # noqa: F401
+    from payscope.plans import builds, cleansing, export, filers, history, population, ranking, text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -20,6 +20,8 @@ from payscope.sources.files import FILING_LIST
 
 #: Bad answers after which a day has failed; the pause after the i-th is 2^i seconds.
 MOST_ANSWERS = 5
+#: The state store that keeps timers and typed states.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ANSWER = "day DATE, at TIMESTAMP, file STRING, body STRING"
 EVENT = "day DATE, event STRING, at TIMESTAMP, answers INT, file STRING"
 #: Times within the state are microseconds since 1970.
@@ -97,7 +99,7 @@ def _millis(micros: int) -> int:
 def day_events(answers: DataFrame, late: str = "0 seconds") -> DataFrame:
     """The stream of what happens to days (EVENT) from a stream of answers (ANSWER): ok, empty, quarantined, ask, failed.
 
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).  A day is a key, so its state
+    Needs STATE_STORE as ``spark.sql.streaming.stateStore.providerClass``.  A day is a key, so its state
     is a row, however many days there are.
     """
     rows = classified(answers).select("day", F.col("at").alias("clock"), F.unix_micros("at").alias("at"), "file", "status").withWatermark("clock", late)
@@ -107,6 +109,7 @@ def day_events(answers: DataFrame, late: str = "0 seconds") -> DataFrame:
 
 def keep_events(answers: DataFrame, table: str, checkpoint: str, late: str = "0 seconds") -> StreamingQuery:
     """Writes the events of all that has landed since the last run behind those of ``table`` (Parquet)."""
+    answers.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     out = day_events(answers, late).writeStream.format("parquet").outputMode("append")
     return out.option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
