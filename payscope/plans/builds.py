@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from payscope.operators import served
 from payscope.operators.checks import Between, Build, Holds, Matched, Unique
+from payscope.operators.history import changes, latest_per_year
+from payscope.operators.ranking import bases
 from payscope.plans.registry import register
-from payscope.plans.stand_ins import table
+from payscope.plans.stand_ins import BASES_SQL, COMPANIES_SQL, HISTORY_SQL, companies, filings, table
+from payscope.sources import yearly
 from payscope.sources.tables import scratch_path
 from payscope.streaming import landing
 
@@ -58,3 +62,65 @@ def landed_day_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing.keep_events(landed, f"{path}/events", f"{path}/checkpoint").awaitTermination()
     states = landing.day_states(spark.read.parquet(f"{path}/events"))
     return states.withColumn("ask_at", F.unix_seconds("ask_at"))
+
+
+_CHANGED = f"{COMPANIES_SQL}, changed AS (SELECT * REPLACE (CASE WHEN id % 10 = 0 THEN avg_salary * 1.5 ELSE avg_salary END AS avg_salary) FROM companies WHERE id % 97 > 0), " + BASES_SQL.removeprefix(
+    COMPANIES_SQL + ", "
+).replace("FROM companies JOIN curves", "FROM changed JOIN curves")
+
+
+def _served(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """The ranking of all companies, served, and then with some of them paying more and others gone."""
+    all_ = companies(spark, sf_dir)
+    ranked = lambda rows: bases(rows, (35,)).select("basis", "id", "row_idx", "name", "salary")
+    folder = scratch_path(spark, "served")
+    version = served.build(ranked(all_), folder)
+    more = all_.where("id % 10 = 0").withColumn("avg_salary", F.col("avg_salary") * 1.5)
+    return folder, served.merge(spark, folder, version, ranked(more), all_.where("id % 97 = 0").select("id"))
+
+
+@register(f"""WITH {_CHANGED}, r AS (SELECT id, name, salary, row_number() OVER (ORDER BY salary DESC, row_idx) AS position, count(*) OVER () AS total FROM bases WHERE basis = 35)
+  SELECT id, name, salary, position, total, 4 AS page FROM r WHERE position BETWEEN 91 AND 120""")
+def served_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, version = _served(spark, sf_dir)
+    return served.page(spark, folder, version, 35, 4).select("id", "name", "salary", "position", "total", "page")
+
+
+@register(f"""WITH {_CHANGED}, r AS (SELECT basis, id, rank() OVER (PARTITION BY basis ORDER BY salary DESC) AS rank, count(*) OVER (PARTITION BY basis) AS total FROM bases WHERE basis IN (0, 35))
+  SELECT * FROM r WHERE id IN (SELECT id FROM companies WHERE tse33 = 3)""")
+def served_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, version = _served(spark, sf_dir)
+    return served.standing(spark, folder, version, companies(spark, sf_dir).where("tse33 = 3").select("id"))
+
+
+def _yearly(spark: SparkSession, sf_dir: str) -> str:
+    """The name of the bucketed history of the filings, of which the odd ones arrived late."""
+    rows = filings(spark, sf_dir).select("code", "doc_id", "value", "source", "year")
+    path = scratch_path(spark, "yearly")
+    name = "yearly_" + path.rsplit("-", 1)[1]
+    yearly.create(latest_per_year(rows.where("doc_id % 2 = 0")), name, path)
+    yearly.merge(spark, name, rows.where("doc_id % 2 = 1"))
+    return name
+
+
+_SOME = ", ".join(f"({y})" for y in range(1994, 1998))
+
+
+@register(f"""WITH {HISTORY_SQL}, years AS (SELECT * FROM (VALUES {_SOME}) t(year)), own AS (SELECT * FROM history WHERE year BETWEEN 1994 AND 1997),
+  dense AS (SELECT c.code, y.year, o.value FROM (SELECT DISTINCT code FROM own) c CROSS JOIN years y LEFT JOIN own o ON o.code = c.code AND o.year = y.year),
+  x AS (SELECT *, lag(value) OVER (PARTITION BY code ORDER BY year) AS b, first_value(value IGNORE NULLS) OVER (PARTITION BY code ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f,
+    min(CASE WHEN value IS NOT NULL THEN year END) OVER (PARTITION BY code) AS y FROM dense)
+  SELECT code, CAST(year AS INT) AS year, value, CASE WHEN b <> 0 THEN round((value - b) / CAST(b AS DOUBLE), 9) END AS yoy,
+    CASE WHEN year <> y AND f <> 0 THEN round((value - f) / CAST(f AS DOUBLE), 9) END AS cumulative FROM x""")
+def bucketed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes between some years, from the table by year and code."""
+    return changes(yearly.dense(spark.table(_yearly(spark, sf_dir)), list(range(1994, 1998))))
+
+
+@register(f"""WITH {HISTORY_SQL} SELECT code, max(value) AS peak, CAST(count(*) AS BIGINT) AS years FROM history WHERE year IN (SELECT CAST(year(max(o_orderdate)) AS INT) - k FROM orders, (VALUES (1), (3)) t(k) GROUP BY k) GROUP BY code""")
+def bucketed_some_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of the years that another table names: only their folders are read."""
+    last = table(spark, sf_dir, "orders").agg(F.year(F.max("o_orderdate")).alias("last"))
+    wanted = last.select(F.explode(F.array(F.col("last") - 1, F.col("last") - 3)).alias("year"))
+    own = spark.table(_yearly(spark, sf_dir)).join(F.broadcast(wanted), "year")  # two rows
+    return own.groupBy("code").agg(F.max("value").alias("peak"), F.count("*").alias("years"))
