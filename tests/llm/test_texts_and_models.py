@@ -94,6 +94,54 @@ def test_anchors_are_no_marks():
     assert main_text(page) == f"Social life\n{BODY}\n{BODY} too"
 
 
+SHORT = " ".join(["thirty plain words"] * 10)
+LONG = " ".join(["what readers say about it"] * 80)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>{s}</p><div class='comments'><p>{l}</p></div></article>", "{s}"),
+        ("<article><p>{s}</p></article><section id=comments><h2>Comments</h2><article class=comment><p>{l}</p></article></section>", "{s}"),
+        ("<div><p>{s}</p></div><div class='comments'><p>{l}</p></div>", "{s}"),
+        ("<div><p>{s}</p></div><div class='sidebar'><p>{l}</p><p>{l}</p></div>", "{s}"),
+        ("<div><p>{s}</p></div><ul class='comment-list'><li>{l}</li><li>{l}</li></ul>", "{s}"),
+        ("<article><p>{s}</p><div class='notice'>{l}</div><p>{s}</p></article>", "{s}\n{s}"),
+        ("<article><p>{s}</p><div class='related'><p>{l}</p></div></article>", "{s}"),
+        ("<article><p>{s}</p><div class='related-posts'>{l}</div><p>End.</p></article>", "{s}\nEnd."),
+        ("<article><p>{s}</p><form class=contact><p>{l}</p></form></article>", "{s}"),
+        ("<article><p>{s}</p><section class='related-work'><p>Eight words about other work in this field.</p></section></article>", "{s}\nEight words about other work in this field."),
+        ("<article><p>{s}</p><p class='form'>Eight words that speak of a good form.</p></article>", "{s}\nEight words that speak of a good form."),
+        ("<div class='sidebar'><h1>Title</h1><p>{l}</p></div><p>{s}</p>", "Title\n{l}\n{s}"),
+        ("<aside class=sidebar><article><p>{l}</p></article></aside><div><h1>Title</h1><p>{s}</p></div>", "Title\n{s}"),
+        ("<div class='ad'>{l}</div>", None),
+    ],
+)
+def test_length_makes_no_block_a_text(page, text):
+    got = main_text(f"<body>{page.format(s=SHORT, l=LONG)}</body>")
+    assert got == text.format(s=SHORT, l=LONG) if text else len(got) <= len(LONG)
+
+
+@pytest.mark.parametrize(
+    "piece, repeats",
+    [
+        ("a<b ", 250_000), ('<a href="x ', 90_000), ("<p class=x ", 90_000), ('<a">"', 200_000), ("<a '>' \">\" ", 80_000), ("<!-- ", 200_000), ("<script>", 120_000), ("<div class=menu>", 60_000),
+        ("<div class=menu><p>a b c", 40_000), ("</div></p>", 100_000), ("&amp", 200_000), ("<p>a</p><a href=x>b</a>", 40_000),
+    ],
+)
+def test_a_megabyte_of_markup_takes_linear_time(piece, repeats):
+    import time
+
+    times = []
+    for n in (repeats // 4, repeats):
+        page = piece * n
+        began = time.process_time()
+        main_text(page)
+        times.append(time.process_time() - began)
+    assert times[1] < 6 and times[1] < 12 * max(times[0], 0.1)
+    main_text("<p " + "class=x " * (repeats // 10) + ">text</p>")
+
+
 def plain_blocks(weights):
     """The line-block distribution, plainly: sums of windows, surges, dives."""
     sums = [sum(weights[i : i + html_text.WINDOW]) for i in range(len(weights))]
