@@ -5,8 +5,8 @@ linear softmax over that mean gives the language.  Both are trained by stochasti
 in numpy on a bounded sample.  A temperature fitted on held-back sample rows calibrates the
 probabilities.
 
-Rejection is calibrated too.  For each language a model is trained without it; what such models make of
-the language left out, and of texts whose letters are shuffled, are the wrong examples, and what they make of
+Rejection is calibrated too.  Four models (or one for each language, if those are fewer) are trained, each without a share of the languages; what
+they make of the languages left out, and of texts whose letters are shuffled, are the wrong examples, and what they make of
 held-back texts of their own languages the right ones.  A logistic regression on the log odds of the
 best language and the share of subwords that its training texts hold tells them apart, and the threshold is
 the one that rejects ``reject_share`` of the right ones.
@@ -28,6 +28,10 @@ TABLE_BITS = 15
 DIM = 12
 #: A small sample is passed over until so many steps are taken, else it is hardly learned.
 LEAST_STEPS = 400
+#: The models that calibrate the rejection take so many steps at most, but pass over their rows twice at least.
+MOST_STEPS = 6000
+#: Models that are trained without some of the languages, each without another share of them.
+FOLDS = 4
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes of text that are coded at a time.
@@ -112,7 +116,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 Row = tuple[np.ndarray, np.ndarray]
 
 
-def _descend(rows: list[Row], y: np.ndarray, n_languages: int, epochs: int, rate: float, batch: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _descend(rows: list[Row], y: np.ndarray, n_languages: int, epochs: int, rate: float, batch: int, seed: int, most_steps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Embeddings and output weights by SGD; the model's table (logits, then known or not) and its bias."""
     rng = np.random.default_rng(seed)
     fit = np.arange(len(rows))
@@ -120,7 +124,8 @@ def _descend(rows: list[Row], y: np.ndarray, n_languages: int, epochs: int, rate
     out = np.zeros((DIM, n_languages), np.float32)
     bias = np.zeros(n_languages, np.float32)
     a_pass = max(1, -(-len(fit) // batch))
-    passes = max(epochs, -(-LEAST_STEPS // a_pass))
+    most = epochs if most_steps is None else max(2, most_steps // a_pass)
+    passes = max(min(epochs, most), -(-LEAST_STEPS // a_pass))
     steps, done = passes * a_pass, 0
     for _ in range(passes):
         rng.shuffle(fit)
@@ -128,11 +133,7 @@ def _descend(rows: list[Row], y: np.ndarray, n_languages: int, epochs: int, rate
             own = fit[at : at + batch]
             lr = rate * (1 - done / steps)
             done += 1
-            codes = np.concatenate([rows[i][0] for i in own])
-            share = np.concatenate([rows[i][1] for i in own])
-            doc = np.repeat(np.arange(len(own)), [len(rows[i][0]) for i in own])
-            mean = np.zeros((len(own), DIM), np.float32)
-            np.add.at(mean, doc, emb[codes] * share[:, None])
+            mean = np.stack([rows[i][1] @ emb[rows[i][0]] for i in own])
             grad = softmax(mean @ out + bias)
             grad[np.arange(len(own)), y[own]] -= 1
             grad /= len(own)
@@ -140,7 +141,8 @@ def _descend(rows: list[Row], y: np.ndarray, n_languages: int, epochs: int, rate
             out -= lr * mean.T @ grad
             bias -= lr * grad.sum(axis=0)
             # A subword's rate grows with its rarity in the batch mean, else embeddings hardly move.
-            np.subtract.at(emb, codes, (lr * 20) * share[:, None] * back_mean[doc])
+            for i, back in zip(own, back_mean, strict=True):
+                emb[rows[i][0]] -= (lr * 20) * rows[i][1][:, None] * back  # a text has each code once
     known = np.zeros((1 << TABLE_BITS, n_languages), np.float32)
     for k in range(n_languages):
         held = np.bincount(np.concatenate([rows[i][0] for i in np.flatnonzero(y == k)] or [np.zeros(0, np.int64)]), minlength=1 << TABLE_BITS)
@@ -178,11 +180,11 @@ def train(texts: list[str], labels: list[str], epochs: int = 8, rate: float = 2.
     y = np.array([languages.index(x) for x in labels])
     rows = [code_counts(t) for t in texts]
     back = np.arange(len(rows)) % 5 == 4
-    pick = lambda mask: ([rows[i] for i in np.flatnonzero(mask)], y[mask])
-    fitted = lambda mask, own: _descend(*pick(mask), own, epochs, rate, batch, seed)
-    model = Model(languages, *fitted(~back, len(languages)))
+    pick = lambda mask: [rows[i] for i in np.flatnonzero(mask)]
+    fitted = lambda mask, place, n, most=None: _descend(pick(mask), place[mask], n, epochs, rate, batch, seed, most)
+    model = Model(languages, *fitted(~back, y, len(languages)))
     held = back if back.any() else ~back
-    means = _means(pick(held)[0], model.table)
+    means = _means(pick(held), model.table)
     logits = means[:, : len(languages)] + model.bias
     loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(logits)), y[held]] + 1e-12).mean()
     model.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
@@ -191,17 +193,20 @@ def train(texts: list[str], labels: list[str], epochs: int = 8, rate: float = 2.
     rng = np.random.default_rng(seed)
     noise = [code_counts(_shuffled(texts[i], rng)) for i in np.flatnonzero(back)]
     right, wrong = [], []
-    for left_out in range(len(languages)):
-        others = [k for k in range(len(languages)) if k != left_out]
+    folds = min(FOLDS, len(languages))
+    for fold in range(folds):
+        others = [k for k in range(len(languages)) if k % folds != fold]
         place = np.searchsorted(others, y)
-        mine, y0 = y != left_out, y
-        y = place
-        part = Model(others, *fitted(~back & mine, len(others)), temperature=model.temperature)
-        y = y0
+        mine = y % folds != fold
+        if not (~back & mine).any():
+            continue
+        part = Model(others, *fitted(~back & mine, place, len(others), MOST_STEPS), temperature=model.temperature)
         of = lambda some: _evidence(*part._calibrated(_means(some, part.table)))  # noqa: B023, E731
-        p = part._calibrated(_means(pick(back & mine)[0], part.table))[0]
-        right.append(of(pick(back & mine)[0])[p.argmax(axis=1) == place[back & mine]])
-        wrong += [of(pick(~mine)[0]), of(noise)]
+        p = part._calibrated(_means(pick(back & mine), part.table))[0]
+        right.append(of(pick(back & mine))[p.argmax(axis=1) == place[back & mine]])
+        wrong += [of(pick(~mine)), of(noise)]
+    if not right:
+        return model
     x, n_right = np.concatenate([*right, *wrong]), sum(map(len, right))
     is_right = np.arange(len(x)) < n_right
     if n_right and not is_right.all():
@@ -211,25 +216,30 @@ def train(texts: list[str], labels: list[str], epochs: int = 8, rate: float = 2.
     return model
 
 
-def sample(labelled: DataFrame, rows_per_language: int, most_chars: int, most_languages: int) -> tuple[list[str], list[str]]:
-    """At most about ``rows_per_language`` rows of each language, chosen by a hash of the text."""
+def sample(labelled: DataFrame, rows_per_language: int, most_chars: int, most_rows: int, most_languages: int) -> tuple[list[str], list[str]]:
+    """At most about ``rows_per_language`` different texts of each language, chosen by a hash of the text; a text that repeats counts once.
+
+    Where that would be more than ``most_rows`` in all, every language gets its even part of these.
+    """
     rows = labelled.where(F.col("lang").isNotNull() & (F.char_length("text") <= most_chars)).select("text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not counts:
         return [], []
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows_per_language / n)))), F.col("lang"))
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003).orderBy(F.xxhash64("text"), "text", "lang")
-    got = [r for r in drawn.limit(2 * rows_per_language * len(counts)).collect() if has_letter(r["text"])]
+    each = max(1, min(rows_per_language, most_rows // len(counts)))
+    shares = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, each / max(1, r["n"]))) for r in counts], "lang string, share double")
+    near = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.col("share") * 1_000_003)  # at most most_languages rows
+    drawn = near.select("text", "lang").distinct().orderBy(F.xxhash64("text"), "text", "lang")
+    got = [r for r in drawn.limit(2 * each * len(counts)).collect() if has_letter(r["text"])]
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
-def fit_model(labelled: DataFrame, rows_per_language: int = 250, most_chars: int = 50_000, most_languages: int = 200) -> Model:
+def fit_model(labelled: DataFrame, rows_per_language: int = 250, most_chars: int = 50_000, most_rows: int = 50_000, most_languages: int = 10_000) -> Model:
     """Train on a sample of ``labelled`` (text, lang).
 
-    What reaches the driver is bounded by ``rows_per_language`` rows of each of the ``most_languages`` most frequent
-    languages, of at most ``most_chars`` characters each.
+    What reaches the driver is bounded: ``rows_per_language`` different texts of each language, ``most_rows`` in all, of at most ``most_chars``
+    characters each.  There are under 8,000 languages in the registers of languages; of more than ``most_languages`` values of ``lang`` the most frequent are learned.
     """
-    texts, labels = sample(labelled, rows_per_language, most_chars, most_languages)
+    texts, labels = sample(labelled, rows_per_language, most_chars, most_rows, most_languages)
     return train(texts, labels) if texts else Model([UNKNOWN], np.zeros((1 << TABLE_BITS, 2), np.float32), np.zeros(1))
 
 
@@ -237,7 +247,7 @@ def judge(text: str | None, model: Model) -> tuple[str, float, bool]:
     """(language, score, rejected) of one text.
 
     A null text and one without a letter are ``und`` with score 0 and rejected.  Any other text
-    gets a learned language; it is rejected if its calibrated confidence is under the threshold, as noise and
+    gets a learned language, of equally likely ones the first by name; it is rejected if its calibrated confidence is under the threshold, as noise and
     texts in other languages are.
     """
     if not has_letter(text):
