@@ -178,13 +178,13 @@ def _block_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def _units(rows: DataFrame, node: str, masks: list[int], block: int) -> DataFrame:
-    """(node, fp, unit) of ``rows``: each once for every mask, under what the mask leaves of its fingerprint.
+def _units(rows: DataFrame, node: str, masks: list[int], block: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """(node, fp, ``more``, unit) of ``rows``: each once for every mask, under what the mask leaves of its fingerprint.
 
     Buckets of more than ``block`` rows are cut into chunks by ``node``, and each pair of chunks is a unit of its own.
     """
     keys = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))
-    keyed = rows.select(F.col(node).alias("node"), "fp", F.explode(keys).alias("k")).select("node", "fp", "k.mask", "k.key")
+    keyed = rows.select(F.col(node).alias("node"), "fp", *more, F.explode(keys).alias("k")).select("node", "fp", *more, "k.mask", "k.key")
     # Only buckets of more than a chunk are cut; there are few, so the probes need not be shuffled to learn of them.
     hot = materialize(keyed.groupBy("mask", "key").count().where(F.col("count") > block), "simhash-hot")
     hint = F.broadcast if hot.count() <= MOST_BROADCAST_BUCKETS else lambda df: df
@@ -192,9 +192,9 @@ def _units(rows: DataFrame, node: str, masks: list[int], block: int) -> DataFram
     mine = F.pmod(F.xxhash64("node", F.lit(7)), chunks).cast("int")
     return (
         keyed.join(hint(hot), ["mask", "key"], "left")
-        .select("node", "fp", "mask", "key", chunks.alias("chunks"), mine.alias("mine"))
-        .select("node", "fp", "mask", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        .select("node", "fp", F.xxhash64("mask", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"))
+        .select("node", "fp", *more, "mask", "key", chunks.alias("chunks"), mine.alias("mine"))
+        .select("node", "fp", *more, "mask", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        .select("node", "fp", *more, F.xxhash64("mask", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"))
     )
 
 
@@ -264,8 +264,11 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     return each.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "component_text")
 
 
-#: Shingle hashes kept of a text: the least ones of 31 bits.
-KEPT = 64
+#: Two signatures of 64 bits, of sets that share 0.8, differ in 6.4 bits on average; in more than 16 once in 30,000 times.
+MOST_SIGNATURE_BITS = 16
+_FACTORS = np.array([int(xxhash.xxh64_intdigest(b"%d" % k, SEED)) | 1 for k in range(BITS)], np.uint64)
+#: Nodes and shingles of a chunk of a cluster: texts of two chunks are compared in one task.
+CHUNK_NODES, CHUNK_SHINGLES = 512, 1_000_000
 #: More nodes or rows than this are joined by shuffle instead of broadcast (16 bytes each).
 MOST_BROADCAST_ROWS = 1_000_000
 
@@ -283,87 +286,102 @@ def weighted_fingerprint(words: Counter[bytes]) -> int:
     return int(np.packbits(2 * ones > weights.sum(), bitorder="little").view(np.uint64)[0])
 
 
+def signature(shingles: np.ndarray) -> int:
+    """A bit of each of 64 min-hashes of a set: two sets agree in a bit if they have the same least element, else by chance."""
+    if not len(shingles):
+        return 0
+    least = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 2048):
+        np.minimum(least, (shingles[at : at + 2048, None] * _FACTORS).min(axis=0), out=least)
+    return int(np.packbits((least >> np.uint64(20)).astype(np.uint8) & 1, bitorder="little").view(np.uint64)[0])
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node: hash of the text, fp of its words, shingles: how many different ones of ``width`` words, sketch: the least of their hashes) for
-    every row: one pass, no shuffle.  A null text counts as empty."""
+    """(doc_id, node: hash of the text, fp of its words, sig and number of its shingles of ``width`` words) for every row: one pass, no shuffle.
+    A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, sketches = [], [], []
+            fps, sigs, sizes = [], [], []
             for text in batch.column(2):
                 fps.append(weighted_fingerprint(Counter((text.as_py() or "").encode().translate(_LOWER).split())))
                 own = np.unique(shingle_hashes(text.as_py(), width))
+                sigs.append(signature(own))
                 sizes.append(len(own))
-                sketches.append(np.unique((own[: 2 * KEPT] >> np.uint64(33)).astype(np.int32))[:KEPT])
-            columns = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))]
-            yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["doc_id", "node", "fp", "shingles", "sketch"])
+            columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, sigs)] + [pa.array(sizes, pa.int64())]
+            yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["doc_id", "node", "fp", "sig", "shingles"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, fp long, shingles long, sketch array<int>")
+    return rows.mapInArrow(run, "doc_id long, node long, fp long, sig long, shingles long")
 
 
-def candidates(units: DataFrame, radius: int, each: int) -> DataFrame:
-    """(unit, a, b) of the pairs of nodes of a unit (node, fp, unit, label) within the radius and with different labels, least node first.
+def _near(fps: np.ndarray, sigs: np.ndarray, some: np.ndarray, others: np.ndarray, radius: int) -> np.ndarray:
+    """Which of ``others`` are candidates of which of ``some``, all by their places."""
+    out = np.bitwise_count(fps[some, None] ^ fps[None, others]) <= radius
+    a, b = np.nonzero(out)
+    out[a, b] = np.bitwise_count(sigs[some[a]] ^ sigs[others[b]]) <= MOST_SIGNATURE_BITS
+    return out
 
-    A unit with more than ``each`` of them for a node is dense: of it a spanning set is listed, and a row without a and b.  ``each`` = 0: no
-    unit is dense.
-    """
 
-    def of(unit: int, node: np.ndarray, fps: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        found = 0
-        for at in range(0, len(node), 256):
-            near = np.bitwise_count(fps[at : at + 256, None] ^ fps[None, at:]) <= radius
-            a, b = np.nonzero(near & (label[at : at + 256, None] != label[None, at:]))
-            a, b = a[a < b] + at, b[a < b] + at
-            found += len(a)
-            if each and found > each * len(node):
-                first = dict(zip(fps.tolist(), node.tolist(), strict=True))
-                yield from ((unit, first[x], first[y]) for x, y in _block_links(fps, radius))
-                yield from ((unit, first[x], y) for x, y in zip(fps.tolist(), node.tolist(), strict=True) if first[x] != y)
-                yield (unit, None, None)
-                return
-            if not each:
-                yield from zip([unit] * len(a), node[a].tolist(), node[b].tolist(), strict=True)
-            else:
-                held.append((a, b))
-        for a, b in held:
-            yield from zip([unit] * len(a), node[a].tolist(), node[b].tolist(), strict=True)
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _spanning(fps: np.ndarray, sigs: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """Pairs of places that join what is joined by candidates: each is linked to the first that reaches it."""
+    left = np.arange(len(fps))
+    while len(left):
+        frontier, left = left[:1], left[1:]
+        while len(frontier) and len(left):
+            reached, parent = np.zeros(len(left), bool), np.zeros(len(left), np.int64)
+            for at in range(0, len(frontier), 256):
+                near = _near(fps, sigs, frontier[at : at + 256], left, radius)
+                new = near.any(axis=0) & ~reached
+                parent[new] = frontier[at + near[:, new].argmax(axis=0)]
+                reached |= new
+            yield from zip(parent[reached].tolist(), left[reached].tolist(), strict=True)
+            frontier, left = left[reached], left[~reached]
+
+
+def _by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one unit after the other (first column), which come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        unit = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)] if len(unit) else []
+        for low, high in itertools.pairwise(cuts):
+            if held and held[0].column(0)[0].as_py() != unit[low]:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    ordered = sorted({(min(p), max(p)) for p in pairs})
+    return pa.record_batch([pa.array([p[i] for p in ordered], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def candidate_links(texts: DataFrame, radius: int, block: int, verify_cost: float) -> DataFrame:
+    """Links (a, b: nodes) that join all ``texts`` (node, fp, sig) that are candidates: within the radius by their words, and near by their signatures.
+
+    Of each unit of the plan a spanning set is written, so links grow with the texts, whatever the size of a group.
+    """
+    n, together = bit_statistics(texts)
+    if n < 2:
+        return texts.sparkSession.range(0).selectExpr("id AS a", "id AS b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [np.zeros(0, np.int64)] * 4
-        out: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            rows = [(u, min(x, y), max(x, y)) if x is not None else (u, None, None) for u, x, y in out]
-            out.clear()
-            return pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["unit", "a", "b"])
-
-        def settle(upto: int) -> Iterator[pa.RecordBatch]:
-            if not upto:
-                return
-            unit = columns[0][:upto]
-            starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-            for low, high in zip(starts.tolist(), np.r_[starts[1:], upto].tolist(), strict=True):
-                if high - low > 1:
-                    held.clear()
-                    for row in of(int(unit[low]), columns[1][low:high], columns[2][low:high].view(np.uint64), columns[3][low:high]):
-                        out.append(row)
-                        if len(out) >= 200_000:
-                            yield flush()
-
-        for batch in batches:
-            columns = [np.concatenate([c, batch.column(i).to_numpy(zero_copy_only=False)]) for i, c in enumerate(columns)]
-            cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
-            yield from settle(cut)
-            columns = [c[cut:] for c in columns]
-        yield from settle(len(columns[0]))
-        yield flush()
+        links: list[tuple[int, int]] = []
+        for unit in _by_unit(batches):
+            if len(unit) > 1:
+                node, fps, sigs = (unit.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+                links += ((node[i], node[j]) for i, j in _spanning(fps.view(np.uint64), sigs.view(np.uint64), radius))
+            if len(links) > 200_000:
+                yield _pairs_batch(links)
+                links = []
+        yield _pairs_batch(links)
 
-    rows = units.select("unit", "node", "fp", "label").repartition("unit").sortWithinPartitions("unit")
-    return rows.mapInArrow(run, "unit long, a long, b long")
+    units = _units(texts, "node", allocate(n, together, radius, verify_cost), block, ("sig",))
+    return units.repartition("unit").sortWithinPartitions("unit").select("unit", "node", "fp", "sig").mapInArrow(run, "a long, b long").distinct()
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -371,56 +389,66 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= MOST_BROADCAST_ROWS else rows
 
 
-def alike(links: DataFrame, texts: DataFrame, docs: DataFrame, likeness: float, width: int) -> DataFrame:
-    """Those of ``links`` (a, b: nodes of ``texts``) whose texts share at least ``likeness`` of their shingles of ``width`` words, as sets.
-    Two texts without words are alike.
+def alike_links(clusters: DataFrame, texts: DataFrame, docs: DataFrame, likeness: float, width: int, radius: int) -> DataFrame:
+    """Links (a, b) that join all texts of a cluster (node, root) of which two candidates share at least ``likeness`` of their shingles of
+    ``width`` words, as sets; two texts without words are alike.
 
-    Pairs whose sketches estimate less than the likeness by four deviations, or whose sizes forbid it, go before any shingle is
-    moved; what is left is decided by the shingles themselves.
+    A cluster is cut into chunks, and each pair of chunks is a task's unit that holds the shingles of its texts.  There every candidate pair is compared by
+    the shingles themselves, unless links found before join it already; only links are written, no pairs.
     """
-    links = materialize(links, "simhash-links")
-    ends = materialize(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash-ends")
-    involved = materialize(texts.join(_few(ends), "node", "left_semi").select("node", "shingles", "sketch"), "simhash-involved")
-    of = lambda end, n, s: involved.select(F.col("node").alias(end), F.col("shingles").alias(n), F.col("sketch").alias(s))
-    seen = F.slice(F.sort_array(F.array_union("x", "y")), 1, KEPT)
-    estimate = F.size(F.array_intersect(seen, F.array_intersect("x", "y"))) / F.greatest(F.size(seen), F.lit(1))
-    least = likeness - 4 * math.sqrt(likeness * (1 - likeness) / KEPT)
-    sizes = F.least("n", "m") >= (likeness - 0.05) * F.greatest("n", "m")
-    close = links.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").where(sizes & ((estimate >= least) | ((F.col("n") == 0) & (F.col("m") == 0))))
-    close = materialize(close.select("a", "b"), "simhash-close")
-    nodes = materialize(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash-nodes")
+    members = materialize(clusters.join(texts.select("node", "fp", "sig", "shingles"), "node"), "simhash-members")
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK_NODES), F.ceil(F.sum("shingles") / CHUNK_SHINGLES))
+    sizes = materialize(members.groupBy("root").agg(chunks.cast("int").alias("chunks")), "simhash-sizes")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.xxhash64(text).alias("node"), text.alias("text")).join(_few(nodes), "node", "left_semi").dropDuplicates(["node"])
-    sets = materialize(own.select("node", F.array_distinct(word_shingles(F.col("text"), width)).alias("s")), "simhash-shingles")
-    pairs = close.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return pairs.where(shared >= F.lit(likeness) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    own = docs.select(F.xxhash64(text).alias("node"), text.alias("text")).join(_few(members.select("node")), "node", "left_semi").dropDuplicates(["node"])
+    sets = materialize(own.select("node", F.sort_array(F.array_distinct(word_shingles(F.col("text"), width))).alias("s")), "simhash-shingles")
+    mine = F.pmod(F.xxhash64("node", F.lit(11)), F.col("chunks")).cast("int")
+    units = (
+        members.join(_few(sizes), "root").withColumn("mine", mine).join(sets, "node")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "node", "fp", "sig", "mine", "s", (F.col("mine") == F.col("other")).alias("alone"))
+    )
+
+    def verified(unit: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        node, fps, sigs, chunk = (unit.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4))
+        fps, sigs, lists, alone = fps.view(np.uint64), sigs.view(np.uint64), unit.column(5), unit.column(6)[0].as_py()
+        sets = [lists[i].values.to_numpy() for i in range(len(node))]
+        size, root = np.array([len(x) for x in sets]), np.arange(len(node))
+        for i in range(len(node) - 1):
+            later = np.arange(i + 1, len(node))
+            ratio = np.minimum(size[i], size[later]) >= likeness * np.maximum(size[i], size[later])
+            later = later[ratio & (root[later] != root[i]) & (alone | (chunk[later] != chunk[i]))]
+            for j in later[_near(fps, sigs, np.array([i]), later, radius)[0]].tolist():
+                if root[i] != root[j]:
+                    x, y = (sets[i], sets[j]) if size[i] >= size[j] else (sets[j], sets[i])
+                    shared = int((x[np.minimum(x.searchsorted(y), len(x) - 1)] == y).sum()) if len(y) else 0
+                    if shared >= likeness * (len(x) + len(y) - shared):
+                        root[root == root[j]] = root[i]
+                        yield node[i], node[j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links: list[tuple[int, int]] = []
+        for unit in _by_unit(batches):
+            if len(unit) > 1:
+                links += verified(unit)
+        yield _pairs_batch(links)
+
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
-def alike_texts(docs: DataFrame, likeness: float, width: int, radius: int, each: int = 16, block: int = 1024, verify_cost: float = 0.002) -> tuple[DataFrame, DataFrame]:
+def alike_texts(docs: DataFrame, likeness: float, width: int, radius: int, block: int = 1024, verify_cost: float = 0.0005) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, node; texts: node, fp, root, first) of ``docs``: the different texts with the root of their component, a link being a pair of texts
     that share at least ``likeness`` of their ``width``-word shingles, and the first row of each component by doc_id.
 
-    Candidates are texts whose SimHashes are within ``radius`` bits.  In dense units a spanning set of the candidates is checked first; of
-    what has not come together by that, all pairs are checked that are left.  So every candidate pair is checked, or its texts are joined already.
+    Candidates are texts whose SimHashes are within ``radius`` bits and whose signatures are near.  What candidates join is a cluster, and within
+    clusters every candidate pair is checked, or its texts are joined already.
     """
     rows = materialize(signatures(docs, width), "simhash-rows")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
-    texts = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"), F.min(row).alias("first"))
+    texts = rows.groupBy("node").agg(*(F.min(c).alias(c) for c in ("fp", "sig", "shingles")), F.min(row).alias("first"))
     texts = materialize(texts, "simhash-texts")
-    n, together = bit_statistics(texts)
-    roots = docs.sparkSession.range(0).selectExpr("id AS node", "id AS root")
-    if n > 1:
-        units = _units(texts, "node", allocate(n, together, radius, verify_cost), block)
-        found = materialize(candidates(units.withColumn("label", F.col("node")), radius, each), "simhash-candidates")
-        links = materialize(alike(found.where("a IS NOT NULL").select("a", "b").distinct(), texts, docs, likeness, width), "simhash-links")
-        roots = materialize(connected_components(links), "simhash-roots")
-        dense = materialize(found.where("a IS NULL").select("unit").distinct(), "simhash-dense")
-        if not dense.isEmpty():
-            again = units.join(_few(dense), "unit", "left_semi").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
-            rest = materialize(candidates(again, radius, 0).where("a IS NOT NULL").select("a", "b").distinct(), "simhash-rest")
-            more = alike(rest, texts, docs, likeness, width)
-            roots = materialize(connected_components(links.union(more)), "simhash-roots")
+    clusters = materialize(connected_components(candidate_links(texts, radius, block, verify_cost)), "simhash-clusters")
+    roots = materialize(connected_components(alike_links(clusters, texts, docs, likeness, width, radius)), "simhash-roots")
     rooted = texts.join(roots, "node", "left").select("node", "fp", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("first"))
     return rows.select("doc_id", "node"), materialize(rooted.drop("first").join(least, "root"), "simhash-rooted")

@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -228,9 +229,10 @@ def test_alike_duplicates(spark):
     assert len(linked) > 60 and sum(got[i] != i for i in linked) >= 0.95 * len(linked)
 
 
-@pytest.mark.parametrize("each", [1, 16])
-def test_dense_groups_lose_no_link(spark, each):
+@pytest.mark.parametrize("each", [8, 512])
+def test_dense_groups_lose_no_link(spark, monkeypatch, each):
     """Groups of texts that are all near by their words, of which some share their shingles and others are made of the same words in another order."""
+    monkeypatch.setattr(simhash, "CHUNK_NODES", each)
     rng, texts = random.Random(each), {}
     for group in range(3):
         words = [f"g{group}w{k}" for k in range(60)] + ["the"] * 20
@@ -247,7 +249,7 @@ def test_dense_groups_lose_no_link(spark, each):
             rng.shuffle(own)
             texts[100 * group + 50 + k] = " ".join(own)
     df = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(i + 1000, t) for i, t in texts.items()], "doc_id long, text string")
-    rows, found = simhash.alike_texts(df, 0.8, 5, 8, each=each, block=32)
+    rows, found = simhash.alike_texts(df, 0.8, 5, 8, block=32)
     first = {r["node"]: r["first"]["doc_id"] for r in found.collect()}
     got = {r["doc_id"]: first[r["node"]] for r in rows.collect()}
     want = brute_alike(texts)
@@ -270,7 +272,8 @@ def test_recall_of_pairs(spark):
         for x in prefix:
             under.setdefault(x, []).append(i)
     fp = {i: simhash.weighted_fingerprint(Counter(texts[i].encode().lower().split())) for i in {i for pair in pairs for i in pair}}
-    within = sum((fp[i] ^ fp[j]).bit_count() <= 8 for i, j in pairs)
+    sig = {i: simhash.signature(np.array(sorted(sets[i]), np.uint64)) for i in fp}
+    within = sum((fp[i] ^ fp[j]).bit_count() <= 8 and (sig[i] ^ sig[j]).bit_count() <= simhash.MOST_SIGNATURE_BITS for i, j in pairs)
     assert len(pairs) >= 40 and within >= 0.95 * len(pairs)
 
 
