@@ -1,13 +1,16 @@
-"""Queries of landing, checks and tables that are kept up to date."""
+"""Queries of landing, checks, tables that are kept up to date, and images."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from payscope.functions.pixels import png_bytes
 from payscope.operators import served
 from payscope.operators.checks import Between, Build, Holds, Matched, Unique
 from payscope.operators.history import changes, latest_per_year
+from payscope.operators.logos import normalised_logos
 from payscope.operators.ranking import bases
 from payscope.plans.registry import register
 from payscope.plans.stand_ins import BASES_SQL, COMPANIES_SQL, HISTORY_SQL, companies, filings, table
@@ -124,3 +127,27 @@ def bucketed_some_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = last.select(F.explode(F.array(F.col("last") - 1, F.col("last") - 3)).alias("year"))
     own = spark.table(_yearly(spark, sf_dir)).join(F.broadcast(wanted), "year")  # two rows
     return own.groupBy("code").agg(F.max("value").alias("peak"), F.count("*").alias("years"))
+
+
+@register("""WITH s AS (SELECT p_partkey AS id, p_partkey % 6 AS kind, CASE WHEN p_partkey % 6 = 3 THEN 1 ELSE 2 + p_partkey * 7 % 200 END AS h, 2 + p_partkey % 60 AS w FROM part),
+  r AS (SELECT *, CASE WHEN kind = 2 THEN 'notImage' WHEN kind = 3 THEN 'tooTiny' WHEN greatest(h, w) > 20 * least(h, w) THEN 'extremeRatio' WHEN kind = 1 THEN 'almostTransparent'
+      WHEN kind = 0 OR round(w * CAST(24 AS DOUBLE) / greatest(h, w)) < 2 THEN 'solidColor' END AS reason, w - w // 2 AS cut FROM s),
+  t AS (SELECT *, least(CAST(96 AS DOUBLE) / h, CAST(384 AS DOUBLE) / cut, 1) AS scale FROM r)
+  SELECT id, reason, CASE WHEN reason IS NULL THEN CAST(greatest(1, floor(cut * scale + 0.5)) AS INT) END AS width, CASE WHEN reason IS NULL THEN CAST(greatest(1, floor(h * scale + 0.5)) AS INT) END AS height FROM t""")
+def logo_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of pictures that Spark paints of the parts: one colour, transparent, no image, a line, or two halves, of which the first is a margin."""
+    key = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select(
+        key.alias("id"), (key % 6).cast("int").alias("kind"), F.when(key % 6 == 3, 1).otherwise(2 + key * 7 % 200).cast("int").alias("h"), (2 + key % 60).cast("int").alias("w")
+    )
+
+    @F.udf("binary", useArrow=True)
+    def painted(kind: int, height: int, width: int) -> bytes:
+        picture = np.full((height, width, 4), 200, np.uint8)
+        picture[:, :, 3] = 0 if kind == 1 else 255
+        if kind > 3:
+            picture[:, width // 2 :, :3] = 20
+        return b"no image" if kind == 2 else png_bytes(picture)
+
+    images = parts.select("id", painted("kind", "h", "w").alias("image"))
+    return normalised_logos(images).select("id", "reason", "width", "height")
