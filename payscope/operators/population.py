@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,11 +84,13 @@ def with_curve(rows: DataFrame, curves: DataFrame, key: str = "industry") -> Dat
 
 def first_existing(spark: SparkSession, paths: Sequence[str]) -> str | None:
     """The first of ``paths`` that is there, whatever the store."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if at.getFileSystem(conf).exists(at):
+        try:
+            spark.read.format("text").option("recursiveFileLookup", True).load(path)  # its folder is looked up, its files aren't read
             return path
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     return None
 
 

@@ -94,6 +94,12 @@ def working_days(spark: SparkSession, first: str, last: str) -> DataFrame:
     return days.where(F.weekday("day") < 5)
 
 
+def working_days_of(rows: DataFrame, day: str = "day") -> DataFrame:
+    """(day) from Monday to Friday between the first and the last day of ``rows``; none if there are no rows."""
+    bounds = rows.agg(F.min(day).alias("first"), F.max(day).alias("last")).where("first IS NOT NULL")
+    return bounds.select(F.explode(F.sequence("first", "last")).alias("day")).where(F.weekday("day") < 5)
+
+
 class QualityError(ValueError):
     """A check of the data failed."""
 

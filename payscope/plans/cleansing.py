@@ -120,9 +120,13 @@ def wage_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wages.groupBy("l_suppkey").pivot("l_returnflag", list(_FLAGS)).agg(F.max("wage"))
 
 
-@register("SELECT CAST(range AS DATE) AS day FROM range(DATE '2024-01-01', DATE '2025-03-01', INTERVAL 1 DAY) WHERE isodow(range) <= 5")
+@register("""WITH b AS (SELECT min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS z FROM orders), d AS (SELECT unnest(generate_series(a, z, INTERVAL 1 DAY)) AS day FROM b),
+  n AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1)
+  SELECT CAST(d.day AS DATE) AS day, coalesce(n, 0) AS n FROM d LEFT JOIN n ON n.day = d.day WHERE isodow(d.day) <= 5""")
 def working_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.working_days(spark, "2024-01-01", "2025-02-28")
+    """The working days between the first and the last order, with how many orders each has."""
+    day = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"))
+    return r.working_days_of(day).join(day.groupBy("day").agg(F.count("*").alias("n")), "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _register(spark: SparkSession, sf_dir: str) -> DataFrame:
