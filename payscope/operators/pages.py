@@ -69,6 +69,14 @@ def manifest_icons(manifests: DataFrame) -> DataFrame:
     return rows.where("url IS NOT NULL").select("page_id", "seq", "source", "url", F.col("s.width").alias("width"), F.col("s.height").alias("height"))
 
 
+def with_commons(candidates: DataFrame, titles: DataFrame, images: DataFrame) -> DataFrame:
+    """``candidates`` and, ahead of all of a page's, the free image that is known for its company: ``titles`` (page_id, title) of ``images`` (title, url,
+    width, height), the first by title where there are several; a title without an image adds nothing."""
+    known = titles.join(images.where("url IS NOT NULL"), "title").groupBy("page_id").agg(F.min_by(F.struct("url", "width", "height"), "title").alias("m"))
+    free = known.select("page_id", F.lit(-1).alias("seq"), F.lit("commons").alias("source"), "m.url", F.col("m.width").cast("int").alias("width"), F.col("m.height").cast("int").alias("height"))
+    return free.unionByName(candidates)
+
+
 def _priority(source: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, SOURCES)), source)
 

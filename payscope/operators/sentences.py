@@ -106,3 +106,12 @@ def facts(companies: DataFrame) -> DataFrame:
         F.count("*").alias("companies"), F.count_distinct("tse33").alias("industries"), F.count_distinct("curve_key").alias("curves"),
         F.min("avg_age").alias("age_low"), F.max("avg_age").alias("age_high"), F.min(ten_thousands(F.col("avg_salary"))).alias("pay_low"), F.max(ten_thousands(F.col("avg_salary"))).alias("pay_high"),
     )
+
+
+def formula_example(companies: DataFrame, target: int = C.DEFAULT_AGE) -> DataFrame:
+    """(id, name, avg_age, avg_salary, target_age, anchor_age, at_anchor, at_target, at_age, estimated): what the page about the data puts into the formula
+    for a company (``companies``: id, name, avg_age, avg_salary, curve in yen)."""
+    known = model.with_curve_values(companies, {"at_target": F.lit(float(target)), "at_age": F.col("avg_age")})
+    paid = known.withColumn("at_anchor", F.get(F.col("curve"), F.lit(0)))
+    pay = model.estimate_pay(F.col("avg_salary"), F.col("avg_age"), F.lit(float(target)), F.col("at_age"), F.col("at_target"), F.col("at_anchor"))
+    return paid.select("id", "name", "avg_age", "avg_salary", F.lit(target).alias("target_age"), F.lit(C.ANCHOR_AGE).alias("anchor_age"), "at_anchor", "at_target", "at_age", pay.alias("estimated"))

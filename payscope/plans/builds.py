@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payscope.functions.pixels import png_bytes
-from payscope.operators import served
+from payscope.operators import sentences, served
 from payscope.operators.checks import Between, Build, Holds, Matched, Unique
 from payscope.operators.history import changes, latest_per_year
 from payscope.operators.logos import normalised_logos
 from payscope.operators.ranking import bases
 from payscope.plans.registry import register
-from payscope.plans.stand_ins import BASES_SQL, COMPANIES_SQL, HISTORY_SQL, companies, filings, table
+from payscope.plans.stand_ins import BASES_SQL, COMPANIES_SQL, CURVES_SQL, HISTORY_SQL, companies, filings, sql_curve_at, sql_estimate, table
 from payscope.sources import yearly
 from payscope.sources.tables import scratch_path
 from payscope.streaming import landing
@@ -151,3 +151,9 @@ def logo_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     images = parts.select("id", painted("kind", "h", "w").alias("image"))
     return normalised_logos(images).select("id", "reason", "width", "height")
+
+
+@register(f"""WITH {COMPANIES_SQL}, {CURVES_SQL} SELECT id, name, avg_age, avg_salary, 35 AS target_age, 22 AS anchor_age, v0 AS at_anchor, {sql_curve_at("CAST(35 AS DOUBLE)")} AS at_target,
+  {sql_curve_at("avg_age")} AS at_age, {sql_estimate("avg_age", "CAST(35 AS DOUBLE)", "avg_salary")} AS estimated FROM companies JOIN curves USING (curve_key)""")
+def formula_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.formula_example(companies(spark, sf_dir))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from payscope.functions import html
 from payscope.functions.employee_block import employee_block, parse_block
-from payscope.operators.pages import chosen_logo, ordered_candidates, page_candidates
+from payscope.operators.pages import chosen_logo, ordered_candidates, page_candidates, with_commons
 
 HEAD = "従業員数（人）平均年齢平均勤続年数平均年間給与（円）"
 
@@ -99,3 +99,13 @@ def test_image_headers(spark):
     assert header_of(png) == ("png", 40, 30) and header_of(ico) == ("ico", 256, 256) and header_of(b"<?xml?><SVG>") == ("svg", None, None)
     rows = spark.createDataFrame([(png,), (None,), (b"x",)], "b binary").select(image_header("b").alias("h")).collect()
     assert [r["h"]["width"] for r in rows] == [40, None, None]
+
+
+def test_free_images_come_first(spark):
+    candidates = spark.createDataFrame([(1, 0, "header", "https://a.example/l.png", 9, 9), (2, 0, "icon", "https://b.example/i.png", None, None)], "page_id int, seq int, source string, url string, width int, height int")
+    titles = spark.createDataFrame([(1, "File:B.svg"), (1, "File:A.svg"), (2, "File:None.svg"), (3, "File:C.svg")], "page_id int, title string")
+    images = spark.createDataFrame([("File:A.svg", "https://c.example/a.svg", 300, 100), ("File:B.svg", "https://c.example/b.svg", 1, 1), ("File:C.svg", "https://c.example/c.svg", 2, 2), ("File:None.svg", None, 1, 1)], "title string, url string, width long, height long")
+    ordered = ordered_candidates(with_commons(candidates, titles, images))
+    assert sorted((r["page_id"], r["place"], r["source"], r["url"]) for r in ordered.collect()) == [
+        (1, 1, "commons", "https://c.example/a.svg"), (1, 2, "header", "https://a.example/l.png"), (2, 1, "icon", "https://b.example/i.png"), (3, 1, "commons", "https://c.example/c.svg")
+    ]
