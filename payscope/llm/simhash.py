@@ -436,7 +436,7 @@ def alike_links(clusters: DataFrame, texts: DataFrame, docs: DataFrame, likeness
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
-def alike_texts(docs: DataFrame, likeness: float, width: int, radius: int, block: int = 1024, verify_cost: float = 0.0005) -> tuple[DataFrame, DataFrame]:
+def alike_texts(docs: DataFrame, likeness: float, width: int, radius: int, block: int = 8192, verify_cost: float = 0.0005) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, node; texts: node, fp, root, first) of ``docs``: the different texts with the root of their component, a link being a pair of texts
     that share at least ``likeness`` of their ``width``-word shingles, and the first row of each component by doc_id.
 
