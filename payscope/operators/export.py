@@ -9,15 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payscope.functions.text import path_segment
+from payscope.operators.ranking import positions
 from payscope.operators.resolution import QualityError
 
 
+def _numbered(first: DataFrame, ties: Sequence[str]) -> DataFrame:
+    """(value, index): from 0 in the order of ``ties``, counted in stretches of the first one if that is a whole number."""
+    placed = positions(first.withColumn("_all", F.lit(0)), "_all", ties)
+    return placed.select("value", (F.col("position") - 1).cast("int").alias("index"))
+
+
 def string_pool(rows: DataFrame, column: str, order: str) -> DataFrame:
     """(value, index): distinct trimmed, non-empty values, numbered from 0 by where each is first seen."""
     value = F.trim(F.col(column))
     first = rows.where(value != "").groupBy(value.alias("value")).agg(F.min(order).alias("at"))
-    # The distinct values are the pool that is delivered as one piece: few by its purpose.
-    return first.select("value", F.expr("row_number() OVER (ORDER BY at, value) - 1").alias("index"))
+    return _numbered(first, ["at", "value"])
 
 
 def pooled(rows: DataFrame, column: str, order: str) -> DataFrame:
@@ -44,35 +50,59 @@ def row_pool(rows: DataFrame, order: str) -> DataFrame:
     names = F.flatten(F.array(*(F.transform(F.col(u), lambda x: x["unit"]) for u in ROW_UNITS)))
     each = rows.select(order, F.posexplode(F.concat(F.array(*ROW_TEXTS), names)).alias("k", "value")).withColumn("value", F.trim("value"))
     first = each.where("value <> ''").groupBy("value").agg(F.min(F.struct(order, "k")).alias("at"))
-    # The pool is delivered as one piece: few values by its purpose.
-    return first.select("value", F.expr("row_number() OVER (ORDER BY at) - 1").alias("index"))
+    return _numbered(first.select("value", F.col(f"at.{order}").alias("_at"), F.col("at.k").alias("_k")), ["_at", "_k"])
+
+
+def _looked_up(rows: DataFrame, wanted: Column, kind: str, pool: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with ``_got``: for each member of the array ``wanted`` what the pool has for it, null if nothing.
+
+    The members are joined as rows, so no task holds the pool.  The first row of each carries the rest.  Null members get keys of
+    their own that are in no pool (values are trimmed, places are not negative), else they would all meet in one task.
+    """
+    whole = rows.withColumn("_row", F.monotonically_increasing_id())
+    each = whole.select("_row", F.struct(*rows.columns).alias("_whole"), F.posexplode(F.concat(F.array(F.lit(None).cast(kind)), wanted)).alias("_k", "_x"))
+    none = F.concat(F.lit(" "), F.col("_row").cast("string")) if kind == "string" else -1 - F.col("_row")
+    keyed = each.select("_row", F.when(F.col("_k") == 0, F.col("_whole")).alias("_whole"), "_k", F.coalesce("_x", none).alias("_x"))
+    found = keyed.join(pool.select(F.col(key).cast(kind).alias("_x"), F.col(name).alias("_y")), "_x", "left")
+    together = found.groupBy("_row").agg(F.first("_whole", ignorenulls=True).alias("_whole"), F.sort_array(F.collect_list(F.struct("_k", "_y"))).alias("_all"))
+    return together.select("_whole.*", F.transform(F.slice("_all", F.lit(2), F.size("_all")), lambda x: x["_y"]).alias("_got"))
 
 
 def encoded_rows(rows: DataFrame, pool: DataFrame, key: str = "id") -> DataFrame:
     """(key, cells): nine fixed cells, texts as places in the pool (-1 for none), then for each kind of units their number
     and so many pairs of name and value."""
-    places = pool.agg(F.map_from_entries(F.collect_list(F.struct("value", F.col("index").cast("double")))).alias("_pool"))
-    place = lambda text: F.coalesce(F.try_element_at(F.col("_pool"), F.trim(text)), F.lit(-1.0))
-    fixed = F.array(*(place(F.col(c)) if c in ROW_TEXTS else F.col(c).cast("double") for c in ROW_FIELDS))
-    counted = lambda u: F.concat(F.array(F.size(u).cast("double")), F.flatten(F.transform(F.col(u), lambda x: F.array(place(x["unit"]), x["value"].cast("double")))))
-    return rows.crossJoin(F.broadcast(places)).select(key, F.concat(fixed, *map(counted, ROW_UNITS)).alias("cells"))  # one row
+    names = F.flatten(F.array(*(F.transform(F.col(u), lambda x: x["unit"]) for u in ROW_UNITS)))
+    texts = F.transform(F.concat(F.array(*ROW_TEXTS), names), lambda x: F.nullif(F.trim(x), F.lit("")))
+    placed = _looked_up(rows.select(key, *ROW_FIELDS, *ROW_UNITS), texts, "string", pool, "value", "index")
+    place = lambda at: F.coalesce(F.get("_got", at).cast("double"), F.lit(-1.0))
+    fixed = F.array(*(place(F.lit(ROW_TEXTS.index(c))) if c in ROW_TEXTS else F.col(c).cast("double") for c in ROW_FIELDS))
+
+    def counted(units: str, start: Column) -> Column:
+        pairs = F.transform(F.col(units), lambda x, i: F.array(place(start + i), x["value"].cast("double")))
+        return F.concat(F.array(F.size(units).cast("double")), F.flatten(pairs))
+
+    first, second = ROW_UNITS
+    start = F.lit(len(ROW_TEXTS))
+    return placed.select(key, F.concat(fixed, counted(first, start), counted(second, start + F.size(first))).alias("cells"))
 
 
 def decoded_rows(encoded: DataFrame, pool: DataFrame, key: str = "id") -> DataFrame:
     """The rows behind ``encoded_rows``; '' where a text was empty or missing."""
-    places = pool.agg(F.map_from_entries(F.collect_list(F.struct(F.col("index").cast("int"), "value"))).alias("_pool"))
-    text = lambda x: F.coalesce(F.try_element_at(F.col("_pool"), x.cast("int")), F.lit(""))
-    cell = lambda at: F.get(F.col("cells"), at)
-
-    def units(at: Column) -> Column:
-        n = cell(at).cast("int")
-        pairs = F.sequence(F.lit(1), n)
-        return F.when(n > 0, F.transform(pairs, lambda k: F.struct(text(cell(at + 2 * k - 1)).alias("unit"), cell(at + 2 * k).alias("value")))).otherwise(F.array().cast("array<struct<unit: string, value: double>>"))
-
-    start = F.lit(len(ROW_FIELDS))
-    fixed = [(text(cell(F.lit(k))) if c in ROW_TEXTS else cell(F.lit(k))).alias(c) for k, c in enumerate(ROW_FIELDS)]
-    first, second = (u.alias(name) for u, name in zip((units(start), units(start + 1 + 2 * cell(start).cast("int"))), ROW_UNITS, strict=True))
-    return encoded.crossJoin(F.broadcast(places)).select(key, *fixed, first, second)  # one row
+    cell = lambda at: F.get("cells", at)
+    n = [F.col("_n0"), F.col("_n1")]
+    starts = [F.lit(len(ROW_FIELDS)), F.lit(len(ROW_FIELDS) + 1) + 2 * n[0]]
+    count = lambda at: F.coalesce(cell(at).cast("int"), F.lit(0))
+    sized = encoded.select(key, "cells").withColumn("_n0", count(starts[0])).withColumn("_n1", count(starts[1]))
+    steps = lambda k: F.when(n[k] > 0, F.sequence(F.lit(1), n[k])).otherwise(F.array().cast("array<int>"))
+    name = lambda k: F.transform(steps(k), lambda i: cell(starts[k] + 2 * i - 1))
+    places = F.concat(F.array(*(cell(F.lit(ROW_FIELDS.index(c))) for c in ROW_TEXTS)), name(0), name(1))
+    wanted = F.transform(places, lambda x: F.when(x >= 0, x.cast("long")))
+    named = _looked_up(sized, wanted, "long", pool, "index", "value")
+    text = lambda at: F.coalesce(F.get("_got", at), F.lit(""))
+    fixed = [(text(F.lit(ROW_TEXTS.index(c))) if c in ROW_TEXTS else cell(F.lit(k))).alias(c) for k, c in enumerate(ROW_FIELDS)]
+    earlier = [F.lit(len(ROW_TEXTS)), F.lit(len(ROW_TEXTS)) + n[0]]
+    units = lambda k: F.transform(steps(k), lambda i: F.struct(text(earlier[k] + i - 1).alias("unit"), cell(starts[k] + 2 * i).alias("value")))
+    return named.select(key, *fixed, *(units(k).alias(u) for k, u in enumerate(ROW_UNITS)))
 
 
 def company_tuples(companies: DataFrame, curve_keys: Sequence[str]) -> DataFrame:

@@ -19,7 +19,7 @@ from payscope.operators.ranking import bases, positions
 from payscope.plans.registry import register
 from payscope.plans.stand_ins import BASES_SQL, COMPANIES_SQL, CURVES_SQL, DENSE_SQL, SEGMENT_CURVE, companies, filings, sql_curve_at, table
 from payscope.sources import archives
-from payscope.sources.tables import scratch_path
+from payscope.sources.tables import scratch_path, stored
 
 _LISTS = """lists AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey AS doc_id, o_custkey AS code, CASE WHEN o_custkey % 3 > 0 THEN CAST(o_custkey AS VARCHAR) END AS sec_code,
     CASE WHEN o_orderkey % 5 = 0 THEN '130' ELSE '120' END AS doc_type, CASE WHEN o_orderstatus = 'P' THEN '1' ELSE '0' END AS withdrawn FROM orders),
@@ -211,7 +211,7 @@ def encoded_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_custkey") % 3 == 1, F.array(unit)).when(F.col("c_custkey") % 3 == 2, F.array(unit, unit)).otherwise(none).alias("overtime_units"),
         F.when(F.col("c_custkey") % 2 == 0, F.array(unit)).otherwise(none).alias("leave_units"),
     )
-    pool = export.row_pool(rows, "id")
+    pool = stored(export.row_pool(rows, "id"), "row-pool")
     back = export.decoded_rows(export.encoded_rows(rows, pool), pool)
     units = F.when(F.size("overtime_units") > 0, F.concat(F.get("overtime_units", F.lit(0))["unit"], F.lit(":"), F.size("overtime_units").cast("string"))).otherwise("")
     return back.select("id", "overtime_all", "overtime_scope", "as_of", units.alias("units"))

@@ -8,6 +8,7 @@ from payscope.functions import model
 from payscope.operators import export, pages, population
 from payscope.operators.resolution import QualityError
 from payscope.sources import files
+from payscope.sources.tables import stored
 
 
 def test_company_id(spark):
@@ -87,6 +88,16 @@ def test_counted_pairs(spark):
     assert [tuple(u) for u in back[1]["overtime_units"]] == [("x", 3.0), ("", 4.0)] and back[1]["leave_units"] == [] and [tuple(u) for u in back[2]["leave_units"]] == [("all", None)]
 
 
+def test_pool_is_joined_and_not_held_whole(spark):
+    units = F.array().cast("array<struct<unit: string, value: double>>")
+    rows = spark.range(70_000, numPartitions=4).select("id", *((F.concat(F.lit("t"), F.col("id") % 69_000) if c == "as_of" else F.lit(None).cast("string" if c in export.ROW_TEXTS else "double")).alias(c) for c in export.ROW_FIELDS), *(units.alias(c) for c in export.ROW_UNITS))
+    pool = stored(export.row_pool(rows, "id"), "pool")
+    back = export.decoded_rows(export.encoded_rows(rows, pool), pool)
+    assert "NestedLoopJoin" not in back._jdf.queryExecution().executedPlan().toString()
+    assert pool.where("value <> concat('t', index)").count() == 0 and pool.count() == 69_000
+    assert back.where("as_of <> concat('t', id % 69000) OR gap_period <> ''").count() == 0 and back.count() == 70_000
+
+
 def test_bundle(spark, tmp_path):
     rows = spark.range(3)
     assert set(export.write_bundle({"a": (rows, 100)}, str(tmp_path))) == {"a"}
