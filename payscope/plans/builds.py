@@ -15,7 +15,7 @@ from payscope.operators.ranking import bases
 from payscope.plans.registry import register
 from payscope.plans.stand_ins import BASES_SQL, COMPANIES_SQL, CURVES_SQL, HISTORY_SQL, companies, filings, sql_curve_at, sql_estimate, table
 from payscope.sources import yearly
-from payscope.sources.tables import scratch_path
+from payscope.sources.tables import scratch_path, spread
 from payscope.streaming import landing
 
 
@@ -149,7 +149,7 @@ def logo_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
             picture[:, width // 2 :, :3] = 20
         return b"no image" if kind == 2 else png_bytes(picture)
 
-    images = parts.select("id", painted("kind", "h", "w").alias("image"))
+    images = spread(parts, "id").select("id", painted("kind", "h", "w").alias("image"))
     return normalised_logos(images).select("id", "reason", "width", "height")
 
 

@@ -26,3 +26,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt by ``key`` over a few tasks for each core: a small file is one task, however long its rows take."""
+    return rows.repartition(min(200, 4 * rows.sparkSession.sparkContext.defaultParallelism), key)

@@ -6,9 +6,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from payscope.functions import pixels as px
 from payscope.operators.logos import best_logo, normalised_logos
+from payscope.plans import builds
 
 
 def noise(height, width, seed=0, opaque=True):
@@ -160,3 +162,27 @@ def test_logos_of_companies(spark):
     assert got == {1: ("notImage", None, None), 2: (None, 48, 96), 3: (None, 3, 5), 4: ("notImage", None, None), 5: (None, 48, 96), 6: ("solidColor", None, None)}
     assert all(px.picture_of(bytes(r.png)).shape == (r.height, r.width, 4) for r in normal.where("reason IS NULL").collect())
     assert {r.company: r.id for r in best_logo(candidates.select("id", "company", "place"), normal).collect()} == {"a": 3, "c": 5}
+
+
+def test_equal_results_by_edges_and_for_one_colour():
+    rng = np.random.default_rng(7)
+    for height, width, new in ((200, 61, (24, 7)), (96, 30, (96, 15)), (5, 9, (8, 20)), (1, 40, (1, 24))):
+        picture = rng.integers(0, 256, (height, width, 4), dtype=np.uint8)
+        planes = np.concatenate([picture[:, :, :3] * picture[:, :, 3:].astype(float), picture[:, :, 3:]], axis=2)
+        for axis, size in enumerate(new):
+            sums = np.concatenate([np.zeros_like(planes.take([0], axis)), planes.cumsum(axis)], axis)
+            edges = np.linspace(0, planes.shape[axis], size + 1)
+            low = np.minimum(edges.astype(int), planes.shape[axis] - 1)
+            part = (edges - low).reshape([-1 if k == axis else 1 for k in range(3)])
+            planes = np.diff(sums.take(low, axis) * (1 - part) + sums.take(low + 1, axis) * part, axis=axis) * size / planes.shape[axis]
+        mean = np.concatenate([planes[:, :, :3] / np.maximum(planes[:, :, 3:], 1e-9), planes[:, :, 3:]], axis=2)
+        assert (px.resized(picture, *new) == np.floor(np.clip(mean, 0, 255) + 0.5)).all()
+    for opacity, reason in ((0, "almostTransparent"), (15, "almostTransparent"), (16, "solidColor"), (255, "solidColor")):
+        assert px.rejection(np.full((30, 20, 4), opacity, np.uint8)) == reason
+
+
+def test_pictures_of_a_small_file_are_dealt_over_tasks_and_handed_over_together(spark):
+    assert builds.logo_rules(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
+    picture = px.png_bytes(np.full((4, 4, 4), 255, np.uint8))
+    table = spark.range(300, numPartitions=1).select("id", F.lit(picture).alias("image"))
+    assert [tuple(r)[:2] for r in normalised_logos(table).orderBy("id").collect()] == [(k, "solidColor") for k in range(300)]
