@@ -10,6 +10,7 @@ from payscope.functions.employee_block import employee_block
 from payscope.operators.pages import ordered_candidates, page_candidates
 from payscope.plans.registry import register
 from payscope.plans.stand_ins import table
+from payscope.sources.tables import spread
 
 
 @register("SELECT page_id, nullif(lower(regexp_extract(url, '^(https?://[^/?#[:space:]]+)', 1)), '') AS origin FROM pages")
@@ -66,7 +67,7 @@ def employee_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with the table of employees, its values apart in a third of them, in lines in another and stuck together in the
     last, where the number of employees is known from elsewhere."""
     key = F.col("c_custkey")
-    numbers = table(spark, sf_dir, "customer").select(
+    numbers = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(
         key.alias("id"), (100 + key * 37 % 9000).alias("people"), ((300 + key * 7 % 250) / 10).alias("age"), ((20 + key * 3 % 120) / 10).alias("tenure"), (3_000_000 + key * 12_347 % 9_000_000).alias("pay")
     )
     separator = F.element_at(F.array(F.lit(" "), F.lit("\n"), F.lit("")), (F.col("id") % 3 + 1).cast("int"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from payscope.functions import html
 from payscope.functions.employee_block import employee_block, parse_block
 from payscope.operators.pages import chosen_logo, ordered_candidates, page_candidates, with_commons
+from payscope.plans.text import employee_blocks
 
 HEAD = "従業員数（人）平均年齢平均勤続年数平均年間給与（円）"
 
@@ -109,3 +110,13 @@ def test_free_images_come_first(spark):
     assert sorted((r["page_id"], r["place"], r["source"], r["url"]) for r in ordered.collect()) == [
         (1, 1, "commons", "https://c.example/a.svg"), (1, 2, "header", "https://a.example/l.png"), (2, 1, "icon", "https://b.example/i.png"), (3, 1, "commons", "https://c.example/c.svg")
     ]
+
+
+def test_blocks_of_a_small_file_are_dealt_over_tasks(spark):
+    assert employee_blocks(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
+
+
+@pytest.mark.parametrize(("people", "expected", "got"), [("1,234", 1234.0, 1234.0), ("1234", 1234.0, 1234.0), ("1,234人[56]名", 1234.0, 1234.0), ("12341.5", 1234.0, None)])
+def test_known_number_of_employees(people, expected, got):
+    found = parse_block(f"従業員数 平均年齢 平均勤続年数 平均年間給与 {people} 41.5 12.5 6,543,210", expected)
+    assert (found or {}).get("employees") == got
