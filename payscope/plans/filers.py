@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import itertools
 import zipfile
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from payscope.operators.ranking import bases, positions
 from payscope.plans.registry import register
 from payscope.plans.stand_ins import BASES_SQL, COMPANIES_SQL, CURVES_SQL, DENSE_SQL, SEGMENT_CURVE, companies, filings, sql_curve_at, table
 from payscope.sources import archives
-from payscope.sources.tables import scratch_path, stored
+from payscope.sources.tables import scratch_path, spread, stored
 
 _LISTS = """lists AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey AS doc_id, o_custkey AS code, CASE WHEN o_custkey % 3 > 0 THEN CAST(o_custkey AS VARCHAR) END AS sec_code,
     CASE WHEN o_orderkey % 5 = 0 THEN '130' ELSE '120' END AS doc_type, CASE WHEN o_orderstatus = 'P' THEN '1' ELSE '0' END AS withdrawn FROM orders),
@@ -85,21 +86,32 @@ def company_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(population.company_id(sec, F.concat(F.lit("E"), key), F.col("c_name")).alias("id"), F.col("c_name").alias("name"))
 
 
+#: Folders for archives.
+_SHELVES = 256
+
+
 def _landed(docs: DataFrame, folder: str) -> None:
-    """Archives in ``folder``, one for each doc_id of ``docs`` (doc_id, seq, element, context, value)."""
+    """Archives on the shelves of ``folder``, one for each doc_id of ``docs`` (doc_id, seq, element, context, value)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root)
+        shelves = set()
         facts = (r for b in batches for r in b.to_pylist())
-        for doc_id, own in itertools.groupby(facts, lambda r: r["doc_id"]):
+        for path, own in itertools.groupby(facts, lambda r: r["path"]):
+            at = root + path[len(folder) :]
+            if (shelf := at.rpartition("/")[0]) not in shelves:
+                store.create_dir(shelf)
+                shelves.add(shelf)
             cells = ((r["element"], "", r["context"], "", "", "", "", "", r["value"]) for r in own)
-            with store.open_output_stream(f"{root}/{doc_id}.zip") as f, zipfile.ZipFile(f, "w") as z:
-                z.writestr("facts.csv", "\n".join(["header", *map("\t".join, cells)]).encode("utf-16"))
-        yield pa.record_batch([pa.array([], pa.string())], names=["doc_id"])
+            with zipfile.ZipFile(made := io.BytesIO(), "w") as z:
+                z.writestr(zipfile.ZipInfo("facts.csv"), "\n".join(["header", *map("\t".join, cells)]).encode("utf-16"))
+            with store.open_output_stream(at, compression=None) as f:
+                f.write(made.getbuffer())
+        yield pa.record_batch([pa.array([], pa.string())], names=["path"])
 
-    together = docs.repartition("doc_id").sortWithinPartitions("doc_id", "seq")
-    together.mapInArrow(write, "doc_id string").write.format("noop").mode("overwrite").save()
+    placed = docs.select(archives.place_of(folder, "doc_id", _SHELVES).alias("path"), "seq", "element", "context", "value")
+    placed = spread(placed, "path").sortWithinPartitions("path", "seq")
+    placed.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
 
 
 @register("""WITH lists AS (SELECT DISTINCT o_custkey AS code, CAST(year(o_orderdate) AS INT) AS year, 'S' || CAST(o_custkey AS VARCHAR) || '-' || CAST(year(o_orderdate) AS VARCHAR) AS doc_id FROM orders),
@@ -117,8 +129,8 @@ def wanted_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "archives")
     _landed(orders, folder)
     some = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("code"))
-    index = archives.wanted_index(orders.join(some, "code", "left_semi").select("doc_id", "year"), folder)
-    facts = archives.archive_facts(spark, index).where(F.col("year").between(1994, 1996))
+    index = archives.wanted_index(orders.join(some, "code", "left_semi").select("doc_id", "year"), folder, _SHELVES)
+    facts = stored(archives.archive_facts(spark, index).where(F.col("year").between(1994, 1996)), "facts")  # archives are opened once
     counted = facts.groupBy("path", "doc_id", "year").agg(F.count("*").alias("facts"))
     return filing_records.records(facts).join(counted, "path").select("doc_id", "year", "avg_salary", "facts")
 

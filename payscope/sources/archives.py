@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import datasource as source
 from pyspark.sql import functions as F
 
@@ -121,14 +121,20 @@ class ArchiveSource(source.DataSource):
         return ArchiveReader(self.options["index"])
 
 
-def wanted_index(targets: DataFrame, folder: str) -> str:
-    """The path of an index of ``targets`` (doc_id, year): each filing once, at its place in ``folder``, sorted by year and doc_id so that a row
-    group holds few years."""
+def place_of(folder: str, doc_id: str = "doc_id", shelves: int = 0) -> Column:
+    """Where the archive of a filing is: in ``folder``, or in one of its ``shelves``, as tasks that write into one folder wait for each other."""
+    shelf = F.concat(F.pmod(F.crc32(doc_id), F.lit(shelves)).cast("string"), F.lit("/")) if shelves else F.lit("")
+    return F.concat(F.lit(folder.rstrip("/") + "/"), shelf, doc_id, F.lit(".zip"))
+
+
+def wanted_index(targets: DataFrame, folder: str, shelves: int = 0) -> str:
+    """The path of an index of ``targets`` (doc_id, year): each filing once, at its place in ``folder`` (see ``place_of``), sorted by year and doc_id
+    so that a row group holds few years."""
     spark = targets.sparkSession
     path = scratch_path(spark, "archive-index")
     own = folder if "://" in folder else f"file://{folder}"
     rows = targets.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max(F.col("year").cast("int")).alias("year"))
-    placed = rows.where("doc_id IS NOT NULL").withColumn("path", F.concat(F.lit(own.rstrip("/") + "/"), "doc_id", F.lit(".zip")))
+    placed = rows.where("doc_id IS NOT NULL").withColumn("path", place_of(own, "doc_id", shelves))
     tasks = max(1, -(-placed.count() // ARCHIVES_PER_TASK))
     placed.repartitionByRange(tasks, "year", "doc_id").sortWithinPartitions("year", "doc_id").write.parquet(path)
     return path

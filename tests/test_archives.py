@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import datasource as source
 from pyspark.sql import functions as F
 
+from payscope.plans import filers
 from payscope.sources import archives
 
 
@@ -83,3 +84,12 @@ def test_opened_archives_are_counted(spark, tmp_path, monkeypatch, condition, wa
 def test_empty_index(spark, tmp_path):
     index = archives.wanted_index(spark.createDataFrame([], "doc_id string, year int"), str(tmp_path))
     assert archives.archive_facts(spark, index).collect() == []
+
+
+def test_archives_on_shelves(spark, tmp_path):
+    docs = spark.range(40).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("doc_id"), F.lit(2021).alias("year"), F.lit(0).alias("seq"), *(F.lit(x).alias(c) for c, x in (("element", "a:Pay"), ("context", "Now"), ("value", "7"))))
+    filers._landed(docs, f"file://{tmp_path}/zips")
+    assert not list((tmp_path / "zips").glob("*.zip")) and len(list((tmp_path / "zips").glob("*/S*.zip"))) == 40
+    index = archives.wanted_index(docs.where("seq = 0 AND doc_id < 'S2'"), f"file://{tmp_path}/zips", filers._SHELVES)
+    got = archives.archive_facts(spark, index).collect()
+    assert sorted(r.doc_id for r in got) == sorted(f"S{k}" for k in range(40) if f"S{k}" < "S2") and {(r.element, r.context, r.value) for r in got} == {("a:Pay", "Now", "7")}
