@@ -12,6 +12,7 @@ is under ten scores that were found.
 
 from __future__ import annotations
 
+import contextlib
 import heapq
 import math
 from collections import Counter
@@ -19,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payscope.llm.shared import materialize
@@ -39,6 +40,22 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
+#: Texts, and blocks, that pass between Spark and a task at a time: what both hold does not grow with the table.
+TEXTS, BLOCKS = 500, 16
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def _at_a_time(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that begin within pass so many rows to a task at a time."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
+
+
 _BLOCKS = "block string, n array<long>, doc_id array<long>, doc array<int>, term array<int>, tf array<long>, total long, filled long"
 
 
@@ -50,14 +67,15 @@ def _forward(number: dict[bytes, int], block: int) -> Callable[[Iterator[pa.Reco
 
         held_id: list[int | None] = []
         held_n: list[int] = []
-        postings: list[tuple[int, int, int]] = []
+        postings: list[np.ndarray] = []
         blocks = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal blocks
-            found = sorted(postings)
+            found = np.concatenate(postings)
+            found = found[np.lexsort((found[:, 1], found[:, 0]))]
             name = f"{TaskContext.get().partitionId()}-{blocks}"
-            row = [[name], [held_n], [held_id], [[d for _, d, _ in found]], [[t for t, _, _ in found]], [[f for _, _, f in found]], [sum(held_n)], [sum(n > 0 for n in held_n)]]
+            row = [[name], [held_n], [held_id], [found[:, 1]], [found[:, 0]], [found[:, 2]], [sum(held_n)], [sum(n > 0 for n in held_n)]]
             kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
             out = pa.record_batch([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["block", "n", "doc_id", "doc", "term", "tf", "total", "filled"])
             blocks += 1
@@ -69,7 +87,7 @@ def _forward(number: dict[bytes, int], block: int) -> Callable[[Iterator[pa.Reco
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = terms_of(text.as_py())
                 counts = Counter(words)
-                postings += ((number[t], len(held_id), counts[t]) for t in counts.keys() & number.keys())
+                postings.append(np.array([(number[t], len(held_id), counts[t]) for t in counts.keys() & number.keys()], np.int64).reshape(-1, 3))
                 held_id.append(doc_id)
                 held_n.append(len(words))
                 if len(held_id) == block:
@@ -85,19 +103,16 @@ def _with_maxima(filled: int, total: int) -> Callable[[Iterator[pa.RecordBatch]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {k: batch.column(k).to_pylist() for k in ("n", "doc", "term", "tf")}
-            parts, terms, starts, most = [], [], [], []
-            for n, doc, term, tf in zip(*columns.values(), strict=True):
-                m = [10 + (90 * k * filled) // total if total else 10 for k in n]  # Python's whole numbers don't overflow
-                part = np.array([(1_000_000_000 * f) // (1000 * f + 8 * m[d]) for d, f in zip(doc, tf, strict=True)], np.int64)
-                t = np.array(term, np.int32)
+            flat = {k: _lists(batch.column(k)) for k in ("n", "doc", "term", "tf")}
+            for i in range(len(batch)):  # one block at a time, its postings as arrays
+                m = np.array([10 + (90 * k * filled) // total if total else 10 for k in flat["n"](i).to_pylist()], np.int64)  # Python's whole numbers don't overflow
+                doc, t, tf = (flat[k](i).to_numpy() for k in ("doc", "term", "tf"))
+                part = (1_000_000_000 * tf) // (1000 * tf + 8 * m[doc]) if len(t) else np.zeros(0, np.int64)
                 at = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
-                parts.append(part)
-                terms.append(t[at])
-                starts.append(at.astype(np.int32))
-                most.append(np.maximum.reduceat(part, at) if len(at) else part)
-            made = [pa.array(parts, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int32())), pa.array(most, pa.list_(pa.int64()))]
-            yield pa.record_batch([batch.column("block"), batch.column("doc_id"), batch.column("doc"), *made], names=["block", "doc_id", "doc", "part", "terms", "starts", "most"])
+                most = np.maximum.reduceat(part, at) if len(at) else part
+                made = [pa.array([part], pa.list_(pa.int64())), pa.array([t[at]], pa.list_(pa.int32())), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([most], pa.list_(pa.int64()))]
+                same = [batch.column(k).slice(i, 1) for k in ("block", "doc_id", "doc")]
+                yield pa.record_batch([*same, *made], names=["block", "doc_id", "doc", "part", "terms", "starts", "most"])
 
     return run
 
@@ -245,7 +260,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, block: int = BLOCK, b
     out: DataFrame | None = None
     for batch in _batches(items, batch_terms):
         number = {t: i for i, t in enumerate(sorted({t for _, terms in batch for t in terms}))}
-        forward = materialize(rows.mapInArrow(_forward(number, block), _BLOCKS), "lexical-forward")
+        with _at_a_time(spark, TEXTS):
+            forward = materialize(rows.mapInArrow(_forward(number, block), _BLOCKS), "lexical-forward")
         filled, total = forward.agg(F.sum("filled"), F.sum("total")).first()
         if not filled:
             continue
@@ -253,15 +269,16 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, block: int = BLOCK, b
         frequency = dict(counted.collect())  # at most the terms of the batch
         weight = {t: math.floor(1000 * math.log((2 * filled + 2) / (2 * df + 1))) for t, df in frequency.items()}
         queries = _Queries([[(number[t], w) for t in terms if (w := weight.get(number[t], 0)) > 0] for _, terms in batch], len(number))
-        index = materialize(forward.mapInArrow(_with_maxima(filled, total), _INDEX), "lexical-index")
-        # SEEDS blocks for each item of the batch: what reaches the driver and what is broadcast are bounded by the batch.
-        seeds = {r["block"] for r in _best(index.mapInArrow(_promising(queries, SEEDS), _FOUND), SEEDS).select("block").distinct().collect()}
-        named = F.broadcast(spark.createDataFrame([(b,) for b in sorted(seeds)], "block string"))
-        first = _best(index.join(named, "block", "left_semi").mapInArrow(_search(queries, [0] * len(batch), k), _FOUND), k)
-        tenth = dict(first.where(F.col("rank") == k).select("query", "score").collect())
-        found = _best(index.mapInArrow(_search(queries, [tenth.get(q, 0) for q in range(len(batch))], k), _FOUND), k)
-        names = spark.createDataFrame([(q, item_id) for q, (item_id, _) in enumerate(batch)], f"query int, item_id {kind}")
-        ranked = materialize(found.join(F.broadcast(names), "query").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"), "lexical-found")
+        with _at_a_time(spark, BLOCKS):
+            index = materialize(forward.mapInArrow(_with_maxima(filled, total), _INDEX), "lexical-index")
+            # SEEDS blocks for each item of the batch: what reaches the driver and what is broadcast are bounded by the batch.
+            seeds = {r["block"] for r in _best(index.mapInArrow(_promising(queries, SEEDS), _FOUND), SEEDS).select("block").distinct().collect()}
+            named = F.broadcast(spark.createDataFrame([(b,) for b in sorted(seeds)], "block string"))
+            first = _best(index.join(named, "block", "left_semi").mapInArrow(_search(queries, [0] * len(batch), k), _FOUND), k)
+            tenth = dict(first.where(F.col("rank") == k).select("query", "score").collect())
+            found = _best(index.mapInArrow(_search(queries, [tenth.get(q, 0) for q in range(len(batch))], k), _FOUND), k)
+            names = spark.createDataFrame([(q, item_id) for q, (item_id, _) in enumerate(batch)], f"query int, item_id {kind}")
+            ranked = materialize(found.join(F.broadcast(names), "query").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"), "lexical-found")
         out = ranked if out is None else out.union(ranked)
     if out is None:
         return spark.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")

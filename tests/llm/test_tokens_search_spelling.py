@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,18 @@ def test_search(spark, monkeypatch, block, batch_terms, cells):
     assert got == brute_search(docs, items, 10)
 
 
+def test_blocks_are_scored_one_at_a_time(spark):
+    texts = pa.record_batch([pa.array([1, 2, 3, 4, 5]), pa.array(["a b a", "b", None, "x", "a a a b"])], names=["doc_id", "text"])
+    docs = spark.createDataFrame(texts.to_pylist(), "doc_id long, text string").coalesce(1)
+    forward = docs.mapInArrow(lexical._forward({b"a": 0, b"b": 1}, 2), lexical._BLOCKS).toArrow().combine_chunks().to_batches()
+    made = list(lexical._with_maxima(4, 9)(iter(forward)))
+    assert [len(b) for b in made] == [1, 1, 1]
+    m = [10 + 90 * n * 4 // 9 for n in (3, 1, 0, 1, 4)]
+    part = lambda tf, d: 1_000_000_000 * tf // (1000 * tf + 8 * m[d])
+    assert made[0].to_pylist()[0] == {"block": "0-0", "doc_id": [1, 2], "doc": [0, 0, 1], "part": [part(2, 0), part(1, 0), part(1, 1)], "terms": [0, 1], "starts": [0, 1], "most": [part(2, 0), max(part(1, 0), part(1, 1))]}
+    assert [b.to_pylist()[0]["part"] for b in made[1:]] == [[], [part(3, 4), part(1, 4)]]
+
+
 def test_search_of_empty_tables(spark):
     none, one = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "word")], "item_id int, text string")
     assert lexical.search(none, one).collect() == []
