@@ -125,13 +125,55 @@ def fitted_factors(levels: DataFrame, pairs: DataFrame) -> DataFrame:
     return keyed.withColumn("factor", F.round(F.exp(F.col("_level_b") - F.col("_level_a")), 6)).drop("_a", "_b", "_level_a", "_level_b")
 
 
+def _sides(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted numbers of ``y``, and the sets of its least 0, 1, ... members as bits; what is no number is in none."""
+    order = np.argsort(y, kind="stable")[: np.count_nonzero(~np.isnan(y))]
+    one = np.zeros((len(order) + 1, -(-len(y) // 64) * 8), np.uint8)
+    one[np.arange(1, len(order) + 1), order >> 3] = 1 << (order & 7)
+    return y[order], np.bitwise_or.accumulate(one.view(np.uint64), axis=0)
+
+
+def _swapped(x: np.ndarray, y: np.ndarray, same: bool, step: int = 1024) -> tuple[int, int]:
+    """Pairs of a row of ``x`` and one of ``y`` (order, values...), and how many of them are swapped; ``same``: each two rows once."""
+    pairs = swapped = 0
+    for low in range(0, len(y), step):
+        part = y[low : low + step]
+        sides = [_sides(part[:, k]) for k in range(part.shape[1])]
+        every = _sides(np.zeros(len(part)))[1][-1]
+        for at in range(0, len(x), step):
+            own = x[at : at + step]
+
+            def below_and_above(k: int, own: np.ndarray = own, sides: list = sides) -> tuple[np.ndarray, np.ndarray]:
+                numbers, sets = sides[k]
+                nan = np.isnan(own[:, k])
+                first, last = (np.searchsorted(numbers, own[:, k], side) for side in ("left", "right"))
+                first[nan], last[nan] = 0, len(numbers)
+                return sets[first], sets[-1] ^ sets[last]
+
+            earlier = below_and_above(0)[1]  # the row of x comes first by the order
+            below, above = below_and_above(1)
+            all_below, any_below, all_above, any_above = below, below.copy(), above, above.copy()
+            for k in range(2, part.shape[1]):
+                below, above = below_and_above(k)
+                all_below &= below
+                any_below |= below
+                all_above &= above
+                any_above |= above
+            differs = (earlier & any_below & ~all_below) | (~earlier & any_above & ~all_above)
+            counted = earlier if same else every
+            pairs += int(np.bitwise_count(counted).sum()) * (1 if same else len(own))
+            swapped += int(np.bitwise_count(differs & counted).sum())
+    return pairs, swapped
+
+
 def swapped_pairs(rows: DataFrame, values: Sequence[str], group: str, order: str) -> DataFrame:
     """(pairs, swapped, percent): pairs of one group whose order by any of ``values`` differs from that by the first.
 
-    All pairs of a group are the feature here.  They are made in blocks of at most 1024 by 1024 rows, so a
-    large group spreads over many tasks, a block is one comparison of arrays, and only counts leave the tasks.
+    All pairs of a group are the feature here.  They are made in blocks of about 8192 by 8192 rows, so a large group spreads over
+    many tasks and only counts leave them.  Whom a row is above is a set of bits, taken by its place among the sorted
+    rows of the other side; sets are compared, not pairs.
     """
-    block, width = 1024, 1 + len(values)
+    block, width = 8192, 1 + len(values)
     sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
     tile = F.pmod(F.xxhash64(order), F.col("_blocks")).cast("int")
     base = rows.join(sizes, group).withColumn("_tile", tile)
@@ -143,19 +185,10 @@ def swapped_pairs(rows: DataFrame, values: Sequence[str], group: str, order: str
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = swapped = 0
             for same, a, b in zip(*(batch.column(k) for k in range(3)), strict=True):
                 x, y = (np.asarray(v.values).reshape(-1, width) for v in (a, b))
-                first = x[:, None, 0] < y[None, :, 0]
-                # Of the two the one that comes first by `order` is above or not.
-                above = lambda v: np.where(first, x[:, None, v] > y[None, :, v], y[None, :, v] > x[:, None, v])  # noqa: B023, E731
-                start, differs = above(1), np.zeros(first.shape, bool)
-                for v in range(2, width):
-                    differs |= above(v) != start
-                counted = first if same.as_py() else np.ones(first.shape, bool)
-                pairs += int(counted.sum())
-                swapped += int((counted & differs).sum())
-            yield pa.record_batch([pa.array([pairs]), pa.array([swapped])], names=["pairs", "swapped"])
+                pairs, swapped = _swapped(x, y, same.as_py())
+                yield pa.record_batch([pa.array([pairs]), pa.array([swapped])], names=["pairs", "swapped"])
 
     out = both.mapInArrow(compare, "pairs long, swapped long").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("swapped"), F.lit(0)).alias("swapped"))
     return out.select("pairs", "swapped", F.when(F.col("pairs") > 0, F.round(F.col("swapped") / F.col("pairs") * 100, 6)).otherwise(F.lit(0.0)).alias("percent"))
