@@ -38,6 +38,13 @@ def bases(companies: DataFrame, ages: Sequence[int] = C.TARGET_AGES) -> DataFram
     return paid.select(*kept, F.inline(each))
 
 
+def with_pays(companies: DataFrame, ages: Sequence[int] = C.TARGET_AGES) -> DataFrame:
+    """Each company in one row, with ``pays``: an array of (basis, salary) of the target ages."""
+    paid = model.with_estimates(companies, {f"_pay{a}": F.lit(float(a)) for a in ages})
+    pays = F.array(*(F.struct(F.lit(a).alias("basis"), F.col(f"_pay{a}").alias("salary")) for a in ages))
+    return paid.select(*(c for c in companies.columns if c != "curve"), F.inline(F.array(F.struct(pays.alias("pays")))))  # unfolded as in ``bases``
+
+
 def cell_of(value: Column, width: float = CELL) -> Column:
     """The number of a cell, never falling with the value; cells are even up to a point and grow with the value above it."""
     at = F.floor(value / F.lit(width))

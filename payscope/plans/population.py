@@ -9,9 +9,10 @@ from payscope import constants as C
 from payscope.functions import model
 from payscope.functions.text import bin_label
 from payscope.operators import company, sentences, statistics
-from payscope.operators.ranking import bases, positions
+from payscope.operators.ranking import bases, positions, with_pays
 from payscope.plans.registry import register
 from payscope.plans.stand_ins import BASES_SQL, COMPANIES_SQL, CURVES_SQL, PARTS_SQL, companies, parts, sql_curve_at
+from payscope.sources.tables import spread
 
 _ROWS = """placed AS (SELECT basis, salary, row_number() OVER (PARTITION BY basis ORDER BY salary) - 1 AS pos, count(*) OVER (PARTITION BY basis) AS n FROM bases)"""
 
@@ -131,7 +132,7 @@ _MILES = f"""before AS (SELECT *, max(v) OVER (PARTITION BY id ORDER BY basis RO
     CASE WHEN jump > 0 THEN '5歳刻みで比べると' || CAST(from_age AS VARCHAR) || '歳から' || CAST(from_age + 5 AS VARCHAR) || '歳の伸びが最も大きく、＋' || {_man("jump")} || 'でした。' ELSE '' END AS summary
   FROM top t JOIN best b ON b.id = t.id LEFT JOIN said s ON s.id = t.id""")
 def curve_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.curve_summary(_bases(spark, sf_dir)).select("id", F.array_join("sentences", "").alias("summary"))
+    return sentences.curve_sentences(with_pays(spread(companies(spark, sf_dir), "id"))).select("id", F.array_join("sentences", "").alias("summary"))
 
 
 @register(f"""WITH {COMPANIES_SQL} SELECT id, '有価証券報告書によると、' || name || 'の平均年収は' || {_man("avg_salary")} || '、平均年齢は' || printf('%.1f', avg_age) || '歳、平均勤続年数は' || printf('%.1f', avg_tenure) ||

@@ -1,12 +1,15 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from payscope.functions import model
-from payscope.operators import export, pages, population
+from payscope.operators import export, pages, population, sentences, statistics
+from payscope.operators.ranking import bases, with_pays
 from payscope.operators.resolution import QualityError
+from payscope.plans.stand_ins import companies
 from payscope.sources import files
 from payscope.sources.tables import stored
 
@@ -152,3 +155,26 @@ def test_small_columns(spark):
     assert [r[0] for r in spark.range(1).select(model.mean_marker(F.lit(50), F.lit(200))).collect()] == [25.0]
     with pytest.raises(QualityError):
         population.find_by_name(spark.createDataFrame([("x", 1)], "name string, row_idx int"), "y")
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_swapped_pairs_as_sets(same):
+    rng = np.random.default_rng(3)
+    x, y = (np.column_stack([rng.permutation(150) + at, *rng.integers(0, 6, (3, 150))]).astype(float) for at in (0, 75.5))
+    x[::17, 2] = np.nan
+    y = x if same else y
+    pairs = swapped = 0
+    for a in x:
+        for b in y:
+            if a[0] < b[0] or not same:
+                above = [p > q if a[0] < b[0] else q > p for p, q in zip(a[1:], b[1:], strict=True)]
+                pairs, swapped = pairs + 1, swapped + (len(set(above)) > 1)
+    assert statistics._swapped(x, y, same, step=64) == (pairs, swapped)
+
+
+def test_curve_summaries_without_a_shuffle_of_bases(spark):
+    rows = companies(spark, "/root/testdata/sf0.001")
+    each = sentences.curve_sentences(with_pays(rows))
+    assert "Exchange" not in each._jdf.queryExecution().executedPlan().toString()
+    unfolded = sentences.curve_summary(bases(rows))
+    assert sorted(map(tuple, each.collect())) == sorted(map(tuple, unfolded.collect()))
