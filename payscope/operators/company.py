@@ -11,25 +11,32 @@ from payscope.functions.text import ten_thousands
 from payscope.operators.ranking import competition_ranks, rows_ahead
 from payscope.operators.statistics import nearest_rank, population, scale_of
 
+#: Pays of an industry that are ordered together.
+CHUNK = 4096
+
 
 def neighbours(rows: DataFrame, k: int = 5) -> DataFrame:
     """(id, basis, neighbour_id, neighbour_salary, gap, industry_rank, place): the k companies of the industry and
     basis with the nearest pay; of ties the higher paid, then the first by row_idx.
 
     The rows of an industry are ordered once by pay; the nearest k lie within k distinct pays above
-    and k below, so each row is compared with those and never with its whole industry.
+    and k below, so each row is compared with those and never with its whole industry.  An id has one row in a basis.
     """
     ranked = competition_ranks(rows, "salary", ["basis", "tse33"], "industry_rank")
     # Of rows with equal pay only the first k + 1 by row_idx can be someone's neighbours.
     pays = ranked.groupBy("basis", "tse33", "salary", "industry_rank").agg(F.slice(F.sort_array(F.collect_set(F.struct("row_idx", "id"))), 1, k + 1).alias("own"))
-    order = "PARTITION BY basis, tse33 ORDER BY salary"
-    item = "struct(salary, industry_rank, own)"
-    near = F.expr(f"collect_list({item}) OVER ({order} ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)")
-    around = pays.withColumn("near", near).select("basis", "tse33", "salary", F.expr("flatten(transform(near, n -> transform(n.own, o -> struct(n.salary AS s, n.industry_rank AS r, o.row_idx AS i, o.id AS id))))").alias("near"))
+    # Chunks of a group by the places of its pays, with k pays of both sides beside them.
+    placed = rows_ahead(pays.select("basis", "tse33", "salary"), "salary", ["basis", "tse33"])
+    at, chunk = F.col("_ahead") % CHUNK, F.floor(F.col("_ahead") / CHUNK)
+    chunks = F.array_compact(F.array(chunk, F.when(at < k, chunk - 1), F.when(at >= CHUNK - k, chunk + 1)))
+    dealt = pays.join(placed, ["basis", "tse33", "salary"]).withColumn("_own", chunk).withColumn("_chunk", F.explode(chunks))
+    order = "PARTITION BY basis, tse33, _chunk ORDER BY salary"
+    near = F.expr(f"collect_list(struct(salary, industry_rank, own)) OVER ({order} ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)")
+    each = "flatten(transform(near, n -> transform(n.own, o -> struct(abs(n.salary - salary) AS gap, -n.salary AS less, o.row_idx AS i, o.id AS id, n.salary AS s, n.industry_rank AS r))))"
+    # One more than k, as a row may be among them itself.
+    around = dealt.withColumn("near", near).where("_own = _chunk").select("basis", "tse33", "salary", F.expr(f"slice(array_sort({each}), 1, {k + 1})").alias("near"))
     joined = rows.select("id", "basis", "tse33", "salary").join(around, ["basis", "tse33", "salary"])
-    nearest = F.expr(
-        f"slice(array_sort(transform(filter(near, n -> n.id <> id), n -> struct(abs(n.s - salary) AS gap, -n.s AS less, n.i AS i, n.id AS id, n.s AS s, n.r AS r))), 1, {k})"
-    )
+    nearest = F.expr(f"slice(filter(near, n -> n.id <> id), 1, {k})")
     return joined.select("id", "basis", F.posexplode(nearest).alias("at", "n")).select(
         "id", "basis", F.col("n.id").alias("neighbour_id"), F.col("n.s").alias("neighbour_salary"), F.col("n.gap").alias("gap"), F.col("n.r").alias("industry_rank"), (F.col("at") + 1).alias("place")
     )

@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from payscope.functions import model
-from payscope.operators import export, pages, population, sentences, statistics
+from payscope.operators import company, export, pages, population, sentences, statistics
 from payscope.operators.ranking import bases, with_pays
 from payscope.operators.resolution import QualityError
 from payscope.plans.stand_ins import companies
@@ -178,3 +178,14 @@ def test_curve_summaries_without_a_shuffle_of_bases(spark):
     assert "Exchange" not in each._jdf.queryExecution().executedPlan().toString()
     unfolded = sentences.curve_summary(bases(rows))
     assert sorted(map(tuple, each.collect())) == sorted(map(tuple, unfolded.collect()))
+
+
+def test_neighbours_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(company, "CHUNK", 8)
+    rows = spark.range(100).select("id", F.col("id").alias("row_idx"), F.lit(0).alias("basis"), F.lit(1).alias("tse33"), (F.pmod(F.xxhash64("id"), F.lit(60)) * 1000).alias("salary"))
+    found = company.neighbours(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "_chunk" in plan
+    own = [(r.id, r.salary) for r in rows.collect()]
+    want = sorted((a, b) for a, s in own for b, _ in sorted(((b, t) for b, t in own if b != a), key=lambda x, s=s: (abs(x[1] - s), -x[1], x[0]))[:5])
+    assert sorted((r.id, r.neighbour_id) for r in found.collect()) == want
